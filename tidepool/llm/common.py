@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -145,3 +146,17 @@ def strings(column: pa.Array, step: int = 256) -> Iterator[str | None]:
 def plus(schema: T.StructType, ddl: str) -> T.StructType:
     """The schema with the fields of a DDL string added."""
     return T.StructType([*schema.fields, *T.StructType.fromDDL(ddl).fields])
+
+
+_WHITE = re.compile(rb"[\x20\x09-\x0d]")
+
+
+def byte_pieces(raw: bytes, most: int = 1 << 20) -> Iterator[bytes]:
+    """raw in pieces of about `most` bytes, cut at ASCII white space only."""
+    a = 0
+    while len(raw) - a > most:
+        m = _WHITE.search(raw, a + most)
+        b = m.start() if m else len(raw)
+        yield raw[a:b]
+        a = b
+    yield raw[a:] if a else raw

@@ -15,11 +15,17 @@ def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidepool.llm import packing
+
+    return packing.pack_documents(_table(spark, sf_dir, "documents"))
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidepool.llm import simhash
 
     return simhash.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_decontamination, op8_simhash)}
+QUERIES = {f.__name__: f for f in (op2_decontamination, op5_packing, op8_simhash)}
 ORACLE_SQL: dict[str, str] = {}
