@@ -50,19 +50,27 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self._clear()
-
-    def _clear(self) -> None:
         self.index: dict[bytes, int] = {}
         self.ids, self.used = np.zeros(1 << 16, np.uint32), 0
-        self.starts, self.lens = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
+        self.starts, self.lens, self.uses = (np.zeros(1 << 14, np.int64) for _ in range(3))
+
+    def _shrink(self) -> None:
+        """Keep the half of the words that were used most."""
+        kept = np.sort(np.argsort(-self.uses[: len(self.index)], kind="stable")[: _CACHED // 2])
+        words, lens = list(self.index), self.lens[kept]
+        place = np.arange(int(lens.sum())) + np.repeat(self.starts[kept] - (np.cumsum(lens) - lens), lens)
+        ids, uses = self.ids[place], self.uses[kept] // 2
+        self.index = {words[i]: n for n, i in enumerate(kept.tolist())}
+        self.ids[: len(ids)], self.used = ids, len(ids)
+        self.uses[:] = 0
+        self.starts[: len(kept)], self.lens[: len(kept)], self.uses[: len(kept)] = np.cumsum(lens) - lens, lens, uses
 
     def _learn(self, words: list[bytes]) -> None:
         got = [e.ids for e in self.tokenizer.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)]
         lens = np.fromiter(map(len, got), np.int64, len(got))
         n, k = len(self.index), int(lens.sum())
         while n + len(words) > len(self.starts):
-            self.starts, self.lens = (np.concatenate([a, np.zeros_like(a)]) for a in (self.starts, self.lens))
+            self.starts, self.lens, self.uses = (np.concatenate([a, np.zeros_like(a)]) for a in (self.starts, self.lens, self.uses))
         while self.used + k > len(self.ids):
             self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
         self.index.update(zip(words, range(n, n + len(words)), strict=True))
@@ -77,10 +85,13 @@ class Encoder:
         new = np.flatnonzero(at < 0)
         if len(new):
             if len(self.index) > _CACHED:
-                self._clear()
-                new = range(len(words))
-            self._learn(list(dict.fromkeys([words[i] for i in new])))
-            at = np.fromiter(map(self.index.__getitem__, words), np.int64, len(words))
+                self._shrink()
+                at = np.fromiter(map(self.index.get, words, repeat(-1)), np.int64, len(words))
+                new = np.flatnonzero(at < 0)
+            fresh = [words[i] for i in new]
+            self._learn(list(dict.fromkeys(fresh)))
+            at[new] = np.fromiter(map(self.index.__getitem__, fresh), np.int64, len(fresh))
+        np.add.at(self.uses, at, 1)
         lens = self.lens[at]
         place = np.arange(int(lens.sum())) + np.repeat(self.starts[at] - (np.cumsum(lens) - lens), lens)
         return self.ids[place], lens
