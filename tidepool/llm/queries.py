@@ -27,5 +27,11 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_decontamination, op5_packing, op8_simhash)}
+def op9_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidepool.llm import substrings
+
+    return substrings.dedup(_table(spark, sf_dir, "documents"), columns=["doc_id"], texts=False)
+
+
+QUERIES = {f.__name__: f for f in (op2_decontamination, op5_packing, op8_simhash, op9_substrings)}
 ORACLE_SQL: dict[str, str] = {}
