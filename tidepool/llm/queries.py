@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -15,6 +16,14 @@ def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidepool.llm import common, language
+
+    docs = _table(spark, sf_dir, "documents")
+    found = language.predict(docs, language.learn(docs), ["doc_id"])
+    return found.select("doc_id", common.held_out().alias("held_out"), "lang_pred", "score")
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidepool.llm import packing
 
@@ -33,5 +42,13 @@ def op9_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.dedup(_table(spark, sf_dir, "documents"), columns=["doc_id"], texts=False)
 
 
-QUERIES = {f.__name__: f for f in (op2_decontamination, op5_packing, op8_simhash, op9_substrings)}
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidepool.llm import common, quality
+
+    docs = _table(spark, sf_dir, "documents")
+    found = quality.score(docs, quality.learn(docs, _table(spark, sf_dir, "labels")), ["doc_id"])
+    return found.select("doc_id", common.held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+QUERIES = {f.__name__: f for f in (op2_decontamination, op4_language, op5_packing, op8_simhash, op9_substrings, op10_quality)}
 ORACLE_SQL: dict[str, str] = {}
