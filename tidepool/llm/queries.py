@@ -30,6 +30,18 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(_table(spark, sf_dir, "documents"))
 
 
+def op6_hilbert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidepool.llm import hilbert
+
+    return hilbert.shard_documents(_table(spark, sf_dir, "documents"))
+
+
+def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidepool.llm import secrets
+
+    return secrets.find(_table(spark, sf_dir, "documents"), ["doc_id"])
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidepool.llm import simhash
 
@@ -50,5 +62,5 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", common.held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
-QUERIES = {f.__name__: f for f in (op2_decontamination, op4_language, op5_packing, op8_simhash, op9_substrings, op10_quality)}
+QUERIES = {f.__name__: f for f in (op2_decontamination, op4_language, op5_packing, op6_hilbert, op7_secrets, op8_simhash, op9_substrings, op10_quality)}
 ORACLE_SQL: dict[str, str] = {}
