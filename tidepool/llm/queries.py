@@ -10,6 +10,12 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidepool.llm import pseudonyms
+
+    return pseudonyms.pseudonymise(_table(spark, sf_dir, "documents"))
+
+
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidepool.llm import decontaminate
 
@@ -62,5 +68,5 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", common.held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
-QUERIES = {f.__name__: f for f in (op2_decontamination, op4_language, op5_packing, op6_hilbert, op7_secrets, op8_simhash, op9_substrings, op10_quality)}
+QUERIES = {f.__name__: f for f in (op1_pseudonyms, op2_decontamination, op4_language, op5_packing, op6_hilbert, op7_secrets, op8_simhash, op9_substrings, op10_quality)}
 ORACLE_SQL: dict[str, str] = {}
