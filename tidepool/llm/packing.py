@@ -34,6 +34,10 @@ END_ID = 1
 VOCABULARY = "word_bpe_49k.json"
 _CACHED = 400_000
 _BLOCK = 500_000
+_TAILS = {".": 1, ",": 2}
+#: What a byte-level vocabulary writes for each byte: printable ones stand for themselves, the others follow from U+0100 on.
+_PRINTED = {*range(33, 127), *range(161, 173), *range(174, 256)}
+_BYTE_CHARS = {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in _PRINTED)}
 
 
 def tokenizer_path(name: str = VOCABULARY) -> str:
@@ -53,6 +57,10 @@ class Encoder:
         self.index: dict[bytes, int] = {}
         self.ids, self.used = np.zeros(1 << 16, np.uint32), 0
         self.starts, self.lens, self.uses = (np.zeros(1 << 14, np.int64) for _ in range(3))
+        ends = [self.tokenizer.encode(t, add_special_tokens=False).ids for t in _TAILS]
+        if any(len(e) != 1 for e in ends):
+            raise ValueError("a full stop and a comma must each be one token")
+        self.tails = np.array([0, *(e[0] for e in ends)], np.uint32)
 
     def _shrink(self) -> None:
         """Keep the half of the words that were used most."""
@@ -66,9 +74,45 @@ class Encoder:
         self.starts[: len(kept)], self.lens[: len(kept)], self.uses[: len(kept)] = np.cumsum(lens) - lens, lens, uses
 
     def _learn(self, words: list[bytes]) -> None:
+        """Words of plain letters, but for case and one mark at the end, are put together from what is known."""
+        odd, stems, made, bases, tails = [], [], [], [], []
+        for w in words:
+            text = w.decode()
+            tail = _TAILS.get(text[-1], 0)
+            stem = text[:-1] if tail else text
+            if stem.isalpha() and max(stem) < "\u0130":
+                stems.append(key := stem.lower().encode())
+                if key != w:
+                    made.append(w), bases.append(key), tails.append(tail)
+            else:
+                odd.append(w)
+        self._encode_new([w for w in dict.fromkeys(odd) if w not in self.index])
+        self._encode_plain([w for w in dict.fromkeys(stems) if w not in self.index])
+        if made:
+            at = np.fromiter(map(self.index.__getitem__, bases), np.int64, len(bases))
+            tail = np.array(tails)
+            own, lens = self.lens[at], self.lens[at] + (tail > 0)
+            ids = np.zeros(int(lens.sum()), np.uint32)
+            starts = np.cumsum(lens) - lens
+            place = np.arange(int(own.sum())) - np.repeat(np.cumsum(own) - own, own)
+            ids[place + np.repeat(starts, own)] = self.ids[place + np.repeat(self.starts[at], own)]
+            ids[(starts + lens - 1)[tail > 0]] = self.tails[tail[tail > 0]]
+            self._add(made, lens, ids)
+
+    def _encode_plain(self, words: list[bytes]) -> None:
+        """Lower-case letters only: neither normalised nor cut any further, so the model alone encodes them."""
+        step = self.tokenizer.model.tokenize
+        got = [[t.id for t in step(w.decode() if w.isascii() else w.decode("latin-1").translate(_BYTE_CHARS))] for w in words]
+        lens = np.fromiter(map(len, got), np.int64, len(got))
+        self._add(words, lens, np.fromiter(chain.from_iterable(got), np.uint32, int(lens.sum())))
+
+    def _encode_new(self, words: list[bytes]) -> None:
         got = [e.ids for e in self.tokenizer.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)]
         lens = np.fromiter(map(len, got), np.int64, len(got))
-        n, k = len(self.index), int(lens.sum())
+        self._add(words, lens, np.fromiter(chain.from_iterable(got), np.uint32, int(lens.sum())))
+
+    def _add(self, words: list[bytes], lens: np.ndarray, ids: np.ndarray) -> None:
+        n, k = len(self.index), len(ids)
         while n + len(words) > len(self.starts):
             self.starts, self.lens, self.uses = (np.concatenate([a, np.zeros_like(a)]) for a in (self.starts, self.lens, self.uses))
         while self.used + k > len(self.ids):
@@ -76,7 +120,7 @@ class Encoder:
         self.index.update(zip(words, range(n, n + len(words)), strict=True))
         self.lens[n : n + len(words)] = lens
         self.starts[n : n + len(words)] = self.used + np.cumsum(lens) - lens
-        self.ids[self.used : self.used + k] = np.fromiter(chain.from_iterable(got), np.uint32, k)
+        self.ids[self.used : self.used + k] = ids
         self.used += k
 
     def _encode(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
