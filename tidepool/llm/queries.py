@@ -22,6 +22,12 @@ def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op3_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidepool.llm import neighbours
+
+    return neighbours.search(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidepool.llm import common, language
 
@@ -68,5 +74,5 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", common.held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
-QUERIES = {f.__name__: f for f in (op1_pseudonyms, op2_decontamination, op4_language, op5_packing, op6_hilbert, op7_secrets, op8_simhash, op9_substrings, op10_quality)}
+QUERIES = {f.__name__: f for f in (op1_pseudonyms, op2_decontamination, op3_neighbours, op4_language, op5_packing, op6_hilbert, op7_secrets, op8_simhash, op9_substrings, op10_quality)}
 ORACLE_SQL: dict[str, str] = {}
