@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Bytes of text that one vectorised step takes at a time; a longer document is a step of its own.
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 19
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -44,6 +44,14 @@ def drop_path(spark: SparkSession, df: DataFrame) -> None:
         folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
 
 
+def bounded_batches(spark: SparkSession, rows: int = 1_000, size: int = 8 << 20) -> None:
+    """Have Spark hand documents to Python in batches of bounded rows and bytes, smaller if the session says so."""
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", rows), ("spark.sql.execution.arrow.maxBytesPerBatch", size)):
+        told = spark.conf.get(key, None)
+        if told is not None and (told.isdigit() and not 0 < int(told) <= most or not told.isdigit()):
+            spark.conf.set(key, str(most))
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidepool.llm.common import materialise, plus, strings
+from tidepool.llm.common import bounded_batches, materialise, plus, strings
 
 WINDOW = 10
 SHARD_BYTES = 1 << 20
@@ -163,6 +163,7 @@ def _automaton(key: str, items: list[tuple[str, str]], window: int) -> Automaton
 def _passes(docs: DataFrame, benchmark: DataFrame, window: int, shard_bytes: int, keep: list[str]) -> list[DataFrame]:
     """For each shard of items, keep + (text, n_words, spans, items) of every document."""
     spark = docs.sparkSession
+    bounded_batches(spark)
     items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), "text").where("item_id is not null and text is not null")
     total = items.agg(F.sum(F.octet_length("text") + 64)).first()[0] or 0
     shards = max(1, -(-total // shard_bytes))

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidepool.llm.common import held_out, plus, strings
+from tidepool.llm.common import bounded_batches, held_out, plus, strings
 
 SIZE, PER_LANGUAGE = 300, 1_000
 UNKNOWN = "und"
@@ -109,6 +109,7 @@ def _count(batches):
 
 def learn(docs: DataFrame, size: int = SIZE, per_language: int = PER_LANGUAGE) -> Profiles:
     """Profiles of the values of lang; what comes to the driver is `size` n-grams for each of them."""
+    bounded_batches(docs.sparkSession)
     known = docs.select("doc_id", "lang", "text").where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out())
     sizes = {r[0]: r[1] for r in known.groupBy("lang").count().collect()}
     share = F.lit(0)
@@ -127,6 +128,7 @@ def predict(docs: DataFrame, profiles: Profiles, columns: list[str] | None = Non
     """columns of docs (all by default) with lang_pred and score."""
     names = [c for c in (docs.columns if columns is None else columns) if c not in ("lang_pred", "score")]
     source = docs.select(*names, *([] if "text" in names else ["text"]))
+    bounded_batches(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(profiles)
 
     def run(batches):

@@ -27,12 +27,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidepool.llm.common import byte_pieces, materialise, plus, strings
+from tidepool.llm.common import bounded_batches, byte_pieces, materialise, plus, strings
 
 CAPACITY = 4096
 END_ID = 1
 VOCABULARY = "word_bpe_49k.json"
-_CACHED = 400_000
+_CACHED = 250_000
 _BLOCK = 500_000
 _TAILS = {".": 1, ",": 2}
 #: What a byte-level vocabulary writes for each byte: printable ones stand for themselves, the others follow from U+0100 on.
@@ -185,6 +185,7 @@ def encoder(path: str) -> Encoder:
 def tokenise(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, end_id: int = END_ID, with_ids: bool = False) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32 (and ids) of each piece of each document."""
     path = path or tokenizer_path()
+    bounded_batches(docs.sparkSession)
     source = docs.select("doc_id", "text")
     names = {"piece": pa.int32(), "start": pa.int64(), "length": pa.int64(), "ids_crc32": pa.int64()} | ({"ids": pa.list_(pa.int32())} if with_ids else {})
     schema = plus(source.drop("text").schema, "piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * with_ids)

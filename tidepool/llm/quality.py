@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidepool.llm.common import BYTE_POWERS, held_out, mix, plus, slices, spans_hash
+from tidepool.llm.common import BYTE_POWERS, bounded_batches, held_out, mix, plus, slices, spans_hash
 
 BITS, MAX_TRAIN, EPOCHS, SCALE = 18, 5_000, 3, 20.0
 _KIND = np.full(256, 2, np.uint8)
@@ -105,6 +105,7 @@ def _train(bits: int, epochs: int):
 
 def learn(docs: DataFrame, labels: DataFrame, bits: int = BITS, max_train: int = MAX_TRAIN, epochs: int = EPOCHS) -> np.ndarray:
     """The 2**bits weights and, last, the bias."""
+    bounded_batches(docs.sparkSession)
     told = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull() & ~held_out()).groupBy("doc_id")
     told = told.agg(F.min("quality").alias("label"), F.max("quality").alias("other")).where("label = other").select("doc_id", F.col("label").cast("double").alias("label"))
     n = told.count()
@@ -124,6 +125,7 @@ def score(docs: DataFrame, weights: np.ndarray, columns: list[str] | None = None
     names = [c for c in (docs.columns if columns is None else columns) if c != "score"]
     source = docs.select(*names, *([] if "text" in names else ["text"]))
     bits = (len(weights) - 1).bit_length() - 1
+    bounded_batches(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(weights)
 
     def run(batches):

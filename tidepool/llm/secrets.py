@@ -25,7 +25,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from tidepool.llm.common import plus, strings
+from tidepool.llm.common import bounded_batches, plus, strings
 
 KINDS = ("assign", "access", "hex", "jwt", "key")
 _ORDER = {k: i for i, k in enumerate(KINDS)}
@@ -152,6 +152,7 @@ def find(docs: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """columns of docs (all but text by default) with n_<kind>, base_sha256 and spans."""
     own = {"text", "base_sha256", "spans", *(f"n_{k}" for k in KINDS)}
     names = [c for c in (docs.columns if columns is None else columns) if c not in own]
+    bounded_batches(docs.sparkSession)
     source = docs.select(*names, "text")
     results = [*(f"n_{k}" for k in KINDS), "base_sha256", "spans"]
 

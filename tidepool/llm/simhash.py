@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidepool.llm.common import BYTE_POWERS, IS_DARK, WORD_POWERS, materialise, mix, partitions, plus, slices, spans_hash, strings, word_spans
+from tidepool.llm.common import BYTE_POWERS, IS_DARK, WORD_POWERS, bounded_batches, materialise, mix, partitions, plus, slices, spans_hash, strings, word_spans
 
 _PIECE = 1 << 16  # shingles that are counted at a time
 
@@ -62,6 +62,7 @@ def _signed(x: int) -> int:
 
 def fingerprints(docs: DataFrame, shingle: int = 3, columns: list[str] | None = None) -> DataFrame:
     """columns of docs (doc_id) and fp, the fingerprint's bits as a long."""
+    bounded_batches(docs.sparkSession)
     keep = ["doc_id"] if columns is None else columns
     source = docs.select(*keep, "text")
 
@@ -296,6 +297,7 @@ _LOWER[65:91] += 32
 
 def near_dedup(docs: DataFrame, shingle: int = 5, radius: int = 7, confirm: int = 48) -> DataFrame:
     """docs without all but one document, the smallest doc_id, of each group of near copies."""
+    bounded_batches(docs.sparkSession)
     base = docs.withColumn("_row", F.monotonically_increasing_id())
     source = base.select("_row", "doc_id", "text")
     found = source.mapInArrow(_sketches(shingle), plus(source.drop("text").schema, "fp long, wide binary"))

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidepool.llm.common import BYTE_POWERS, IS_DARK, WORD_POWERS, Powers, materialise, mix, partitions, plus, slices, slide, spans_hash, strings, word_spans
+from tidepool.llm.common import BYTE_POWERS, IS_DARK, WORD_POWERS, Powers, bounded_batches, materialise, mix, partitions, plus, slices, slide, spans_hash, strings, word_spans
 
 LENGTH, SEED, HOT = 35, 12, 5_000
 _WINDOW_POWERS = Powers(0xA0761D6478BD642F)
@@ -193,6 +193,7 @@ def _meet(batches):
 def repeats(docs: DataFrame, length: int = LENGTH, seed: int = SEED, hot: int = HOT) -> tuple[DataFrame, DataFrame]:
     """(docs with _row, spans): spans has _row and runs, an array of (first, n) of repeated windows."""
     spark = docs.sparkSession
+    bounded_batches(spark)
     base = docs.withColumn("_row", F.monotonically_increasing_id())
     slim = base.select("_row", F.coalesce("text", F.lit("")).alias("text"))
     found = materialise(slim.mapInArrow(_emit_seeds(length, seed), "_row long, seed long"), "seeds")
