@@ -29,7 +29,8 @@ def l2_normalise(a: Column) -> Column:
 
 
 def cosine(a: Column, b: Column) -> Column:
-    return dot(a, b) / (norm(a) * norm(b))
+    """Null where one is a zero vector."""
+    return F.try_divide(dot(a, b), norm(a) * norm(b))
 
 
 @F.pandas_udf(T.StringType())

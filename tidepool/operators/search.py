@@ -58,7 +58,7 @@ def _scored(corpus: DataFrame, queries: DataFrame, k: int, drop: list[str], prep
     schema = T.StructType([T.StructField("qid", T.LongType()), T.StructField("score", T.DoubleType()), *(corpus.schema[c] for c in kept)])
     out = None
     for rows in blocks_of(queries, block):
-        sent = spark.sparkContext.broadcast(([r["qid"] for r in rows], prepare(rows)))
+        sent = spark.sparkContext.broadcast(([r["qid"] for r in rows], prepare(rows) if rows else None))
 
         def run(batches, sent=sent):
             qids, model = sent.value
@@ -115,7 +115,7 @@ def cosine_topk(corpus: DataFrame, queries: DataFrame, k: int = K_RETRIEVER, str
         n = max(1, -(-queries.count() // block))
         for i in range(n):
             some = queries.where(F.pmod(F.xxhash64("qid"), F.lit(n)) == i).select("qid", F.col("vector").alias("_q"))
-            hits = corpus.join(F.broadcast(some), F.lit(True)).withColumn("score", F.round(cosine(F.col("_q"), F.col("vector")), 6)).drop("_q", "vector")
+            hits = corpus.join(F.broadcast(some), F.lit(True)).withColumn("score", F.round(cosine(F.col("_q"), F.col("vector")), 6)).where(F.col("score").isNotNull()).drop("_q", "vector")
             out = hits if out is None else out.unionByName(hits)
         return ranked(out, k)
     hits = _scored(corpus, queries, k, ["vector"], lambda rows: _unit(np.array([r["vector"] for r in rows], np.float64)), lambda b, q: _unit(_dense(b.column("vector"))) @ q.T, block)

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidepool.functions.text import strip
@@ -13,22 +12,27 @@ _ELEMENT = r"(?is)<(h1|p|li)(?:\s[^>]*)?>(.*?)</\1>"
 _DROPPED = r"(?is)<script\b.*?</script>|<style\b.*?</style>|<!--.*?-->"
 
 
-def _numbered(blocks: DataFrame) -> DataFrame:
-    """Indices from 0 over all blocks of a source, for each block type on its own, before any filter."""
-    index = F.row_number().over(W.partitionBy("source", "block_type").orderBy("pos")) - 1
-    return blocks.withColumn("block_index", index)
-
-
 def document_source(doc_id: str = "doc_id", source: str = "source") -> Column:
     """Each document is a file of its own."""
     return F.concat_ws("/", F.coalesce(F.col(source), F.lit("")), F.col(doc_id).cast("string"))
 
 
+def _of_type(lines: Column, kind: str, table: bool, lines_per_page: int) -> Column:
+    """The lines of one type as structs, numbered from 0 among themselves."""
+    own = F.filter(lines, lambda x: F.contains(x["raw"], F.lit("|")) if table else ~F.contains(x["raw"], F.lit("|")))
+    return F.transform(own, lambda x, i: F.struct((F.floor(x["pos"] / lines_per_page) + 1).cast("int").alias("page"), F.lit(kind).alias("block_type"), i.alias("block_index"), x["raw"].alias("raw")))
+
+
 def raw_blocks(documents: DataFrame, lines_per_page: int = LINES_PER_PAGE) -> DataFrame:
-    """Every line of every document as a block: a table row block if it has a bar, else text."""
-    lines = documents.select("doc_id", document_source().alias("source"), F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("pos", "raw"))
-    typed = lines.select("doc_id", "source", "pos", (F.floor(F.col("pos") / lines_per_page) + 1).cast("int").alias("page"), F.when(F.contains("raw", F.lit("|")), "table").otherwise("text").alias("block_type"), strip(F.col("raw")).alias("text"))
-    return _numbered(typed)
+    """Every line of every document as a block: a table row block if it has a bar, else text.
+
+    Indices count all blocks of a document, for each type on its own, before any filter; they come
+    from the document's own row, so numbering needs no shuffle.
+    """
+    split = F.split(F.coalesce("text", F.lit("")), "\n")
+    lines = documents.select("doc_id", document_source().alias("source"), F.transform(split, lambda x, i: F.struct(i.alias("pos"), x.alias("raw"))).alias("lines"))
+    every = F.concat(_of_type(F.col("lines"), "text", False, lines_per_page), _of_type(F.col("lines"), "table", True, lines_per_page))
+    return lines.select("doc_id", "source", F.inline(every)).select("doc_id", "source", "page", "block_type", "block_index", strip(F.col("raw")).alias("text"))
 
 
 def extract_blocks(documents: DataFrame, min_len: int = MIN_TEXT_LEN) -> DataFrame:
