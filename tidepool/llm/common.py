@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -61,6 +61,13 @@ def held_out(doc_id: str = "doc_id"):
     return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % 3 == 1, F.lit(False))
 
 
+def shielded(df: DataFrame, used: set[str]) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+    """df with all but the used columns renamed out of the way of an operator's own, and what names them back."""
+    names = {c: c if c in used else f"_own{i}" for i, c in enumerate(df.columns)}
+    quoted = lambda c: F.col("`" + c.replace("`", "``") + "`")
+    return df.select(*(quoted(c).alias(n) for c, n in names.items())), lambda out: out.select(*(F.col(n).alias(c) for c, n in names.items()))
+
+
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(bytes, offsets) of a string column; null counts as empty."""
     if isinstance(column, pa.ChunkedArray):

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidepool.llm.common import bounded_batches, materialise, plus, strings
+from tidepool.llm.common import bounded_batches, materialise, plus, shielded, strings
 
 WINDOW = 10
 SHARD_BYTES = 1 << 20
@@ -244,7 +244,7 @@ def _cut(text: str, spans: list[int]) -> str:
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, max_coverage: float = 0.5, **options) -> DataFrame:
     """docs without the hit spans; a document of which more than max_coverage of the words is hit goes altogether."""
-    columns = docs.columns
+    docs, restored = shielded(docs, {"text"})
     found = find(docs, benchmark, window, **options)
     schema = found.schema
 
@@ -263,4 +263,4 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, m
                 b = b.set_column(b.schema.get_field_index("text"), "text", pa.array(texts, text.type)).filter(pa.array(~drop))
             yield b
 
-    return found.mapInArrow(run, schema).select(*columns)
+    return restored(found.mapInArrow(run, schema))

@@ -4,12 +4,12 @@ Rows near each other on the curve are near in every dimension, so each shard cov
 minima and maxima of its columns prune files for filters on any of them. DataFrame functions only.
 
 The global rank that cuts equal runs needs no global sort: cells are counted (their number is bounded
-by the grid), a cell of very many rows is parted by a hash of its rows, counts are summed up along the
+by the grid), cells of many rows are parted by a hash of their rows into at most as many parts again, counts are summed up along the
 curve, and each row adds its place within its part. Law: `rows`, shard sizes differ by one at most.
 
 Defined cases: null text has 0 bytes (size 1, CRC 0); null metadata is a value of its own; equal rows
 get slots of their own; documents of one text lie together where their other metadata agree. Empty
-tables give empty results. shard() keeps every other column; names of its own that clash are replaced.
+tables give empty results. shard() keeps every other column; shard and slot of the input are replaced.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-BITS, SHARDS, PART_ROWS = 4, 8, 200_000
+BITS, SHARDS, MOST_PARTS = 4, 8, 4_096
 
 
 def _tables(n: int) -> tuple[list[int], list[int]]:
@@ -71,24 +71,25 @@ def documents_grid(bits: int = BITS) -> list[Column]:
     ]
 
 
-def shard(df: DataFrame, cell: Column, order: list[Column], shards: int = SHARDS, part_rows: int = PART_ROWS) -> DataFrame:
+def shard(df: DataFrame, cell: Column, order: list[Column], shards: int = SHARDS, most_parts: int = MOST_PARTS) -> DataFrame:
     """df with shard and slot: runs of equal numbers of rows along (cell, order)."""
-    df = df.drop("shard", "slot").withColumn("_cell", cell).withColumn("_tie", F.xxhash64(*order))
-    cells = df.groupBy("_cell").agg(F.count("*").alias("n"))
-    # One row for each cell of the grid at most, so it may be broadcast whatever the corpus.
-    cells = cells.select("_cell", F.ceil(F.col("n") / part_rows).alias("_parts"))
-    parted = df.join(F.broadcast(cells), "_cell").withColumn("_part", F.pmod("_tie", F.col("_parts"))).drop("_parts")
-    parts = parted.groupBy("_cell", "_part").agg(F.count("*").alias("_n"))
-    along = W.orderBy("_cell", "_part")
-    parts = parts.select("_cell", "_part", (F.sum("_n").over(along) - F.col("_n")).alias("_before"), F.sum("_n").over(W.partitionBy()).alias("_all"))
-    ranked = parted.withColumn("_place", F.row_number().over(W.partitionBy("_cell", "_part").orderBy("_tie", *order)))
-    ranked = ranked.join(F.broadcast(parts), ["_cell", "_part"]).withColumn("_rank", F.col("_before") + F.col("_place") - 1)
-    least, more = F.expr("_all div %d" % shards), F.col("_all") % shards
+    own = [F.col("`" + c.replace("`", "``") + "`") for c in df.columns if c not in ("shard", "slot")]
+    staged = df.select(F.struct(*own).alias("row"), cell.alias("cell"), F.xxhash64(*order).alias("tie"), F.struct(*(o.alias(f"o{i}") for i, o in enumerate(order))).alias("order"))
+    # One row for each cell of the grid at most, and of parts most_parts more: small whatever the corpus.
+    cells = staged.groupBy("cell").agg(F.count("*").alias("n"))
+    whole = F.sum("n").over(W.partitionBy())
+    cells = cells.select("cell", F.ceil(F.col("n") * most_parts / F.greatest(whole, F.lit(most_parts * 100))).alias("parts"))
+    parted = staged.join(F.broadcast(cells), "cell").withColumn("part", F.pmod("tie", F.col("parts"))).drop("parts")
+    sizes = parted.groupBy("cell", "part").agg(F.count("*").alias("n"))
+    sizes = sizes.select("cell", "part", (F.sum("n").over(W.orderBy("cell", "part")) - F.col("n")).alias("before"), F.sum("n").over(W.partitionBy()).alias("whole"))
+    placed = parted.withColumn("place", F.row_number().over(W.partitionBy("cell", "part").orderBy("tie", "order")))
+    ranked = placed.join(F.broadcast(sizes), ["cell", "part"]).withColumn("at", F.col("before") + F.col("place") - 1)
+    least, more = F.expr(f"whole div {shards}"), F.col("whole") % shards
     big = more * (least + 1)  # rows in the shards that hold one more
-    at = F.when(F.col("_rank") < big, F.expr("_rank div ((_all div %d) + 1)" % shards)).otherwise(more + F.floor((F.col("_rank") - big) / F.greatest(least, F.lit(1))))
-    ranked = ranked.withColumn("shard", at.cast("int"))
+    run = F.when(F.col("at") < big, F.expr(f"at div ((whole div {shards}) + 1)")).otherwise(more + F.floor((F.col("at") - big) / F.greatest(least, F.lit(1))))
+    ranked = ranked.withColumn("shard", run.cast("int"))
     start = F.col("shard") * least + F.least(F.col("shard"), more)
-    return ranked.withColumn("slot", (F.col("_rank") - start).cast("long")).drop("_cell", "_tie", "_part", "_before", "_all", "_place", "_rank")
+    return ranked.select("row.*", "shard", (F.col("at") - start).cast("long").alias("slot"))
 
 
 def shard_documents(docs: DataFrame, shards: int = SHARDS, bits: int = BITS) -> DataFrame:

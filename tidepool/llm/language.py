@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidepool.llm.common import bounded_batches, held_out, plus, strings
+from tidepool.llm.common import bounded_batches, held_out, plus, shielded, strings
 
 SIZE, PER_LANGUAGE = 300, 1_000
 UNKNOWN = "und"
@@ -142,5 +142,6 @@ def predict(docs: DataFrame, profiles: Profiles, columns: list[str] | None = Non
 
 def keep_known(docs: DataFrame, profiles: Profiles, min_score: float = 0.0) -> DataFrame:
     """docs whose language could be told with a score of at least min_score; the rest is rejected."""
+    docs, restored = shielded(docs, {"text"})
     found = predict(docs, profiles)
-    return found.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= min_score)).select(*docs.columns)
+    return restored(found.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= min_score)))

@@ -32,7 +32,7 @@ from tidepool.llm.common import bounded_batches, byte_pieces, materialise, plus,
 CAPACITY = 4096
 END_ID = 1
 VOCABULARY = "word_bpe_49k.json"
-_CACHED = 250_000
+_CACHED = 150000
 _BLOCK = 500_000
 _TAILS = {".": 1, ",": 2}
 #: What a byte-level vocabulary writes for each byte: printable ones stand for themselves, the others follow from U+0100 on.

@@ -27,6 +27,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidepool.llm.common import shielded
+
 KEY = "tidepool"
 ROUNDS = 10
 KINDS = ("email", "iban", "ip", "date", "phone", "ssn", "card")
@@ -175,8 +177,13 @@ def changed(text: str, key: str = KEY) -> Column:
 
 def pseudonymise(docs: DataFrame, key: str = KEY, counts: bool = True) -> DataFrame:
     """docs with text pseudonymised and, with counts, n_<kind>: how many values of each kind were replaced."""
-    own = [f"n_{k}" for k in KINDS]
-    columns = [c for c in docs.columns if not (counts and c in own)]
+    if not counts:
+        docs, restored = shielded(docs, {"text"})
+        return restored(_replaced(docs, docs.columns, key, False))
+    return _replaced(docs, [c for c in docs.columns if c not in {"_found", *(f"n_{k}" for k in KINDS)}], key, True)
+
+
+def _replaced(docs: DataFrame, columns: list[str], key: str, counts: bool) -> DataFrame:
     # Only texts with a digit or an at sign can hold a candidate; the others skip the pattern.
     some = F.when(F.col("text").rlike("[0-9@]"), changed("text", key))
     staged = docs.select(*columns, some.alias("_found"))

@@ -75,4 +75,23 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_pseudonyms, op2_decontamination, op3_neighbours, op4_language, op5_packing, op6_hilbert, op7_secrets, op8_simhash, op9_substrings, op10_quality)}
-ORACLE_SQL: dict[str, str] = {}
+_DARK = "list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda w: w <> '')"
+_LOW = "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+
+ORACLE_SQL: dict[str, str] = {
+    "op2_decontamination": f"""WITH docs AS (SELECT row_number() OVER () AS r, doc_id, {_LOW} AS w FROM documents),
+items AS (SELECT item_id::varchar AS item, {_LOW} AS w FROM benchmark WHERE item_id IS NOT NULL),
+windows AS (SELECT DISTINCT item, least(10, len(w)) AS n, array_to_string(w[i : i + least(10, len(w)) - 1], ' ') AS s FROM items, unnest(range(1, len(w) - least(10, len(w)) + 2)) t(i) WHERE len(w) > 0),
+hits AS (SELECT r, i, n, item FROM (SELECT r, i, n, array_to_string(w[i : i + n - 1], ' ') AS s FROM docs, (SELECT DISTINCT n FROM windows), unnest(range(1, len(w) - n + 2)) t(i)) JOIN windows USING (n, s)),
+places AS (SELECT DISTINCT r, unnest(range(i, i + n)) AS j FROM hits),
+counts AS (SELECT r, count(*) AS n_hit FROM places GROUP BY r),
+found AS (SELECT r, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS names FROM (SELECT DISTINCT r, item FROM hits) GROUP BY r)
+SELECT doc_id, len(w)::bigint AS n_words, coalesce(n_hit, 0)::bigint AS n_hit, coalesce(n_items, 0)::bigint AS n_items, sha256(coalesce(names, '')) AS items_sha256, n_hit IS NOT NULL AS contaminated FROM docs LEFT JOIN counts USING (r) LEFT JOIN found USING (r)""",
+    "op9_substrings": f"""WITH docs AS (SELECT row_number() OVER () AS r, doc_id, {_DARK} AS w FROM documents),
+windows AS (SELECT r, i, array_to_string(w[i : i + 34], ' ') AS s FROM docs, unnest(range(1, len(w) - 33)) t(i)),
+hits AS (SELECT r, i FROM windows JOIN (SELECT s FROM windows GROUP BY s HAVING count(*) > 1) USING (s)),
+words AS (SELECT r, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS j FROM docs),
+marked AS (SELECT words.r, j, word, coalesce(max(i) OVER (PARTITION BY words.r ORDER BY j) > j - 35, false) AS gone FROM words LEFT JOIN hits ON words.r = hits.r AND words.j = hits.i),
+kept AS (SELECT r, count(*) FILTER (gone) AS n_removed, string_agg(word, ' ' ORDER BY j) FILTER (NOT gone) AS t FROM marked GROUP BY r)
+SELECT doc_id, len(w)::bigint AS n_words, coalesce(n_removed, 0)::bigint AS n_removed, sha256(coalesce(t, '')) AS kept_sha256 FROM docs LEFT JOIN kept USING (r)""",
+}

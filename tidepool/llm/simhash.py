@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidepool.llm.common import BYTE_POWERS, IS_DARK, WORD_POWERS, bounded_batches, materialise, mix, partitions, plus, slices, spans_hash, strings, word_spans
+from tidepool.llm.common import BYTE_POWERS, IS_DARK, WORD_POWERS, bounded_batches, materialise, mix, partitions, plus, shielded, slices, spans_hash, strings, word_spans
 
 _PIECE = 1 << 16  # shingles that are counted at a time
 
@@ -224,6 +224,7 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         told = state
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+        least = materialise(least, "least")  # a table, so that the join below can split a node of very many edges
         large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a")
@@ -298,6 +299,7 @@ _LOWER[65:91] += 32
 def near_dedup(docs: DataFrame, shingle: int = 5, radius: int = 7, confirm: int = 48) -> DataFrame:
     """docs without all but one document, the smallest doc_id, of each group of near copies."""
     bounded_batches(docs.sparkSession)
+    docs, restored = shielded(docs, {"doc_id", "text"})
     base = docs.withColumn("_row", F.monotonically_increasing_id())
     source = base.select("_row", "doc_id", "text")
     found = source.mapInArrow(_sketches(shingle), plus(source.drop("text").schema, "fp long, wide binary"))
@@ -308,4 +310,4 @@ def near_dedup(docs: DataFrame, shingle: int = 5, radius: int = 7, confirm: int
     joined = components(links(nodes.select("node", "fp", "wide"), radius, confirm))
     rooted = nodes.select("node", "first").join(joined, "node", "left")
     kept = rooted.groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("first").alias("first")).select(F.col("first._row").alias("_row"))
-    return base.join(kept, "_row", "left_semi").select(*docs.columns)
+    return restored(base.join(kept, "_row", "left_semi"))

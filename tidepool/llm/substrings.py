@@ -198,6 +198,7 @@ def repeats(docs: DataFrame, length: int = LENGTH, seed: int = SEED, hot: int =
     slim = base.select("_row", F.coalesce("text", F.lit("")).alias("text"))
     found = materialise(slim.mapInArrow(_emit_seeds(length, seed), "_row long, seed long"), "seeds")
     again = found.groupBy("seed").agg(F.count("*").alias("times")).where("times > 1")
+    again = materialise(again, "seeds-again")  # a table, so that the join below can split a seed of very many places
     wanted = found.join(again, "seed").groupBy("_row").agg(F.collect_set("seed").alias("seeds"), F.collect_set(F.when(F.col("times") > hot, F.col("seed"))).alias("hot"))
     wanted = materialise(wanted, "repeated-seeds")
     some = slim.join(wanted, "_row")
