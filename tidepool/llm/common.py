@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import re
 import tempfile
 import uuid
@@ -33,15 +34,36 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     schema = df.schema
     df.write.parquet(path)
+    if not _written:
+        atexit.register(drop_all)
+    _written.append((spark, path))
     return spark.read.schema(schema).parquet(path)
 
 
-def drop_path(spark: SparkSession, df: DataFrame) -> None:
-    """Delete a table of materialise() that no later plan reads."""
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
-    for file in df.inputFiles()[:1]:
-        folder = hadoop.Path(file).getParent()
-        folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+_written: list[tuple[SparkSession, str]] = []
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def drop(df: DataFrame) -> None:
+    """Delete a table of materialise() that no plan reads any more."""
+    for i, (spark, path) in enumerate(_written):
+        if any(path.rpartition("/")[2] in f for f in df.inputFiles()[:1]):
+            _delete(spark, path)
+            del _written[i]
+            return
+
+
+def drop_all() -> None:
+    """Delete all tables of materialise(); results that read them must be written by then. Runs when Python ends."""
+    while _written:
+        try:
+            _delete(*_written.pop())
+        except Exception:  # noqa: BLE001  the session may have ended
+            pass
 
 
 def bounded_batches(spark: SparkSession, rows: int = 1_000, size: int = 8 << 20) -> None:
@@ -116,11 +138,20 @@ BYTE_POWERS, WORD_POWERS = Powers(0x9E3779B97F4A7C15), Powers(0xD6E8FEB86659FD93
 
 
 def spans_hash(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, powers: Powers) -> np.ndarray:
-    """A 64-bit hash of each values[start:end], by prefix sums of a polynomial."""
-    up, down = powers.get(len(values) + 1)
-    total = np.zeros(len(values) + 1, np.uint64)
-    np.cumsum(values.astype(np.uint64) * up[: len(values)], out=total[1:])
-    return mix((total[ends] - total[starts]) * down[starts] ^ (ends - starts).astype(np.uint64) * _C2)
+    """A 64-bit hash of each values[start:end], by prefix sums of a polynomial; starts and ends ascend."""
+    out = np.empty(len(starts), np.uint64)
+    a = 0
+    while a < len(starts):  # in pieces, so that a very long text takes no more memory than a slice
+        lo = int(starts[a])
+        b = max(a + 1, int(np.searchsorted(ends, lo + SLICE_BYTES, "right")))
+        s, e = starts[a:b] - lo, ends[a:b] - lo
+        part = values[lo : lo + int(e[-1])]
+        up, down = powers.get(len(part) + 1)
+        total = np.zeros(len(part) + 1, np.uint64)
+        np.cumsum(part.astype(np.uint64) * up[: len(part)], out=total[1:])
+        out[a:b] = mix((total[e] - total[s]) * down[s] ^ (e - s).astype(np.uint64) * _C2)
+        a = b
+    return out
 
 
 def word_spans(keep: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidepool.llm.common import BYTE_POWERS, IS_DARK, WORD_POWERS, bounded_batches, materialise, mix, partitions, plus, shielded, slices, spans_hash, strings, word_spans
+from tidepool.llm.common import BYTE_POWERS, IS_DARK, WORD_POWERS, bounded_batches, drop, materialise, mix, partitions, plus, shielded, slices, spans_hash, strings, word_spans
 
 _PIECE = 1 << 16  # shingles that are counted at a time
 
@@ -224,12 +224,14 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         told = state
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        least = materialise(least, "least")  # a table, so that the join below can split a node of very many edges
+        least = least_table = materialise(least, "least")  # a table, so that the join below can split a node of very many edges
         large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a")
         small = small.where("b != m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b"))).distinct()
-        edges = materialise(small.where("a != b"), "edges")
+        before, edges = edges, materialise(small.where("a != b"), "edges")
+        drop(before)
+        drop(least_table)
     nodes = edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
     return nodes.unionByName(edges.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
 
