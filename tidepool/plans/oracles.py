@@ -171,6 +171,11 @@ SELECT id, md5(text) AS text_md5 FROM b UNION ALL SELECT id, md5(text) FROM a WH
     "mode_matrix": f"WITH {_RESULTS} {_MATRIX}",
     "pass_count": f"WITH {_RESULTS} SELECT mode, count(*) AS n, count(*) FILTER (hit) AS passed FROM results GROUP BY mode",
     "rerank_recovers": f"WITH {_RESULTS} SELECT qid, rerank AND NOT baseline AS recovered FROM ({_MATRIX})",
+    "hyde_recovers": f"WITH {_POINTS}, {_TURNS}, questions AS (SELECT qid, query FROM turns), drafted AS (SELECT qid, coalesce(passage, query) AS query FROM turns), {_KEYWORDS}, {_search('points', 'questions', 3, 'h1')}, {_search('points', 'drafted', 3, 'h2')} SELECT a.qid, b.hit AND NOT a.hit AS recovered FROM ({_khit('h1')}) a JOIN ({_khit('h2')}) b USING (qid)",
+    "answer_keyword_hit": f"{_TEXT5}, {_answers('hits')}, {_KEYWORDS} SELECT qid, len(list_filter(kws, lambda w: contains(lower(answer), w))) > 0 AS hit FROM answers JOIN keywords USING (qid)",
+    "vision_answers": f"WITH {_QUESTIONS}, {_VISION}, {_vhits(3)}, {_PAGES}, top AS (SELECT qid, rank, coalesce(page_text, '') AS text FROM vhits LEFT JOIN pages_ USING (source, page)), {_answers('top')} SELECT qid, 'vision_only' AS mode, answer, stop_reason FROM answers",
+    "caption_answers": f"WITH {_CAPTIONS}, {_QUESTIONS}, {_search('capped', 'questions', 5, 'hits')}, {_answers('hits')} SELECT qid, 'caption' AS mode, answer, stop_reason FROM answers",
+    "acceptance": f"WITH {_BLOCKS} SELECT source, count(*) FILTER (block_type = 'text') > 0 AS has_text, count(*) FILTER (block_type = 'table') >= 1 AS has_table, sum(length(text)) > 500 AS long_enough FROM blocks GROUP BY source",
     "recall_at_k": f"WITH {_POINTS}, {_QUESTIONS}, {_GOLD}, {_search('points', 'questions', 10, 'hits')}, {_SOURCES} SELECT qid, count(rank) AS n_found, count(*) AS n_gold, round(count(rank) / count(*), 6) AS recall, count(rank) > 0 AS hit FROM gold LEFT JOIN (SELECT * FROM firsts WHERE rank <= 5) USING (qid, source) GROUP BY qid",
     "ndcg_at_k": f"WITH {_POINTS}, {_QUESTIONS}, {_GOLD}, {_search('points', 'questions', 10, 'hits')}, {_SOURCES}, g AS (SELECT qid, coalesce(sum(1 / log2(rank + 1)), 0) AS dcg, count(*) AS n FROM gold LEFT JOIN (SELECT * FROM firsts WHERE rank <= 5) USING (qid, source) GROUP BY qid) SELECT qid, round(dcg / list_sum(list_transform(range(1, least(n, 5) + 1), lambda i: 1 / log2(i + 1))), 6) AS ndcg FROM g",
     "missed_gold": f"{_TEXT5}, {_GOLD} SELECT qid, source FROM gold WHERE (qid, source) NOT IN (SELECT qid, source FROM hits)",

@@ -303,6 +303,38 @@ def rerank_recovers(spark, d):
     return m.select("qid", (F.col("rerank") & ~F.col("baseline")).alias("recovered"))
 
 
+def hyde_recovers(spark, d):
+    """User turns whose keywords only the drafted passage's hits hold."""
+    turns, r = _user_turns(spark, d), _retriever(spark, d)
+    q = turns.select("qid", "query")
+    cases = _keywords(q)
+    plain = evaluate.keyword_hits(modes.RewritingRetriever(r, "baseline").search(q, 3), cases)
+    hyde = evaluate.keyword_hits(modes.RewritingRetriever(r, "hyde", drafts=turns).search(q, 3), cases).withColumnRenamed("hit", "hyde")
+    return plain.join(hyde, "qid").select("qid", (F.col("hyde") & ~F.col("hit")).alias("recovered"))
+
+
+def answer_keyword_hit(spark, d):
+    q = _questions(spark, d)
+    answers = modes.text_only(q, _retriever(spark, d))["answers"].join(_keywords(q), "qid")
+    return answers.select("qid", evaluate.answer_hit(F.col("answer"), F.col("keywords")).alias("hit"))
+
+
+def vision_answers(spark, d):
+    q = _questions(spark, d)
+    got = modes.vision_only(q, _vision(spark, d), blocks.iter_pages(_docs(spark, d)))["answers"]
+    return got.select("qid", "mode", "answer", "stop_reason")
+
+
+def caption_answers(spark, d):
+    return modes.caption_only(_questions(spark, d), _caption_points(spark, d))["answers"].select("qid", "mode", "answer", "stop_reason")
+
+
+def acceptance(spark, d):
+    """Whether each source parsed: some text, at least one table line, over 500 characters."""
+    b = blocks.extract_blocks(_docs(spark, d))
+    return b.groupBy("source").agg((F.count_if(F.col("block_type") == "text") > 0).alias("has_text"), (F.count_if(F.col("block_type") == "table") >= 1).alias("has_table"), (F.sum(F.char_length("text")) > 500).alias("long_enough"))
+
+
 def recall_at_k(spark, d):
     hits = _retriever(spark, d).search(_questions(spark, d), 10)
     return evaluate.recall_at_k(hits, _gold(spark, d), 5, ("source",))
@@ -405,7 +437,7 @@ QUERIES = {
         l2_normalize, cosine_topk, cosine_topk_sql, maxsim_topk, maxsim_topk_sql, patch_stats, fp16_roundtrip, text_topk, variant_baseline,
         variant_qt, variant_hyde, router, router_share, rrf_fuse, rrf_sources, hybrid_topk, hybrid_answers, page_hydrate, rerank_topk,
         format_context, prompt_assembly, extractive_answer, refusal_check, caption_pages, caption_stats, caption_topk, image_base64,
-        keyword_hit, mode_matrix, pass_count, rerank_recovers, recall_at_k, ndcg_at_k, missed_gold, exact_match, answer_f1,
+        keyword_hit, mode_matrix, pass_count, rerank_recovers, hyde_recovers, answer_keyword_hit, vision_answers, caption_answers, acceptance, recall_at_k, ndcg_at_k, missed_gold, exact_match, answer_f1,
         hallucination_rate, bootstrap_ci, usage_cost, storage_bytes, metric_breakdown, repeat_average, label_precision, trace_rows,
         found_by_both, snippets, page_hosts, lsh_topk,
     )
