@@ -58,9 +58,10 @@ def test_odd_documents(spark, odd_docs, no_docs):
     assert not [r for r in D.contamination(odd_docs, bench.limit(0)).collect() if r.contaminated]
 
 
-def test_removal(spark, odd_docs):
-    bench = spark.createDataFrame([(1, "on the mat")], "item_id long, text string")
-    got = D.decontaminate(odd_docs, bench)
+@pytest.mark.parametrize("shard_bytes", [D.SHARD_BYTES, 80])
+def test_removal(spark, odd_docs, shard_bytes):
+    bench = spark.createDataFrame([(1, "on the mat"), (2, "never seen")], "item_id long, text string")
+    got = D.decontaminate(odd_docs, bench, shard_bytes=shard_bytes)
     assert got.columns == odd_docs.columns
     assert sorted(str(r.text) for r in got.where("doc_id = 1").collect()) == ["the cat sat  and the dog ran off with it"] * 2
     assert got.count() == odd_docs.count()

@@ -160,8 +160,8 @@ def _automaton(key: str, items: list[tuple[str, str]], window: int) -> Automaton
     return _BUILT[key]
 
 
-def _passes(docs: DataFrame, benchmark: DataFrame, window: int, shard_bytes: int, keep: list[str]) -> list[DataFrame]:
-    """For each shard of items, keep + (text, n_words, spans, items) of every document."""
+def _passes(docs: DataFrame, benchmark: DataFrame, window: int, shard_bytes: int, keep: list[str], after=None) -> list[DataFrame]:
+    """For each shard of items, keep + (text, n_words, spans, items) of every document; after works on a lone shard's batches at once."""
     spark = docs.sparkSession
     bounded_batches(spark)
     items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), "text").where("item_id is not null and text is not null")
@@ -174,7 +174,7 @@ def _passes(docs: DataFrame, benchmark: DataFrame, window: int, shard_bytes: int
         rows = [tuple(r) for r in items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(shards)) == shard).collect()]
         sent = spark.sparkContext.broadcast(rows)
 
-        def run(batches, sent=sent, key=uuid.uuid4().hex):
+        def search(batches, sent=sent, key=uuid.uuid4().hex):
             auto = _automaton(key, sent.value, window)
             kinds = {"n_words": pa.int64(), "spans": pa.list_(pa.int32()), "items": pa.list_(pa.string())}
             for b in batches:
@@ -185,6 +185,7 @@ def _passes(docs: DataFrame, benchmark: DataFrame, window: int, shard_bytes: int
                     got["n_words"].append(len(words)), got["spans"].append(spans), got["items"].append(sorted(found))
                 yield pa.RecordBatch.from_arrays([*b.columns, *(pa.array(v, kinds[k]) for k, v in got.items())], names=[*b.schema.names, *kinds])
 
+        run = search if after is None or shards > 1 else (lambda batches, first=search: after(first(batches)))
         out.append(source.mapInArrow(run, schema))
     return out
 
@@ -203,15 +204,16 @@ def _merge(batches):
         yield b.set_column(b.schema.get_field_index("spans"), "spans", pa.array(merged, pa.list_(pa.int32())))
 
 
-def find(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, shard_bytes: int = SHARD_BYTES, columns: list[str] | None = None) -> DataFrame:
+def find(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, shard_bytes: int = SHARD_BYTES, columns: list[str] | None = None, after=None) -> DataFrame:
     """Each document with n_words, spans ([start, end, ...] in words) and items (ids with occurring windows).
 
     columns: what else of docs to keep (all by default); a column named like a result is dropped.
+    after: changes the result's batches, in the same Python process if one pass does.
     """
     own = {"n_words", "spans", "items", "_row"}
     keep = [c for c in (docs.columns if columns is None else columns) if c not in own and c != "text"]
     docs = docs.select(*keep, "text")
-    passes = _passes(docs, benchmark, window, shard_bytes, keep)
+    passes = _passes(docs, benchmark, window, shard_bytes, keep, after)
     if len(passes) == 1:
         return passes[0]
     base = materialise(docs.withColumn("_row", F.monotonically_increasing_id()), "decontaminate")
@@ -221,7 +223,8 @@ def find(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, shard_byte
         slim = slim.unionByName(p.drop("text"))
     merged = slim.groupBy("_row").agg(F.max("n_words").alias("n_words"), F.collect_list("spans").alias("spans"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"))
     merged = merged.mapInArrow(_merge, "_row long, n_words long, spans array<int>, items array<string>")
-    return base.join(merged, "_row").drop("_row")
+    found = base.join(merged, "_row").drop("_row")
+    return found if after is None else found.mapInArrow(after, found.schema)
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
@@ -245,10 +248,8 @@ def _cut(text: str, spans: list[int]) -> str:
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, max_coverage: float = 0.5, **options) -> DataFrame:
     """docs without the hit spans; a document of which more than max_coverage of the words is hit goes altogether."""
     docs, restored = shielded(docs, {"text"})
-    found = find(docs, benchmark, window, **options)
-    schema = found.schema
 
-    def run(batches):
+    def cut(batches):
         for b in batches:
             text, spans = b.column("text"), b.column("spans")
             hits = np.flatnonzero(np.asarray(spans.value_lengths().fill_null(0)) > 0)
@@ -263,4 +264,4 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, m
                 b = b.set_column(b.schema.get_field_index("text"), "text", pa.array(texts, text.type)).filter(pa.array(~drop))
             yield b
 
-    return restored(found.mapInArrow(run, schema))
+    return restored(find(docs, benchmark, window, after=cut, **options))
