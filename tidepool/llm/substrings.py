@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from tidepool.llm.common import BYTE_POWERS, IS_DARK, WORD_POWERS, Powers, bounded_batches, materialise, mix, partitions, plus, slices, slide, spans_hash, strings, word_spans
 
-LENGTH, SEED, HOT = 35, 12, 5_000
+LENGTH, SEED, HOT = 35, 12, 1_000
 _WINDOW_POWERS = Powers(0xA0761D6478BD642F)
 
 
