@@ -32,9 +32,9 @@ from tidepool.llm.common import bounded_batches, byte_pieces, materialise, plus,
 CAPACITY = 4096
 END_ID = 1
 VOCABULARY = "word_bpe_49k.json"
-_CACHED = 150000
-_BLOCK = 500_000
-_TAILS = {".": 1, ",": 2}
+_CACHED = 300_000
+_BLOCK = 2_000  # pieces of one length that are ranked together, or a 256th of all, if that is more
+_TAILS = {ord("."): 1, ord(","): 2}
 #: What a byte-level vocabulary writes for each byte: printable ones stand for themselves, the others follow from U+0100 on.
 _PRINTED = {*range(33, 127), *range(161, 173), *range(174, 256)}
 _BYTE_CHARS = {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in _PRINTED)}
@@ -57,7 +57,7 @@ class Encoder:
         self.index: dict[bytes, int] = {}
         self.ids, self.used = np.zeros(1 << 16, np.uint32), 0
         self.starts, self.lens, self.uses = (np.zeros(1 << 14, np.int64) for _ in range(3))
-        ends = [self.tokenizer.encode(t, add_special_tokens=False).ids for t in _TAILS]
+        ends = [self.tokenizer.encode(chr(t), add_special_tokens=False).ids for t in _TAILS]
         if any(len(e) != 1 for e in ends):
             raise ValueError("a full stop and a comma must each be one token")
         self.tails = np.array([0, *(e[0] for e in ends)], np.uint32)
@@ -77,15 +77,19 @@ class Encoder:
         """Words of plain letters, but for case and one mark at the end, are put together from what is known."""
         odd, stems, made, bases, tails = [], [], [], [], []
         for w in words:
-            text = w.decode()
-            tail = _TAILS.get(text[-1], 0)
-            stem = text[:-1] if tail else text
-            if stem.isalpha() and max(stem) < "\u0130":
-                stems.append(key := stem.lower().encode())
-                if key != w:
-                    made.append(w), bases.append(key), tails.append(tail)
+            tail = _TAILS.get(w[-1], 0)
+            key = w[:-1] if tail else w
+            if key.isalpha():  # ASCII letters
+                key = key.lower()
             else:
-                odd.append(w)
+                text = key.decode()
+                if not text.isalpha() or max(text) >= "\u0130":
+                    odd.append(w)
+                    continue
+                key = text.lower().encode()
+            stems.append(key)
+            if key != w:
+                made.append(w), bases.append(key), tails.append(tail)
         self._encode_new([w for w in dict.fromkeys(odd) if w not in self.index])
         self._encode_plain([w for w in dict.fromkeys(stems) if w not in self.index])
         if made:
@@ -141,7 +145,7 @@ class Encoder:
         return self.ids[place], lens
 
     def encode(self, text: str | None) -> np.ndarray:
-        return np.concatenate([self._encode(raw.split())[0] for raw in byte_pieces((text or "").encode())])
+        return np.concatenate([self._encode(_words(raw))[0] for raw in byte_pieces((text or "").encode())])
 
     def encode_all(self, texts: Iterable[str | None], most: int = 1 << 19) -> Iterator[np.ndarray]:
         """encode() of each text; short ones are looked up together."""
@@ -162,7 +166,7 @@ class Encoder:
                     words, sizes, held = [], [], 0
                 yield self.encode(text)
                 continue
-            own = raw.split()
+            own = _words(raw)
             words += own
             sizes.append(len(own))
             held += len(raw)
@@ -173,6 +177,15 @@ class Encoder:
             yield from flush()
 
 
+def _words(raw: bytes) -> list[bytes]:
+    """The words of a text at ASCII white space, in lower case where that can't change their ids.
+
+    The tokenizer lower-cases too, but after composing marks (U+0300 to U+037F, bytes CC and CD), which
+    some small letters take and their capitals don't, and after finding special tokens.
+    """
+    return raw.split() if b"\xcc" in raw or b"\xcd" in raw or b"<|" in raw else raw.lower().split()
+
+
 _ENCODERS: dict[str, Encoder] = {}
 
 
@@ -281,11 +294,10 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
         raise ValueError(f"every length must be from 1 to {capacity}")
     runs, _ = plan(counts, capacity)
     sent = pieces.sparkSession.sparkContext.broadcast(runs)
-    hot = {n: -(-c // _BLOCK) for n, c in counts.items() if c > _BLOCK}
+    block = max(_BLOCK, sum(counts.values()) // 256)
+    hot = {n: -(-c // block) for n, c in counts.items() if c > block}
     order = [F.col(c) for c in pieces.columns if c not in ("length", "ids")]
-    many = F.lit(1)
-    for n, k in hot.items():
-        many = F.when(F.col("length") == n, F.lit(k)).otherwise(many)
+    many = F.coalesce(F.try_element_at(F.create_map(*(F.lit(x) for pair in hot.items() for x in pair)), F.col("length").cast("int")), F.lit(1)) if hot else None
     dealt = pieces.withColumn("_block", F.pmod(F.xxhash64(*order), many) if hot else F.lit(0).cast("long"))
     ranked = dealt.withColumn("_rank", F.row_number().over(W.partitionBy("length", "_block").orderBy(*order)).cast("long") - 1)
     if hot:
