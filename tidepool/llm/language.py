@@ -112,10 +112,8 @@ def learn(docs: DataFrame, size: int = SIZE, per_language: int = PER_LANGUAGE) -
     bounded_batches(docs.sparkSession)
     known = docs.select("doc_id", "lang", "text").where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out())
     sizes = {r[0]: r[1] for r in known.groupBy("lang").count().collect()}
-    share = F.lit(0)
-    for lang, n in sizes.items():
-        share = F.when(F.col("lang") == lang, F.lit(min(1_000_000, 1_000_000 * per_language // n))).otherwise(share)
-    sample = known.where(F.pmod(F.xxhash64("doc_id", F.lit("language")), F.lit(1_000_000)) < share) if sizes else known
+    share = F.element_at(F.create_map(*(F.lit(x) for lang, n in sizes.items() for x in (lang, min(1_000_000, 1_000_000 * per_language // n)))), F.col("lang"))
+    sample = known.where(F.pmod(F.xxhash64("doc_id", F.lit("language")), F.lit(1_000_000)) < share) if sizes else known.limit(0)
     counts = sample.select("lang", "text").mapInArrow(_count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     first = counts.withColumn("r", F.row_number().over(W.partitionBy("lang").orderBy(F.desc("n"), "gram"))).where(F.col("r") <= size)
     lists: dict[str, list[int]] = {}
