@@ -192,6 +192,11 @@ def test_collection_upsert_replace_drop(spark, tmp_path):
     assert {r.id for r in c.scan().collect()} == {"w", "z"}
     with pytest.raises(Exception, match="1 components"):
         c.upsert(spark.createDataFrame([("x", "s", [1.0, 2.0])], schema))
+    small = index.Collection(spark, str(tmp_path / "m"), schema, most_deltas=3)
+    for i in range(6):
+        small.upsert(spark.createDataFrame([("x", "s", [float(i)]), (f"y{i}", "s", [0.0])], schema))
+        assert len(small._versions()) <= 3
+    assert {r.id: r.v[0] for r in small.scan().collect()} == {"x": 5.0} | {f"y{i}": 0.0 for i in range(6)}
     c.drop()
     assert not c.exists()
 

@@ -30,6 +30,17 @@ def pass_matrix(results: DataFrame, modes: list[str]) -> DataFrame:
     return wide.select("qid", *((F.coalesce(m, F.lit(0)) == 1).alias(m) for m in modes))
 
 
+def gold_sources(documents: DataFrame, questions: DataFrame) -> DataFrame:
+    """(qid, source) of documents (source, text) that hold a question's text (qid, query), questions in blocks."""
+    from tidepool.operators.search import broadcast_blocks
+
+    out = None
+    for some in broadcast_blocks(questions):
+        found = documents.join(some, F.contains("text", F.col("query"))).select("qid", "source")
+        out = found if out is None else out.unionByName(found)
+    return out.distinct()
+
+
 def _first_ranks(hits: DataFrame, page: list[str]) -> DataFrame:
     """Pages in the order of their best hit, ranked anew without repeats."""
     from tidepool.operators.search import ranked

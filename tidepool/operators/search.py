@@ -51,6 +51,13 @@ def blocks_of(queries: DataFrame, block: int = BLOCK) -> Iterator[list]:
         yield queries.where(F.pmod(F.xxhash64("qid"), F.lit(n)) == i).collect() if n > 1 else queries.collect()
 
 
+def broadcast_blocks(queries: DataFrame, block: int = BLOCK, key: str = "qid") -> Iterator[DataFrame]:
+    """queries in parts of about `block` rows, each small enough to broadcast."""
+    n = max(1, -(-queries.count() // block))
+    for i in range(n):
+        yield F.broadcast(queries.where(F.pmod(F.xxhash64(key), F.lit(n)) == i) if n > 1 else queries)
+
+
 def _scored(corpus: DataFrame, queries: DataFrame, k: int, drop: list[str], prepare: Callable, score: Callable, block: int) -> DataFrame:
     """Hits of all blocks of queries: qid, score and corpus' columns but those to drop."""
     spark = corpus.sparkSession
@@ -112,10 +119,8 @@ def cosine_topk(corpus: DataFrame, queries: DataFrame, k: int = K_RETRIEVER, str
     """The k rows of corpus (id, vector, ...) nearest to each of queries (qid, vector)."""
     if strategy == "sql":
         out = None
-        n = max(1, -(-queries.count() // block))
-        for i in range(n):
-            some = queries.where(F.pmod(F.xxhash64("qid"), F.lit(n)) == i).select("qid", F.col("vector").alias("_q"))
-            hits = corpus.join(F.broadcast(some), F.lit(True)).withColumn("score", F.round(cosine(F.col("_q"), F.col("vector")), 6)).where(F.col("score").isNotNull()).drop("_q", "vector")
+        for some in broadcast_blocks(queries.select("qid", F.col("vector").alias("_q")), block):
+            hits = corpus.join(some, F.lit(True)).withColumn("score", F.round(cosine(F.col("_q"), F.col("vector")), 6)).where(F.col("score").isNotNull()).drop("_q", "vector")
             out = hits if out is None else out.unionByName(hits)
         return ranked(out, k)
     hits = _scored(corpus, queries, k, ["vector"], lambda rows: _unit(np.array([r["vector"] for r in rows], np.float64)), lambda b, q: _unit(_dense(b.column("vector"))) @ q.T, block)
@@ -172,11 +177,15 @@ def maxsim_topk(pages: DataFrame, tokens: DataFrame, k: int = K_RETRIEVER, block
     return ranked(_scored(pages.where(F.size("vectors") > 0), tokens.where(F.size("vectors") > 0).select("qid", "vectors"), k, ["vectors"], prepare, score, block), k)
 
 
-def maxsim_topk_sql(patches: DataFrame, tokens: DataFrame, k: int = K_RETRIEVER) -> DataFrame:
+def maxsim_topk_sql(patches: DataFrame, tokens: DataFrame, k: int = K_RETRIEVER, block: int = BLOCK) -> DataFrame:
     """MaxSim as two aggregations over (id, vector) and (qid, token, vector), for small sides."""
-    pairs = patches.join(F.broadcast(tokens.withColumnRenamed("vector", "_q")), F.lit(True))
-    best = pairs.groupBy("qid", "id", "token").agg(F.max(cosine(F.col("_q"), F.col("vector"))).alias("best"))
-    return ranked(best.groupBy("qid", "id").agg(F.round(F.sum("best"), 6).alias("score")), k)
+    out = None
+    for some in broadcast_blocks(tokens.withColumnRenamed("vector", "_q"), block):
+        pairs = patches.join(some, F.lit(True))
+        best = pairs.groupBy("qid", "id", "token").agg(F.max(cosine(F.col("_q"), F.col("vector"))).alias("best"))
+        hits = best.groupBy("qid", "id").agg(F.round(F.sum("best"), 6).alias("score"))
+        out = hits if out is None else out.unionByName(hits)
+    return ranked(out, k)
 
 
 def lsh_topk(corpus: DataFrame, queries: DataFrame, k: int = K_RETRIEVER, length: float = 0.6, tables: int = 12) -> DataFrame:

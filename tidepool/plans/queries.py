@@ -57,8 +57,7 @@ def _vectors(spark, d):
 
 def _gold(spark, d):
     """(qid, source) of documents that hold a question's text."""
-    q = _questions(spark, d)
-    return _docs(spark, d).select("text", blocks.document_source().alias("source")).join(F.broadcast(q), F.contains("text", F.col("query"))).select("qid", "source").distinct()
+    return evaluate.gold_sources(_docs(spark, d).select("text", blocks.document_source().alias("source")), _questions(spark, d))
 
 
 def _user_turns(spark, d):
