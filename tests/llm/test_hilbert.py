@@ -48,3 +48,13 @@ def test_odd_documents(odd_docs, no_docs):
     assert {(r.size, r.text_crc32) for r in rows if r.doc_id in (2, 3)} == {(1, 0)}
     assert H.shard_documents(no_docs).count() == 0
     check(H.shard_documents(odd_docs.limit(3)).collect(), 3)
+
+
+def test_files_hold_runs_of_slots(spark, small, tmp_path):
+    grid = [d.cast("int") for d in H.documents_grid()]
+    done = H.shard(small, H.curve_index(grid, H.BITS), [F.col("doc_id")], shards=4)
+    H.write_shards(done, str(tmp_path / "s"), 8)
+    back = spark.read.parquet(str(tmp_path / "s")).withColumn("file", F.input_file_name())
+    assert sorted(r.doc_id for r in back.collect()) == sorted(r.doc_id for r in small.collect())
+    runs = back.groupBy("shard", "file").agg(F.min("slot").alias("a"), F.max("slot").alias("b"), F.count("*").alias("n")).collect()
+    assert all(r.b - r.a + 1 == r.n for r in runs) and len({r.shard for r in runs}) == 4

@@ -92,6 +92,12 @@ def shard(df: DataFrame, cell: Column, order: list[Column], shards: int = SHARDS
     return ranked.select("row.*", "shard", (F.col("at") - start).cast("long").alias("slot"))
 
 
+def write_shards(sharded: DataFrame, path: str, files: int) -> None:
+    """A folder for each shard; about `files` files in all, each a run of neighbouring slots."""
+    runs = sharded.repartitionByRange(files, "shard", "slot").sortWithinPartitions("shard", "slot")
+    runs.write.partitionBy("shard").parquet(path)
+
+
 def shard_documents(docs: DataFrame, shards: int = SHARDS, bits: int = BITS) -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot and grown_shard (null under this law) of each document."""
     text = F.coalesce("text", F.lit(""))
