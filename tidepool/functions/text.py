@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterable
 
 from pyspark.sql import Column
@@ -33,9 +34,10 @@ def buckets_of(text: Column, buckets: int = TF_BUCKETS) -> Column:
 
 
 def contains_any(text: Column, words: Iterable[str] | Column) -> Column:
-    """One of the words is a substring, both lower-cased."""
-    words = words if isinstance(words, Column) else F.array(*(F.lit(w) for w in words))
-    return F.exists(words, lambda w: F.contains(F.lower(text), F.lower(w)))
+    """One of the words is a substring, both lower-cased; listed words become plain tests that compile with the rest."""
+    if isinstance(words, Column):
+        return F.exists(words, lambda w: F.contains(F.lower(text), F.lower(w)))
+    return functools.reduce(lambda a, b: a | b, (F.contains(F.lower(text), F.lit(w.lower())) for w in words))
 
 
 def coverage(query: Column, text: Column) -> Column:
