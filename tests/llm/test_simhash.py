@@ -98,3 +98,40 @@ def test_near_dedup_keeps_one_of_each(spark, odd_docs, no_docs):
     half = [t[:150] + [f"v{rng.randrange(500)}" for _ in range(150)] for t in texts[6:]]
     docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts + near + half + texts[:2])], "doc_id long, text string")
     assert sorted(r.doc_id for r in S.near_dedup(docs).collect()) == [*range(12), *range(18, 24)]
+
+
+def edited(t, kind, words):
+    n = len(t)
+    return {
+        "scattered": lambda: [w if i % 50 else next(words) for i, w in enumerate(t)],
+        "appended": lambda: t + [next(words) for _ in range(n * 18 // 100)],
+        "led": lambda: [next(words) for _ in range(n * 18 // 100)] + t,
+        "truncated": lambda: t[: n * 84 // 100],
+        "replaced": lambda: t[: n // 3] + [next(words) for _ in range(n * 8 // 100)] + t[n // 3 + n * 8 // 100 :],
+    }[kind]()
+
+
+def grams(t):
+    return {tuple(t[i : i + 5]) for i in range(max(1, len(t) - 4))}
+
+
+def similarity(t, u):
+    a, b = grams(t), grams(u)
+    return len(a & b) / len(a | b)
+
+
+@pytest.mark.parametrize("kind", ["scattered", "appended", "led", "truncated", "replaced"])
+def test_near_dedup_finds_copies_wherever_they_differ(spark, kind):
+    rng = random.Random(kind)
+    words = iter(lambda: f"w{rng.randrange(3000)}", None)
+    pairs = []
+    while len(pairs) < 200:
+        t = [next(words) for _ in range(rng.randint(60, 600))]
+        u = edited(t, kind, words)
+        if similarity(t, u) >= 0.8:
+            pairs.append((t, u))
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate([t for t, _ in pairs] + [u for _, u in pairs])], "doc_id long, text string")
+    kept = {r.doc_id for r in S.near_dedup(docs).collect()}
+    assert kept >= set(range(200))
+    recall = (400 - len(kept)) / 200
+    assert recall >= 0.97, recall

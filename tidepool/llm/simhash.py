@@ -11,11 +11,11 @@ dealt again by four blocks of the bits its key leaves (the same argument), each
 Links then meet in connected components by alternating star steps on written tables.
 
 near_dedup() keeps one document of each group of near copies. Radius 3 on shingles finds few of those
-that share 0.8 of their five-word shingles (their fingerprints differ in about 4 to 14 of 64 bits), so it
-links fingerprints of the set of words at radius 7, where nearly all of them are, and confirms each link
-by 256 further bits of the five-word shingles: a similarity s leaves about 256 acos(2s / (1 + s)) / pi of
-them different, 39 at 0.8; unrelated texts differ in 128. A link that isn't confirmed takes nothing out
-of the tree.
+that share 0.8 of their five-word shingles (their fingerprints differ in about 4 to 14 of 64 bits). Each
+document goes to 16 shards instead, one for each key of five of its shingles, the first in as many random
+orders: where edits lie doesn't matter, and texts of similarity s meet in none with probability
+(1 - s ** 5) ** 16, 0.002 at 0.8. A shard is a BK-tree over 256 bits of the five-word shingles, of which
+256 acos(2s / (1 + s)) / pi differ, 39 at 0.8; unrelated texts differ in 128.
 
 Defined cases: null or empty text has fingerprint zero and links like any other; a null doc_id is
 never the smallest unless all of its component are null; equal rows each get a row; long texts are
@@ -24,7 +24,7 @@ hashed in pieces. Empty tables give empty results. near_dedup() keeps every othe
 
 from __future__ import annotations
 
-from itertools import combinations
+from itertools import combinations, islice
 
 import numpy as np
 import pyarrow as pa
@@ -259,13 +259,33 @@ def sketch(words: np.ndarray, shingle: int = 5) -> tuple[int, bytes]:
     """(64 bits of the set of words, 256 bits of the shingles), from the words' hashes."""
     if not len(words):
         return 0, bytes(32)
-    own = np.unique(words)
+    return _sketch(words, shingles(words, shingle))
+
+
+def shingles(words: np.ndarray, shingle: int = 5) -> np.ndarray:
+    """The distinct hashes of the shingles, ascending; of all words, where they are fewer."""
     width = min(shingle, len(words))
-    starts = np.arange(len(words) - width + 1)
-    h = np.unique(spans_hash(words, starts, starts + width, WORD_POWERS))
-    return int.from_bytes(_majority(own[:, None]), "little"), _majority(np.stack([mix(h + c) for c in _SALTS], axis=1))
+    starts = np.arange(len(words) - width + 1 if width else 0)
+    return np.unique(spans_hash(words, starts, starts + width, WORD_POWERS))
+
+
+def _sketch(words: np.ndarray, h: np.ndarray) -> tuple[int, bytes]:
+    return int.from_bytes(_majority(np.unique(words)[:, None]), "little"), _majority(np.stack([mix(h + c) for c in _SALTS], axis=1))
+
+
+def subset_keys(h: np.ndarray) -> np.ndarray:
+    """TABLES keys of distinct shingle hashes, each of the CHOSEN shingles that come first in as many random orders.
 
+    Texts of similarity s agree on a key with probability s ** CHOSEN, wherever they differ.
+    """
+    least = np.full((TABLES * CHOSEN, 1), 2**64 - 1, np.uint64)
+    for a in range(0, len(h), 4096):
+        np.minimum(least, ((h[a : a + 4096] ^ _ORDERS[0]) * _ORDERS[1]).min(axis=1, keepdims=True), out=least)
+    return mix((mix(least.reshape(TABLES, CHOSEN)) * _ORDERS[1][:CHOSEN, 0]).sum(axis=1, dtype=np.uint64))
 
+
+TABLES, CHOSEN = 16, 5
+_ORDERS = np.random.default_rng(8).integers(0, 2**64, (2, TABLES * CHOSEN, 1), np.uint64, endpoint=False) | np.uint64(1)
 _SALTS = [np.uint64(0x9E3779B97F4A7C15 * i % (1 << 64)) for i in range(1, 5)]
 
 
@@ -281,15 +301,17 @@ def _majority(h: np.ndarray) -> bytes:
 def _sketches(shingle: int):
     def run(batches):
         for b in batches:
-            fps, wide = [], []
+            fps, wide, keys = [], [], []
             for a, e, data, offsets in slices(b.column("text")):
                 starts, ends, row = word_spans(IS_DARK[data], offsets)
                 words = spans_hash(_LOWER[data], starts, ends, BYTE_POWERS)
                 cuts = np.searchsorted(row, np.arange(e - a + 1))
                 for r in range(e - a):
-                    fp, w = sketch(words[cuts[r] : cuts[r + 1]], shingle)
-                    fps.append(_signed(fp)), wide.append(w)
-            yield pa.RecordBatch.from_arrays([b.column("_row"), b.column("doc_id"), pa.array(fps, pa.int64()), pa.array(wide, pa.binary())], names=["_row", "doc_id", "fp", "wide"])
+                    own = words[cuts[r] : cuts[r + 1]]
+                    h = shingles(own, shingle)
+                    fp, w = _sketch(own, h) if len(own) else (0, bytes(32))
+                    fps.append(_signed(fp)), wide.append(w), keys.append(subset_keys(h).view(np.int64))
+            yield pa.RecordBatch.from_arrays([b.column("_row"), b.column("doc_id"), pa.array(fps, pa.int64()), pa.array(wide, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], names=["_row", "doc_id", "fp", "wide", "keys"])
 
     return run
 
@@ -298,18 +320,70 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
 
-def near_dedup(docs: DataFrame, shingle: int = 5, radius: int = 7, confirm: int = 48) -> DataFrame:
+def copy_links(nodes: DataFrame, radius: int, split: int = 10_000) -> DataFrame:
+    """Links (a, b) that join nodes (node, wide, keys) of a common key whose wide bits are within radius, by chains at least."""
+    dealt = nodes.select("node", "wide", F.posexplode("keys").alias("table", "key"))
+    # A hot shard is dealt to trees of two of its parts each, so that any two of its nodes still meet.
+    hot = dealt.groupBy("table", "key").count().where(F.col("count") > split).select("table", "key", F.ceil(F.col("count") * 2 / split).cast("int").alias("parts"))
+    hot = materialise(hot, "hot-shards")
+    dealt = dealt.withColumn("pair", F.lit(0))
+    if hot.count():
+        dealt = dealt.drop("pair").join(hot, ["table", "key"], "left")
+        part = F.pmod(F.xxhash64("node"), "parts").cast("int")
+        again = dealt.where("parts is not null").select("*", part.alias("p"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("q")).where("p <> q")
+        again = again.select("node", "wide", "table", "key", (F.least("p", "q") * F.col("parts") + F.greatest("p", "q")).alias("pair"))
+        dealt = dealt.where("parts is null").select("node", "wide", "table", "key", F.lit(0).alias("pair")).unionByName(again)
+    key = ["table", "key", "pair"]
+    dealt = dealt.repartition(partitions(nodes.sparkSession), *key).sortWithinPartitions(*key, "node")
+    return dealt.select(*key, "node", "wide").mapInArrow(_search_copies(radius), "a long, b long")
+
+
+def _search_copies(radius: int):
+    """Links (a, b) of the trees of a partition whose rows are sorted by key."""
+
+    def links(nodes: list[int], wide: list[bytes]):
+        if len(nodes) > 1:
+            for group in Tree([int.from_bytes(w, "little") for w in wide]).groups(radius):
+                yield from ((nodes[v], nodes[group[0]]) for v in group[1:])
+
+    def run(batches):
+        for nodes, wide in _shards(batches):
+            found = links(nodes, wide)
+            while out := list(islice(found, 10_000)):
+                yield pa.RecordBatch.from_arrays([pa.array([e[i] for e in out], pa.int64()) for i in (0, 1)], names=["a", "b"])
+
+    return run
+
+
+def _shards(batches):
+    """(nodes, wide) of each run of rows of one table, key and pair."""
+    last, nodes, wide = None, [], []
+    for b in batches:
+        k = np.stack([np.asarray(b.column(c)).astype(np.int64) for c in ("table", "key", "pair")], axis=1)
+        cuts = np.flatnonzero((k[1:] != k[:-1]).any(axis=1)) + 1
+        ids, bits = b.column("node").to_pylist(), b.column("wide").to_pylist()
+        for lo, hi in zip([0, *cuts.tolist()], [*cuts.tolist(), len(k)], strict=True):
+            if lo == hi:
+                continue
+            if last != (own := tuple(k[lo].tolist())):
+                yield nodes, wide
+                last, nodes, wide = own, [], []
+            nodes.extend(ids[lo:hi]), wide.extend(bits[lo:hi])
+    yield nodes, wide
+
+
+def near_dedup(docs: DataFrame, shingle: int = 5, radius: int = 48) -> DataFrame:
     """docs without all but one document, the smallest doc_id, of each group of near copies."""
     bounded_batches(docs.sparkSession)
     docs, restored = shielded(docs, {"doc_id", "text"})
     base = docs.withColumn("_row", F.monotonically_increasing_id())
     source = base.select("_row", "doc_id", "text")
-    found = source.mapInArrow(_sketches(shingle), plus(source.drop("text").schema, "fp long, wide binary"))
+    found = source.mapInArrow(_sketches(shingle), plus(source.drop("text").schema, "fp long, wide binary, keys array<long>"))
     found = materialise(found.withColumn("node", F.xxhash64("fp", "wide")), "sketches")
     # The first row of a node or component: the smallest doc_id, null last, then the first row.
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_row")).alias("first")
-    nodes = materialise(found.groupBy("node", "fp", "wide").agg(first), "nodes")
-    joined = components(links(nodes.select("node", "fp", "wide"), radius, confirm))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_row", "keys")).alias("first")
+    nodes = materialise(found.groupBy("node", "wide").agg(first), "nodes")
+    joined = components(copy_links(nodes.select("node", "wide", "first.keys"), radius))
     rooted = nodes.select("node", "first").join(joined, "node", "left")
     kept = rooted.groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("first").alias("first")).select(F.col("first._row").alias("_row"))
     return restored(base.join(kept, "_row", "left_semi"))
