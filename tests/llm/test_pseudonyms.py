@@ -164,3 +164,15 @@ def test_odd_documents(odd_docs, no_docs):
 def test_the_plan_has_no_python(spark, odd_docs):
     plan = P.pseudonymise(odd_docs)._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
+
+
+@pytest.mark.parametrize(("value", "kind"), [("BE68 5390 0754 7034", "iban"), ("ES91 2100 0418 4502 0005 1332", "iban"), ("AT61 1904 3002 3457 3201", "iban"), ("DE89 3704 0044 0532 0130 00", "iban"), ("NO93 8601 1117 947", "iban"), ("+44 20 7946 0958", "phone"), ("+4420794609581", "phone")])
+def test_what_follows_a_value_does_not_hide_it(spark, value, kind):
+    tails = ["", " BIC GEBABEBB", " 2024", " BIC", " X", " 2024 2025", ".", " 2024-01-05"]
+    if value == "+4420794609581":
+        tails = ["", " BIC", " 2024"]
+    df = spark.createDataFrame([(i, f"pay {value}{t}") for i, t in enumerate(tails)], "doc_id long, text string")
+    for r in P.pseudonymise(df).collect():
+        assert r[f"n_{kind}"] == 1 and value not in r.text, r.text
+        assert r.n_date == tails[r.doc_id].count("-01-")
+        assert r.text == plain(f"pay {value}{tails[r.doc_id]}")

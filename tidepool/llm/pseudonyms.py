@@ -6,7 +6,7 @@ of the format: equal values keep equal pseudonyms across documents, different on
 
 kind   what counts as valid                                   what is permuted
 card   13 to 19 digits, plain or grouped, whose Luhn sum fits all but the first digit; check digit anew
-iban   country, two check digits, 11 to 30 more; mod 97 is 1  the digits after the check digits; these anew
+iban   country, two check digits, its length; mod 97 is 1     the digits after the check digits; these anew
 ip     four numbers from 0 to 255                             all 32 bits
 ssn    ddd-dd-dddd outside the ranges never issued            the index among the valid numbers
 phone  North American, or + and 8 to 15 digits                all but the country code, within the plan's ranges
@@ -18,8 +18,9 @@ whole address (lower-cased): equal addresses still stay linked. DataFrame functi
 separators and everything around the values stay as they are.
 
 Defined cases: null text stays null with counts of 0; invalid look-alikes stay; overlapping candidates
-are settled leftmost first, then in the order email, iban, ip, date, phone, ssn, card; equal rows and
-null ids are rows like any other; other columns pass through. Patterns have no unbounded backtracking.
+are settled leftmost first, then in the order email, iban, ip, date, phone, ssn, card; an IBAN ends at its
+country's length and a phone number by its 15th digit, whatever follows; equal rows and null ids are
+rows like any other; other columns pass through. Patterns have no unbounded backtracking.
 """
 
 from __future__ import annotations
@@ -32,12 +33,26 @@ from tidepool.llm.common import shielded
 KEY = "tidepool"
 ROUNDS = 10
 KINDS = ("email", "iban", "ip", "date", "phone", "ssn", "card")
+#: Countries by the length of their IBANs, from the registry; those that aren't here are matched at any length.
+_IBAN_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL",
+    24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HN HU LB NI PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+}
+
+
+def _iban_body(n: int) -> str:
+    """n characters after country and check digits, plain or in groups of four."""
+    rest = f" [A-Z0-9]{{{n % 4}}}" if n % 4 else ""
+    return f"(?:[A-Z0-9]{{{n}}}|(?: [A-Z0-9]{{4}}){{{n // 4}}}{rest})"
+
+
+_IBANS = "|".join(f"(?:{c.replace(' ', '|')})[0-9]{{2}}{_iban_body(n - 4)}(?![A-Za-z0-9])" for n, c in _IBAN_LENGTHS.items())
 _PATTERNS = {
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+",
-    "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:[A-Z0-9]{11,30}|(?: [A-Z0-9]{4}){2,7}(?: [A-Z0-9]{1,3})?)(?![A-Za-z0-9])",
+    "iban": rf"(?<![A-Za-z0-9])(?:{_IBANS}|[A-Z]{{2}}[0-9]{{2}}(?:[A-Z0-9]{{11,30}}|(?: [A-Z0-9]{{4}}){{2,7}}(?: [A-Z0-9]{{1,3}})?))(?![A-Za-z0-9])",
     "ip": r"(?<![0-9A-Za-z.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![0-9A-Za-z]|\.[0-9])",
     "date": r"(?<![0-9A-Za-z./-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{4}/[0-9]{2}/[0-9]{2}|[0-9]{2}/[0-9]{2}/[0-9]{4}|[0-9]{2}\.[0-9]{2}\.[0-9]{4})(?![0-9A-Za-z]|[./-][0-9])",
-    "phone": r"(?<![0-9A-Za-z+])(?:(?:\+1[ .-]?)?\([0-9]{3}\) ?[0-9]{3}[ .-][0-9]{4}|(?:\+1[ .-]?)?[0-9]{3}([.-])[0-9]{3}\1[0-9]{4}|\+1[ .-]?[0-9]{3}[ .-]?[0-9]{3}[ .-]?[0-9]{4}|\+[1-9][0-9]{0,2}(?:[ .-]?\(?[0-9]{1,4}\)?){2,5})(?![0-9A-Za-z])",
+    "phone": r"(?<![0-9A-Za-z+])(?:(?:\+1[ .-]?)?\([0-9]{3}\) ?[0-9]{3}[ .-][0-9]{4}|(?:\+1[ .-]?)?[0-9]{3}([.-])[0-9]{3}\1[0-9]{4}|\+1[ .-]?[0-9]{3}[ .-]?[0-9]{3}[ .-]?[0-9]{4}|\+[1-9](?:\)?[ .-]?\(?[0-9]){7,14}\)?)(?![0-9A-Za-z])",
     "ssn": r"(?<![0-9A-Za-z-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9A-Za-z]|-[0-9])",
     "card": r"(?<![0-9A-Za-z])(?:[0-9]{13,19}|[0-9]{4}([ -])[0-9]{4}\2[0-9]{4}\2[0-9]{1,7}|[0-9]{4}([ -])[0-9]{6}\3[0-9]{4,5})(?![0-9A-Za-z])",
 }
