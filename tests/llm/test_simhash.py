@@ -135,3 +135,35 @@ def test_near_dedup_finds_copies_wherever_they_differ(spark, kind):
     assert kept >= set(range(200))
     recall = (400 - len(kept)) / 200
     assert recall >= 0.97, recall
+
+
+def test_near_dedup_keeps_what_shares_less(spark):
+    rng = random.Random(5)
+    words = iter(lambda: f"w{rng.randrange(3000)}", None)
+    texts = []
+    for _ in range(200):
+        t = [next(words) for _ in range(rng.randint(60, 600))]
+        texts += [t, t + [next(words) for _ in range(len(t) * rng.randint(27, 40) // 100)]]
+    assert all(0.65 < similarity(t, u) < 0.8 for t, u in zip(texts[::2], texts[1::2], strict=True))
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    assert S.near_dedup(docs).count() == 400
+
+
+@pytest.mark.parametrize(("large", "split"), [(64, 10_000), (5, 10_000), (5, 6)])
+def test_links_join_what_shares_enough(spark, large, split):
+    rng = random.Random(6)
+    words = iter(lambda: f"w{rng.randrange(3000)}", None)
+    base = [next(words) for _ in range(200)]
+    texts = [base[:60] + [next(words) for _ in range(k)] + base[60 + k :] for k in range(1, 15)] + [base[:145], base[:140] + [next(words) for _ in range(25)]]
+    texts += [[next(words) for _ in range(200)] for _ in range(3)]
+    hashes = [S.shingles(np.array([xxhash.xxh64_intdigest(w) for w in t], np.uint64)) for t in texts]
+    rows = [(i, bytearray(S._sketch(h, h)[1]), S.subset_keys(h).view(np.int64).tolist(), bytearray(h.tobytes())) for i, h in enumerate(hashes)]
+    nodes = spark.createDataFrame(rows, "node long, wide binary, keys array<long>, shingles binary")
+    found = S.proposed(nodes, 64, split)
+    assert {r.node for r in found.collect()} >= set(range(14)) and not {r.node for r in found.collect()} & {16, 17, 18}
+    joined = {r.node: r.root for r in S.components(S.confirmed(nodes.join(found, "node"), 64, 80, large, split)).collect()}
+    got = [joined.get(i, i) for i in range(len(texts))]
+    want = list(range(len(texts)))
+    for _ in want:
+        want = [min(want[j] for j, u in enumerate(texts) if similarity(t, u) >= 0.8) for t in texts]
+    assert got == want

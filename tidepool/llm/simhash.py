@@ -15,7 +15,10 @@ that share 0.8 of their five-word shingles (their fingerprints differ in about 4
 document goes to 16 shards instead, one for each key of five of its shingles, the first in as many random
 orders: where edits lie doesn't matter, and texts of similarity s meet in none with probability
 (1 - s ** 5) ** 16, 0.002 at 0.8. A shard is a BK-tree over 256 bits of the five-word shingles, of which
-256 acos(2s / (1 + s)) / pi differ, 39 at 0.8; unrelated texts differ in 128.
+256 acos(2s / (1 + s)) / pi differ, 39 at 0.8 with a deviation of about 6; unrelated texts differ in 128.
+Bits only propose: what chains of pairs at 64 or fewer join is searched once more, with the exact sets of
+these documents alone, and two are linked if their sets share 0.8 of the union. Both searches take what
+they link out of the tree, so a group of m near copies yields m - 1 links and not m squared.
 
 Defined cases: null or empty text has fingerprint zero and links like any other; a null doc_id is
 never the smallest unless all of its component are null; equal rows each get a row; long texts are
@@ -101,8 +104,8 @@ class Tree:
             self.live[i] -= 1
             i = self.parent[i]
 
-    def pop_near(self, i: int, radius: int, confirm: int | None = None) -> list[int]:
-        """What is within the radius of node i (and confirmed, if asked) and not yet taken; takes it."""
+    def near(self, i: int, radius: int, confirm: int | None = None) -> list[int]:
+        """What is within the radius of node i (and confirmed, if asked) and not yet taken."""
         found, todo = [], [0]
         value, children, live, taken, wide, x = self.value, self.children, self.live, self.taken, self.wide, self.value[i]
         while todo:
@@ -115,10 +118,29 @@ class Tree:
             for k, c in children[v].items():
                 if d - radius <= k <= d + radius and live[c]:
                     todo.append(c)
+        return found
+
+    def pop_near(self, i: int, radius: int, confirm: int | None = None) -> list[int]:
+        """What near() finds; takes it."""
+        found = self.near(i, radius, confirm)
         for v in found:
             self.take(v)
         return found
 
+    def chains(self, radius: int, alike=None):
+        """Pairs (v, w) within the radius, and alike if asked, that join all that chains of such pairs join."""
+        for i in range(len(self.value)):
+            if self.taken[i]:
+                continue
+            self.take(i)
+            group = [i]
+            for v in group:
+                for w in self.near(v, radius):
+                    if alike is None or alike(v, w):
+                        self.take(w)
+                        group.append(w)
+                        yield v, w
+
     def groups(self, radius: int, confirm: int | None = None) -> list[list[int]]:
         """Nodes that chains of links join, groups of one left out."""
         out = []
@@ -320,35 +342,64 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
 
-def copy_links(nodes: DataFrame, radius: int, split: int = 10_000) -> DataFrame:
-    """Links (a, b) that join nodes (node, wide, keys) of a common key whose wide bits are within radius, by chains at least."""
-    dealt = nodes.select("node", "wide", F.posexplode("keys").alias("table", "key"))
-    # A hot shard is dealt to trees of two of its parts each, so that any two of its nodes still meet.
+def _parted(dealt: DataFrame, split: int) -> DataFrame:
+    """dealt (table, key, node and others) by shards; a hot shard goes to pairs of its parts, so that any two of its nodes still meet."""
     hot = dealt.groupBy("table", "key").count().where(F.col("count") > split).select("table", "key", F.ceil(F.col("count") * 2 / split).cast("int").alias("parts"))
     hot = materialise(hot, "hot-shards")
-    dealt = dealt.withColumn("pair", F.lit(0))
+    names, parted = dealt.columns, dealt.withColumn("pair", F.lit(0))
     if hot.count():
-        dealt = dealt.drop("pair").join(hot, ["table", "key"], "left")
+        dealt = dealt.join(hot, ["table", "key"], "left")
         part = F.pmod(F.xxhash64("node"), "parts").cast("int")
         again = dealt.where("parts is not null").select("*", part.alias("p"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("q")).where("p <> q")
-        again = again.select("node", "wide", "table", "key", (F.least("p", "q") * F.col("parts") + F.greatest("p", "q")).alias("pair"))
-        dealt = dealt.where("parts is null").select("node", "wide", "table", "key", F.lit(0).alias("pair")).unionByName(again)
+        again = again.select(*names, (F.least("p", "q") * F.col("parts") + F.greatest("p", "q")).alias("pair"))
+        parted = dealt.where("parts is null").select(*names, F.lit(0).alias("pair")).unionByName(again)
     key = ["table", "key", "pair"]
-    dealt = dealt.repartition(partitions(nodes.sparkSession), *key).sortWithinPartitions(*key, "node")
-    return dealt.select(*key, "node", "wide").mapInArrow(_search_copies(radius), "a long, b long")
+    return parted.repartition(partitions(dealt.sparkSession), *key).sortWithinPartitions(*key, "node")
 
 
-def _search_copies(radius: int):
-    """Links (a, b) of the trees of a partition whose rows are sorted by key."""
+def proposed(nodes: DataFrame, radius: int, split: int = 10_000) -> DataFrame:
+    """(node, root) of nodes (node, wide, keys) that chains join, each of two with a common key and wide bits within radius."""
+    dealt = nodes.select("node", "wide", F.posexplode("keys").alias("table", "key"))
+    return components(_parted(dealt, split).select("table", "key", "pair", "node", "wide").mapInArrow(_search_copies(radius, None), "a long, b long"))
+
 
-    def links(nodes: list[int], wide: list[bytes]):
-        if len(nodes) > 1:
-            for group in Tree([int.from_bytes(w, "little") for w in wide]).groups(radius):
-                yield from ((nodes[v], nodes[group[0]]) for v in group[1:])
+def confirmed(nodes: DataFrame, radius: int, percent: int, large: int = 64, split: int = 4_000) -> DataFrame:
+    """Links (a, b) that join nodes (node, wide, keys, shingles, root) of a root by chains of pairs that share percent of their shingles.
+
+    A root of more than `large` nodes is searched key by key, so that no task holds all of it.
+    """
+    hot = materialise(nodes.groupBy("root").count().where(F.col("count") > large).select("root", F.lit(True).alias("hot")), "large-groups")
+    nodes = nodes.join(F.broadcast(hot), "root", "left")
+    rest = ["node", "wide", "shingles"]
+    dealt = nodes.where("hot is null").select(*rest, F.lit(-1).alias("table"), F.col("root").alias("key"))
+    dealt = dealt.unionByName(nodes.where("hot").select(*rest, F.posexplode("keys").alias("table", "key")))
+    return _parted(dealt, split).select("table", "key", "pair", *rest).mapInArrow(_search_copies(radius, percent), "a long, b long")
+
+
+def _search_copies(radius: int, percent: int | None):
+    """Links (a, b) of the trees of a partition whose rows are sorted by key; of exact sets that share percent, if asked."""
+
+    def links(nodes: list[int], wide: list[bytes], raw: list[bytes]):
+        if len(nodes) < 2:
+            return
+        sets: list[frozenset | None] = [None] * len(raw)
+
+        def alike(v: int, w: int) -> bool:
+            small, big = sorted((len(raw[v]), len(raw[w])))
+            if 100 * small < percent * big:
+                return False
+            for x in (v, w):
+                if sets[x] is None:
+                    sets[x] = frozenset(np.frombuffer(raw[x], np.uint64).tolist())
+            both = len(sets[v] & sets[w])
+            return 100 * both >= percent * (len(sets[v]) + len(sets[w]) - both)
+
+        for v, w in Tree([int.from_bytes(x, "little") for x in wide]).chains(radius, alike if percent else None):
+            yield nodes[v], nodes[w]
 
     def run(batches):
-        for nodes, wide in _shards(batches):
-            found = links(nodes, wide)
+        for shard in _shards(batches):
+            found = links(*shard)
             while out := list(islice(found, 10_000)):
                 yield pa.RecordBatch.from_arrays([pa.array([e[i] for e in out], pa.int64()) for i in (0, 1)], names=["a", "b"])
 
@@ -356,24 +407,40 @@ def _search_copies(radius: int):
 
 
 def _shards(batches):
-    """(nodes, wide) of each run of rows of one table, key and pair."""
-    last, nodes, wide = None, [], []
+    """(nodes, wide, shingles, if there are) of each run of rows of one table, key and pair."""
+    last, held = None, ([], [], [])
     for b in batches:
         k = np.stack([np.asarray(b.column(c)).astype(np.int64) for c in ("table", "key", "pair")], axis=1)
         cuts = np.flatnonzero((k[1:] != k[:-1]).any(axis=1)) + 1
-        ids, bits = b.column("node").to_pylist(), b.column("wide").to_pylist()
+        columns = [b.column(c).to_pylist() for c in ("node", "wide", "shingles") if c in b.schema.names]
         for lo, hi in zip([0, *cuts.tolist()], [*cuts.tolist(), len(k)], strict=True):
             if lo == hi:
                 continue
             if last != (own := tuple(k[lo].tolist())):
-                yield nodes, wide
-                last, nodes, wide = own, [], []
-            nodes.extend(ids[lo:hi]), wide.extend(bits[lo:hi])
-    yield nodes, wide
+                yield held
+                last, held = own, ([], [], [])
+            for h, c in zip(held, columns, strict=False):
+                h.extend(c[lo:hi])
+    yield held
+
+
+def _shingle_sets(shingle: int):
+    def run(batches):
+        for b in batches:
+            sets = []
+            for a, e, data, offsets in slices(b.column("text")):
+                starts, ends, row = word_spans(IS_DARK[data], offsets)
+                words = spans_hash(_LOWER[data], starts, ends, BYTE_POWERS)
+                cuts = np.searchsorted(row, np.arange(e - a + 1))
+                sets += [shingles(words[cuts[r] : cuts[r + 1]], shingle).tobytes() for r in range(e - a)]
+            names = ["node", "wide", "keys", "root"]
+            yield pa.RecordBatch.from_arrays([*map(b.column, names), pa.array(sets, pa.binary())], names=[*names, "shingles"])
+
+    return run
 
 
-def near_dedup(docs: DataFrame, shingle: int = 5, radius: int = 48) -> DataFrame:
-    """docs without all but one document, the smallest doc_id, of each group of near copies."""
+def near_dedup(docs: DataFrame, shingle: int = 5, percent: int = 80, radius: int = 64) -> DataFrame:
+    """docs without all but one document, the smallest doc_id, of each group joined by links that share percent of their shingles."""
     bounded_batches(docs.sparkSession)
     docs, restored = shielded(docs, {"doc_id", "text"})
     base = docs.withColumn("_row", F.monotonically_increasing_id())
@@ -383,7 +450,10 @@ def near_dedup(docs: DataFrame, shingle: int = 5, radius: int = 48) -> DataFrame
     # The first row of a node or component: the smallest doc_id, null last, then the first row.
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_row", "keys")).alias("first")
     nodes = materialise(found.groupBy("node", "wide").agg(first), "nodes")
-    joined = components(copy_links(nodes.select("node", "wide", "first.keys"), radius))
+    nodes_ = nodes.select("node", "wide", "first.keys", "first._row")
+    linked = nodes_.join(proposed(nodes_, radius), "node")
+    sets = base.select("_row", "text").join(linked, "_row").select("node", "wide", "keys", "root", "text").mapInArrow(_shingle_sets(shingle), "node long, wide binary, keys array<long>, root long, shingles binary")
+    joined = components(confirmed(materialise(sets, "shingle-sets"), radius, percent))
     rooted = nodes.select("node", "first").join(joined, "node", "left")
     kept = rooted.groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("first").alias("first")).select(F.col("first._row").alias("_row"))
     return restored(base.join(kept, "_row", "left_semi"))
