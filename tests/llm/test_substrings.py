@@ -49,3 +49,20 @@ def test_odd_documents(odd_docs, no_docs):
     assert told(got) == sorted((str(r.doc_id), *p) for r, p in zip(rows, plain([r.text for r in rows]), strict=True))
     assert {r.kept for r in got.where("doc_id = 9").collect()} == {r.text for r in rows if r.doc_id == 9}
     assert S.dedup(no_docs).count() == 0
+
+
+def test_words_that_polynomials_confuse_are_told_apart(spark):
+    """The Thue-Morse word and its complement agree under every polynomial hash modulo 2**64 with an odd base."""
+    one = "".join("ab"[i.bit_count() % 2] for i in range(1024))
+    other = one.translate(str.maketrans("ab", "ba"))
+    common = " ".join(f"w{i}" for i in range(34))
+    docs = spark.createDataFrame([(1, f"{common} {one}"), (2, f"{common} {other}"), (3, f"{one} {other} " * 20), (4, " ".join([*(f"a{i}" for i in range(10)), *(["x", "y"] * 20)]))], "doc_id long, text string")
+    rows = docs.collect()
+    assert told(S.dedup(docs)) == sorted((str(r.doc_id), *p) for r, p in zip(rows, plain([r.text for r in rows]), strict=True))
+    assert {r.doc_id: r.n_removed for r in S.dedup(docs).collect()}[1] == 0
+
+
+def test_rows_in_another_order_each_time_are_written_first(spark, small):
+    mixed = small.repartition(3).orderBy("n_chars").limit(200)
+    rows = mixed.collect()
+    assert S.dedup(mixed).count() == len(rows) == 200

@@ -10,7 +10,8 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+import xxhash
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -19,9 +20,12 @@ SLICE_BYTES = 1 << 19
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share (spark.checkpoint.dir); a temporary one only where none is set."""
+    """The folder that driver and executors share (spark.checkpoint.dir); where none is set, a temporary one on a local master and an error on any other."""
     told = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    if told is None:
+    if not told:
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise ValueError(f"spark.checkpoint.dir must name a folder that all executors share: the master is {master}")
         told = getattr(shared_dir, "own", None)
         if told is None:
             told = shared_dir.own = "file://" + tempfile.mkdtemp(prefix="tidepool-")
@@ -74,6 +78,26 @@ def bounded_batches(spark: SparkSession, rows: int = 1_000, size: int = 8 << 20)
             spark.conf.set(key, str(most))
 
 
+_NARROW = {"Project", "Filter", "LogicalRelation", "LocalRelation"}
+
+
+def numbered(docs: DataFrame, name: str) -> DataFrame:
+    """docs with _row, a number of each row that every job reads alike.
+
+    Straight from files a row's place in the plan is such a number; after anything else (a shuffle, a
+    step that isn't deterministic) rows could come in another order the second time, so they are written first.
+    """
+    base = docs.withColumn("_row", F.monotonically_increasing_id())
+    todo = [docs._jdf.queryExecution().optimizedPlan()]
+    while todo:
+        plan = todo.pop()
+        if plan.nodeName() not in _NARROW or not plan.deterministic():
+            return materialise(base, name)
+        children = plan.children()
+        todo += [children.apply(i) for i in range(children.size())]
+    return base
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -83,6 +107,13 @@ def held_out(doc_id: str = "doc_id"):
     return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % 3 == 1, F.lit(False))
 
 
+def sampled(place: Column, wanted: int, total: int) -> Column:
+    """Whether a row is among `wanted` of `total` in expectation, by a 64-bit hash of it."""
+    if total <= wanted:
+        return F.lit(True)
+    return place < F.lit(-(1 << 63) + (wanted << 64) // total)
+
+
 def shielded(df: DataFrame, used: set[str]) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
     """df with all but the used columns renamed out of the way of an operator's own, and what names them back."""
     names = {c: c if c in used else f"_own{i}" for i, c in enumerate(df.columns)}
@@ -111,46 +142,57 @@ def slices(column: pa.Array, most: int = SLICE_BYTES) -> Iterator[tuple[int, int
 
 
 _C1, _C2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
+_LONG = 64  # bytes from which on a word is hashed by itself
 
 
 def mix(h: np.ndarray) -> np.ndarray:
-    """The splitmix64 finaliser."""
+    """The splitmix64 finaliser, a bijection."""
     h = (h ^ (h >> np.uint64(30))) * _C1
     h = (h ^ (h >> np.uint64(27))) * _C2
     return h ^ (h >> np.uint64(31))
 
 
-class Powers:
-    """Powers of an odd base modulo 2**64 and of its inverse, grown on demand."""
-
-    def __init__(self, base: int) -> None:
-        self.base, self.inverse = np.uint64(base), np.uint64(pow(base, -1, 1 << 64))
-        self.up = self.down = np.ones(1, np.uint64)
-
-    def get(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        if len(self.up) < n:
-            n = max(n, 1 << 16)
-            self.up, self.down = (np.concatenate([[np.uint64(1)], np.cumprod(np.full(n - 1, b, np.uint64), dtype=np.uint64)]) for b in (self.base, self.inverse))
-        return self.up[:n], self.down[:n]
-
-
-BYTE_POWERS, WORD_POWERS = Powers(0x9E3779B97F4A7C15), Powers(0xD6E8FEB86659FD93)
-
-
-def spans_hash(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, powers: Powers) -> np.ndarray:
-    """A 64-bit hash of each values[start:end], by prefix sums of a polynomial; starts and ends ascend."""
-    out = np.empty(len(starts), np.uint64)
-    a = 0
-    while a < len(starts):  # in pieces, so that a very long text takes no more memory than a slice
-        lo = int(starts[a])
-        b = max(a + 1, int(np.searchsorted(ends, lo + SLICE_BYTES, "right")))
-        s, e = starts[a:b] - lo, ends[a:b] - lo
-        part = values[lo : lo + int(e[-1])]
-        up, down = powers.get(len(part) + 1)
-        total = np.zeros(len(part) + 1, np.uint64)
-        np.cumsum(part.astype(np.uint64) * up[: len(part)], out=total[1:])
-        out[a:b] = mix((total[e] - total[s]) * down[s] ^ (e - s).astype(np.uint64) * _C2)
-        a = b
+def words_hash(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = 0) -> np.ndarray:
+    """A 64-bit hash of each data[start:end], eight bytes a step, each step a bijection of the state; hashes of two seeds are independent.
+
+    Words of eight bytes or fewer never collide with others of their length.
+    """
+    sizes = ends - starts
+    salt = mix(np.array([2 * seed + 1], np.uint64) * np.uint64(0x9E3779B97F4A7C15))[0]
+    h = mix(sizes.astype(np.uint64) ^ salt)
+    if not len(starts):
+        return h
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    lanes = np.ndarray(len(data) + 1, "<u8", padded, strides=(1,))
+    at = np.flatnonzero((sizes > 0) & (sizes <= _LONG))
+    step = 0
+    while len(at):
+        left = sizes[at] - step
+        lane = lanes[starts[at] + step]
+        lane &= np.uint64(0xFFFFFFFFFFFFFFFF) >> (np.uint64(8) * (8 - np.minimum(left, 8)).astype(np.uint64))
+        h[at] = mix((h[at] ^ lane) * _C1 + salt)
+        at = at[left > 8]
+        step += 8
+    for i in np.flatnonzero(sizes > _LONG).tolist():
+        h[i] ^= np.uint64(xxhash.xxh3_64_intdigest(data[starts[i] : ends[i]], int(salt)))
+    return h
+
+
+_PAIR = np.uint64(0xD6E8FEB86659FD93)
+
+
+def joined_hash(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """A hash of each ordered pair of hashes."""
+    return mix(mix(a) * _PAIR + b)
+
+
+def runs_hash(words: np.ndarray, width: int, step: int = 1 << 15) -> np.ndarray:
+    """A hash of each `width` consecutive word hashes, joined in halves: each level is mixed, so no arrangement of words cancels out."""
+    n = max(0, len(words) - width + 1)
+    out = np.empty(n, np.uint64)
+    for a in range(0, n, step):  # in pieces, so that a very long text takes no more memory than a slice
+        b = min(n, a + step)
+        out[a:b] = slide(mix(words[a : b + width - 1]), width, joined_hash)
     return out
 
 

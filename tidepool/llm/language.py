@@ -5,14 +5,15 @@ the out-of-place distance sums, over the text's `size` first, how far each stand
 the language's list (`size`, where it isn't in it). The nearest language wins, and the score is one
 minus the distance's share of the largest possible.
 
-Profiles are learnt from a sample bounded by `per_language` documents (expected number) of each
-value of lang, picked by a hash of doc_id among the documents that are not held out; every document
-is predicted from its whole text and nothing else.
+Profiles are learnt from a sample bounded by `per_language` documents (expected number) of each of
+the `most_languages` commonest values of lang, picked by a hash of doc_id among the documents that are
+not held out; every document is predicted from its whole text and nothing else.
 
 Defined cases: null text or text without a letter is `und` with score 0, as is everything if nothing
 could be learnt; null lang is not learnt from; equal distances go to the first language by name;
-repeated rows count as often as they occur; long texts are counted in pieces. keep_known() keeps
-every column. Empty tables give empty results.
+repeated rows count as often as they occur; long texts are counted in pieces. Input columns named
+lang_pred or score give way to the results of predict(); keep_known() keeps every column. Empty
+tables give empty results.
 """
 
 from __future__ import annotations
@@ -21,13 +22,13 @@ import unicodedata
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidepool.llm.common import bounded_batches, held_out, plus, shielded, strings
+from tidepool.llm.common import bounded_batches, held_out, plus, sampled, shielded, strings
 
-SIZE, PER_LANGUAGE = 300, 1_000
+SIZE, PER_LANGUAGE, MOST_LANGUAGES = 300, 1_000, 256
 UNKNOWN = "und"
 _PIECE = 1 << 20
 _BAR = np.uint64(1)  # parts words; no letter has this code point
@@ -107,13 +108,22 @@ def _count(batches):
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(own), pa.string()), pa.array(list(own), pa.int64()), pa.array(list(own.values()), pa.int64())], names=["lang", "gram", "n"])
 
 
-def learn(docs: DataFrame, size: int = SIZE, per_language: int = PER_LANGUAGE) -> Profiles:
-    """Profiles of the values of lang; what comes to the driver is `size` n-grams for each of them."""
+def sample_of(sizes: dict[str, int], per_language: int) -> Column:
+    """Whether a document is among the expected per_language of its language's number, by a 64-bit hash of doc_id."""
+    place = F.xxhash64("doc_id", F.lit("language"))
+    whole = [lang for lang, n in sizes.items() if n <= per_language]
+    chosen = F.col("lang").isin(whole)
+    for n in sorted({n for n in sizes.values() if n > per_language}):
+        chosen |= F.col("lang").isin([lang for lang, m in sizes.items() if m == n]) & sampled(place, per_language, n)
+    return chosen
+
+
+def learn(docs: DataFrame, size: int = SIZE, per_language: int = PER_LANGUAGE, most_languages: int = MOST_LANGUAGES) -> Profiles:
+    """Profiles of the commonest values of lang; what comes to the driver is `size` n-grams for each of them."""
     bounded_batches(docs.sparkSession)
     known = docs.select("doc_id", "lang", "text").where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out())
-    sizes = {r[0]: r[1] for r in known.groupBy("lang").count().collect()}
-    share = F.element_at(F.create_map(*(F.lit(x) for lang, n in sizes.items() for x in (lang, min(1_000_000, 1_000_000 * per_language // n)))), F.col("lang"))
-    sample = known.where(F.pmod(F.xxhash64("doc_id", F.lit("language")), F.lit(1_000_000)) < share) if sizes else known.limit(0)
+    sizes = {r[0]: r[1] for r in known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(most_languages).collect()}
+    sample = known.where(sample_of(sizes, per_language)) if sizes else known.limit(0)
     counts = sample.select("lang", "text").mapInArrow(_count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     first = counts.withColumn("r", F.row_number().over(W.partitionBy("lang").orderBy(F.desc("n"), "gram"))).where(F.col("r") <= size)
     lists: dict[str, list[int]] = {}

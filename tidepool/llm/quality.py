@@ -4,13 +4,15 @@ Tokens are runs of letters, digits and characters from U+0080 on, or runs of oth
 features are single tokens and pairs, hashed to 2**bits places, where a pair of two equal tokens is a
 feature of its own. A text's vector holds each feature's share of all of them; scoring is a sparse
 dot product of whole texts with the weights, which are sent to the executors (2**bits numbers).
+Updates are per coordinate; features come in the order of their places, the bias last.
 
 Labels are learnt from at most `max_train` labelled documents (expected number), picked by a hash of
 doc_id among those that are not held out, in one task in the order of that hash: a documented bound.
 
 Defined cases: null and empty texts score the bias alone; a null label and documents labelled both
-ways are not learnt from; with nothing to learn every score is 0.5; repeated rows each get a row;
-long texts are steps of their own. Empty tables give empty results.
+ways are not learnt from; of a doc_id that occurs with several texts one is (the least CRC-32, then text);
+with nothing to learn every score is 0.5; repeated rows each get a row; long texts are steps of their own.
+An input column named score gives way to the result, others pass. Empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -20,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidepool.llm.common import BYTE_POWERS, bounded_batches, held_out, mix, plus, slices, spans_hash
+from tidepool.llm.common import bounded_batches, held_out, mix, plus, sampled, slices, words_hash
 
 BITS, MAX_TRAIN, EPOCHS, SCALE = 18, 5_000, 3, 20.0
 _KIND = np.full(256, 2, np.uint8)
@@ -44,7 +46,7 @@ def features(data: np.ndarray, offsets: np.ndarray, bits: int = BITS) -> tuple[n
     dark = kind[starts] > 0
     starts, ends = starts[dark], ends[dark]
     row = np.searchsorted(offsets, starts, "right") - 1
-    own = spans_hash(_LOWER[data], starts, ends, BYTE_POWERS)
+    own = words_hash(_LOWER[data], starts, ends)
     same = own[1:] == own[:-1]
     pair = mix(np.where(same, _SAME, own[:-1] * np.uint64(3) + own[1:] * np.uint64(5)))
     inside = row[1:] == row[:-1]
@@ -89,13 +91,13 @@ def _train(bits: int, epochs: int):
                 for r in range(e - a):
                     at, n = np.unique(place[cuts[r] : cuts[r + 1]], return_counts=True)
                     x = SCALE * n / max(1, n.sum())
-                    rows.append((np.append(at, 1 << bits).astype(np.int32), np.append(x, 1.0).astype(np.float32), float(label[a + r])))
+                    rows.append((np.append(at, 1 << bits).astype(np.int32), np.append(x, 1.0), float(label[a + r])))
         if not rows:
             return
         model = Ftrl((1 << bits) + 1)
         for _ in range(epochs):
             for at, x, y in rows:
-                model.update(at, x.astype(np.float64), y)
+                model.update(at, x, y)
         w = model.weights(slice(None))
         at = np.flatnonzero(w)
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(w[at])], names=["place", "weight"])
@@ -108,13 +110,13 @@ def learn(docs: DataFrame, labels: DataFrame, bits: int = BITS, max_train: int =
     bounded_batches(docs.sparkSession)
     told = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull() & ~held_out()).groupBy("doc_id")
     told = told.agg(F.min("quality").alias("label"), F.max("quality").alias("other")).where("label = other").select("doc_id", F.col("label").cast("double").alias("label"))
-    n = told.count()
     place = F.xxhash64("doc_id", F.lit("quality"))
-    some = told.where(F.pmod(place, F.lit(1_000_000)) < min(1_000_000, 1_000_000 * max_train // max(n, 1)))
+    some = told.where(sampled(place, max_train, told.count()))
     # At most about max_train rows of two numbers: small enough to broadcast whatever the corpus.
-    rows = docs.select("doc_id", "text").join(F.broadcast(some), "doc_id").withColumn("place", place)
-    rows = rows.repartition(1).sortWithinPartitions("place", "doc_id", F.crc32(F.coalesce("text", F.lit("")))).select("text", "label")
-    weights = np.zeros((1 << bits) + 1, np.float32)
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(some), "doc_id").withColumn("place", place)
+    rows = rows.groupBy("doc_id", "place", "label").agg(F.min_by("text", F.struct(F.crc32("text"), "text")).alias("text"))  # one text of each doc_id, however often it occurs
+    rows = rows.repartition(1).sortWithinPartitions("place", "doc_id").select("text", "label")
+    weights = np.zeros((1 << bits) + 1)
     for r in rows.mapInArrow(_train(bits, epochs), "place long, weight double").collect():
         weights[r[0]] = r[1]
     return weights

@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidepool.llm.common import BYTE_POWERS, IS_DARK, WORD_POWERS, bounded_batches, drop, materialise, mix, partitions, plus, shielded, slices, spans_hash, strings, word_spans
+from tidepool.llm.common import IS_DARK, bounded_batches, drop, materialise, mix, numbered, partitions, plus, runs_hash, shielded, slices, strings, word_spans, words_hash
 
 _PIECE = 1 << 16  # shingles that are counted at a time
 
@@ -78,43 +78,52 @@ def fingerprints(docs: DataFrame, shingle: int = 3, columns: list[str] | None =
 
 
 class Tree:
-    """A BK-tree over integers (equal ones hang at distance 0) from which what a search finds is taken."""
+    """A BK-tree over integers from which what a search finds is taken; equal ones share a node."""
 
     def __init__(self, values: list[int], wide: list[int] | None = None) -> None:
         self.value, self.children, self.parent, self.live, self.wide = [], [], [], [], wide
-        for x in values:
-            new = len(self.value)
-            self.value.append(x), self.children.append({}), self.parent.append(-1), self.live.append(1)
-            v = 0
-            while new:
-                d = (x ^ self.value[v]).bit_count()
-                if d not in self.children[v]:
-                    self.children[v][d], self.parent[new] = new, v
-                    break
-                v = self.children[v][d]
-            v = self.parent[new]
+        self.node: list[int] = []  # of each item
+        self.items: list[dict[int, None]] = []  # what hangs at each node and isn't taken yet
+        place: dict[int, int] = {}
+        for i, x in enumerate(values):
+            v = place.get(x)
+            if v is None:
+                v = place[x] = len(self.value)
+                self.value.append(x), self.children.append({}), self.parent.append(-1), self.live.append(0), self.items.append({})
+                u = 0
+                while v:
+                    d = (x ^ self.value[u]).bit_count()
+                    if d not in self.children[u]:
+                        self.children[u][d], self.parent[v] = v, u
+                        break
+                    u = self.children[u][d]
+            self.node.append(v)
+            self.items[v][i] = None
             while v >= 0:
                 self.live[v] += 1
                 v = self.parent[v]
-        self.taken = [False] * len(self.value)
+
+    def taken(self, i: int) -> bool:
+        return i not in self.items[self.node[i]]
 
     def take(self, i: int) -> None:
-        self.taken[i] = True
-        while i >= 0:
-            self.live[i] -= 1
-            i = self.parent[i]
+        v = self.node[i]
+        del self.items[v][i]
+        while v >= 0:
+            self.live[v] -= 1
+            v = self.parent[v]
 
     def near(self, i: int, radius: int, confirm: int | None = None) -> list[int]:
-        """What is within the radius of node i (and confirmed, if asked) and not yet taken."""
+        """What is within the radius of item i (and confirmed, if asked) and not yet taken."""
         found, todo = [], [0]
-        value, children, live, taken, wide, x = self.value, self.children, self.live, self.taken, self.wide, self.value[i]
+        value, children, live, items, wide, x = self.value, self.children, self.live, self.items, self.wide, self.value[self.node[i]]
         while todo:
             v = todo.pop()
             if not live[v]:
                 continue
             d = (x ^ value[v]).bit_count()
-            if d <= radius and not taken[v] and (confirm is None or (wide[i] ^ wide[v]).bit_count() <= confirm):
-                found.append(v)
+            if d <= radius:
+                found += items[v] if confirm is None else (j for j in items[v] if (wide[i] ^ wide[j]).bit_count() <= confirm)
             for k, c in children[v].items():
                 if d - radius <= k <= d + radius and live[c]:
                     todo.append(c)
@@ -129,8 +138,8 @@ class Tree:
 
     def chains(self, radius: int, alike=None):
         """Pairs (v, w) within the radius, and alike if asked, that join all that chains of such pairs join."""
-        for i in range(len(self.value)):
-            if self.taken[i]:
+        for i in range(len(self.node)):
+            if self.taken(i):
                 continue
             self.take(i)
             group = [i]
@@ -144,8 +153,8 @@ class Tree:
     def groups(self, radius: int, confirm: int | None = None) -> list[list[int]]:
         """Nodes that chains of links join, groups of one left out."""
         out = []
-        for i in range(len(self.value)):
-            if self.taken[i]:
+        for i in range(len(self.node)):
+            if self.taken(i):
                 continue
             self.take(i)
             group = [i]
@@ -235,14 +244,19 @@ def links(nodes: DataFrame, radius: int = 3, confirm: int | None = None, split:
 
 
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
-    """(node, root): every node that has an edge, with the smallest node of its component; alternating star steps."""
+    """(node, root): every node that has an edge, with the smallest node of its component; alternating star steps.
+
+    Rounds grow with the logarithm of the longest chain; an error where `rounds` don't suffice.
+    """
     edges = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a != b").distinct()
     edges = materialise(edges, "edges")
     told = None
-    for _ in range(rounds):
+    for done in range(rounds + 1):
         state = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if state == told or not state[0]:
             break
+        if done == rounds:
+            raise RuntimeError(f"components still change after {rounds} rounds")
         told = state
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
@@ -287,8 +301,7 @@ def sketch(words: np.ndarray, shingle: int = 5) -> tuple[int, bytes]:
 def shingles(words: np.ndarray, shingle: int = 5) -> np.ndarray:
     """The distinct hashes of the shingles, ascending; of all words, where they are fewer."""
     width = min(shingle, len(words))
-    starts = np.arange(len(words) - width + 1 if width else 0)
-    return np.unique(spans_hash(words, starts, starts + width, WORD_POWERS))
+    return np.unique(runs_hash(words, width) if width else words)
 
 
 def _sketch(words: np.ndarray, h: np.ndarray) -> tuple[int, bytes]:
@@ -326,7 +339,7 @@ def _sketches(shingle: int):
             fps, wide, keys = [], [], []
             for a, e, data, offsets in slices(b.column("text")):
                 starts, ends, row = word_spans(IS_DARK[data], offsets)
-                words = spans_hash(_LOWER[data], starts, ends, BYTE_POWERS)
+                words = words_hash(_LOWER[data], starts, ends)
                 cuts = np.searchsorted(row, np.arange(e - a + 1))
                 for r in range(e - a):
                     own = words[cuts[r] : cuts[r + 1]]
@@ -430,7 +443,7 @@ def _shingle_sets(shingle: int):
             sets = []
             for a, e, data, offsets in slices(b.column("text")):
                 starts, ends, row = word_spans(IS_DARK[data], offsets)
-                words = spans_hash(_LOWER[data], starts, ends, BYTE_POWERS)
+                words = words_hash(_LOWER[data], starts, ends)
                 cuts = np.searchsorted(row, np.arange(e - a + 1))
                 sets += [shingles(words[cuts[r] : cuts[r + 1]], shingle).tobytes() for r in range(e - a)]
             names = ["node", "wide", "keys", "root"]
@@ -443,7 +456,7 @@ def near_dedup(docs: DataFrame, shingle: int = 5, percent: int = 80, radius: int
     """docs without all but one document, the smallest doc_id, of each group joined by links that share percent of their shingles."""
     bounded_batches(docs.sparkSession)
     docs, restored = shielded(docs, {"doc_id", "text"})
-    base = docs.withColumn("_row", F.monotonically_increasing_id())
+    base = numbered(docs, "documents")
     source = base.select("_row", "doc_id", "text")
     found = source.mapInArrow(_sketches(shingle), plus(source.drop("text").schema, "fp long, wide binary, keys array<long>"))
     found = materialise(found.withColumn("node", F.xxhash64("fp", "wide")), "sketches")

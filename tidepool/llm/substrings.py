@@ -9,12 +9,14 @@ are merged into maximal runs of words. Seeds with more than `hot` occurrences ha
 out one by one instead of by seed, and windows that one task meets twice are settled there, so a
 passage that a third of the documents share does not meet in one task.
 
-Hashes are 64 bits wide twice over: equal seeds and equal windows of those.
+Words are hashed twice, independently: seeds by one, windows by the other, both 64 bits wide and mixed at
+every level, so no arrangement of words makes two windows meet. Two different windows pass for equal only
+where 64 bits agree among windows of one seed, whose 64 bits are independent of those.
 
 Defined cases: null text has no words and stays null; texts of fewer than `length` words stay as they
 are; a passage that repeats within one document goes in all its places, as do exact copies of whole
 documents; rows count by position, so null or repeated doc_ids do no harm. Empty tables give empty results.
-The documents must reread alike, as files do: rows are told apart by their place in the plan.
+Input columns named like a result (n_words, n_removed, kept_sha256, kept) or _row or runs give way to it.
 """
 
 from __future__ import annotations
@@ -26,21 +28,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidepool.llm.common import BYTE_POWERS, IS_DARK, WORD_POWERS, Powers, bounded_batches, materialise, mix, partitions, plus, slices, slide, spans_hash, strings, word_spans
+from tidepool.llm.common import IS_DARK, bounded_batches, materialise, mix, numbered, partitions, plus, runs_hash, slices, slide, strings, word_spans, words_hash
 
 LENGTH, SEED, HOT = 35, 12, 1_000
-_WINDOW_POWERS = Powers(0xA0761D6478BD642F)
-
-
-def _runs_of(words: np.ndarray, width: int, powers: Powers) -> np.ndarray:
-    """A hash of each `width` consecutive words."""
-    starts = np.arange(len(words) - width + 1)
-    return spans_hash(words, starts, starts + width, powers)
 
 
 def seeds(words: np.ndarray, row: np.ndarray, length: int, seed: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(seed hash at each place, least seed hash of each window, is that window within one row)."""
-    own = _runs_of(words, seed, WORD_POWERS) | np.uint64(1)
+    own = runs_hash(words, seed) | np.uint64(1)
     least = slide(own, length - seed + 1, np.minimum)
     return own, least, row[length - 1 :] == row[: len(least)]
 
@@ -53,17 +48,17 @@ def chosen(own: np.ndarray, least: np.ndarray, whole: np.ndarray) -> np.ndarray:
     return np.flatnonzero(slide(padded, width, np.maximum) == own)
 
 
-def _words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(hash, row) of each word of a slice."""
+def _words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(hash, row, start, end) of each word of a slice."""
     starts, ends, row = word_spans(IS_DARK[data], offsets)
-    return spans_hash(data, starts, ends, BYTE_POWERS), row
+    return words_hash(data, starts, ends), row, starts, ends
 
 
 def _emit_seeds(length: int, seed: int):
     def run(batches):
         for b in batches:
             for a, _, data, offsets in slices(b.column("text")):
-                words, row = _words(data, offsets)
+                words, row, _, _ = _words(data, offsets)
                 if len(words) < length:
                     continue
                 own, least, whole = seeds(words, row, length, seed)
@@ -82,7 +77,7 @@ def _emit_windows(length: int, seed: int):
             ids = np.asarray(b.column("_row"))
             wanted, hot = b.column("seeds"), b.column("hot")
             for a, e, data, offsets in slices(b.column("text")):
-                words, row = _words(data, offsets)
+                words, row, starts, ends = _words(data, offsets)
                 if len(words) < length:
                     continue
                 _, least, whole = seeds(words, row, length, seed)
@@ -100,7 +95,7 @@ def _emit_windows(length: int, seed: int):
                 at = np.flatnonzero(want & whole)
                 if not len(at):
                     continue
-                full = spans_hash(words, at, at + length, _WINDOW_POWERS)
+                full = runs_hash(words_hash(data, starts, ends, 1), length)[at]
                 first = np.searchsorted(row, row[at])
                 _, back, times = np.unique(full, return_inverse=True, return_counts=True)
                 twice = times[back] > 1
@@ -194,7 +189,7 @@ def repeats(docs: DataFrame, length: int = LENGTH, seed: int = SEED, hot: int =
     """(docs with _row, spans): spans has _row and runs, an array of (first, n) of repeated windows."""
     spark = docs.sparkSession
     bounded_batches(spark)
-    base = docs.withColumn("_row", F.monotonically_increasing_id())
+    base = numbered(docs, "documents")
     slim = base.select("_row", F.coalesce("text", F.lit("")).alias("text"))
     found = materialise(slim.mapInArrow(_emit_seeds(length, seed), "_row long, seed long"), "seeds")
     again = found.groupBy("seed").agg(F.count("*").alias("times")).where("times > 1")
