@@ -3,24 +3,20 @@
 import re
 
 import duckdb
-import numpy as np
 import pytest
 
 import __spark_entry__ as entry
 import corpus_pipeline
 from tests.llm.test_packing import check
 from tests.llm.test_pseudonyms import plain as pseudonyms
-from tidepool.llm import decontaminate, language, packing, queries, simhash
-from tidepool.llm.common import BYTE_POWERS, spans_hash, word_spans, IS_DARK
+from tidepool.llm import decontaminate, language, packing, queries
 
 SF_DIR = "/root/testdata/sf0.001"
 
 
-def sketch(text):
-    raw = np.frombuffer(text.encode(), np.uint8)
-    starts, ends, _ = word_spans(IS_DARK[raw], np.array([0, len(raw)]))
-    fp, wide = simhash.sketch(spans_hash(simhash._LOWER[raw], starts, ends, BYTE_POWERS))
-    return fp, int.from_bytes(wide, "little")
+def shingles(text):
+    words = re.split(r"[\x20\x09-\x0D]+", re.sub("[A-Z]+", lambda m: m[0].lower(), text).strip(" \t\n\x0b\f\r"))
+    return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))}
 
 
 def test_stages():
@@ -32,7 +28,7 @@ def test_run_against_plain_stages(spark, small):
     docs = {r.doc_id: r.text for r in small.collect()}
     docs = {i: t for i, t in docs.items() if model.predict(t)[0] != "und" and model.predict(t)[1] >= corpus_pipeline.MIN_LANGUAGE_SCORE}
     ids = sorted(docs)
-    marks = {i: sketch(docs[i]) for i in ids}
+    sets = {i: shingles(docs[i]) for i in ids}
     root = {i: i for i in ids}
 
     def find(i):
@@ -42,7 +38,8 @@ def test_run_against_plain_stages(spark, small):
 
     for a in ids:
         for b in ids:
-            if a < b and (marks[a][0] ^ marks[b][0]).bit_count() <= 7 and (marks[a][1] ^ marks[b][1]).bit_count() <= 48:
+            both = len(sets[a] & sets[b]) if a < b else 0
+            if both and 10 * both >= 8 * len(sets[a] | sets[b]):
                 x, y = sorted((find(a), find(b)))
                 root[y] = x
     docs = {i: docs[i] for i in ids if find(i) == i}
