@@ -1,19 +1,27 @@
 """Approximate nearest neighbours by cross-polytope hashing, candidates reranked exactly.
 
-Each table rotates unit vectors by three rounds of random signs and a fast Hadamard transform and
-assigns them to the nearest signed axis; `hashes` such axes together are a bucket (one suffices up to
-some millions of vectors; with more, each further hash cuts buckets by twice the dimension). A query
-looks into the `probes` likeliest buckets of each table. Queries and vectors meet by a shuffle on
-(table, bucket); buckets of more than `chunk` vectors are parted, and queries go to each part, so no
-task holds a hot bucket. What a part finds for a query is cut to its best k + 1 there: rows grow with
-queries times probes, not with pairs. Scores are cosines of the original vectors in double precision.
+Each table rotates unit vectors by rounds of random signs and a fast Hadamard transform and assigns
+them to the nearest signed axis; `hashes` such axes together are a bucket. There are as many hashes as
+leave about `fill` vectors to a bucket, for each dimension by the number of its vectors.
+
+Probes follow the data, by one rule at every size. Each query first looks where its `first` nearest axes
+of each table say. The cosine of its k-th best hit then tells how likely a vector that near is to lie
+elsewhere: vectors drawn at that cosine are hashed, and the query goes on to so many more axes that all
+tables together miss at most `miss` of them. Where that costs about as much as looking at every vector,
+or fewer than k have been found, it looks at every vector. So close neighbours cost few probes, spread-out
+ones many, and nothing is left out where hashing can't tell.
+
+Queries and vectors meet by a shuffle on (table, bucket); buckets of many vectors are parted, and so are
+the queries of a bucket of many queries, so no task holds a hot bucket. What a part finds for a query is
+cut to its best k + 1 there, ties to the smaller id: rows grow with queries times probes, not with pairs.
+Scores are cosines of the original vectors in double precision.
 
 Equal vectors are one: the k + 1 smallest ids of each are indexed, which loses nothing since equal
 scores go to the smaller id, and equal queries are searched once. No query has a cap on candidates.
 
 Defined cases: vectors that are null, empty, zero or hold null or non-finite components, and null ids,
 take no part; only vectors of one dimension are compared; ids that repeat are vectors of their own but
-yield one row, with the best score; tables of up to `exact` vectors are searched in all buckets.
+yield one row, with the best score; other columns are left out. Empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -26,9 +34,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidepool.llm.common import materialise, partitions
+from tidepool.llm.common import bounded_batches, materialise, partitions
 
-TABLES, PROBES, CHUNK, EXACT, SEED = 8, 8, 20_000, 2_000, 20
+TABLES, FIRST, MISS, FILL, CHUNK, SEED = 8, 2, 0.04, 1_000, 20_000, 20
+DRAWN = 256  # vectors drawn for each query to see where its neighbours may lie
+WHOLE = -1  # the table whose one bucket holds every vector
+_ROWS = 4_096
 
 
 def hadamard(v: np.ndarray) -> np.ndarray:
@@ -53,27 +64,45 @@ def rotated(v: np.ndarray, table: int, part: int, seed: int) -> np.ndarray:
     return y
 
 
-def _ranked_axes(y: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
-    """(signed axes, squared coordinates) of each row's `most` nearest signed axes, nearest first."""
-    both = np.concatenate([y, -y], axis=1)  # axis a is a, its negative d + a
-    axes = np.argsort(-both, axis=1, kind="stable")[:, :most]
-    near = np.maximum(np.take_along_axis(both, axes, 1), 0.0)
-    return axes, near * near
+def _padded(d: int) -> int:
+    return 1 << max(0, d - 1).bit_length()
 
 
-def buckets(v: np.ndarray, table: int, hashes: int, probes: int, seed: int) -> np.ndarray:
-    """Each row's `probes` likeliest buckets of a table, likeliest first."""
-    ways = [_ranked_axes(rotated(v, table, p, seed), probes) for p in range(hashes)]
-    base = 2 * (1 << max(0, v.shape[1] - 1).bit_length())
-    if hashes == 1:
-        return ways[0][0]
-    most = ways[0][0].shape[1]
-    choices = np.array(list(product(range(most), repeat=hashes)))
-    gain = sum(w[1][:, choices[:, i]] for i, w in enumerate(ways))
-    code = np.zeros((len(v), len(choices)), np.int64)
-    for i, w in enumerate(ways):
-        code = code * base + w[0][:, choices[:, i]]
-    return np.take_along_axis(code, np.argsort(-gain, axis=1, kind="stable")[:, :probes], 1)
+def _axes(y: np.ndarray) -> np.ndarray:
+    """Each row's signed axes, nearest first; axis a is a, its negative the padded dimension + a."""
+    return np.argsort(-np.concatenate([y, -y], axis=1), axis=1, kind="stable")
+
+
+def _nearest(y: np.ndarray) -> np.ndarray:
+    """Each row's nearest signed axis."""
+    at = np.abs(y).argmax(axis=-1)
+    return at + y.shape[-1] * (np.take_along_axis(y, at[..., None], -1)[..., 0] < 0)
+
+
+def codes(v: np.ndarray, table: int, hashes: int, seed: int) -> np.ndarray:
+    """Each row's bucket of a table."""
+    code = np.zeros(len(v), np.int64)
+    for p in range(hashes):
+        code = code * (2 * _padded(v.shape[1])) + _nearest(rotated(v, table, p, seed))
+    return code
+
+
+def width_for(v: np.ndarray, cosine: np.ndarray, ranks: list[list[np.ndarray]], turned: list[list[np.ndarray]], miss: float, seed: int) -> np.ndarray:
+    """How many nearest axes of each hash a query must look at, so that all tables miss at most `miss` of the vectors at a cosine."""
+    d = _padded(v.shape[1])
+    rng = np.random.default_rng([seed, d, DRAWN])
+    noise = [rng.normal(size=(DRAWN, d)) / np.sqrt(d) for _ in ranks[0]]
+    near, far = cosine[:, None, None], np.sqrt(np.maximum(0.0, 1.0 - cosine * cosine))[:, None, None]
+    missed = np.ones((len(v), 2 * d))
+    for table_ranks, table_turned in zip(ranks, turned, strict=True):
+        need = np.zeros((len(v), DRAWN), np.int64)
+        for rank, y, g in zip(table_ranks, table_turned, noise, strict=True):
+            axis = _nearest(near * y[:, None, :] + far * g)
+            need = np.maximum(need, np.take_along_axis(rank, axis, 1))
+        caught = np.zeros((len(v), 2 * d))
+        np.add.at(caught, (np.arange(len(v))[:, None], need), 1.0 / DRAWN)
+        missed *= 1.0 - np.cumsum(caught, axis=1)
+    return np.argmax(missed <= miss + 1e-9, axis=1) + 1
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -86,67 +115,124 @@ def _unit(v: np.ndarray) -> np.ndarray:
     return v / np.sqrt((v * v).sum(axis=1, keepdims=True))
 
 
-def _deal(tables: int, hashes: int, probes: int, seed: int):
-    """A row for each table and bucket of each (id, vector)."""
+def _groups(b: pa.RecordBatch, rows: int):
+    """Slices of at most `rows` rows of one dimension and one number of hashes."""
+    dim, hashes = np.asarray(b.column("dim")), np.asarray(b.column("hashes"))
+    for d, h in sorted(set(zip(dim.tolist(), hashes.tolist(), strict=True))):
+        same = b.filter(pa.array((dim == d) & (hashes == h)))
+        for a in range(0, len(same), rows):
+            yield d, h, same.slice(a, rows)
+
+
+_DEALT = ["dim", "tab", "bucket", "id", "vector"]
+
+
+def _places(b: pa.RecordBatch, row: np.ndarray, tab: np.ndarray, bucket: np.ndarray):
+    for a in range(0, len(row), _ROWS):
+        at = pa.array(row[a : a + _ROWS])
+        yield pa.RecordBatch.from_arrays([b.column("dim").take(at), pa.array(tab[a : a + _ROWS].astype(np.int32)), pa.array(bucket[a : a + _ROWS].astype(np.int64)), b.column("id").take(at), b.column("vector").take(at)], names=_DEALT)
+
+
+def _deal(tables: int, seed: int):
+    """A row for each table of each vector: its bucket there."""
 
     def run(batches):
         for b in batches:
-            sizes = np.asarray(b.column("vector").value_lengths())
-            for d in np.unique(sizes):
-                same = b.filter(pa.array(sizes == d)) if (sizes != d).any() else b
+            for _, h, same in _groups(b, _ROWS):
                 unit = _unit(_matrix(same.column("vector")))
                 for t in range(tables):
-                    got = buckets(unit, t, hashes, min(probes, 2 * (1 << max(0, int(d) - 1).bit_length())), seed)
-                    row = pa.array(np.repeat(np.arange(len(unit)), got.shape[1]))
-                    n = len(row)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(n, d, np.int32)), pa.array(np.full(n, t, np.int32)), pa.array(got.reshape(-1).astype(np.int64)), same.column("id").take(row), same.column("vector").take(row)], names=["dim", "tab", "bucket", "id", "vector"])
+                    yield from _places(same, np.arange(len(unit)), np.full(len(unit), t), codes(unit, t, h, seed))
+
+    return run
+
+
+def _ask(tables: int, first: int, miss: float, seed: int):
+    """A row for each bucket that a query looks into: the first ones, or if its cosine is told the others that it takes."""
+
+    def run(batches):
+        for b in batches:
+            told = "cosine" in b.schema.names
+            for d, h, same in _groups(b, 64):
+                unit, size = _unit(_matrix(same.column("vector"))), 2 * _padded(d)
+                turned = [[rotated(unit, t, p, seed) for p in range(h)] for t in range(tables)]
+                axes = [[_axes(y) for y in row] for row in turned]
+                least = min(first, size)
+                wide = np.full(len(unit), least)
+                if told:
+                    cosine, n = np.asarray(same.column("cosine")), np.asarray(same.column("n"))
+                    ranks = [[np.argsort(a, axis=1) for a in row] for row in axes]
+                    some = np.flatnonzero(~np.isnan(cosine))
+                    pick = lambda rows: [[a[some] for a in row] for row in rows]
+                    wide[:] = size
+                    if len(some):
+                        wide[some] = np.maximum(least, width_for(unit[some], np.clip(cosine[some], -1.0, 1.0), pick(ranks), pick(turned), miss, seed))
+                    cost = tables * wide.astype(float) ** h * (n / float(size) ** h + 1)
+                    whole = np.isnan(cosine) | (cost > 0.75 * n)
+                    at = np.flatnonzero(whole)
+                    yield from _places(same, at, np.full(len(at), WHOLE), np.zeros(len(at)))
+                    wide[whole] = 0
+                for i in range(len(unit)):
+                    if told and wide[i] <= least:
+                        continue
+                    steps = np.array(list(product(range(wide[i]), repeat=h)))
+                    if told:
+                        steps = steps[(steps >= least).any(axis=1)]
+                    for t in range(tables):
+                        code = np.zeros(len(steps), np.int64)
+                        for p in range(h):
+                            code = code * size + axes[t][p][i, steps[:, p]]
+                        yield from _places(same, np.full(len(steps), i), np.full(len(steps), t), code)
 
     return run
 
 
-def _meet(k: int, block: int = 512):
+def _meet(k: int, block: int = 64):
     """Of rows sorted by part, vectors before queries: each query's best k + 1 in each part."""
 
-    def search(ids: np.ndarray, v: np.ndarray, queries: np.ndarray, q: np.ndarray):
-        lv, lq = np.sqrt((v * v).sum(axis=1)), np.sqrt((q * q).sum(axis=1))
-        most = min(len(ids), k + 9)  # some more than k + 1, for products that rounding sets apart
+    def scaled(v: np.ndarray) -> np.ndarray:
+        scale = np.abs(v).max(axis=1, keepdims=True)
+        return np.where((scale > 1e100) | (scale < 1e-100), v / scale, v)
+
+    def search(ids: np.ndarray, v: np.ndarray, lv: np.ndarray, queries: np.ndarray, q: np.ndarray):
+        lq, most = np.sqrt((q * q).sum(axis=1)), min(len(ids), k + 1)
         for a in range(0, len(q), block):
             near = (q[a : a + block] @ v.T) / lv
-            top = np.argpartition(-near, most - 1, axis=1)[:, :most]
-            own = np.repeat(np.arange(a, a + len(near)), most)
-            other = top.reshape(-1)
-            score = (q[own] * v[other]).sum(axis=1) / (lq[own] * lv[other])
-            order = np.lexsort((ids[other], -score, own))
-            kept = order[np.arange(len(order)) % most < k + 1]
-            yield pa.RecordBatch.from_arrays([pa.array(queries[own[kept]]), pa.array(ids[other[kept]]), pa.array(score[kept])], names=["q", "vec_id", "score"])
+            # All that rounding can't tell from the best k + 1, however many there are.
+            least = np.partition(near, len(ids) - most, axis=1)[:, len(ids) - most] - 1e-12 * lq[a : a + block]
+            own, other = np.nonzero(near >= least[:, None])
+            own += a
+            cuts = np.searchsorted(own, np.arange(a, a + len(near) + 1))
+            lo = 0
+            while lo < len(near):  # as many queries at once as have a bounded number of these
+                hi = max(lo + 1, int(np.searchsorted(cuts, cuts[lo] + 50_000, "right")) - 1)
+                o, w = own[cuts[lo] : cuts[hi]], other[cuts[lo] : cuts[hi]]
+                score = (q[o] * v[w]).sum(axis=1) / (lq[o] * lv[w])
+                order = np.lexsort((ids[w], -score, o))
+                place = np.arange(len(o)) - (cuts[lo:hi] - cuts[lo])[o - a - lo]
+                kept = order[place < k + 1]
+                yield pa.RecordBatch.from_arrays([pa.array(queries[o[kept]]), pa.array(ids[w[kept]]), pa.array(score[kept])], names=["q", "vec_id", "score"])
+                lo = hi
 
     def run(batches):
-        last, held = None, []
-
-        def settle():
-            kind = np.concatenate([h[0] for h in held])
-            ids = np.concatenate([h[1] for h in held])
-            v = np.concatenate([h[2] for h in held])
-            if (kind == 0).any() and (kind == 1).any():
-                scale = np.abs(v).max(axis=1, keepdims=True)
-                v = np.where((scale > 1e100) | (scale < 1e-100), v / scale, v)
-                yield from search(ids[kind == 0], v[kind == 0], ids[kind == 1], v[kind == 1])
-
+        last, held, index = None, [], None
         for b in batches:
             if not len(b):
                 continue
-            keys = np.stack([np.asarray(b.column(c)).astype(np.int64) for c in ("dim", "tab", "bucket", "part")], axis=1)
-            edges = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1).tolist(), len(keys)]
+            keys = np.stack([np.asarray(b.column(c)).astype(np.int64) for c in ("dim", "tab", "bucket", "part", "share")], axis=1)
             kind, ids = np.asarray(b.column("kind")), np.asarray(b.column("id"))
+            edges = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1) | (kind[1:] != kind[:-1])) + 1).tolist(), len(keys)]
             for lo, hi in zip(edges, edges[1:], strict=False):
                 key = tuple(keys[lo].tolist())
-                if held and key != last:
-                    yield from settle()
-                    held = []
-                last = key
-                held.append((kind[lo:hi], ids[lo:hi], _matrix(b.column("vector").slice(lo, hi - lo))))
-        if held:
-            yield from settle()
+                if key != last:
+                    last, held, index = key, [], None
+                v = scaled(_matrix(b.column("vector").slice(lo, hi - lo)))
+                if kind[lo] == 0:
+                    held.append((ids[lo:hi], v))
+                elif held or index is not None:
+                    if index is None:
+                        every = np.concatenate([h[1] for h in held])
+                        index, held = (np.concatenate([h[0] for h in held]), every, np.sqrt((every * every).sum(axis=1))), []
+                    yield from search(*index, ids[lo:hi], v)
 
     return run
 
@@ -156,30 +242,56 @@ def usable(column: str) -> Column:
     return F.expr(f"size({column}) > 0 and forall({column}, x -> x is not null and not isnan(x) and abs(x) < double('Infinity')) and exists({column}, x -> x <> 0)")
 
 
-def search(vectors: DataFrame, is_query: Column, k: int = 5, tables: int = TABLES, probes: int = PROBES, hashes: int = 1, chunk: int = CHUNK, exact: int = EXACT, seed: int = SEED) -> DataFrame:
+def _found(index: DataFrame, asks: DataFrame, k: int, tables: int, chunk: int, seed: int, every: bool) -> DataFrame:
+    """(q, vec_id, score): the best k + 1 of each part that a query looks into."""
+    spark, bucket = index.sparkSession, ["dim", "tab", "bucket"]
+    schema = "dim int, tab int, bucket long, id long, vector " + dict(index.dtypes)["vector"]
+    dealt = index.mapInArrow(_deal(tables, seed), schema)
+    if every:
+        dealt = dealt.unionByName(index.select("dim", F.lit(WHOLE).alias("tab"), F.lit(0).cast("long").alias("bucket"), "id", "vector"))
+    # Vectors and queries of each bucket that both have: into how many parts of about `chunk` vectors (less, if long ones) and shares of queries they go.
+    parts = F.ceil(F.greatest(F.col("vectors") / chunk, F.col("vectors") * F.col("dim") / (128 * chunk))).cast("int")
+    sizes = dealt.groupBy(*bucket).agg(F.count("*").alias("vectors")).join(asks.groupBy(*bucket).agg(F.count("*").alias("queries")), bucket)
+    sizes = materialise(sizes.select(*bucket, parts.alias("parts"), F.ceil(F.col("queries") / (2 * chunk)).cast("int").alias("shares")), "buckets")
+    from_hash = lambda n: F.pmod(F.xxhash64("id"), n).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    index_parts = dealt.join(sizes, bucket).select(*bucket, from_hash("parts").alias("part"), each("shares").alias("share"), F.lit(0).alias("kind"), "id", "vector")
+    query_parts = asks.join(sizes, bucket).select(*bucket, each("parts").alias("part"), from_hash("shares").alias("share"), F.lit(1).alias("kind"), "id", "vector")
+    key = [*bucket, "part", "share"]
+    met = index_parts.unionByName(query_parts).repartition(partitions(spark), *key).sortWithinPartitions(*key, "kind")
+    found = met.mapInArrow(_meet(k), "q long, vec_id long, score double").groupBy("q", "vec_id").agg(F.max("score").alias("score"))
+    return _best(found, k)
+
+
+def _best(found: DataFrame, k: int) -> DataFrame:
+    """The best k + 1 of each query with their rank r."""
+    order = W.partitionBy("q").orderBy(F.desc("score"), "vec_id")
+    return found.withColumn("r", F.row_number().over(order)).where(F.col("r") <= k + 1)
+
+
+def search(vectors: DataFrame, is_query: Column, k: int = 5, tables: int = TABLES, first: int = FIRST, miss: float = MISS, fill: int = FILL, chunk: int = CHUNK, seed: int = SEED) -> DataFrame:
     """query_id, rank, vec_id and score of the k nearest found of each row of vectors (vec_id, embedding) that is_query."""
-    spark = vectors.sparkSession
+    bounded_batches(vectors.sparkSession)
     usable_ = vectors.select(F.col("vec_id").cast("long").alias("id"), F.col("embedding").alias("vector"), F.coalesce(is_query, F.lit(False)).alias("asks")).where(F.col("id").isNotNull() & usable("vector"))
-    first = F.row_number().over(W.partitionBy("vector").orderBy("id"))
-    index = usable_.select("id", "vector").withColumn("r", first).where(F.col("r") <= k + 1).drop("r")
-    asked = usable_.where("asks").select("id", "vector")
-    classes = materialise(asked.groupBy("vector").agg(F.min("id").alias("q")), "queries")
-    if usable_.limit(exact + 1).count() <= exact:
-        hashes, probes = 1, 1 << 30
+    usable_ = usable_.withColumn("dim", F.size("vector"))
+    one = F.row_number().over(W.partitionBy("vector").orderBy("id"))
+    index = usable_.select("id", "vector", "dim").withColumn("r", one).where(F.col("r") <= k + 1).drop("r")
+    # A row for each dimension that occurs: few, whatever the corpus; Spark sees their size and broadcasts them.
+    axes = 2 * F.pow(F.lit(2.0), F.ceil(F.log2(F.col("dim").cast("double"))))
+    hashes = F.greatest(F.lit(1), F.least(F.lit(3), F.floor(F.log(F.greatest(F.lit(1.0), F.col("n") / fill)) / F.log(axes)))).cast("int")
+    dims = materialise(index.groupBy("dim").agg(F.count("*").alias("n")).select("dim", "n", hashes.alias("hashes")), "dimensions")
+    index = index.join(dims, "dim")
+    asked = usable_.where("asks").select("id", "vector", "dim")
+    classes = materialise(asked.groupBy("vector", "dim").agg(F.min("id").alias("id")).join(dims, "dim"), "queries")
     schema = "dim int, tab int, bucket long, id long, vector " + dict(usable_.dtypes)["vector"]
-    dealt = index.mapInArrow(_deal(tables, hashes, 1, seed), schema)
-    asks = classes.select(F.col("q").alias("id"), "vector").mapInArrow(_deal(tables, hashes, probes, seed), schema)
-    # One row for each bucket; with few hashes their number is bounded by tables and dimension.
-    place = F.pmod(F.xxhash64("id"), "parts").cast("int")
-    sizes = dealt.groupBy("dim", "tab", "bucket").agg(F.ceil(F.count("*") / chunk).alias("parts"))
-    sizes = materialise(sizes, "buckets")
-    index_parts = dealt.join(sizes, ["dim", "tab", "bucket"]).select("dim", "tab", "bucket", place.alias("part"), F.lit(0).alias("kind"), "id", "vector")
-    query_parts = asks.join(sizes, ["dim", "tab", "bucket"]).select("dim", "tab", "bucket", F.explode(F.sequence(F.lit(0), F.col("parts").cast("int") - 1)).alias("part"), F.lit(1).alias("kind"), "id", "vector")
-    key = ["dim", "tab", "bucket", "part"]
-    met = index_parts.unionByName(query_parts).repartition(partitions(spark), *key).sortWithinPartitions(*key, "kind")
-    found = met.mapInArrow(_meet(k), "q long, vec_id long, score double").groupBy("q", "vec_id").agg(F.max("score").alias("score"))
-    best = W.partitionBy("q").orderBy(F.desc("score"), "vec_id")
-    found = found.withColumn("r", F.row_number().over(best)).where(F.col("r") <= k + 1).drop("r")
-    pairs = asked.join(classes, "vector").select(F.col("id").alias("query_id"), "q").join(found, "q").where("query_id <> vec_id")
+    asks = classes.mapInArrow(_ask(tables, first, miss, seed), schema)
+    near = materialise(_found(index, asks, k, tables, chunk, seed, False), "nearest")
+    told = near.groupBy("q").agg(F.max(F.when(F.col("r") == k + 1, F.col("score"))).alias("cosine"))
+    open_ = classes.join(told, F.col("q") == F.col("id"), "left").drop("q").withColumn("cosine", F.coalesce("cosine", F.lit(float("nan"))))
+    asks = materialise(open_.mapInArrow(_ask(tables, first, miss, seed), schema), "probes")
+    every = not asks.where(F.col("tab") == WHOLE).isEmpty()
+    more = _found(index, asks, k, tables, chunk, seed, every)
+    found = _best(near.drop("r").unionByName(more.drop("r")).groupBy("q", "vec_id").agg(F.max("score").alias("score")), k).drop("r")
+    pairs = asked.select(F.col("id").alias("query_id"), "vector").join(classes.select("vector", F.col("id").alias("q")), "vector").join(found, "q").where("query_id <> vec_id")
     rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return pairs.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
