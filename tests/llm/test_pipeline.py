@@ -8,7 +8,7 @@ import pytest
 import __spark_entry__ as entry
 import corpus_pipeline
 from tests.llm.test_packing import check
-from tests.llm.test_pseudonyms import plain as pseudonyms
+from tests.llm.test_pseudonyms import key, plain as pseudonyms  # noqa: F401  the fixture sets the key
 from tidepool.llm import decontaminate, language, packing, queries
 
 SF_DIR = "/root/testdata/sf0.001"

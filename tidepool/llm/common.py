@@ -118,7 +118,7 @@ def shielded(df: DataFrame, used: set[str]) -> tuple[DataFrame, Callable[[DataFr
     """df with all but the used columns renamed out of the way of an operator's own, and what names them back."""
     names = {c: c if c in used else f"_own{i}" for i, c in enumerate(df.columns)}
     quoted = lambda c: F.col("`" + c.replace("`", "``") + "`")
-    return df.select(*(quoted(c).alias(n) for c, n in names.items())), lambda out: out.select(*(F.col(n).alias(c) for c, n in names.items()))
+    return df.select(*(quoted(c).alias(n) for c, n in names.items())), lambda out, *more: out.select(*(F.col(n).alias(c) for c, n in names.items()), *more)
 
 
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

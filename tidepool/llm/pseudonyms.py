@@ -1,8 +1,8 @@
-"""Format-preserving pseudonyms: personal numbers and dates are permuted within their format under a key.
+"""Format-preserving pseudonyms: personal numbers, dates and addresses are permuted within their format under a key.
 
-A value is split into two coordinates of sizes a and b; rounds of an alternating Feistel network add a
-keyed digest of one to the other, modulo its size, so the result is a permutation of all a x b values
-of the format: equal values keep equal pseudonyms across documents, different ones stay different.
+A value is split into two halves; rounds of an alternating Feistel network add a keyed digest of one to
+the other, modulo its size, so the result is a permutation of all values of the format: equal values keep
+equal pseudonyms across documents, different ones stay different, and pseudonyms are valid values again.
 
 kind   what counts as valid                                   what is permuted
 card   13 to 19 digits, plain or grouped, whose Luhn sum fits all but the first digit; check digit anew
@@ -10,27 +10,37 @@ iban   country, two check digits, its length; mod 97 is 1     the digits after t
 ip     four numbers from 0 to 255                             all 32 bits
 ssn    ddd-dd-dddd outside the ranges never issued            the index among the valid numbers
 phone  North American, or + and 8 to 15 digits                all but the country code, within the plan's ranges
-date   a day of the years 1000 to 8999, in four notations     the day within its 73,000-day era
-email  local@domain.tld                                       letters and digits but for the last label, by a keyed digest
+date   a day of the years 1000 to 8999, in four notations     the day within its era of 200 years
+email  local@domain.tld                                       letters and digits but for the last label, whatever its case
 
-An address has no fixed-size domain to permute, so its letters and digits follow a keyed digest of the
-whole address (lower-cased): equal addresses still stay linked. DataFrame functions only; lengths,
-separators and everything around the values stay as they are.
+Eras and the slash dates that only read day first (the first number above 12) aren't products of two
+sizes: there the permutation of a larger domain is repeated until it lands in them again, which is a
+permutation too. Slash dates up to 12 read month first and stay so; a day has one pseudonym in all notations
+but day-first slashes. An address is permuted within its pattern of letters, digits and marks.
 
-Defined cases: null text stays null with counts of 0; invalid look-alikes stay; overlapping candidates
-are settled leftmost first, then in the order email, iban, ip, date, phone, ssn, card; an IBAN ends at its
-country's length and a phone number by its 15th digit, whatever follows; equal rows and null ids are
-rows like any other; other columns pass through. Patterns have no unbounded backtracking.
+The key is the setting spark.tidepool.pseudonym.key unless the caller names one; there is no default, as
+whoever knows the key can invert the permutation. It is part of the plan: keep plans and event logs private.
+
+DataFrame functions only; lengths, separators and everything around the values stay as they are.
+
+Defined cases: null text stays null with counts of 0, empty text stays empty; invalid look-alikes stay;
+overlapping candidates are settled leftmost first, then in the order email, iban, ip, date, phone, ssn, card;
+an IBAN ends at its country's length and a phone number by its 15th digit, whatever follows; equal rows and
+null ids are rows like any other; input columns named n_<kind> give way to the counts, where these are asked
+for, and all others pass. Patterns have no unbounded backtracking, so long texts cost what short ones do a
+byte. Empty tables give empty results.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidepool.llm.common import shielded
 
-KEY = "tidepool"
+KEY_SETTING = "spark.tidepool.pseudonym.key"
+#: For demonstrations and tests on made-up data only: it is public, so it hides nothing.
+DEMONSTRATION_KEY = "tidepool"
 ROUNDS = 10
 KINDS = ("email", "iban", "ip", "date", "phone", "ssn", "card")
 #: Countries by the length of their IBANs, from the registry; those that aren't here are matched at any length.
@@ -154,23 +164,32 @@ def _phone(key: str) -> str:
 
 
 def _date(key: str) -> str:
-    # o: year, month, day; f: notation. The eras of 250 x 292 days are counted from 1900-01-01.
-    day_first = "substr(m, 1, 2) > '12'"
+    # o: year, month, day; e: era, a: its first day, z: how many it has; w: the walk, until it is in the era (and, day first, past the 12th) again.
+    day_first = "(m like '__/__/____' and substr(m, 1, 2) > '12')"
     ymd = f"case when m rlike '^[0-9]{{4}}' then array(substr(m, 1, 4), substr(m, 6, 2), substr(m, 9, 2)) when m like '%.%' or {day_first} then array(substr(m, 7, 4), substr(m, 4, 2), substr(m, 1, 2)) else array(substr(m, 7, 4), substr(m, 1, 2), substr(m, 4, 2)) end"
-    written = f"case when m like '____-%' then 'yyyy-MM-dd' when m like '____/%' then 'yyyy/MM/dd' when m like '%.%' then 'dd.MM.yyyy' when {day_first} then 'dd/MM/yyyy' else 'MM/dd/yyyy' end"
-    pair = _feistel(key, "concat('date', n div 73000)", "pmod(n, 73000) div 292", "pmod(n, 73000) % 292", "250", "292")
-    moved = _let("q", pair.replace("n div 73000", "floor(n / 73000)"), "date_add(date'1900-01-01', cast(floor(n / 73000) * 73000 + q.l * 292 + q.r as int))")
-    shown = _let("g", moved, f"case {written} when 'yyyy-MM-dd' then date_format(g, 'yyyy-MM-dd') when 'yyyy/MM/dd' then date_format(g, 'yyyy/MM/dd') when 'dd.MM.yyyy' then date_format(g, 'dd.MM.yyyy') when 'dd/MM/yyyy' then date_format(g, 'dd/MM/yyyy') else date_format(g, 'MM/dd/yyyy') end")
-    new = _let("n", "datediff(y, date'1900-01-01')", shown)
+    pair = _feistel(key, "concat('date', e)", "w.n div 270", "w.n % 270", "271", "270")
+    step = _let("q", pair, _let("x", "q.l * 270 + q.r", f"named_struct('n', x, 'there', x < z and (not {day_first} or day(date_add(a, cast(x as int))) > 12))"))
+    moved = f"aggregate(sequence(1, 64), named_struct('n', cast(datediff(y, a) as bigint), 'there', false), (w, t) -> if(w.there, w, {step}), w -> date_add(a, cast(w.n as int)))"
+    parts = "array(lpad(cast(year(g) as string), 4, '0'), lpad(cast(month(g) as string), 2, '0'), lpad(cast(day(g) as string), 2, '0'))"
+    shown = f"case when m like '____-%' then concat_ws('-', d) when m like '____/%' then concat_ws('/', d) when m like '%.%' then concat_ws('.', d[2], d[1], d[0]) when {day_first} then concat_ws('/', d[2], d[1], d[0]) else concat_ws('/', d[1], d[2], d[0]) end"
+    new = _let("g", moved, _let("d", parts, shown))
+    new = _let("e", "cast((year(y) - 1000) div 200 as int)", _let("a", "make_date(1000 + 200 * e, 1, 1)", _let("z", "datediff(make_date(1200 + 200 * e, 1, 1), a)", new)))
     return _let("o", ymd, _let("y", "try_cast(concat_ws('-', o[0], o[1], o[2]) as date)", f"if(y is not null and o[0] between '1000' and '8999', {new}, m)"))
 
 
 def _email(key: str) -> str:
-    stream = "concat(" + ", ".join(f"sha2(concat_ws('|', {_text(key)}, 'email', {k}, lower(m)), 256)" for k in range(4)) + ")"
-    byte = "cast(conv(substr(w, 1 + (2 * i) % 254, 2), 16, 10) as int)"
-    new = f"case when c between '0' and '9' then cast({byte} % 10 as string) when c between 'a' and 'z' then char(97 + {byte} % 26) when c between 'A' and 'Z' then char(65 + {byte} % 26) else c end"
-    kept = "length(m) - length(substring_index(m, '.', -1)) - 1"
-    return _let("w", stream, f"concat(array_join(transform(split(substr(m, 1, {kept}), ''), (c, i) -> {new}), ''), substr(m, {kept} + 1))")
+    # x: all but the last label, lower-cased; f: its two halves, permuted; what was upper case is so again.
+    def shifted(half: str, other: str) -> str:
+        stream = "concat(" + ", ".join(f"sha2(concat_ws('|', {_text(key)}, 'email', b, i, {k}, {other}), 256)" for k in (0, 1)) + ")"
+        number = "cast(conv(substr(w, 1 + (4 * p) % 128, 4), 16, 10) as int)"
+        letter = f"case when c between '0' and '9' then char(48 + (ascii(c) - 48 + {number}) % 10) when c between 'a' and 'z' then char(97 + (ascii(c) - 97 + {number}) % 26) else c end"
+        return _let("w", stream, f"array_join(transform(split({half}, ''), (c, p) -> {letter}), '')")
+
+    one, other = (f"named_struct('l', {a}, 'r', {b})" for a, b in ((shifted("s.l", "s.r"), "s.r"), ("s.l", shifted("s.r", "s.l"))))
+    pair = f"aggregate(sequence(1, {ROUNDS}), named_struct('l', substr(x, 1, length(x) div 2), 'r', substr(x, length(x) div 2 + 1)), (s, i) -> if(i % 2 = 1, {one}, {other}), s -> concat(s.l, s.r))"
+    cased = "array_join(transform(split(f, ''), (c, p) -> if(substr(m, p + 1, 1) between 'A' and 'Z', upper(c), c)), '')"
+    last = "substring_index(m, '.', -1)"
+    return _let("b", f"lower({last})", _let("x", f"lower(substr(m, 1, length(m) - length({last}) - 1))", _let("f", pair, f"concat({cased}, '.', {last})")))
 
 
 def _kind() -> str:
@@ -182,7 +201,7 @@ def _kind() -> str:
     )
 
 
-def changed(text: str, key: str = KEY) -> Column:
+def changed(text: str, key: str) -> Column:
     """For each candidate in a text column, a struct (m, new, kind)."""
     makers = {"email": _email, "iban": _iban, "ip": _ip, "date": _date, "phone": _phone, "ssn": _ssn, "card": _card}
     cases = " ".join(f"when {_text(k)} then {makers[k](key)}" for k in KINDS)
@@ -190,12 +209,20 @@ def changed(text: str, key: str = KEY) -> Column:
     return F.expr(f"transform(regexp_extract_all({text}, {_text(PATTERN)}, 0), m -> {one})")
 
 
-def pseudonymise(docs: DataFrame, key: str = KEY, counts: bool = True) -> DataFrame:
+def key_of(spark: SparkSession, default: str | None = None) -> str:
+    """The key that the session names, or the default; an error where there is neither."""
+    key = spark.conf.get(KEY_SETTING, None) or default
+    if not key:
+        raise ValueError(f"pseudonyms need a key: set {KEY_SETTING}")
+    return key
+
+
+def pseudonymise(docs: DataFrame, key: str | None = None, counts: bool = True) -> DataFrame:
     """docs with text pseudonymised and, with counts, n_<kind>: how many values of each kind were replaced."""
-    if not counts:
-        docs, restored = shielded(docs, {"text"})
-        return restored(_replaced(docs, docs.columns, key, False))
-    return _replaced(docs, [c for c in docs.columns if c not in {"_found", *(f"n_{k}" for k in KINDS)}], key, True)
+    key = key or key_of(docs.sparkSession)
+    names = [f"n_{k}" for k in KINDS] if counts else []
+    docs, restored = shielded(docs.drop(*names), {"text"})
+    return restored(_replaced(docs, docs.columns, key, counts), *names)
 
 
 def _replaced(docs: DataFrame, columns: list[str], key: str, counts: bool) -> DataFrame:

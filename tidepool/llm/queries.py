@@ -13,7 +13,7 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def op1_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidepool.llm import pseudonyms
 
-    return pseudonyms.pseudonymise(_table(spark, sf_dir, "documents"))
+    return pseudonyms.pseudonymise(_table(spark, sf_dir, "documents"), pseudonyms.key_of(spark, pseudonyms.DEMONSTRATION_KEY))
 
 
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
