@@ -30,7 +30,7 @@ def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def without_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with pseudonyms in place of personal numbers, dates and addresses."""
-    return pseudonyms.pseudonymise(docs, counts=False)
+    return pseudonyms.pseudonymise(docs, pseudonyms.key_of(spark, pseudonyms.DEMONSTRATION_KEY), counts=False)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
