@@ -51,10 +51,74 @@ def test_odd_documents(odd_docs, no_docs):
 
 
 def test_files_hold_runs_of_slots(spark, small, tmp_path):
-    grid = [d.cast("int") for d in H.documents_grid()]
-    done = H.shard(small, H.curve_index(grid, H.BITS), [F.col("doc_id")], shards=4)
+    sized = small.withColumn("size", F.octet_length("text").cast("long"))
+    grid = [d.cast("int") for d in H.documents_grid(sized)]
+    done = H.shard(sized, H.curve_index(grid, H.BITS), [F.col("doc_id")], shards=4)
     H.write_shards(done, str(tmp_path / "s"), 8)
     back = spark.read.parquet(str(tmp_path / "s")).withColumn("file", F.input_file_name())
     assert sorted(r.doc_id for r in back.collect()) == sorted(r.doc_id for r in small.collect())
     runs = back.groupBy("shard", "file").agg(F.min("slot").alias("a"), F.max("slot").alias("b"), F.count("*").alias("n")).collect()
     assert all(r.b - r.a + 1 == r.n for r in runs) and len({r.shard for r in runs}) == 4
+
+
+def plain_cuts(values, runs=16):
+    """Values at which a run begins, runs counted over sorted rows."""
+    rows, out, last = sorted(v for v in values if v is not None), [], None
+    for v in sorted(set(rows)):
+        at = rows.index(v) * runs // len(rows)
+        if at and at != last:
+            out.append(v)
+            last = at
+    return out
+
+
+def test_cuts_against_sorted_rows(spark):
+    rows = [(f"s{i * i % 37:02d}" if i % 3 else "s05", None if i % 11 == 0 else i * 7919 % 501) for i in range(2_000)]
+    df = spark.createDataFrame(rows, "s string, x long").repartition(5)
+    assert H.cuts(df, ["s", "x"]) == [plain_cuts([r[i] for r in rows]) for i in (0, 1)]
+    assert H.cuts(df.limit(0), ["s", "x"]) == [[], []]
+
+
+def test_every_slot_follows_from_curve_text_and_id(spark):
+    """Slots of a real table against rows sorted by cell; within it rows of one text are neighbours, ordered by doc_id."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rows = {r.doc_id: r for r in docs.collect()}
+    size = {i: len(r.text.encode()) + 1 for i, r in rows.items()}
+    axes = [{i: r.lang for i, r in rows.items()}, {i: r.source for i, r in rows.items()}, size]
+    at = [plain_cuts(a.values()) for a in axes]
+    points = {i: tuple(sum(c <= a[i] for c in cut) for a, cut in zip(axes, at, strict=True)) for i in rows}
+    cells = spark.createDataFrame([(i, *p) for i, p in points.items()], "doc_id long, x int, y int, z int")
+    curve = {r.doc_id: r.h for r in cells.select("doc_id", H.curve_index([F.col("x"), F.col("y"), F.col("z")], 4).alias("h")).collect()}
+    got = sorted(H.shard_documents(docs).collect(), key=lambda r: (r.shard, r.slot))
+    assert [curve[r.doc_id] for r in got] == sorted(curve.values())
+    texts = [(curve[r.doc_id], rows[r.doc_id].text) for r in got]
+    starts = [t for i, t in enumerate(texts) if not i or texts[i - 1] != t]
+    assert len(starts) == len(set(starts)) < len(got)
+    assert all(a.doc_id < b.doc_id for a, b, t, u in zip(got, got[1:], texts, texts[1:], strict=False) if t == u)
+    n = len(got)
+    assert [(r.shard, r.slot) for r in got] == [(s, k) for s in range(8) for k in range(n // 8 + (s < n % 8))]
+
+
+def test_rows_equal_in_every_column_are_parted(spark):
+    df = spark.range(20_000, numPartitions=16).select(F.lit(1).alias("cell"), F.lit("same").alias("t"), F.lit(None).cast("long").alias("doc_id"))
+    done = H.shard(df, F.col("cell"), [F.col("t"), F.col("doc_id")], most_parts=64)
+    check(done.collect(), 20_000)
+    plan = done._jdf.queryExecution().optimizedPlan().toString()
+    assert "own_parts" in plan
+
+
+def test_files_are_pruned_on_every_axis(spark, tmp_path):
+    """Of 64 files, those whose minima and maxima admit a filter: far fewer along the curve than in the order of doc_id."""
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").withColumn("size", F.octet_length("text").cast("long"))
+    done = H.shard(docs, H.curve_index([d.cast("int") for d in H.documents_grid(docs)], H.BITS), [F.col("text"), F.col("doc_id")]).drop("text")
+    H.write_shards(done, str(tmp_path / "curve"), 64)
+    docs.drop("text").repartitionByRange(64, "doc_id").write.parquet(str(tmp_path / "plain"))
+    share = {}
+    for name in ("curve", "plain"):
+        files = spark.read.parquet(str(tmp_path / name)).groupBy(F.input_file_name().alias("f")).agg(*(f(c).alias(f"{n}_{c}") for c in ("lang", "source", "size") for f, n in ((F.min, "lo"), (F.max, "hi")))).collect()
+        hits = []
+        for c in ("lang", "source", "size"):
+            values = [r[0] for r in docs.select(c).distinct().orderBy(c).collect()]
+            hits.append(sum(f[f"lo_{c}"] <= v <= f[f"hi_{c}"] for f in files for v in values) / len(files) / len(values))
+        share[name] = hits
+    assert all(a < 0.8 * b for a, b in zip(share["curve"], share["plain"], strict=True)) and sum(share["curve"]) < 0.5 * sum(share["plain"]), share

@@ -2,14 +2,20 @@
 
 Rows near each other on the curve are near in every dimension, so each shard covers a compact box and
 minima and maxima of its columns prune files for filters on any of them. DataFrame functions only.
-
-The global rank that cuts equal runs needs no global sort: cells are counted (their number is bounded
-by the grid), cells of many rows are parted by a hash of their rows into at most as many parts again, counts are summed up along the
-curve, and each row adds its place within its part. Law: `rows`, shard sizes differ by one at most.
-
-Defined cases: null text has 0 bytes (size 1, CRC 0); null metadata is a value of its own; equal rows
-get slots of their own; documents of one text lie together where their other metadata agree. Empty
-tables give empty results. shard() keeps every other column; shard and slot of the input are replaced.
+Every axis is ordinal: it is cut at values that hold about equal numbers of rows, at most 2**bits - 1 of
+them, whatever the number of distinct values.
+
+The global rank that cuts equal runs needs no global sort. Keys are written once with the partition they
+come from; cells are counted (their number is bounded by the grid) and parted by a hash of the group
+columns into at most as many parts again; a group that alone is larger than such a part is a part of its
+own, parted once more by a hash of order and partition, so not even rows equal in every column meet in
+one task. Counts are summed up along the curve, and each row adds its place within its part. Rows of one
+group and cell are neighbours. Law: `rows`, shard sizes differ by one at most.
+
+Defined cases: null text has 0 bytes (size 1, CRC 0); null metadata come before all others on their axis;
+equal rows get slots of their own; documents of one text and equal metadata lie together (a cut between
+two shards may part them). Empty tables give empty results. shard() keeps every other column; shard and
+slot of the input are replaced. A long text counts by its size and CRC alone.
 """
 
 from __future__ import annotations
@@ -18,6 +24,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tidepool.llm.common import materialise
+
 BITS, SHARDS, MOST_PARTS = 4, 8, 4_096
 
 
@@ -60,26 +68,65 @@ def _name(x: Column) -> str:
     return x._jc.toString() if hasattr(x, "_jc") else str(x)
 
 
-def documents_grid(bits: int = BITS) -> list[Column]:
-    """Language, source and size of documents on the grid: hashes of the names, the logarithm of the size."""
-    top = (1 << bits) - 1
-    size = F.octet_length(F.coalesce("text", F.lit(""))) + 1
-    return [
-        F.pmod(F.crc32(F.coalesce("lang", F.lit(""))), F.lit(top + 1)),
-        F.pmod(F.crc32(F.coalesce("source", F.lit(""))), F.lit(top + 1)),
-        F.least(F.floor(F.log2(size.cast("double"))), F.lit(top)),
-    ]
-
-
-def shard(df: DataFrame, cell: Column, order: list[Column], shards: int = SHARDS, most_parts: int = MOST_PARTS) -> DataFrame:
-    """df with shard and slot: runs of equal numbers of rows along (cell, order)."""
+def cuts(df: DataFrame, columns: list[str], bits: int = BITS) -> list[list]:
+    """For each column (strings or whole numbers) at most 2**bits - 1 values, ascending, that cut its rows into runs about equally long.
+
+    A value of many rows takes several runs. Distinct values are counted and put in order by ranges, so no task sorts them all.
+    """
+    runs, kinds = 1 << bits, dict(df.dtypes)
+    text = [F.col(c) if kinds[c] == "string" else F.lit(None).cast("string") for c in columns]
+    number = [F.lit(None).cast("long") if kinds[c] == "string" else F.col(c).cast("long") for c in columns]
+    value = F.explode(F.array(*(F.struct(F.lit(i).alias("axis"), t.alias("s"), x.alias("x")) for i, (t, x) in enumerate(zip(text, number, strict=True)))))
+    counts = df.select(value.alias("v")).select("v.*").where("s is not null or x is not null").groupBy("axis", "s", "x").agg(F.count("*").alias("n"))
+    counts = materialise(counts.repartitionByRange("axis", "s", "x").withColumn("range", F.spark_partition_id()), "values")
+    ranges = counts.groupBy("axis", "range").agg(F.sum("n").alias("n"))
+    earlier = W.partitionBy("axis").orderBy("range").rowsBetween(W.unboundedPreceding, -1)
+    ranges = ranges.select("axis", "range", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("earlier"), F.sum("n").over(W.partitionBy("axis")).alias("whole"))
+    lower = W.partitionBy("axis", "range").orderBy("s", "x").rowsBetween(W.unboundedPreceding, -1)
+    placed = counts.withColumn("lower", F.coalesce(F.sum("n").over(lower), F.lit(0))).join(F.broadcast(ranges), ["axis", "range"])  # as many rows as axes and partitions
+    at = F.floor((F.col("earlier") + F.col("lower")) * runs / F.col("whole"))
+    first = placed.select("axis", at.alias("at"), F.struct("s", "x").alias("v")).where("at > 0").groupBy("axis", "at").agg(F.min("v").alias("v"))
+    out: list[list] = [[] for _ in columns]
+    for r in first.orderBy("axis", "at").collect():
+        out[r["axis"]].append(r["v"]["x"] if r["v"]["s"] is None else r["v"]["s"])
+    return out
+
+
+def coordinate(column: str, at: list) -> Column:
+    """How many of the cuts lie at or below a value; none for null."""
+    if not at:
+        return F.lit(0)
+    return F.coalesce(F.size(F.filter(F.array(*map(F.lit, at)), lambda c: c <= F.col(column))), F.lit(0))
+
+
+def documents_grid(docs: DataFrame, bits: int = BITS) -> list[Column]:
+    """Language, source and size of documents (lang, source, size) on the grid."""
+    names = ["lang", "source", "size"]
+    return [coordinate(c, at) for c, at in zip(names, cuts(docs, names, bits), strict=True)]
+
+
+def shard(df: DataFrame, cell: Column, order: list[Column], shards: int = SHARDS, most_parts: int = MOST_PARTS, group: int | None = None) -> DataFrame:
+    """df with shard and slot: runs of equal numbers of rows along (cell, order).
+
+    group: of how many of the first columns of order equal values are kept together (all but the last by default).
+    """
     own = [F.col("`" + c.replace("`", "``") + "`") for c in df.columns if c not in ("shard", "slot")]
-    staged = df.select(F.struct(*own).alias("row"), cell.alias("cell"), F.xxhash64(*order).alias("tie"), F.struct(*(o.alias(f"o{i}") for i, o in enumerate(order))).alias("order"))
-    # One row for each cell of the grid at most, and of parts most_parts more: small whatever the corpus.
-    cells = staged.groupBy("cell").agg(F.count("*").alias("n"))
-    whole = F.sum("n").over(W.partitionBy())
-    cells = cells.select("cell", F.ceil(F.col("n") * most_parts / F.greatest(whole, F.lit(most_parts * 100))).alias("parts"))
-    parted = staged.join(F.broadcast(cells), "cell").withColumn("part", F.pmod("tie", F.col("parts"))).drop("parts")
+    group = max(1, len(order) - 1) if group is None else group
+    staged = df.select(F.struct(*own).alias("row"), cell.alias("cell"), F.xxhash64(*order[:group]).alias("tie"), F.struct(*(o.alias(f"o{i}") for i, o in enumerate(order))).alias("order"), F.spark_partition_id().alias("origin"))
+    staged = materialise(staged, "placed")
+    total = F.sum("n").over(W.partitionBy())
+    some = F.greatest(total, F.lit(most_parts * 100)) / most_parts  # rows that a part may hold
+    # One row for each cell of the grid at most, and of parts and large groups most_parts more each: small whatever the corpus.
+    groups = staged.groupBy("cell", "tie").agg(F.count("*").alias("n"))
+    cells = groups.groupBy("cell").agg(F.sum("n").alias("n")).select("cell", F.ceil(F.col("n") / some).alias("parts"), total.alias("whole"))
+    cells = materialise(cells, "cells")
+    large = groups.join(F.broadcast(cells), "cell").where(F.col("n") * most_parts > F.greatest(F.col("whole"), F.lit(most_parts * 100)))
+    large = materialise(large.select("cell", "tie", F.ceil(F.col("n") * most_parts / F.greatest("whole", F.lit(most_parts * 100))).alias("own_parts")), "large-groups")
+    parted = staged.join(F.broadcast(cells.select("cell", "parts")), "cell").join(F.broadcast(large), ["cell", "tie"], "left")
+    alone = F.col("own_parts").isNotNull()
+    sub = F.when(alone, F.pmod(F.xxhash64("order", "origin"), F.col("own_parts"))).otherwise(F.lit(0))
+    part = F.struct(F.when(~alone, F.pmod("tie", F.col("parts"))).alias("some"), F.when(alone, F.col("tie")).alias("one"), sub.alias("sub"))
+    parted = parted.withColumn("part", part).drop("parts", "own_parts")
     sizes = parted.groupBy("cell", "part").agg(F.count("*").alias("n"))
     sizes = sizes.select("cell", "part", (F.sum("n").over(W.orderBy("cell", "part")) - F.col("n")).alias("before"), F.sum("n").over(W.partitionBy()).alias("whole"))
     placed = parted.withColumn("place", F.row_number().over(W.partitionBy("cell", "part").orderBy("tie", "order")))
@@ -101,8 +148,10 @@ def write_shards(sharded: DataFrame, path: str, files: int) -> None:
 def shard_documents(docs: DataFrame, shards: int = SHARDS, bits: int = BITS) -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot and grown_shard (null under this law) of each document."""
     text = F.coalesce("text", F.lit(""))
-    grid = [d.cast("int").alias(f"_x{i}") for i, d in enumerate(documents_grid(bits))]
-    slim = docs.select("doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text).alias("text_crc32"), *grid)
+    slim = docs.select("doc_id", "lang", "source", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text).alias("text_crc32"))
+    slim = materialise(slim, "sizes")  # the texts are read once
+    grid = documents_grid(slim, bits)
+    named = slim.select("*", *(d.cast("int").alias(f"_x{i}") for i, d in enumerate(grid)))
     cell = curve_index([F.col(f"_x{i}") for i in range(len(grid))], bits)
-    done = shard(slim, cell, [F.col("text_crc32"), F.col("size"), F.col("doc_id")], shards)
+    done = shard(named, cell, [F.col("text_crc32"), F.col("size"), F.col("doc_id")], shards)
     return done.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
