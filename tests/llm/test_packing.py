@@ -72,10 +72,9 @@ def check(df, capacity):
     return at
 
 
-@pytest.mark.parametrize("block", [500_000, 3])
-def test_whole_table(spark, small, encoder, monkeypatch, block):
-    monkeypatch.setattr(P, "_BLOCK", block)
-    got = P.pack_documents(small, capacity=256)
+@pytest.mark.parametrize("tasks", [1, 9])
+def test_whole_table(spark, small, encoder, tasks):
+    got = P.pack_documents(small.repartition(tasks), capacity=256)
     check(got, 256)
     texts = {r.doc_id: r.text for r in small.collect()}
     pieces = {}
@@ -103,3 +102,15 @@ def test_odd_documents(odd_docs, no_docs):
 def test_sequences_hold_the_ids(small, encoder):
     got = P.assemble(P.pack_documents(small.limit(20), with_ids=True))
     assert sum(len(r.ids) for r in got.collect()) == sum(len(encoder.encode(r.text)) + 1 for r in small.limit(20).collect())
+
+
+def test_equal_pieces_of_one_length_are_ranked_by_their_tasks(spark):
+    pieces = spark.range(30_000, numPartitions=12).select(F.when(F.col("id") % 3 > 0, 7).otherwise(F.col("id") % 90 + 1).cast("long").alias("length"), F.lit(None).cast("string").alias("offset"), F.lit("x").alias("name"))
+    got = P.pack(pieces, 100)
+    assert got.columns == ["length", "name", "sequence_id", "offset"]
+    at = check(got, 100)
+    assert sum(map(len, at.values())) == 30_000
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "row_number" not in plan
+    with pytest.raises(ValueError, match="every length"):
+        P.pack(pieces, 50)

@@ -5,12 +5,15 @@ Only lengths decide a packing, so the plan is made from the histogram of piece l
 longest with the longest other that still fits, two to a sequence at most; the shorter ones then go,
 longest first, where they leave the least room. All pieces of one length move through the plan as
 one count, so the plan is a bounded list of runs (length, ranks, sequence numbers, offset), and each
-piece finds its run by its rank among the pieces of its length. A length that very many pieces share
-is ranked in blocks, with the blocks' counts summed up, so no task holds it alone.
+piece finds its run by its rank among the pieces of its length. Ranks need no sort and no window over
+pieces: a task numbers its own pieces of each length as it writes them, and the tasks' counts are summed
+up, so a length that very many pieces share is no task's alone.
 
 Defined cases: a null text is an empty one and yields the end id alone; only documents longer than
-the capacity are cut; equal rows are pieces of their own; a null doc_id stays null. Empty tables give
-empty results. Words are cut at ASCII white space before tokenising, which the tokenizer drops anyway.
+the capacity are cut, at ids, whatever their length; equal rows are pieces of their own; a null doc_id
+stays null; columns of docs but doc_id and text are left out, those of pieces that pack() is given stay,
+but for sequence_id and offset, which give way to the results. Empty tables give empty results. Words are
+cut at ASCII white space before tokenising, which the tokenizer drops anyway.
 """
 
 from __future__ import annotations
@@ -23,6 +26,7 @@ from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -33,7 +37,6 @@ CAPACITY = 4096
 END_ID = 1
 VOCABULARY = "word_bpe_49k.json"
 _CACHED = 300_000
-_BLOCK = 2_000  # pieces of one length that are ranked together, or a 256th of all, if that is more
 _TAILS = {ord("."): 1, ord(","): 2}
 #: What a byte-level vocabulary writes for each byte: printable ones stand for themselves, the others follow from U+0100 on.
 _PRINTED = {*range(33, 127), *range(161, 173), *range(174, 256)}
@@ -195,8 +198,26 @@ def encoder(path: str) -> Encoder:
     return _ENCODERS[path]
 
 
-def tokenise(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, end_id: int = END_ID, with_ids: bool = False) -> DataFrame:
-    """doc_id, piece, start, length, ids_crc32 (and ids) of each piece of each document."""
+_OWN = "_task int, _rank long"
+
+
+def _numbered(batches):
+    """Batches of pieces with the task's number and each piece's rank among the task's pieces of its length."""
+    task = TaskContext.get().partitionId()
+    seen: dict[int, int] = {}
+    for b in batches:
+        length = np.asarray(b.column("length"))
+        rank = np.zeros(len(length), np.int64)
+        order = np.argsort(length, kind="stable")
+        values, first, n = np.unique(length[order], return_index=True, return_counts=True)
+        earlier = np.array([seen.get(v, 0) for v in values.tolist()], np.int64)
+        rank[order] = np.arange(len(length)) - np.repeat(first - earlier, n)
+        seen.update(zip(values.tolist(), (earlier + n).tolist(), strict=True))
+        yield pa.RecordBatch.from_arrays([*b.columns, pa.array(np.full(len(length), task, np.int32)), pa.array(rank)], names=[*b.schema.names, "_task", "_rank"])
+
+
+def tokenise(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, end_id: int = END_ID, with_ids: bool = False, numbered: bool = False) -> DataFrame:
+    """doc_id, piece, start, length, ids_crc32 (and ids; and, numbered, a task and a rank for pack()) of each piece of each document."""
     path = path or tokenizer_path()
     bounded_batches(docs.sparkSession)
     source = docs.select("doc_id", "text")
@@ -216,7 +237,9 @@ def tokenise(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY,
             kept = b.column("doc_id").take(pa.array(rows.pop("row"), pa.int64()))
             yield pa.RecordBatch.from_arrays([kept, *(pa.array(v, names[k]) for k, v in rows.items())], names=["doc_id", *names])
 
-    return source.mapInArrow(run, schema)
+    if not numbered:
+        return source.mapInArrow(run, schema)
+    return source.mapInArrow(lambda batches: _numbered(run(batches)), plus(schema, _OWN))
 
 
 def plan(counts: dict[int, int], capacity: int = CAPACITY) -> tuple[np.ndarray, int]:
@@ -288,24 +311,23 @@ def plan(counts: dict[int, int], capacity: int = CAPACITY) -> tuple[np.ndarray,
 
 
 def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
-    """pieces (length and any other columns; a table that rereads alike) with sequence_id and offset."""
-    counts = {r[0]: r[1] for r in pieces.groupBy("length").count().collect()}
+    """pieces (length and any other columns) with sequence_id and offset."""
+    pieces = pieces.drop("sequence_id", "offset", "_task", "_rank")
+    return _placed(materialise(pieces.mapInArrow(_numbered, plus(pieces.schema, _OWN)), "pieces"), capacity)
+
+
+def _placed(pieces: DataFrame, capacity: int) -> DataFrame:
+    """A written table of numbered pieces with sequence_id and offset."""
+    names = [c for c in pieces.columns if c not in ("_task", "_rank")]
+    tasks = pieces.groupBy("length", "_task").agg((F.max("_rank") + 1).alias("n"))
+    counts = {r[0]: r[1] for r in tasks.groupBy("length").agg(F.sum("n")).collect()}
     if any(not 0 < n <= capacity for n in counts):
         raise ValueError(f"every length must be from 1 to {capacity}")
     runs, _ = plan(counts, capacity)
-    sent = pieces.sparkSession.sparkContext.broadcast(runs)
-    block = max(_BLOCK, sum(counts.values()) // 256)
-    hot = {n: -(-c // block) for n, c in counts.items() if c > block}
-    order = [F.col(c) for c in pieces.columns if c not in ("length", "ids")]
-    many = F.coalesce(F.try_element_at(F.create_map(*(F.lit(x) for pair in hot.items() for x in pair)), F.col("length").cast("int")), F.lit(1)) if hot else None
-    dealt = pieces.withColumn("_block", F.pmod(F.xxhash64(*order), many) if hot else F.lit(0).cast("long"))
-    ranked = dealt.withColumn("_rank", F.row_number().over(W.partitionBy("length", "_block").orderBy(*order)).cast("long") - 1)
-    if hot:
-        sizes = dealt.where(F.col("length").isin(*hot)).groupBy("length", "_block").count()
-        before = F.sum("count").over(W.partitionBy("length").orderBy("_block").rowsBetween(W.unboundedPreceding, -1))
-        sizes = sizes.select("length", "_block", F.coalesce(before, F.lit(0)).alias("_before"))
-        ranked = ranked.join(sizes, ["length", "_block"], "left").withColumn("_rank", F.col("_rank") + F.coalesce("_before", F.lit(0))).drop("_before")
-    ranked = ranked.drop("_block").select(*pieces.columns, "_rank")
+    sent = pieces.sparkSession.sparkContext.broadcast(runs)  # a few runs for each of at most `capacity` lengths
+    earlier = F.sum("n").over(W.partitionBy("length").orderBy("_task").rowsBetween(W.unboundedPreceding, -1))
+    tasks = tasks.select("length", "_task", F.coalesce(earlier, F.lit(0)).alias("_earlier"))
+    ranked = pieces.join(tasks, ["length", "_task"]).select(*names, (F.col("_rank") + F.col("_earlier")).alias("_rank"))
 
     def run(batches):
         table = sent.value
@@ -315,15 +337,14 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
             r = table[np.searchsorted(keys, length.astype(np.int64) << 40 | rank, "right") - 1]
             k = rank - r[:, 1]
             seq, offset = r[:, 4] + k // r[:, 3], r[:, 5] + k % r[:, 3] * length
-            kept = [c for c in b.schema.names if c != "_rank"]
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in kept), pa.array(seq, pa.int64()), pa.array(offset, pa.int64())], names=[*kept, "sequence_id", "offset"])
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in names), pa.array(seq, pa.int64()), pa.array(offset, pa.int64())], names=[*names, "sequence_id", "offset"])
 
-    return ranked.mapInArrow(run, plus(pieces.schema, "sequence_id long, offset long"))
+    return ranked.mapInArrow(run, plus(ranked.drop("_rank").schema, "sequence_id long, offset long"))
 
 
 def pack_documents(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, end_id: int = END_ID, with_ids: bool = False) -> DataFrame:
     """Tokenise docs, write the pieces, and give each its place."""
-    return pack(materialise(tokenise(docs, path, capacity, end_id, with_ids), "pieces"), capacity)
+    return _placed(materialise(tokenise(docs, path, capacity, end_id, with_ids, numbered=True), "pieces"), capacity)
 
 
 def assemble(packed: DataFrame) -> DataFrame:
