@@ -58,3 +58,54 @@ def test_odd_documents(odd_docs, no_docs):
     kept = L.keep_known(odd_docs, model)
     assert kept.columns == odd_docs.columns
     assert not kept.where("text is null or doc_id = 7").count()
+
+
+def code(gram):
+    n = 0
+    for c in gram:
+        n = n << 21 | ord(c)
+    return n
+
+
+def plain_rank(counts, size=L.SIZE):
+    return sorted(counts, key=lambda g: (-counts[g], code(g)))[:size]
+
+
+def plain_prediction(text, profiles, size=L.SIZE):
+    """Out-of-place distances by loops; the nearest language, the first by name if several are."""
+    own = plain_rank(plain_grams(text or ""), size)
+    if not own or not profiles:
+        return "und", 0.0
+    distance = {}
+    for lang, ranks in profiles.items():
+        distance[lang] = 0
+        for place, gram in enumerate(own):
+            distance[lang] += abs(ranks[gram] - place) if gram in ranks else size
+    best = min(sorted(distance), key=distance.get)
+    return best, 1 - distance[best] / (len(own) * size)
+
+
+def test_every_document_against_loops_over_plain_profiles(spark, small):
+    rows = small.withColumn("out", common.held_out()).collect()
+    total = {}
+    for r in rows:
+        if not r.out and r.lang is not None and r.text is not None:
+            for g, n in plain_grams(r.text).items():
+                own = total.setdefault(r.lang, {})
+                own[g] = own.get(g, 0) + n
+    profiles = {lang: {g: i for i, g in enumerate(plain_rank(own))} for lang, own in total.items()}
+    got = {r.doc_id: (r.lang_pred, r.score) for r in L.predict(small, L.learn(small)).collect()}
+    assert len(got) == len(rows) > 100
+    for r in rows:
+        lang, score = plain_prediction(r.text, profiles)
+        assert got[r.doc_id][0] == lang and abs(got[r.doc_id][1] - score) < 1e-9
+
+
+def test_equal_distances_go_to_the_first_language_by_name():
+    grams = [code(g) for g in ("a", "\x01a", "a\x01")]
+    for names in (("de", "en"), ("en", "de")):
+        model = L.Profiles({n: grams for n in names}, size=3)
+        assert model.predict("a")[0] == "de"
+    near = {"b": [code("a"), code("b")], "a": [code("b"), code("c")]}
+    model = L.Profiles(near, size=2)
+    assert model.predict("b")[0] == plain_prediction("b", {n: {chr(g): i for i, g in enumerate(v)} for n, v in near.items()}, 2)[0]

@@ -87,3 +87,44 @@ def test_odd_documents(odd_docs, no_docs):
     assert len(rows) == odd_docs.count() and {r.spans for r in rows} == {""}
     assert S.find(no_docs).count() == 0
     assert S.scan("token" + " " * 100_000 + "x" + "=" * 100_000) == []
+
+
+def wrapped(key, width, glue):
+    return glue.join(b64(key)[i : i + width] for i in range(0, len(b64(key)), width))
+
+
+def test_escaped_wrapped_and_glued_keys_are_found():
+    for key in (RSA, PKCS8, EC, SSH):
+        body = wrapped(key, 64, "\\n")
+        told = json.dumps({"key": f"-----BEGIN PRIVATE KEY-----\n{wrapped(key, 64, chr(10))}\n-----END PRIVATE KEY-----\n"})
+        a, b = told.index("-----BEGIN"), told.rindex("-----") + 5
+        assert S.scan(told) == [("key", a, b)]
+        for glue in ("\n", "\r\n", "\n  ", "\\n", "\\\\n", "\\r\\n"):
+            text = f"é the key:\n{wrapped(key, 48, glue)} and more"
+            at = text.index(b64(key)[:20])
+            assert S.scan(text) == [("key", at, len(text) - 9)], glue
+            assert S.scan(text.replace(" and more", "\nhello")) == [("key", at, len(text) - 9)] or "=" not in text
+        assert [s[0] for s in S.scan(f"x-/{b64(key)}")] == ["key"]
+        assert "key" in kinds(f"path/to/{b64(key).rstrip('=')}AAAA") and body
+    assert "key" not in kinds(wrapped(RSA, 64, "\n")[:-40]) and "key" not in kinds("M" * 4_000 + "\n" + "IIE" * 4_000)
+
+
+def test_encrypted_blocks_are_confirmed_by_their_headers():
+    body = wrapped(bytes(range(256)) * 2, 64, "\n")
+    block = f"-----BEGIN RSA PRIVATE KEY-----\nProc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,0123\n\n{body}\n-----END RSA PRIVATE KEY-----"
+    assert ("key", 0, len(block)) in S.scan(block)
+    assert "key" not in kinds(block.replace("Proc-Type: 4,ENCRYPTED\n", "")) and "key" not in kinds(block.replace("AAEC", "AAE="))
+    two = f"-----BEGIN CERTIFICATE-----\nAAAA\n{block}"
+    assert ("key", two.index(block), len(two)) in S.scan(two)
+
+
+def test_tokens_with_white_space_and_neighbours_are_found():
+    def part(s):
+        return base64.urlsafe_b64encode(s.encode()).decode().rstrip("=")
+
+    for head in ('{ "alg": "RS256" }', '{\n  "alg": "none"}', ' {"alg":"HS256"}', '\n{"alg":"HS256"}'):
+        token = f"{part(head)}.{part('{ }')}.c2ln"
+        assert S.scan(f"at {token}, x") == [("jwt", 3, 3 + len(token))]
+        assert S.scan(f"mailservername.{token}.more") == [("jwt", 15, 15 + len(token))]
+    token = f"{part(chr(123) + chr(34) + 'alg' + chr(34) + ':' + chr(34) + 'x' + chr(34) + '}')}.{part('{}')}."
+    assert S.scan("id_" + token) == [("jwt", 3, 3 + len(token))]

@@ -167,3 +167,24 @@ def test_links_join_what_shares_enough(spark, large, split):
     for _ in want:
         want = [min(want[j] for j, u in enumerate(texts) if similarity(t, u) >= 0.8) for t in texts]
     assert got == want
+
+
+def test_equal_values_share_a_node_of_the_tree():
+    import time
+
+    took = []
+    for n in (5_000, 20_000):
+        began = time.process_time()
+        tree = S.Tree([5] * n + [6])
+        assert len(list(tree.chains(3))) == n and len(tree.value) == 2
+        took.append(time.process_time() - began)
+    assert took[1] < 12 * max(took[0], 0.01)  # four times as many: linear, not quadratic
+
+
+def test_permutations_of_one_word_set(spark):
+    """Thousands of texts of the same words in other orders share no shingle and all stay."""
+    rng = random.Random(12)
+    words = [f"w{i}" for i in range(40)]
+    texts = [" ".join(rng.sample(words, 40)) for _ in range(3_000)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert S.near_dedup(docs).count() == 3_000
