@@ -72,3 +72,34 @@ def test_removal(spark, odd_docs, shard_bytes):
 def test_text_around_a_span_stays():
     text = "Ä, one-TWO; three!  (four)"
     assert D._cut(text, [1, 3]) == "Ä, ; three!  (four)"
+
+
+@pytest.mark.parametrize("shards", [1, 50, 100])
+def test_documents_are_read_once_whatever_the_benchmark_s_size(spark, shards):
+    rng = random.Random(shards)
+    vocabulary = [f"v{i}" for i in range(400)] + ["a", "b", "c"]
+    items = [(str(i), " ".join(rng.choices(vocabulary, k=rng.choice([0, 1, 2, 3, 9, 10, 11, 40])))) for i in range(300)]
+    items = [(n, t) for n, t in items if len(t.split()) > 1 or n.endswith("7")]
+    texts = []
+    for _ in range(150):
+        parts = [" ".join(rng.choices(vocabulary, k=rng.randint(0, 30)))]
+        for _ in range(rng.randint(0, 3)):
+            own = rng.choice(items)[1].split()
+            a = rng.randrange(len(own) + 1)
+            parts += [" ".join(own[a : a + rng.randint(3, 30)]), " ".join(rng.choices(vocabulary, k=5))]
+        texts.append(" ".join(parts))
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            read.add(len(b))
+            yield b
+
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4).mapInArrow(counted, "doc_id long, text string")
+    bench = spark.createDataFrame(items, "item_id string, text string")
+    size = sum(len(t) + 64 for _, t in items)
+    got = D.contamination(docs, bench, shard_bytes=-(-size // shards)).collect()
+    assert read.value == len(texts)
+    assert sum(r.contaminated for r in got) > 50
+    for r in got:
+        assert tuple(r)[1:] == plain(texts[r.doc_id], items, 10)
