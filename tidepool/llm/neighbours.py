@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 
 from tidepool.llm.common import bounded_batches, materialise, partitions
 
-TABLES, FIRST, MISS, FILL, CHUNK, SEED = 8, 2, 0.04, 1_000, 20_000, 20
+TABLES, FIRST, MISS, FILL, CHUNK, SEED = 8, 2, 0.04, 1_000, 2_000, 20
 DRAWN = 256  # vectors drawn for each query to see where its neighbours may lie
 WHOLE = -1  # the table whose one bucket holds every vector
 _ROWS = 4_096
@@ -250,7 +250,7 @@ def _found(index: DataFrame, asks: DataFrame, k: int, tables: int, chunk: int, s
     if every:
         dealt = dealt.unionByName(index.select("dim", F.lit(WHOLE).alias("tab"), F.lit(0).cast("long").alias("bucket"), "id", "vector"))
     # Vectors and queries of each bucket that both have: into how many parts of about `chunk` vectors (less, if long ones) and shares of queries they go.
-    parts = F.ceil(F.greatest(F.col("vectors") / chunk, F.col("vectors") * F.col("dim") / (128 * chunk))).cast("int")
+    parts = F.ceil(F.greatest(F.col("vectors") / chunk, F.col("vectors") * F.col("dim") / (1_024 * chunk))).cast("int")
     sizes = dealt.groupBy(*bucket).agg(F.count("*").alias("vectors")).join(asks.groupBy(*bucket).agg(F.count("*").alias("queries")), bucket)
     sizes = materialise(sizes.select(*bucket, parts.alias("parts"), F.ceil(F.col("queries") / (2 * chunk)).cast("int").alias("shares")), "buckets")
     from_hash = lambda n: F.pmod(F.xxhash64("id"), n).cast("int")
