@@ -1,5 +1,7 @@
 """Hand-computed cases of the retrieval engine's rules."""
 
+import json
+import math
 import random
 import uuid
 
@@ -125,15 +127,24 @@ def test_maxsim(spark):
     assert search.maxsim_topk(flat, same).first().score == 2.0
 
 
-def test_cosine_strategies_agree_on_ties_zeros_and_blocks(spark):
+def test_cosine_against_loops_on_ties_zeros_and_blocks(spark):
     rng = random.Random(2)
     rows = [(i, [float(rng.randint(-1, 1)) for _ in range(3)]) for i in range(60)]
-    corpus = spark.createDataFrame(rows, "id long, vector array<double>")
-    queries = spark.createDataFrame([(i, [1.0, float(i), 0.5]) for i in range(5)], "qid long, vector array<double>")
-    a, b = ({tuple(r) for r in search.cosine_topk(corpus, queries, 7, s, block=2).select("qid", "rank", "id", "score").collect()} for s in ("arrow", "sql"))
-    assert len(a) == 35 and a == b
+    asked = [(i, [1.0, float(i), 0.5]) for i in range(5)]
+    corpus, queries = spark.createDataFrame(rows, "id long, vector array<double>"), spark.createDataFrame(asked, "qid long, vector array<double>")
+
+    def cosine(a, b):
+        return round(sum(x * y for x, y in zip(a, b, strict=True)) / math.sqrt(sum(x * x for x in a) * sum(x * x for x in b)), 6)
+
+    want = set()
+    for q, v in asked:
+        near = sorted((-cosine(v, u), i) for i, u in rows if any(u))[:7]
+        want |= {(q, r, i, -s) for r, (s, i) in enumerate(near, 1)}
+    for got in (search.cosine_topk(corpus, queries, 7, block=2), search.cluster_topk(corpus, queries, 7, clusters=4, probes=4, chunk=5)):
+        assert {(r.qid, r["rank"], r.id, round(r.score, 6)) for r in got.collect()} == want
     assert search.cosine_topk(corpus.limit(0), queries).count() == 0
     assert search.cosine_topk(corpus, queries.limit(0)).count() == 0
+    assert search.cluster_topk(corpus.limit(0), queries).count() == 0
 
 
 def test_text_topk_of_copies_orders_by_id(spark):
@@ -216,3 +227,101 @@ def test_usage_and_cost(spark):
 
 def test_l2_of_zero(spark):
     assert spark.range(1).select(vector.l2_normalise(F.array(F.lit(0.0), F.lit(0.0)))).first()[0] == [0.0, 0.0]
+
+
+def test_a_raising_mode_fails_its_own_cells_only(spark):
+    from tidepool.sources.storage import written
+
+    cases = spark.createDataFrame([(1,), (2,), (3,)], "qid long")
+    fine = lambda: cases.select("qid", (F.col("qid") < 3).alias("hit")).where("qid <> 2")
+
+    def broken():
+        raise RuntimeError("no service")
+
+    def lazily():
+        return cases.select("qid", F.raise_error(F.lit("late")).cast("boolean").alias("hit"))
+
+    def alone(one):
+        return one.select("qid", F.when(F.col("qid") == 2, F.raise_error(F.lit("only two")).cast("boolean")).otherwise(F.lit(True)).alias("hit"))
+
+    results = None
+    for name, run, each in (("fine", fine, None), ("broken", broken, None), ("late", lazily, None), ("each", lazily, alone)):
+        got = evaluate.isolated(cases, name, run, written, each)
+        results = got if results is None else results.unionByName(got)
+    names = ["fine", "broken", "late", "each", "absent"]
+    matrix = evaluate.pass_matrix(results, names)
+    assert {tuple(r) for r in matrix.collect()} == {(1, True, False, False, True, False), (2, False, False, False, False, False), (3, False, False, False, True, False)}
+    assert results.where("mode = 'broken'").first().error == "RuntimeError: no service"
+    lines = evaluate.report(matrix, names).splitlines()
+    assert lines[1].split() == ["1", "OK", "FAIL", "FAIL", "OK", "FAIL"] and lines[-1].split() == ["passed", "1/3", "0/3", "0/3", "2/3", "0/3"]
+
+
+def test_reports_and_latency(spark, tmp_path):
+    from tidepool.sources.storage import written
+
+    matrix = spark.createDataFrame([(1, True)], "qid long, m boolean")
+    evaluate.write_report(matrix, str(tmp_path / "r"))
+    assert [tuple(r) for r in spark.read.option("header", True).csv(str(tmp_path / "r")).collect()] == [("1", "true")]
+    got = evaluate.timed("m", lambda: matrix, written, 2).first()
+    assert got.rows == 1 and got.seconds > 0 and got.per_item == got.seconds / 2
+
+
+def test_gold_by_words_and_by_search(spark):
+    d = spark.createDataFrame([("a", "xx one two three four five yy"), ("b", "xxone two three four fiveyy"), ("c", "one two three four"), ("d", None), ("e", "one  two three four five"), ("f", "b c")], "source string, text string")
+    q = spark.createDataFrame([(1, "one two three four five"), (2, "b c"), (3, None), (4, "ne two three four fiv")], "qid long, query string")
+    want = {(1, "a"), (1, "b"), (4, "a"), (4, "b"), (2, "f")}
+    assert {(r.qid, r.source) for r in evaluate.gold_sources(d, q).collect()} == want
+
+
+def test_f1_scores_and_marks(spark):
+    pairs = spark.createDataFrame([(1, "a a b", "a b b"), (2, "", None), (3, "x", "y")], "qid long, answer string, gold string")
+    assert {r.qid: r.f1 for r in evaluate.f1_scores(pairs).collect()} == {1: 0.666667, 2: 1.0, 3: 0.0}
+    judge = lambda q, a, g: F.when(a == "x", 9).when(a == "", None).otherwise(3)
+    got = {r.qid: r.mark for r in evaluate.judged(pairs.withColumn("query", F.lit("q")), judge).collect()}
+    assert got == {1: 3, 2: 1, 3: 5}
+
+
+def test_postings_and_other_embedders(spark):
+    from tidepool.plans import modes
+
+    corpus = spark.createDataFrame([("d1", "same words here"), ("d2", "other words, other words"), ("e", None), ("f", "")], "id string, text string")
+    q = spark.createDataFrame([(1, "words other"), (2, "")], "qid long, query string")
+    a = [(r.qid, r["rank"], r.id, r.score) for r in search.text_topk(corpus, q).orderBy("rank").collect()]
+    b = [(r.qid, r["rank"], r.id, r.score) for r in search.postings_topk(search.with_postings(corpus), q).orderBy("rank").collect()]
+    assert a == b and [x[2] for x in a] == ["d2", "d1"]
+    length = lambda t: F.array(F.length(F.coalesce(t, F.lit(""))).cast("double"), F.lit(1.0))
+    got = modes.TextRetriever(corpus, embed=length).search(q.where("qid = 2"), 1).first()
+    assert got.id in ("e", "f") and got.score == 1.0
+    assert rewrite.written(q, lambda t: F.concat(t, F.lit(" ")), 1).orderBy("qid").collect()[0].rewritten_query == "words"
+
+
+def test_questions_of_very_long_conversations_stay_apart(spark):
+    turns = [(c, t, "user" if t % 2 == 0 else "assistant", f"{c} {t}") for c in (1, 2) for t in range(2_100)]
+    got = rewrite.drafts_from_conversations(spark.createDataFrame(turns, "conv_id long, turn int, role string, text string"))
+    assert got.select("qid").distinct().count() == got.count() == 2_100
+
+
+def test_messages_put_images_first(spark):
+    images = generate.image_messages(spark.createDataFrame([(1, r, f"{r}.png", bytearray(b"x")) for r in range(1, 6)], "qid long, rank int, path string, content binary"))
+    q = spark.createDataFrame([(1, 'say "hi"'), (2, None)], "qid long, query string")
+    got = {r.qid: json.loads(r.body) for r in generate.vision_requests(q, images, "m", 7).collect()}
+    content = got[1]["messages"][0]["content"]
+    assert [c["type"] for c in content] == ["image"] * 5 + ["text"] and ["cache_control" in c for c in content] == [True] * 3 + [False] * 3
+    assert got[1]["system"][0]["cache_control"] == {"type": "ephemeral"} and (got[1]["model"], got[1]["max_tokens"]) == ("m", 7)
+    assert content[-1] == {"type": "text", "text": 'Question: say "hi"'} and content[0]["source"] == {"type": "base64", "media_type": "image/png", "data": "eA=="}
+    assert got[2]["messages"][0]["content"] == [{"type": "text", "text": "Question: "}]
+    answers = {r.qid: r for r in generate.vision_generate(q, images, generate.echoing_generator).collect()}
+    assert answers[1].answer == 'Question: say "hi"' and answers[1].usage.cache_creation_input_tokens == 4 and answers[1].stop_reason == "end_turn"
+    odd = spark.createDataFrame([(1, '{"content": [{"type": "tool"}]}'), (2, "broken")], "qid long, response string")
+    assert [(r.answer, r.usage.input_tokens) for r in generate.parsed_responses(odd).orderBy("qid").collect()] == [("", 0), ("", 0)]
+
+
+def test_evaluation_questions_are_read(spark, tmp_path):
+    (tmp_path / "q.jsonl").write_text('{"id": "1", "q_en": "how much?", "answer": "3", "gold_pages": [{"source": "a", "page": 2}]}\n')
+    got = evaluate.read_questions(spark, str(tmp_path / "q.jsonl")).first()
+    assert got.gold_pages[0].page == 2 and got.q_ko is None
+
+
+def test_half_even(spark):
+    row = spark.range(1).select(*(text.half_even(F.lit(v), 2) for v in (0.125, 0.375, 2.675, 1234.565))).first()
+    assert list(row) == [round(v, 2) for v in (0.125, 0.375, 2.675, 1234.565)]

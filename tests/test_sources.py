@@ -1,6 +1,9 @@
 """Sources, the wire format, the streaming path and what tests of it need."""
 
 import base64
+import struct
+import urllib.error
+import zlib
 
 import numpy as np
 import pytest
@@ -10,6 +13,7 @@ from tidepool.functions import vector
 from tidepool.operators import generate, trace
 from tidepool.operators.index import Collection
 from tidepool.sources import blocks, embedding_service, vectors
+from tidepool.sources.embedding_server import EmbeddingServer, hashed_vectors
 from tidepool.streaming import index_upkeep
 
 
@@ -76,3 +80,81 @@ def test_traces_never_fail(spark, tmp_path):
     rows = trace.traces(answers, hits, "text_only")
     assert rows.first().n_hits == 0
     assert trace.append(rows, str(tmp_path / "t")) and not trace.append(rows, "nosuchscheme://x/y")
+
+
+def test_client_and_server_agree(spark):
+    with EmbeddingServer() as server:
+        url = server.url
+        make = lambda: embedding_service.EmbeddingClient(url)
+        assert make().health() == {"status": "ok"}
+        q = spark.createDataFrame([(i, f"query number {i}") for i in range(19)], "qid long, query string")
+        many, one = ({r.qid: r.vectors for r in f(q, make).collect()} for f in (embedding_service.embed_queries, embedding_service.embed_query))
+        assert many == one and {i: v for i, v in many.items()} == {i: hashed_vectors(f"query number {i}".encode()).tolist() for i in range(19)}
+        with pytest.raises(Exception, match="400"):
+            embedding_service.embed_queries(q.coalesce(1), make, batch=9).collect()
+        for path, body in (("/embed_query", {"query": " "}), ("/embed_queries", {"queries": ["a", ""]}), ("/embed_queries", {}), ("/nothing", {})):
+            with pytest.raises(urllib.error.HTTPError, match="404" if path == "/nothing" else "400"):
+                make()._call(path, body)
+        pages = blocks.page_images(spark.createDataFrame([("s", 1, "some text\nmore")], "source string, page int, page_text string"))
+        got = embedding_service.embed_images(pages.select("source", "page", "image"), make).first()
+        assert got.n_patches == len(got.vectors) == len(hashed_vectors(bytes(pages.first().image))) and (got.source, got.page) == ("s", 1)
+
+
+def test_as_many_embeddings_as_inputs(spark):
+    class Short:
+        def embed_queries(self, queries):
+            return []
+
+    with pytest.raises(Exception, match="0 embeddings for 1 inputs"):
+        embedding_service.embed_queries(spark.createDataFrame([(1, "a")], "qid long, query string"), Short).collect()
+
+
+def test_page_images_are_png_files(spark):
+    pages = spark.createDataFrame([("s", 1, "ab c\n\nd"), ("s", 2, None)], "source string, page int, page_text string")
+    rows = blocks.page_images(pages, 2.0).orderBy("page").collect()
+    raw = bytes(rows[0].image)
+    assert raw[:8] == b"\x89PNG\r\n\x1a\n" and struct.unpack(">II", raw[16:24]) == (8, 6)
+    size = struct.unpack(">I", raw[33:37])[0]
+    lines = zlib.decompress(raw[41 : 41 + size])
+    assert lines[:13] == b"\0" + b"\x40" * 12 and lines[13:25] == b"\xff" * 6 + b"\x40" * 6 and len(lines) == 6 * 25 and len(rows[1].image) > 0
+    images = spark.createDataFrame([(1, 2, 3, bytearray(b"\1\2\3\4\5\6")), (1, 1, 4, bytearray(b"\1\2\3\4")), (1, 1, 1, None)], "h int, w int, n int, d binary")
+    got = [r[0] and zlib.decompress(bytes(r[0])[41 : 41 + struct.unpack(">I", bytes(r[0])[33:37])[0]]) for r in images.select(vector.png_of("h", "w", "n", "d")).collect()]
+    assert got == [b"\0\3\2\1\6\5\4", b"\0\3\2\1", None]
+    with pytest.raises(Exception, match="not an image"):
+        spark.createDataFrame([(1, 1, 2, bytearray(b"ab"))], "h int, w int, n int, d binary").select(vector.png_of("h", "w", "n", "d")).collect()
+
+
+def test_hosts_of_what_is_no_url(spark):
+    from tidepool.functions.text import host_of
+
+    urls = ["http://a.example:80/x", "http://a b/", "no url", None, "https://[::1"]
+    got = [r[0] for r in spark.createDataFrame([(u,) for u in urls], "u string").select(host_of(F.col("u"))).collect()]
+    assert got == ["a.example", "localhost", "localhost", "localhost", "localhost"]
+
+
+def test_default_paths_and_the_report_of_skipped_ones(spark, tmp_path, monkeypatch):
+    (tmp_path / "b.pdf").write_bytes(b"x")
+    monkeypatch.setattr(blocks, "DEFAULT_PATHS", (str(tmp_path / "*.pdf"), str(tmp_path / "*.none")))
+    found, missing = blocks.read_files(spark)
+    assert found.count() == 1 and blocks.skip_report(missing) == f"SKIP {tmp_path / '*.none'}: no such file"
+
+
+def test_the_last_version_in_a_batch_wins(spark, tmp_path):
+    rows = [(1, f"version {v} of a long enough line", "s", v) for v in (2, 5, 3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, version int")
+    docs.coalesce(1).write.parquet(str(tmp_path / "in"))
+    c = Collection(spark, str(tmp_path / "index"), index_upkeep.points(docs).schema)
+    index_upkeep.maintain(spark.readStream.schema(docs.schema).parquet(str(tmp_path / "in")), c, str(tmp_path / "c"), order="version").awaitTermination()
+    assert [r.text for r in c.scan().collect()] == ["version 5 of a long enough line"]
+    schema = "id string, v int, t string"
+    d = Collection(spark, str(tmp_path / "d"), spark.createDataFrame([], schema).schema)
+    d.upsert(spark.createDataFrame([("a", 1, "x"), ("a", 3, "y"), ("a", 2, "z")], schema).repartition(3), order="v")
+    assert [r.t for r in d.scan().collect()] == ["y"]
+
+
+def test_a_collection_keeps_its_settings(spark, tmp_path):
+    schema = spark.createDataFrame([], "id string, v array<double>").schema
+    Collection(spark, str(tmp_path / "c"), schema, "v", 2).ensure()
+    Collection(spark, str(tmp_path / "c"), schema, "v", 2).ensure()
+    with pytest.raises(ValueError, match="max_sim"):
+        Collection(spark, str(tmp_path / "c"), schema, "v", 2, comparator="max_sim").ensure()

@@ -52,9 +52,10 @@ def one_line(text: Column, most: int) -> Column:
 
 
 def host_of(url: Column) -> Column:
-    return F.coalesce(F.parse_url(url, F.lit("HOST")), F.lit("localhost"))
+    """The host of a URL; what has none or is none counts as local."""
+    return F.coalesce(F.try_parse_url(url, F.lit("HOST")), F.lit("localhost"))
 
 
 def half_even(value: Column, places: int) -> Column:
-    """Rounding to even on ties."""
-    return F.bround(value, places)
+    """The nearest decimal to the binary value, to even on its exact ties."""
+    return F.replace(F.format_number(value, places), F.lit(",")).cast("double")

@@ -2,11 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import time
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidepool.functions.text import contains_any, tokens
-from tidepool.schema import DOLLARS_PER_MILLION_IN, DOLLARS_PER_MILLION_OUT, REFUSAL_SIGNS
+from tidepool.functions.text import contains_any, coverage, tokens
+from tidepool.schema import DOLLARS_PER_MILLION_IN, DOLLARS_PER_MILLION_OUT, EVAL_QUESTION, REFUSAL_SIGNS
+
+
+def read_questions(spark: SparkSession, path: str) -> DataFrame:
+    """Evaluation questions from JSON lines."""
+    return spark.read.schema(EVAL_QUESTION).json(path)
 
 
 def keyword_hits(hits: DataFrame, cases: DataFrame) -> DataFrame:
@@ -30,15 +38,79 @@ def pass_matrix(results: DataFrame, modes: list[str]) -> DataFrame:
     return wide.select("qid", *((F.coalesce(m, F.lit(0)) == 1).alias(m) for m in modes))
 
 
-def gold_sources(documents: DataFrame, questions: DataFrame) -> DataFrame:
-    """(qid, source) of documents (source, text) that hold a question's text (qid, query), questions in blocks."""
-    from tidepool.operators.search import broadcast_blocks
+def isolated(cases: DataFrame, mode: str, run: Callable[[], DataFrame], write: Callable[[DataFrame], DataFrame], by_query: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """(qid, mode, hit, error) of a mode for every case; an error fails the cases that it hits and nothing else.
+
+    run() gives (qid, hit) of all cases, written and read again by write. Where that raises, by_query runs
+    each case alone, if it is given; else all cases of the mode fail with the message.
+    """
+
+    def failed(some: DataFrame, error: Exception) -> DataFrame:
+        return some.select("qid", F.lit(mode).alias("mode"), F.lit(False).alias("hit"), F.lit(f"{type(error).__name__}: {str(error)[:200]}").alias("error"))
 
+    def told(some: DataFrame, got: DataFrame) -> DataFrame:
+        joined = some.select("qid").join(got.select("qid", "hit"), "qid", "left")
+        return joined.select("qid", F.lit(mode).alias("mode"), F.coalesce("hit", F.lit(False)).alias("hit"), F.lit(None).cast("string").alias("error"))
+
+    try:
+        return told(cases, write(run()))
+    except Exception as error:  # noqa: BLE001  whatever a mode raises is a failed cell
+        if by_query is None:
+            return failed(cases, error)
     out = None
-    for some in broadcast_blocks(questions):
-        found = documents.join(some, F.contains("text", F.col("query"))).select("qid", "source")
-        out = found if out is None else out.unionByName(found)
-    return out.distinct()
+    for row in cases.select("qid").collect():  # an evaluation set
+        one = cases.where(F.col("qid") == F.lit(row["qid"]))
+        try:
+            cell = told(one, write(by_query(one)))
+        except Exception as error:  # noqa: BLE001
+            cell = failed(one, error)
+        out = cell if out is None else out.unionByName(cell)
+    return failed(cases, ValueError("no cases")) if out is None else out
+
+
+def report(matrix: DataFrame, modes: list[str], width: int = 8) -> str:
+    """The matrix as fixed-width lines with a total; it is an evaluation set's, so it fits the driver."""
+    names = [max(width, len(m)) for m in modes]
+    lines = ["qid".ljust(12) + " ".join(m.rjust(n) for m, n in zip(modes, names, strict=True))]
+    rows = matrix.orderBy("qid").collect()
+    for r in rows:
+        lines.append(str(r["qid"])[:12].ljust(12) + " ".join(("OK" if r[m] else "FAIL").rjust(n) for m, n in zip(modes, names, strict=True)))
+    lines.append("passed".ljust(12) + " ".join(f"{sum(r[m] for r in rows)}/{len(rows)}".rjust(n) for m, n in zip(modes, names, strict=True)))
+    return "\n".join(lines)
+
+
+def write_report(matrix: DataFrame, path: str) -> None:
+    """The matrix as a CSV folder."""
+    matrix.coalesce(1).write.mode("overwrite").option("header", True).csv(path)
+
+
+def timed(name: str, run: Callable[[], DataFrame], write: Callable[[DataFrame], DataFrame], n: int = 1) -> DataFrame:
+    """(name, rows, seconds, per_item) of what run() gives once it is written: latency by questions, indexing time by pages."""
+    began = time.monotonic()
+    rows = write(run()).count()
+    seconds = time.monotonic() - began
+    spark = SparkSession.active()
+    return spark.createDataFrame([(name, rows, seconds, seconds / max(1, n))], "name string, rows long, seconds double, per_item double")
+
+
+def gold_sources(documents: DataFrame, questions: DataFrame, words: int = 3) -> DataFrame:
+    """(qid, source) of documents (source, text) that hold a question's text (qid, query).
+
+    A text that holds a question holds all of its words but the first and the last as words of its own, so documents
+    meet questions by an equi-join on the first few of these, and only what meets is compared. Questions
+    of too few words are looked for one by one.
+    """
+    asked = questions.where(F.col("query").isNotNull()).select("qid", "query", F.split("query", " ").alias("_w"))
+    enough = F.size("_w") >= words + 2
+    keys = asked.where(enough).select("qid", "query", F.xxhash64(F.slice("_w", 2, words)).alias("_k"))
+    split = documents.where(F.col("text").isNotNull()).withColumn("_w", F.split("text", " "))
+    runs = F.expr(f"if(size(_w) < {words}, array(), array_distinct(transform(sequence(1, size(_w) - {words - 1}), i -> xxhash64(slice(_w, i, {words})))))")
+    met = split.select("source", "text", F.explode(runs).alias("_k")).join(keys, "_k")
+    found = met.where(F.contains("text", F.col("query"))).select("qid", "source")
+    short = asked.where(~enough).select("qid", "query")
+    if not short.isEmpty():
+        found = found.unionByName(documents.join(short, F.contains("text", F.col("query"))).select("qid", "source"))
+    return found.distinct()
 
 
 def _first_ranks(hits: DataFrame, page: list[str]) -> DataFrame:
@@ -78,13 +150,37 @@ def exact_match(answer: Column, gold: Column) -> Column:
 
 
 def f1(answer: Column, gold: Column) -> Column:
-    """The harmonic mean of precision and recall of the two token multisets."""
+    """The harmonic mean of precision and recall of the two token multisets, for short texts; f1_scores() for others."""
     a, g = tokens(answer), tokens(gold)
     count = lambda xs, t: F.size(F.filter(xs, lambda x: x == t))
     shared = F.aggregate(F.array_distinct(a), F.lit(0), lambda s, t: s + F.least(count(a, t), count(g, t)))
     return F.when(F.size(a) + F.size(g) == 0, 1.0).otherwise(F.round(2.0 * shared / (F.size(a) + F.size(g)), 6))
 
 
+def f1_scores(pairs: DataFrame) -> DataFrame:
+    """qid and f1 of pairs (qid, answer, gold), by counting tokens: work grows with the texts' lengths only."""
+    sides = pairs.select("qid", tokens(F.col("answer")).alias("a"), tokens(F.col("gold")).alias("g"))
+    sizes = sides.select("qid", (F.size("a") + F.size("g")).alias("n"))
+    every = sides.select("qid", F.explode(F.concat(F.transform("a", lambda t: F.struct(t.alias("t"), F.lit(1).alias("x"), F.lit(0).alias("y"))), F.transform("g", lambda t: F.struct(t.alias("t"), F.lit(0).alias("x"), F.lit(1).alias("y"))))).alias("e"))
+    shared = every.groupBy("qid", "e.t").agg(F.sum("e.x").alias("x"), F.sum("e.y").alias("y")).groupBy("qid").agg(F.sum(F.least("x", "y")).alias("shared"))
+    value = F.when(F.col("n") == 0, 1.0).otherwise(F.round(2.0 * F.coalesce("shared", F.lit(0)) / F.col("n"), 6))
+    return sizes.join(shared, "qid", "left").select("qid", value.alias("f1"))
+
+
+Judge = Callable[[Column, Column, Column], Column]  # (query, answer, gold) -> a mark from 1 to 5
+
+
+def covering_judge(query: Column, answer: Column, gold: Column) -> Column:
+    """A stand-in for a judging model: from 1 to 5 by the share of the gold answer's tokens that the answer has."""
+    return (F.lit(1) + F.floor(4 * coverage(gold, answer) + 0.5)).cast("int")
+
+
+def judged(answers: DataFrame, judge: Judge = covering_judge) -> DataFrame:
+    """answers (qid, query, answer, gold) with a mark; what the judge can't tell is the worst, marks stay from 1 to 5."""
+    mark = F.greatest(F.lit(1), F.least(F.lit(5), F.coalesce(judge(F.col("query"), F.col("answer"), F.col("gold")).cast("int"), F.lit(1))))
+    return answers.withColumn("mark", mark)
+
+
 def unsupported_numbers(answer: Column, context: Column) -> Column:
     """The share of an answer's numbers that the context lacks: a stand-in for a judge of hallucination."""
     own = F.array_distinct(F.regexp_extract_all(answer, F.lit("[0-9]+"), F.lit(0)))

@@ -11,7 +11,10 @@ from tidepool.functions.text import coverage, tokens
 from tidepool.functions.vector import media_type
 from tidepool.schema import MAX_CACHED_IMAGES, REFUSAL_ENGLISH, REFUSAL_KOREAN
 
-Generator = Callable[[Column, Column], Column]  # (query, prompt) -> answer
+#: (requests: qid, body) -> (qid, response), both JSON; a model's client or a stand-in.
+Generator = Callable[[DataFrame], DataFrame]
+
+SYSTEM_PROMPT = "Answer the question from the given pages alone. Say which pages you used. If they don't hold the answer, say that it was not found."
 
 
 def passages(hits: DataFrame) -> DataFrame:
@@ -34,16 +37,22 @@ def refusal(query: Column) -> Column:
     return F.when(query.rlike("[가-힣]"), REFUSAL_KOREAN).otherwise(REFUSAL_ENGLISH)
 
 
-def extractive_answers(queries: DataFrame, hits: DataFrame, most: int = 200) -> DataFrame:
-    """A stand-in for a model: the hit that covers most of the question, or a refusal.
+def sentences(text: Column) -> Column:
+    """Lines and what full stops, question and exclamation marks before a space end."""
+    return F.split(F.coalesce(text, F.lit("")), r"\n|[.!?] ")
+
+
+def extractive_answers(queries: DataFrame, hits: DataFrame) -> DataFrame:
+    """A stand-in for a model: the whole sentence that covers most of the question, the first by rank and place, or a refusal.
 
     qid, query, answer, stop_reason and usage counts (tokens as the engine splits them).
     """
-    scored = hits.join(queries.select("qid", F.col("query").alias("_query")), "qid").withColumn("_c", F.round(coverage(F.col("_query"), F.col("text")), 6))
-    best = scored.groupBy("qid").agg(F.min_by(F.struct("_c", "text"), F.struct(-F.col("_c"), "rank")).alias("best"), F.sum(F.size(tokens(F.col("text")))).alias("_in"))
+    told = F.transform(sentences(F.col("text")), lambda s, i: F.struct((-F.round(coverage(F.col("_query"), s), 6)).alias("c"), F.col("rank").alias("rank"), i.alias("i"), s.alias("s")))
+    scored = hits.join(queries.select("qid", F.col("query").alias("_query")), "qid").withColumn("_s", F.array_min(told))
+    best = scored.groupBy("qid").agg(F.min("_s").alias("best"), F.sum(F.size(tokens(F.col("text")))).alias("_in"))
     joined = queries.select("qid", "query").join(best, "qid", "left")
-    found = F.col("best._c") > 0
-    answer = F.when(found, F.substring("best.text", 1, most)).otherwise(refusal(F.col("query")))
+    found = F.coalesce(F.col("best.c") < 0, F.lit(False))
+    answer = F.when(found, F.col("best.s")).otherwise(refusal(F.col("query")))
     return joined.select("qid", "query", answer.alias("answer"), F.when(found, "end_turn").otherwise("refusal").alias("stop_reason"), (F.coalesce("_in", F.lit(0)) + F.size(tokens(F.col("query")))).cast("long").alias("input_tokens"), F.size(tokens(answer)).cast("long").alias("output_tokens"))
 
 
@@ -52,6 +61,53 @@ def short_completion(text: Column, max_tokens: int | None = None) -> Column:
     return F.array_join(F.slice(F.split(F.trim(text), " "), 1, max_tokens or 256), " ")
 
 
+def vision_requests(queries: DataFrame, images: DataFrame, model: str = "standin", max_tokens: int = 1024) -> DataFrame:
+    """qid and body, a request as JSON: the system prompt, then the images in rank order, then the question; what is worth caching is marked.
+
+    images: qid, rank, media_type, data, cached, as image_messages() gives them.
+    """
+    mark = F.struct(F.lit("ephemeral").alias("type"))
+    none = F.lit(None)
+    source = F.struct(F.lit("base64").alias("type"), F.col("media_type"), F.col("data"))
+    image = F.struct(F.lit("image").alias("type"), source.alias("source"), none.cast("string").alias("text"), F.when(F.col("cached"), mark).alias("cache_control"))
+    listed = images.groupBy("qid").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", image.alias("block")))), lambda x: x["block"]).alias("images"))
+    joined = queries.select("qid", "query").join(listed, "qid", "left")
+    kind = dict(listed.dtypes)["images"]
+    empty = "struct<type: string, media_type: string, data: string>"
+    text = F.struct(F.lit("text").alias("type"), none.cast(empty).alias("source"), F.concat(F.lit("Question: "), F.coalesce("query", F.lit(""))).alias("text"), none.cast("struct<type: string>").alias("cache_control"))
+    content = F.concat(F.coalesce("images", F.array().cast(kind)), F.array(text))
+    system = F.array(F.struct(F.lit("text").alias("type"), F.lit(SYSTEM_PROMPT).alias("text"), mark.alias("cache_control")))
+    body = F.struct(F.lit(model).alias("model"), F.lit(max_tokens).alias("max_tokens"), system.alias("system"), F.array(F.struct(F.lit("user").alias("role"), content.alias("content"))).alias("messages"))
+    return joined.select("qid", F.to_json(body).alias("body"))
+
+
+_RESPONSE = "content array<struct<type: string, text: string>>, stop_reason string, usage struct<input_tokens: bigint, output_tokens: bigint, cache_creation_input_tokens: bigint, cache_read_input_tokens: bigint>"
+
+
+def parsed_responses(responses: DataFrame) -> DataFrame:
+    """qid, answer (the first text block, or nothing), stop_reason, usage and raw of responses (qid, response)."""
+    r = F.from_json("response", _RESPONSE)
+    texts = F.filter(r["content"], lambda c: c["type"] == "text")
+    answer = F.coalesce(F.try_element_at(texts, F.lit(1))["text"], F.lit(""))
+    use = usage(*(r["usage"][f"{k}_tokens"] for k in ("input", "output", "cache_creation_input", "cache_read_input")))
+    return responses.select("qid", answer.alias("answer"), r["stop_reason"].alias("stop_reason"), use.alias("usage"), F.col("response").alias("raw"))
+
+
+def vision_generate(queries: DataFrame, images: DataFrame, generator: Generator, model: str = "standin", max_tokens: int = 1024) -> DataFrame:
+    """Answers of a generator to questions about page images."""
+    return parsed_responses(generator(vision_requests(queries, images, model, max_tokens)))
+
+
+def echoing_generator(requests: DataFrame) -> DataFrame:
+    """A stand-in for a model's client: repeats the question and counts its words; the marked parts count as written to the cache."""
+    content = F.from_json(F.get_json_object("body", "$.messages[0].content"), "array<struct<type: string, text: string>>")
+    asked = F.element_at(content, -1)["text"]
+    words = F.size(tokens(asked)).cast("long")
+    marks = (F.size(F.split("body", '"cache_control"')) - 1).cast("long")
+    body = F.struct(F.array(F.struct(F.lit("text").alias("type"), asked.alias("text"))).alias("content"), F.lit("end_turn").alias("stop_reason"), F.struct(words.alias("input_tokens"), words.alias("output_tokens"), marks.alias("cache_creation_input_tokens")).alias("usage"))
+    return requests.select("qid", F.to_json(body).alias("response"))
+
+
 def usage(input_tokens: Column, output_tokens: Column, created: Column | None = None, read: Column | None = None) -> Column:
     zero = F.lit(0).cast("long")
     parts = {"input_tokens": input_tokens, "output_tokens": output_tokens, "cache_creation_input_tokens": created, "cache_read_input_tokens": read}

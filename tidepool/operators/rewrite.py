@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tidepool.operators.generate import short_completion
+
 
 def baseline(queries: DataFrame) -> DataFrame:
     return queries.withColumn("rewritten_query", F.col("query"))
@@ -28,12 +32,21 @@ def hypothetical(queries: DataFrame, drafts: DataFrame) -> DataFrame:
     return queries.join(drafts.select("qid", "passage"), "qid", "left").withColumn("rewritten_query", F.coalesce("passage", "query")).drop("passage")
 
 
+def written(queries: DataFrame, writer: Callable[[Column], Column], max_tokens: int | None = None) -> DataFrame:
+    """Queries rewritten by a pluggable writer, whose completion is stripped and cut; an empty one leaves the query as it is."""
+    text = short_completion(writer(F.col("query")), max_tokens)
+    return queries.withColumn("rewritten_query", F.when(F.coalesce(text, F.lit("")) == "", F.col("query")).otherwise(text))
+
+
 def drafts_from_conversations(conversations: DataFrame) -> DataFrame:
-    """User turns as queries with the assistant's next turn as their draft (a stand-in for a drafting model)."""
+    """User turns as queries with the assistant's next turn as their draft (a stand-in for a drafting model).
+
+    A conversation's turns are put in order in one task, as its turns are few; qid is conversation:turn.
+    """
     order = W.partitionBy("conv_id").orderBy("turn")
     seen = conversations.select("conv_id", "turn", "role", "text", F.lead("role").over(order).alias("next_role"), F.lead("text").over(order).alias("next_text"))
     passage = F.when(F.col("next_role") == "assistant", F.col("next_text"))
-    return seen.where(F.col("role") == "user").select((F.col("conv_id") * 1000 + F.col("turn")).alias("qid"), F.col("text").alias("query"), passage.alias("passage"))
+    return seen.where(F.col("role") == "user").select("conv_id", "turn", F.concat_ws(":", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("qid"), F.col("text").alias("query"), passage.alias("passage"))
 
 
 def annotated(hits: DataFrame, rewritten: DataFrame, variant: str) -> DataFrame:

@@ -1,25 +1,28 @@
-"""Exact top-k search of a table of queries: cosine, term-vector cosine and MaxSim.
+"""Exact top-k search of a table of queries: cosine, term-vector cosine and MaxSim; an approximate one by clusters.
 
 Queries go out in blocks of at most `block` rows, each broadcast to the corpus' partitions, where one
-matrix product scores a batch and only the best k rows of a partition leave it. So neither side is
-shuffled, what is broadcast is bounded, and work grows with queries times rows, as exact search must.
-The sql strategy states the same as a join and suits small sides; both order by (score at six places,
-then id) and give the same rows.
+product scores a batch and only the best k rows of a partition leave it. So neither side is shuffled,
+what is broadcast is bounded, and work grows with queries times rows, as exact search must. The blocks
+are read when the search is set up, since their number shapes the plan.
+
+Term vectors that an index holds are searched by an equi-join on the terms instead (`postings_topk`), so only
+rows that share a term with a query are touched. All order by (score at six places, then id).
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidepool.functions.text import buckets_of
-from tidepool.functions.vector import cosine
+from tidepool.functions.text import buckets_of, tokens
+from tidepool.functions.vector import norm
 from tidepool.schema import K_RETRIEVER, TF_BUCKETS
 
 BLOCK = 2_048
@@ -32,37 +35,34 @@ def ranked(hits: DataFrame, k: int, by: str = "score", tie: str = "id", group: s
     return hits.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def _best(scores: np.ndarray, ids: pa.Array, k: int) -> Iterator[tuple[int, np.ndarray]]:
-    """For each column of scores, the rows of its k best at six places, ties to the smaller id."""
-    rounded = np.round(scores, 6)
-    n = len(rounded)
-    for j in range(rounded.shape[1]):
-        own = rounded[:, j]
-        at = np.flatnonzero(own >= np.partition(own, n - k)[n - k]) if n > k else np.arange(n)
-        if len(at) > k:
-            at = at[np.lexsort((np.argsort(np.argsort(np.asarray(ids.take(pa.array(at)).to_pylist(), dtype=object), kind="stable")), -own[at]))[:k]]
-        yield j, at
-
-
 def blocks_of(queries: DataFrame, block: int = BLOCK) -> Iterator[list]:
     """The rows of queries in lists of about `block`."""
-    n = max(1, -(-queries.count() // block))
+    first = queries.limit(block + 1).collect()
+    if len(first) <= block:
+        yield first
+        return
+    n = -(-queries.count() // block)
     for i in range(n):
-        yield queries.where(F.pmod(F.xxhash64("qid"), F.lit(n)) == i).collect() if n > 1 else queries.collect()
+        yield queries.where(F.pmod(F.xxhash64("qid"), F.lit(n)) == i).collect()
 
 
-def broadcast_blocks(queries: DataFrame, block: int = BLOCK, key: str = "qid") -> Iterator[DataFrame]:
-    """queries in parts of about `block` rows, each small enough to broadcast."""
-    n = max(1, -(-queries.count() // block))
-    for i in range(n):
-        yield F.broadcast(queries.where(F.pmod(F.xxhash64(key), F.lit(n)) == i) if n > 1 else queries)
+def _cut(parts: list[pa.RecordBatch], k: int) -> list[pa.RecordBatch]:
+    """The best k rows of each query (_q) by score at six places, then id."""
+    table = pa.Table.from_batches(parts).combine_chunks()
+    q, s = np.asarray(table["_q"]), np.round(np.asarray(table["score"]), 6)
+    ids = np.argsort(np.argsort(np.asarray(table["id"].to_pylist(), dtype=object), kind="stable"))
+    order = np.lexsort((ids, -s, q))
+    q = q[order]
+    start = np.flatnonzero(np.concatenate([[True], q[1:] != q[:-1]])) if len(q) else np.empty(0, np.int64)
+    place = np.arange(len(q)) - np.repeat(start, np.diff(np.append(start, len(q))))
+    return table.take(pa.array(order[place < k])).to_batches()
 
 
 def _scored(corpus: DataFrame, queries: DataFrame, k: int, drop: list[str], prepare: Callable, score: Callable, block: int) -> DataFrame:
     """Hits of all blocks of queries: qid, score and corpus' columns but those to drop."""
     spark = corpus.sparkSession
     kept = [c for c in corpus.columns if c not in drop]
-    schema = T.StructType([T.StructField("qid", T.LongType()), T.StructField("score", T.DoubleType()), *(corpus.schema[c] for c in kept)])
+    schema = T.StructType([queries.schema["qid"], T.StructField("score", T.DoubleType()), *(corpus.schema[c] for c in kept)])
     out = None
     for rows in blocks_of(queries, block):
         sent = spark.sparkContext.broadcast(([r["qid"] for r in rows], prepare(rows) if rows else None))
@@ -72,33 +72,22 @@ def _scored(corpus: DataFrame, queries: DataFrame, k: int, drop: list[str], prep
             if not qids:
                 return
             held: list[pa.RecordBatch] = []
-
-            def shrink(parts: list[pa.RecordBatch]) -> list[pa.RecordBatch]:
-                table = pa.Table.from_batches(parts).combine_chunks()
-                q, s = np.asarray(table["qid"]), np.round(np.asarray(table["score"]), 6)
-                ids = np.argsort(np.argsort(np.asarray(table["id"].to_pylist(), dtype=object), kind="stable"))
-                order = np.lexsort((ids, -s, q))
-                q = q[order]
-                start = np.flatnonzero(np.concatenate([[True], q[1:] != q[:-1]])) if len(q) else np.empty(0, np.int64)
-                place = np.arange(len(q)) - np.repeat(start, np.diff(np.append(start, len(q))))
-                return table.take(pa.array(order[place < k])).to_batches()
-
             for b in batches:
                 for a in range(0, len(b), _ROWS):
                     part = b.slice(a, _ROWS)
                     got = score(part, model)
-                    own = pa.RecordBatch.from_arrays([part.column(c) for c in kept], names=kept)
-                    which, rows_ = [], []
-                    for j, at in _best(got, part.column("id"), k):
-                        at = at[np.isfinite(got[at, j])]
-                        which.append(np.full(len(at), j)), rows_.append(at)
-                    which, rows_ = np.concatenate(which), np.concatenate(rows_)
-                    taken = own.take(pa.array(rows_))
-                    held.append(pa.RecordBatch.from_arrays([pa.array(np.asarray(qids, np.int64)[which]), pa.array(got[rows_, which]), *taken.columns], names=["qid", "score", *kept]))
+                    rounded = np.round(got, 6)
+                    good = np.isfinite(got)
+                    if len(part) > k:  # ties with the k-th are cut further down
+                        good &= rounded >= np.partition(np.where(good, rounded, -np.inf), len(part) - k, axis=0)[len(part) - k]
+                    row, which = np.nonzero(good)
+                    taken = pa.RecordBatch.from_arrays([part.column(c) for c in kept], names=kept).take(pa.array(row))
+                    held.append(pa.RecordBatch.from_arrays([pa.array(which), pa.array(got[row, which]), *taken.columns], names=["_q", "score", *kept]))
                 if len(held) > 8:
-                    held = shrink(held)
-            if held:
-                yield from shrink(held)
+                    held = _cut(held, k)
+            for b in _cut(held, k) if held else ():
+                qid = pa.array(qids).take(b.column("_q"))
+                yield pa.RecordBatch.from_arrays([qid, *b.columns[1:]], names=["qid", *b.schema.names[1:]])
 
         hits = corpus.mapInArrow(run, schema)
         out = hits if out is None else out.unionByName(hits)
@@ -115,45 +104,85 @@ def _unit(m: np.ndarray) -> np.ndarray:
         return m / n  # a zero vector is similar to nothing: its scores are not finite
 
 
-def cosine_topk(corpus: DataFrame, queries: DataFrame, k: int = K_RETRIEVER, strategy: str = "arrow", block: int = BLOCK) -> DataFrame:
+def cosine_topk(corpus: DataFrame, queries: DataFrame, k: int = K_RETRIEVER, block: int = BLOCK) -> DataFrame:
     """The k rows of corpus (id, vector, ...) nearest to each of queries (qid, vector)."""
-    if strategy == "sql":
-        out = None
-        for some in broadcast_blocks(queries.select("qid", F.col("vector").alias("_q")), block):
-            hits = corpus.join(some, F.lit(True)).withColumn("score", F.round(cosine(F.col("_q"), F.col("vector")), 6)).where(F.col("score").isNotNull()).drop("_q", "vector")
-            out = hits if out is None else out.unionByName(hits)
-        return ranked(out, k)
     hits = _scored(corpus, queries, k, ["vector"], lambda rows: _unit(np.array([r["vector"] for r in rows], np.float64)), lambda b, q: _unit(_dense(b.column("vector"))) @ q.T, block)
     return ranked(hits, k)
 
 
-def _term_matrix(column: pa.Array, width: int) -> np.ndarray:
-    sizes = np.asarray(column.value_lengths().fill_null(0))
-    m = np.zeros((len(column), width))
-    np.add.at(m, (np.repeat(np.arange(len(column)), sizes), np.asarray(column.flatten())), 1.0)
-    return m
+def others_topk(corpus: DataFrame, queries: DataFrame, k: int = K_RETRIEVER, block: int = BLOCK, search: Callable | None = None) -> DataFrame:
+    """The k nearest rows of each query that is a row of the corpus itself (qid is its id): all rows but its own."""
+    hits = (search or cosine_topk)(corpus, queries, k + 1, block=block).where("id <> qid").drop("rank")
+    return ranked(hits, k)
+
+
+class _Terms:
+    """Sparse term counts of token lists: each distinct token is hashed once."""
+
+    def __init__(self, column: pa.Array, width: int) -> None:
+        flat = column.flatten().dictionary_encode()
+        place = np.fromiter((int(hashlib.md5(t.encode()).hexdigest()[:8], 16) % width for t in flat.dictionary.to_pylist()), np.int64)
+        sizes = np.asarray(column.value_lengths().fill_null(0))
+        row = np.repeat(np.arange(len(column)), sizes)
+        terms = place[np.asarray(flat.indices)] if len(place) else np.empty(0, np.int64)
+        key, self.count = np.unique(row * width + terms, return_counts=True)
+        self.row, self.term = key // width, key % width
+        self.norm = np.sqrt(np.bincount(self.row, self.count * self.count.astype(float), len(column)))
+
+    def dense(self, width: int) -> np.ndarray:
+        m = np.zeros((len(self.norm), width))
+        m[self.row, self.term] = self.count
+        return m
+
 
+def hashed_terms(text: Column) -> Column:
+    """The default embedder of texts: their tokens, which searches hash and count."""
+    return tokens(text)
 
-def text_topk(corpus: DataFrame, queries: DataFrame, k: int = K_RETRIEVER, width: int = TF_BUCKETS, block: int = BLOCK) -> DataFrame:
+
+def text_topk(corpus: DataFrame, queries: DataFrame, k: int = K_RETRIEVER, width: int = TF_BUCKETS, block: int = BLOCK, embed: Callable[[Column], Column] = hashed_terms) -> DataFrame:
     """The k rows of corpus (id, text, ...) whose hashed term vectors are nearest to those of queries (qid, query).
 
-    Rows that share no term with a query are no hits of it.
+    Rows that share no term with a query are no hits of it. embed gives the terms of a text, or its vector (array<double>).
     """
-    index = corpus.withColumn("_b", buckets_of(F.col("text"), width))
-    asked = queries.select("qid", buckets_of(F.col("query"), width).alias("_b"))
+    index, asked = corpus.withColumn("_t", embed(F.col("text"))), queries.select("qid", embed(F.col("query")).alias("_t"))
+    if dict(index.dtypes)["_t"] != "array<string>":
+        return cosine_topk(index.withColumnRenamed("_t", "vector"), asked.withColumnRenamed("_t", "vector"), k, block)
 
     def prepare(rows):
-        return _unit(_term_matrix(pa.array([r["_b"] for r in rows], pa.list_(pa.int32())), width))
+        return _unit(_Terms(pa.array([r["_t"] or [] for r in rows], pa.list_(pa.string())), width).dense(width)).T
 
     def score(b, q):
-        got = _unit(_term_matrix(b.column("_b"), width)) @ q.T
-        return np.where(got > 0, got, np.nan)
-
-    def finite(b, q):
-        got = score(b, q)
-        return np.where(np.isfinite(got), got, -np.inf)
-
-    return ranked(_scored(index, asked, k, ["_b"], prepare, finite, block), k)
+        terms = _Terms(b.column("_t"), width)
+        got = np.zeros((len(b), q.shape[1]))
+        step = max(1, 4_000_000 // max(1, q.shape[1]))
+        for a in range(0, len(terms.row), step):  # products of a bounded number of terms at a time
+            row = terms.row[a : a + step]
+            first = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]]))
+            got[row[first]] += np.add.reduceat(np.nan_to_num(q[terms.term[a : a + step]]) * terms.count[a : a + step, None], first, axis=0)
+        with np.errstate(invalid="ignore", divide="ignore"):
+            got = got / terms.norm[:, None]
+        return np.where(got > 0, got, -np.inf)
+
+    return ranked(_scored(index, asked, k, ["_t"], prepare, score, block), k)
+
+
+def with_postings(points: DataFrame, width: int = TF_BUCKETS) -> DataFrame:
+    """points (id, text, ...) with terms (term, tf) and the norm of their term vector, as an index keeps them."""
+    places = points.select("id", F.explode(buckets_of(F.col("text"), width)).alias("term"))
+    counted = places.groupBy("id", "term").agg(F.count("*").alias("tf"))
+    terms = counted.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("term", "tf"))).alias("terms"), F.sqrt(F.sum(F.col("tf") * F.col("tf")).cast("double")).alias("norm"))
+    return points.join(terms, "id", "left")
+
+
+def postings_topk(index: DataFrame, queries: DataFrame, k: int = K_RETRIEVER, width: int = TF_BUCKETS) -> DataFrame:
+    """text_topk over an index of with_postings(): queries meet rows by an equi-join on the terms, scores add up before the shuffle."""
+    asked = queries.select("qid", F.explode(buckets_of(F.col("query"), width)).alias("term")).groupBy("qid", "term").agg(F.count("*").alias("q_tf"))
+    norms = asked.groupBy("qid").agg(F.sqrt(F.sum(F.col("q_tf") * F.col("q_tf")).cast("double")).alias("q_norm"))
+    rows = index.select("id", "norm", F.inline("terms"))
+    dots = rows.join(asked, "term").groupBy("qid", "id").agg(F.sum(F.col("tf") * F.col("q_tf")).alias("dot"), F.first("norm").alias("norm"))
+    scored = dots.join(norms, "qid").select("qid", "id", F.round(F.col("dot") / (F.col("q_norm") * F.col("norm")), 6).alias("score"))
+    return ranked(scored, k).join(index.drop("terms", "norm"), "id")
 
 
 def maxsim_topk(pages: DataFrame, tokens: DataFrame, k: int = K_RETRIEVER, block: int = 256) -> DataFrame:
@@ -177,28 +206,83 @@ def maxsim_topk(pages: DataFrame, tokens: DataFrame, k: int = K_RETRIEVER, block
     return ranked(_scored(pages.where(F.size("vectors") > 0), tokens.where(F.size("vectors") > 0).select("qid", "vectors"), k, ["vectors"], prepare, score, block), k)
 
 
-def maxsim_topk_sql(patches: DataFrame, tokens: DataFrame, k: int = K_RETRIEVER, block: int = BLOCK) -> DataFrame:
-    """MaxSim as two aggregations over (id, vector) and (qid, token, vector), for small sides."""
-    out = None
-    for some in broadcast_blocks(tokens.withColumnRenamed("vector", "_q"), block):
-        pairs = patches.join(some, F.lit(True))
-        best = pairs.groupBy("qid", "id", "token").agg(F.max(cosine(F.col("_q"), F.col("vector"))).alias("best"))
-        hits = best.groupBy("qid", "id").agg(F.round(F.sum("best"), 6).alias("score"))
-        out = hits if out is None else out.unionByName(hits)
-    return ranked(out, k)
-
-
-def lsh_topk(corpus: DataFrame, queries: DataFrame, k: int = K_RETRIEVER, length: float = 0.6, tables: int = 12) -> DataFrame:
-    """An approximate cosine top-k for very large corpora: bucketed random projections, then exact scores."""
-    from pyspark.ml.feature import BucketedRandomProjectionLSH
-    from pyspark.ml.functions import array_to_vector
-
-    def vectors(df):
-        unit = F.transform("vector", lambda x: x.cast("double"))
-        return df.withColumn("_v", array_to_vector(unit))
+def centres_of(corpus: DataFrame, clusters: int, most: int = 20_000, rounds: int = 10, seed: int = 7) -> np.ndarray:
+    """Centres of unit vectors by spherical k-means on at most about `most` of corpus' rows, picked by a hash of id."""
+    n = corpus.count()
+    place = F.xxhash64("id", F.lit(seed))
+    some = corpus if n <= most else corpus.where(place < F.lit(-(1 << 63) + (most << 64) // n))
+    rows = [r["vector"] for r in some.where(norm(F.col("vector")) > 0).orderBy(place, "id").select("vector").limit(2 * most).collect()]
+    if not rows:
+        return np.empty((0, 0))
+    v = _unit(np.array(rows, np.float64))
+    centres = v[np.random.default_rng(seed).permutation(len(v))[:clusters]]
+    for _ in range(rounds):
+        own = (v @ centres.T).argmax(axis=1)
+        sums = np.zeros_like(centres)
+        np.add.at(sums, own, v)
+        size = np.sqrt((sums * sums).sum(axis=1, keepdims=True))
+        centres = np.where(size > 0, sums / np.where(size > 0, size, 1.0), centres)
+    return centres
+
+
+def cluster_topk(corpus: DataFrame, queries: DataFrame, k: int = K_RETRIEVER, clusters: int = 64, probes: int = 44, chunk: int = 4_096, block: int = BLOCK) -> DataFrame:
+    """An approximate cosine top-k: rows lie with their nearest centre, queries look at `probes` of them, scores are exact.
+
+    Clusters of more than `chunk` rows are parted by id and queries go to every part. With fewer probes
+    than clusters a query may miss rows, never invent any; where its clusters hold fewer than k rows it gets those.
+    """
+    spark = corpus.sparkSession
+    centres = spark.sparkContext.broadcast(centres_of(corpus, clusters))
 
-    model = BucketedRandomProjectionLSH(inputCol="_v", outputCol="_h", bucketLength=length, numHashTables=tables, seed=7).fit(vectors(corpus.limit(1)))
-    hashed = lambda df: model.transform(vectors(df)).select("*", F.posexplode("_h").alias("_t", "_w")).withColumn("_w", F.hash(F.col("_w").cast("string")))
-    pairs = hashed(corpus).select("id", "_t", "_w").join(hashed(queries).select("qid", "_t", "_w"), ["_t", "_w"]).select("qid", "id").distinct()
-    scored = pairs.join(corpus.select("id", "vector"), "id").join(queries.select("qid", F.col("vector").alias("_q")), "qid")
-    return ranked(scored.select("qid", "id", F.round(cosine(F.col("_q"), F.col("vector")), 6).alias("score")), k)
+    def nearest(most: int):
+        def run(batches):
+            c = centres.value
+            for b in batches:
+                v = _unit(_dense(b.column("vector")))
+                near = np.nan_to_num(v @ c.T) if len(c) else np.zeros((len(v), 1))
+                top = np.argsort(-near, axis=1, kind="stable")[:, :most]
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(top.astype(np.int32).tolist(), pa.list_(pa.int32()))], names=[*b.schema.names, "_c"])
+
+        return run
+
+    def placed(df: DataFrame, most: int) -> DataFrame:
+        got = df.mapInArrow(nearest(most), T.StructType([*df.schema.fields, T.StructField("_c", T.ArrayType(T.IntegerType()))]))
+        return got.select(*df.columns, F.explode("_c").alias("_c"))
+
+    rows = placed(corpus.select("id", "vector"), 1)
+    sizes = rows.groupBy("_c").agg(F.ceil(F.count("*") / chunk).cast("int").alias("_parts"))  # as many rows as clusters
+    here = rows.join(F.broadcast(sizes), "_c").select("_c", F.pmod(F.xxhash64("id"), "_parts").cast("int").alias("_p"), "id", "vector", F.lit(None).cast(queries.schema["qid"].dataType).alias("qid"))
+    asks = placed(queries.select("qid", "vector"), probes).join(F.broadcast(sizes), "_c").select("_c", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)).alias("_p"), F.lit(None).cast(corpus.schema["id"].dataType).alias("id"), "vector", "qid")
+
+    def meet(batches):
+        last, held, index = None, [], None
+        for b in batches:
+            keys = np.stack([np.asarray(b.column(c)).astype(np.int64) for c in ("_c", "_p")], axis=1)
+            asked = np.asarray(b.column("id").is_null())
+            cuts = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1) | (asked[1:] != asked[:-1])) + 1).tolist(), len(keys)]
+            for lo, hi in zip(cuts, cuts[1:], strict=False):
+                if lo == hi:
+                    continue
+                if last != (key := tuple(keys[lo].tolist())):
+                    last, held, index = key, [], None
+                part = b.slice(lo, hi - lo)
+                v = _unit(_dense(part.column("vector")))
+                if not asked[lo]:
+                    held.append((part.column("id"), v))
+                    continue
+                if index is None and held:
+                    index = pa.concat_arrays([h[0] for h in held]), np.concatenate([h[1] for h in held])
+                for a in range(0, len(part) if index else 0, 256):
+                    got = np.round(v[a : a + 256] @ index[1].T, 6)
+                    good = np.isfinite(got)
+                    if got.shape[1] > k:
+                        good &= got >= np.partition(np.where(good, got, -np.inf), got.shape[1] - k, axis=1)[:, -k][:, None]
+                    q, i = np.nonzero(good)
+                    cut = _cut([pa.RecordBatch.from_arrays([pa.array(q), pa.array(got[q, i]), index[0].take(pa.array(i))], names=["_q", "score", "id"])], k) if len(q) else []
+                    for c in cut:
+                        yield pa.RecordBatch.from_arrays([part.column("qid").take(pa.array(np.asarray(c.column("_q")) + a)), c.column("id"), c.column("score")], names=["qid", "id", "score"])
+
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    met = here.unionByName(asks).repartition(n, "_c", "_p").sortWithinPartitions("_c", "_p", F.col("id").asc_nulls_last())
+    found = met.mapInArrow(meet, T.StructType([queries.schema["qid"], corpus.schema["id"], T.StructField("score", T.DoubleType())]))
+    return ranked(found, k)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidepool.functions.text import half_even
+
 
 def traces(answers: DataFrame, hits: DataFrame, mode: str, model: str = "standin:extractive", variant: str | None = None) -> DataFrame:
     """One row for each answer with the pages and scores it rests on, in rank order."""
@@ -12,7 +14,7 @@ def traces(answers: DataFrame, hits: DataFrame, mode: str, model: str = "standin
     seen = hits.groupBy("qid").agg(listed.alias("h"))
     joined = answers.join(seen, "qid", "left")
     shown = F.transform("h", lambda x: F.concat(x["source"], F.lit(" p"), F.coalesce(x["page"].cast("string"), F.lit("None"))))
-    return joined.select("qid", F.lit(mode).alias("mode"), F.lit(model).alias("model"), F.lit(variant).cast("string").alias("retriever_variant"), "query", "answer", "stop_reason", "input_tokens", "output_tokens", F.coalesce(F.size("h"), F.lit(0)).alias("n_hits"), F.coalesce(F.array_join(shown, ";"), F.lit("")).alias("hit_pages"), F.coalesce(F.transform("h", lambda x: F.round(x["score"], 4)), F.array().cast("array<double>")).alias("hit_scores"))
+    return joined.select("qid", F.lit(mode).alias("mode"), F.lit(model).alias("model"), F.lit(variant).cast("string").alias("retriever_variant"), "query", "answer", "stop_reason", "input_tokens", "output_tokens", F.coalesce(F.size("h"), F.lit(0)).alias("n_hits"), F.coalesce(F.array_join(shown, ";"), F.lit("")).alias("hit_pages"), F.coalesce(F.transform("h", lambda x: half_even(x["score"], 4)), F.array().cast("array<double>")).alias("hit_scores"))
 
 
 def append(rows: DataFrame, path: str) -> bool:

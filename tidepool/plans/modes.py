@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 from typing import Protocol
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidepool.functions import ids
 from tidepool.operators import fuse, generate, rerank, rewrite, route, search
+from tidepool.operators.index import Collection
 from tidepool.schema import CANDIDATE_POOL, K_CAPTION_MODE, K_HYBRID_MODE, K_TEXT_MODE, K_VISION_MODE, PER_RETRIEVER
 
 
@@ -18,12 +21,23 @@ class Retriever(Protocol):
 
 @dataclass
 class TextRetriever:
-    """Blocks (id, source, page, block_type, text) by hashed term vectors."""
+    """Blocks (id, source, page, block_type, text) by an embedder of texts: their terms, hashed, unless another is given."""
 
     blocks: DataFrame
+    embed: Callable[[Column], Column] = search.hashed_terms
 
     def search(self, queries: DataFrame, k: int) -> DataFrame:
-        return search.text_topk(self.blocks, queries, k)
+        return search.text_topk(self.blocks, queries, k, embed=self.embed)
+
+
+@dataclass
+class IndexRetriever:
+    """The points of a collection that keeps their terms; nothing is embedded anew."""
+
+    index: Collection
+
+    def search(self, queries: DataFrame, k: int) -> DataFrame:
+        return search.postings_topk(self.index.scan(), queries, k)
 
 
 @dataclass
@@ -34,12 +48,16 @@ class RewritingRetriever:
     variant: str
     glossary: DataFrame | None = None
     drafts: DataFrame | None = None
+    writer: Callable[[Column], Column] | None = None
+    max_tokens: int | None = None
 
     def search(self, queries: DataFrame, k: int) -> DataFrame:
         if self.glossary is not None:
             new = rewrite.translate(queries, self.glossary)
         elif self.drafts is not None:
             new = rewrite.hypothetical(queries, self.drafts)
+        elif self.writer is not None:
+            new = rewrite.written(queries, self.writer, self.max_tokens)
         else:
             new = rewrite.baseline(queries)
         hits = self.inner.search(new.select("qid", F.col("rewritten_query").alias("query")), k)
@@ -95,10 +113,27 @@ def vision_only(queries: DataFrame, retriever: Retriever, pages: DataFrame, k: i
 
 
 def hybrid(queries: DataFrame, text: Retriever, vision: Retriever, pages: DataFrame, k: int = K_HYBRID_MODE, per_retriever: int = PER_RETRIEVER) -> dict[str, DataFrame]:
-    """route -> {text, vision} -> merge -> render -> answer: one lazy plan whose two branches run side by side."""
+    """route -> {text, vision} -> merge -> render -> answer as one plan; questions are read when it is set up, all else when it runs."""
     routed = route.route(queries)
     text_hits, vision_hits = text.search(queries, per_retriever), vision.search(queries, per_retriever)
     fused = fuse.rrf(text_hits, vision_hits, routed.select("qid", "w_text", "w_vision"))
     top = hydrate(fuse.fused_topk(fused, k), pages)
     answers = _answers(queries, top.withColumn("text", F.coalesce("page_text", F.lit(""))), "hybrid")
     return {"route": routed, "retrieve_text": text_hits, "retrieve_vision": vision_hits, "merge": fused, "render": top, "answers": answers}
+
+
+def hybrid_graph(queries: DataFrame, text: Retriever, vision: Retriever, pages: DataFrame, write: Callable[[DataFrame], DataFrame], k: int = K_HYBRID_MODE, per_retriever: int = PER_RETRIEVER) -> dict[str, DataFrame]:
+    """The same stages as a graph of written tables, so that a stage runs once, can be looked at, and isn't run again when a later one fails."""
+    done = {"route": write(route.route(queries))}
+    done["retrieve_text"] = write(text.search(queries, per_retriever))
+    done["retrieve_vision"] = write(vision.search(queries, per_retriever))
+    done["merge"] = write(fuse.rrf(done["retrieve_text"], done["retrieve_vision"], done["route"].select("qid", "w_text", "w_vision")))
+    done["render"] = write(hydrate(fuse.fused_topk(done["merge"], k), pages))
+    done["answers"] = write(_answers(queries, done["render"].withColumn("text", F.coalesce("page_text", F.lit(""))), "hybrid_graph"))
+    return done
+
+
+def caption_points(captions: DataFrame) -> DataFrame:
+    """The points of a caption index: id, source, page, caption and text, which repeats it; empty captions are none."""
+    kept = captions.where(F.char_length("caption") > 0)
+    return kept.select(ids.caption_id(F.col("source"), F.col("page")).alias("id"), "source", "page", "caption", F.col("caption").alias("text"))

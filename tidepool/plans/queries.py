@@ -7,13 +7,14 @@ documents that hold an item's text are its gold. Runs of 20 vectors are a page's
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidepool.functions import ids, text, vector
 from tidepool.operators import evaluate, fuse, generate, index, rerank, rewrite, route, search, trace
 from tidepool.plans import modes
 from tidepool.schema import CANDIDATE_POOL
-from tidepool.sources import blocks, vectors
+from tidepool.sources import blocks, storage, vectors
 from tidepool.streaming.index_upkeep import points
 
 GLOSSARY = (("the", "der"), ("of", "von"), ("and", "und"), ("in", "en"), ("la", "the"), ("de", "of"))
@@ -49,8 +50,9 @@ def _vision(spark, d):
 
 
 def _vectors(spark, d):
+    """All vectors, and every 20th of them as queries, whose own row is no hit."""
     e = _t(spark, d, "embeddings")
-    corpus = e.where(F.col("vec_id") % 20 >= 4).select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"), "label")
+    corpus = e.select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"), "label")
     queries = e.where(F.col("vec_id") % 20 == 0).select(F.col("vec_id").alias("qid"), F.col("embedding").alias("vector"), F.col("label").alias("q_label"))
     return corpus, queries
 
@@ -73,14 +75,21 @@ def _captions(spark, d):
 
 
 def _caption_points(spark, d):
-    c = _captions(spark, d).where(F.char_length("caption") > 0)
-    return c.select(ids.caption_id(F.col("source"), F.col("page")).alias("id"), "source", "page", F.col("caption").alias("text"))
+    return modes.caption_points(_captions(spark, d))
 
 
 def _keywords(queries):
-    """A question's first three words of seven or more characters stand for what an answer must name."""
+    """A question's words of seven or more characters stand for what an answer must name."""
     own = F.array_distinct(F.filter(text.tokens(F.col("query")), lambda t: F.char_length(t) >= 7))
-    return queries.select("qid", F.slice(own, 1, 3).alias("keywords"))
+    return queries.select("qid", own.alias("keywords"))
+
+
+def _collection(spark, points, **settings):
+    """A new collection that holds points (id, ...), written to the shared folder."""
+    c = index.Collection(spark, storage.shared_path(spark, "collection"), points.schema, **settings)
+    c.ensure()
+    c.upsert(points)
+    return c
 
 
 _HITS = ("qid", "rank", "id", "source", "page", "block_type", "score")
@@ -108,8 +117,10 @@ def page_count(spark, d):
 
 
 def page_lookup(spark, d):
+    """All pages of every 20th document are asked for, and two that don't exist."""
     docs = _docs(spark, d)
-    wanted = docs.where("doc_id % 7 = 3").select(blocks.document_source().alias("source"), F.lit(1).alias("page"))
+    asked = blocks.page_count(docs.where("doc_id % 20 = 0"))
+    wanted = asked.select("source", F.explode(F.sequence(F.lit(0), F.col("n_pages") + 1)).alias("page"))
     return blocks.lookup_pages(docs, wanted).select("source", "page", F.md5("page_text").alias("page_md5"))
 
 
@@ -141,12 +152,7 @@ def l2_normalize(spark, d):
 
 def cosine_topk(spark, d):
     corpus, queries = _vectors(spark, d)
-    return search.cosine_topk(corpus.select("id", "vector"), queries.select("qid", "vector"), 10).select("qid", "rank", "id", "score")
-
-
-def cosine_topk_sql(spark, d):
-    corpus, queries = _vectors(spark, d)
-    return search.cosine_topk(corpus.select("id", "vector"), queries.select("qid", "vector"), 10, "sql").select("qid", "rank", "id", "score")
+    return search.others_topk(corpus.select("id", "vector"), queries.select("qid", "vector"), 10).select("qid", "rank", "id", "score")
 
 
 def maxsim_topk(spark, d):
@@ -154,12 +160,6 @@ def maxsim_topk(spark, d):
     return search.maxsim_topk(v.pages, v.tokens).select("qid", "rank", "id", "source", "page", "n_patches", "score")
 
 
-def maxsim_topk_sql(spark, d):
-    e = _t(spark, d, "embeddings")
-    patches = vectors.page_patches(e).select(F.col("doc_id").alias("id"), "vector")
-    return search.maxsim_topk_sql(patches, vectors.question_tokens(e)).select("qid", "rank", "id", "score")
-
-
 def patch_stats(spark, d):
     return index.patch_stats(_vision(spark, d).pages)
 
@@ -191,7 +191,7 @@ def variant_hyde(spark, d):
 
 
 def router(spark, d):
-    turns = _user_turns(spark, d).select("qid", "query").unionByName(_questions(spark, d).withColumn("qid", -1 - F.col("qid")))
+    turns = _user_turns(spark, d).select("qid", "query").unionByName(_questions(spark, d).withColumn("qid", F.concat(F.lit("item:"), F.col("qid").cast("string"))))
     return route.route(turns).select("qid", "w_text", "w_vision", "rationale")
 
 
@@ -252,7 +252,7 @@ def extractive_answer(spark, d):
 
 def refusal_check(spark, d):
     turns = _user_turns(spark, d)
-    answer = F.when(F.col("qid") % 3 == 0, generate.refusal(F.col("query"))).otherwise(F.col("passage"))
+    answer = F.when(F.col("conv_id") % 3 == 0, generate.refusal(F.col("query"))).otherwise(F.col("passage"))
     return turns.select("qid", F.coalesce(evaluate.refuses(answer), F.lit(False)).alias("refuses"))
 
 
@@ -278,7 +278,7 @@ def keyword_hit(spark, d):
     return evaluate.keyword_hits(_retriever(spark, d).search(q, 3), _keywords(q))
 
 
-def _mode_results(spark, d):
+def _variant_results(spark, d):
     """(qid, mode, hit) of text variants: the keywords of a question in the texts of its hits."""
     q = _questions(spark, d)
     cases, r = _keywords(q), _retriever(spark, d)
@@ -289,16 +289,48 @@ def _mode_results(spark, d):
     return out
 
 
+def variant_matrix(spark, d):
+    """Questions by text variant: whether the retrieved texts name a keyword."""
+    return evaluate.pass_matrix(_variant_results(spark, d), ["baseline", "qt", "rerank"])
+
+
+MODES = ("text_only", "vision_only", "caption", "hybrid", "hybrid_graph")
+
+
+def _mode_answers(spark, d):
+    """For each mode what answers a table of questions."""
+    pages = blocks.iter_pages(_docs(spark, d))
+    text_, vision = _retriever(spark, d), _vision(spark, d)
+    return {
+        "text_only": lambda q: modes.text_only(q, text_)["answers"],
+        "vision_only": lambda q: modes.vision_only(q, vision, pages)["answers"],
+        "caption": lambda q: modes.caption_only(q, _caption_points(spark, d))["answers"],
+        "hybrid": lambda q: modes.hybrid(q, text_, vision, pages)["answers"],
+        "hybrid_graph": lambda q: modes.hybrid_graph(q, text_, vision, pages, storage.written)["answers"],
+    }
+
+
 def mode_matrix(spark, d):
-    return evaluate.pass_matrix(_mode_results(spark, d), ["baseline", "qt", "rerank", "vision_only"])
+    """Questions by mode: whether the answer names a keyword; a mode that raises fails and the others go on."""
+    q = _questions(spark, d)
+    cases = _keywords(q)
+    results = None
+    for name, answers in _mode_answers(spark, d).items():
+
+        def hits(answers=answers):
+            return answers(q).join(cases, "qid").select("qid", evaluate.answer_hit(F.col("answer"), F.col("keywords")).alias("hit"))
+
+        got = evaluate.isolated(cases, name, hits, storage.written)
+        results = got if results is None else results.unionByName(got)
+    return evaluate.pass_matrix(results, list(MODES))
 
 
 def pass_count(spark, d):
-    return _mode_results(spark, d).groupBy("mode").agg(F.count("*").alias("n"), F.count_if("hit").alias("passed"))
+    return _variant_results(spark, d).groupBy("mode").agg(F.count("*").alias("n"), F.count_if("hit").alias("passed"))
 
 
 def rerank_recovers(spark, d):
-    m = mode_matrix(spark, d)
+    m = variant_matrix(spark, d)
     return m.select("qid", (F.col("rerank") & ~F.col("baseline")).alias("recovered"))
 
 
@@ -339,6 +371,11 @@ def recall_at_k(spark, d):
     return evaluate.recall_at_k(hits, _gold(spark, d), 5, ("source",))
 
 
+def recall_at_10(spark, d):
+    hits = _retriever(spark, d).search(_questions(spark, d), 20)
+    return evaluate.recall_at_k(hits, _gold(spark, d), 10, ("source",))
+
+
 def ndcg_at_k(spark, d):
     hits = _retriever(spark, d).search(_questions(spark, d), 10)
     return evaluate.ndcg_at_k(hits, _gold(spark, d), 5, ("source",))
@@ -351,13 +388,13 @@ def missed_gold(spark, d):
 
 def exact_match(spark, d):
     turns = _user_turns(spark, d).where("passage is not null")
-    other = F.when(F.col("qid") % 2 == 0, F.concat(F.lit("  "), F.replace("passage", F.lit(" "), F.lit("  ")), F.lit(" "))).otherwise(F.col("query"))
+    other = F.when(F.col("turn") % 2 == 0, F.concat(F.lit("  "), F.replace("passage", F.lit(" "), F.lit("  ")), F.lit(" "))).otherwise(F.col("query"))
     return turns.select("qid", evaluate.exact_match(other, F.col("passage")).alias("em"))
 
 
 def answer_f1(spark, d):
     turns = _user_turns(spark, d).where("passage is not null")
-    return turns.select("qid", evaluate.f1(F.col("query"), F.col("passage")).alias("f1"))
+    return evaluate.f1_scores(turns.select("qid", F.col("query").alias("answer"), F.col("passage").alias("gold")))
 
 
 def hallucination_rate(spark, d):
@@ -366,8 +403,8 @@ def hallucination_rate(spark, d):
 
 
 def bootstrap_ci(spark, d):
-    m = _mode_results(spark, d).groupBy("qid").pivot("mode", ["baseline", "rerank"]).agg(F.max(F.col("hit").cast("double")))
-    return evaluate.bootstrap(m.select("qid", F.col("rerank").alias("a"), F.col("baseline").alias("b")), 200)
+    m = _variant_results(spark, d).groupBy("qid").pivot("mode", ["baseline", "rerank"]).agg(F.max(F.col("hit").cast("double")))
+    return evaluate.bootstrap(m.select("qid", F.col("rerank").alias("a"), F.col("baseline").alias("b")))
 
 
 def usage_cost(spark, d):
@@ -392,7 +429,7 @@ def repeat_average(spark, d):
 def label_precision(spark, d):
     """The share of a query's nearest vectors that have its label."""
     corpus, queries = _vectors(spark, d)
-    hits = search.cosine_topk(corpus, queries.select("qid", "vector"), 10).join(queries.select("qid", "q_label"), "qid")
+    hits = search.others_topk(corpus, queries.select("qid", "vector"), 10).join(queries.select("qid", "q_label"), "qid")
     return hits.groupBy("qid").agg(F.round(F.avg((F.col("label") == F.col("q_label")).cast("double")), 6).alias("precision"))
 
 
@@ -420,9 +457,105 @@ def page_hosts(spark, d):
     return _t(spark, d, "pages").select("page_id", text.host_of(F.col("url")).alias("host"))
 
 
-def lsh_topk(spark, d):
+def cluster_topk(spark, d):
     corpus, queries = _vectors(spark, d)
-    return search.lsh_topk(corpus.select("id", "vector"), queries.select("qid", "vector"), 10).select("qid", "rank", "id", "score")
+    return search.others_topk(corpus.select("id", "vector"), queries.select("qid", "vector"), 10, search=search.cluster_topk).select("qid", "rank", "id", "score")
+
+
+def collection_search(spark, d):
+    """Blocks written to a collection with their terms once, half of them twice; questions search what it holds."""
+    points_ = search.with_postings(_points(spark, d))
+    c = _collection(spark, points_)
+    c.upsert(points_.where(F.col("block_index") % 2 == 0))
+    return modes.IndexRetriever(c).search(_questions(spark, d), 5).select(*_HITS)
+
+
+def collection_upsert(spark, d):
+    """A collection of blocks into which half of the documents go again with another spelling, the older one twice in the batch."""
+    docs = _docs(spark, d)
+    c = _collection(spark, _points(spark, d))
+    half = docs.where("doc_id % 2 = 0")
+    old, new = points(half).withColumn("version", F.lit(1)), points(half.withColumn("text", F.replace("text", F.lit("e"), F.lit("E")))).withColumn("version", F.lit(2))
+    c.upsert(new.unionByName(old), order="version")
+    return c.scan().select("id", F.md5("text").alias("text_md5"))
+
+
+def caption_collection(spark, d):
+    """The caption index: captions written once, their points scanned."""
+    c = _collection(spark, _caption_points(spark, d))
+    return c.scan().select("id", "source", "page", "caption", (F.col("caption") == F.col("text")).alias("same"))
+
+
+def vision_collection(spark, d):
+    """Multi-vector pages written to a collection of their own settings and searched by late interaction."""
+    v = _vision(spark, d)
+    c = _collection(spark, v.pages, vector="vectors", dim=64, comparator="max_sim")
+    return modes.VisionRetriever(c.scan(), v.tokens).search(_questions(spark, d), 5).select("qid", "rank", "id", "score")
+
+
+def cosine_collection(spark, d):
+    """Vectors written to a collection that checks their size, then searched."""
+    corpus, queries = _vectors(spark, d)
+    c = _collection(spark, corpus, vector="vector", dim=64)
+    return search.others_topk(c.scan().select("id", "vector"), queries.select("qid", "vector"), 5).select("qid", "rank", "id", "score")
+
+
+def hybrid_graph_answers(spark, d):
+    q = _questions(spark, d)
+    got = modes.hybrid_graph(q, _retriever(spark, d), _vision(spark, d), blocks.iter_pages(_docs(spark, d)), storage.written)["answers"]
+    return got.select("qid", "mode", "answer", "stop_reason")
+
+
+def rrf_payload(spark, d):
+    """What a fused page keeps of its first hit, whichever list it is from."""
+    return _fused(spark, d).select("qid", "source", "page", "id", "block_type", F.md5("text").alias("text_md5"), "n_patches")
+
+
+def page_images(spark, d):
+    """Pages drawn at a scale of 2: what the files say of their size."""
+    p = blocks.page_images(blocks.iter_pages(_docs(spark, d)), 2.0)
+    number = lambda at: F.conv(F.hex(F.substring("image", at, 4)), 16, 10).cast("int")
+    return p.select("source", "page", number(17).alias("width"), number(21).alias("height"))
+
+
+def vision_requests(spark, d):
+    """Requests about the web pages' contents as images: how many come first, what is marked for caching, and the question."""
+    p = _t(spark, d, "pages").select((F.col("page_id") % 7).alias("qid"), F.row_number().over(W.partitionBy(F.col("page_id") % 7).orderBy("page_id")).alias("rank"), F.concat("url", F.lit(".gif")).alias("path"), F.encode("html", "UTF-8").alias("content"))
+    q = _t(spark, d, "pages").groupBy((F.col("page_id") % 7).alias("qid")).agg(F.min("url").alias("query"))
+    got = generate.vision_requests(q, generate.image_messages(p))
+    get = lambda path: F.get_json_object("body", path)
+    kinds = F.from_json(get("$.messages[0].content"), "array<struct<type: string, source: struct<media_type: string>, text: string, cache_control: struct<type: string>>>")
+    return got.select("qid", (F.size(kinds) - 1).alias("n_images"), F.array_join(F.slice(kinds["type"], 1, 2), ",").alias("first"), F.size(F.filter(kinds, lambda k: k["cache_control"].isNotNull())).alias("marked"), F.element_at(kinds, -1)["text"].alias("question"), get("$.system[0].cache_control.type").alias("system_mark"))
+
+
+def generated_answers(spark, d):
+    """Answers of a plugged-in generator, out of its JSON responses."""
+    q = _questions(spark, d)
+    none = spark.createDataFrame([], "qid long, rank int, media_type string, data string, cached boolean")
+    got = generate.vision_generate(q, none, generate.echoing_generator)
+    return got.select("qid", "answer", "stop_reason", "usage.input_tokens", "usage.cache_creation_input_tokens", "usage.cache_read_input_tokens")
+
+
+def short_completions(spark, d):
+    turns = _user_turns(spark, d).where("passage is not null")
+    return turns.select("qid", generate.short_completion(F.col("passage"), 8).alias("completion"), generate.short_completion(F.col("passage"), 0).alias("whole"))
+
+
+def judge_marks(spark, d):
+    turns = _user_turns(spark, d).where("passage is not null")
+    return evaluate.judged(turns.select("qid", "query", F.col("query").alias("answer"), F.col("passage").alias("gold"))).select("qid", "mark")
+
+
+def variant_written(spark, d):
+    """Questions cut by a plugged-in writer before the search."""
+    r = modes.RewritingRetriever(_retriever(spark, d), "written", writer=F.lower, max_tokens=6)
+    return r.search(_questions(spark, d), 3).select("qid", "rank", "id", "score", "variant", "rewritten_query")
+
+
+def mode_breakdown(spark, d):
+    """The share of questions that pass, by variant and by the router's decision."""
+    results = _variant_results(spark, d).join(route.route(_questions(spark, d)).select("qid", "rationale"), "qid")
+    return evaluate.breakdown(results.select("mode", "rationale", F.col("hit").cast("double").alias("v")), ["mode", "rationale"], "v")
 
 
 def flagship(spark, d):
@@ -433,11 +566,13 @@ QUERIES = {
     f.__name__: f
     for f in (
         extract_blocks, min_len_filter, chunk_ids, page_ids, page_count, page_lookup, html_blocks, index_stats, upsert_dedup, tf_embed,
-        l2_normalize, cosine_topk, cosine_topk_sql, maxsim_topk, maxsim_topk_sql, patch_stats, fp16_roundtrip, text_topk, variant_baseline,
+        l2_normalize, cosine_topk, maxsim_topk, patch_stats, fp16_roundtrip, text_topk, variant_baseline,
         variant_qt, variant_hyde, router, router_share, rrf_fuse, rrf_sources, hybrid_topk, hybrid_answers, page_hydrate, rerank_topk,
         format_context, prompt_assembly, extractive_answer, refusal_check, caption_pages, caption_stats, caption_topk, image_base64,
-        keyword_hit, mode_matrix, pass_count, rerank_recovers, hyde_recovers, answer_keyword_hit, vision_answers, caption_answers, acceptance, recall_at_k, ndcg_at_k, missed_gold, exact_match, answer_f1,
+        keyword_hit, variant_matrix, mode_matrix, pass_count, rerank_recovers, hyde_recovers, answer_keyword_hit, vision_answers, caption_answers, acceptance, recall_at_k, recall_at_10, ndcg_at_k, missed_gold, exact_match, answer_f1,
         hallucination_rate, bootstrap_ci, usage_cost, storage_bytes, metric_breakdown, repeat_average, label_precision, trace_rows,
-        found_by_both, snippets, page_hosts, lsh_topk,
+        found_by_both, snippets, page_hosts, cluster_topk, collection_search, collection_upsert, caption_collection, vision_collection,
+        cosine_collection, hybrid_graph_answers, rrf_payload, page_images, vision_requests, generated_answers, short_completions, judge_marks,
+        variant_written, mode_breakdown,
     )
 }

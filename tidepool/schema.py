@@ -1,4 +1,4 @@
-"""Record shapes (as DDL) and fixed values of the retrieval engine."""
+"""Fixed values of the retrieval engine and the shape of its evaluation questions."""
 
 from __future__ import annotations
 
@@ -13,7 +13,7 @@ K_VISION_MODE = 3
 K_HYBRID_MODE = 3
 CANDIDATE_POOL = 20
 PER_RETRIEVER = 8
-ENCODE_BATCH = 32
+EMBED_BATCH = 8
 MAX_CACHED_IMAGES = 3
 TEXT_NAMESPACE = "0f4cf7cb-9e3e-4cfa-a5d1-d9b64a4f2fe1"
 VISION_NAMESPACE = "18a6e0d2-4c18-4f0e-b0a9-9a8f9f7d4c11"
@@ -32,8 +32,5 @@ DOLLARS_PER_MILLION_OUT = 5.0
 TF_BUCKETS = 1024
 LINES_PER_PAGE = 20
 
-BLOCK = "source STRING, page INT, block_type STRING, block_index INT, text STRING"
-HIT = "qid BIGINT, rank INT, score DOUBLE, id STRING, source STRING, page INT, block_type STRING, text STRING, n_patches INT, variant STRING, original_query STRING, rewritten_query STRING, rerank_score DOUBLE"
-USAGE = "input_tokens BIGINT, output_tokens BIGINT, cache_creation_input_tokens BIGINT, cache_read_input_tokens BIGINT"
-ROUTING = "w_text DOUBLE, w_vision DOUBLE, rationale STRING"
+#: Of evaluation questions, as a table or a file holds them.
 EVAL_QUESTION = "id STRING, q_ko STRING, q_en STRING, answer STRING, gold_pages ARRAY<STRUCT<source: STRING, page: INT>>, block_type STRING, type STRING, period_spec STRING"

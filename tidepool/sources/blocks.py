@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidepool.functions.text import strip
+from tidepool.functions.vector import png_of
 from tidepool.schema import LINES_PER_PAGE, MIN_TEXT_LEN
 
 _ELEMENT = r"(?is)<(h1|p|li)(?:\s[^>]*)?>(.*?)</\1>"
@@ -68,14 +69,48 @@ def page_count(documents: DataFrame) -> DataFrame:
 
 
 def lookup_pages(documents: DataFrame, wanted: DataFrame) -> DataFrame:
-    """The wanted (source, page) that exist; pages count from 1."""
-    return iter_pages(documents).join(wanted.select("source", "page").distinct(), ["source", "page"], "left_semi")
+    """The wanted (source, page) that exist; pages count from 1. Only documents that have a wanted page are cut, and only these pages."""
+    asked = wanted.select("source", "page").where("page > 0").distinct()
+    lines = documents.select("doc_id", document_source().alias("source"), F.col("text")).join(asked, "source")
+    lines = lines.select("doc_id", "source", "page", F.split(F.coalesce("text", F.lit("")), "\n").alias("lines"))
+    first = (F.col("page") - 1) * LINES_PER_PAGE + 1
+    return lines.where(first <= F.size("lines")).select("doc_id", "source", "page", F.array_join(F.slice("lines", first, F.lit(LINES_PER_PAGE)), "\n").alias("page_text"))
 
 
-def read_files(spark: SparkSession, paths: list[str]) -> tuple[DataFrame | None, list[str]]:
-    """(files as binary rows, paths that don't exist): missing files are reported and skipped."""
+def plain_raster(text: Column, scale: float = 1.5) -> Column:
+    """A stand-in for a renderer: (height, width, channels, data), a grey page where each character but white space is a dark dot of `scale` pixels."""
+    dot = max(1, round(scale))
+    lines = F.split(F.coalesce(text, F.lit("")), "\n")
+    width = F.greatest(F.lit(1), F.array_max(F.transform(lines, F.char_length)))
+    row = lambda line, w: F.array_join(F.transform(F.split(F.rpad(line, w, " "), ""), lambda c: F.when(F.trim(c) == "", "FF" * dot).otherwise("40" * dot)), "")
+    drawn = F.transform(lines, lambda line: F.repeat(F.when(line == "", F.repeat(F.lit("FF"), width * dot)).otherwise(row(line, width)), dot))
+    return F.struct((F.size(lines) * dot).alias("height"), (width * dot).alias("width"), F.lit(1).alias("channels"), F.unhex(F.array_join(drawn, "")).alias("data"))
+
+
+def page_images(pages: DataFrame, scale: float = 1.5, render=plain_raster) -> DataFrame:
+    """pages (source, page, page_text) with image, a PNG file of each page, drawn by a pluggable renderer at a scale."""
+    drawn = pages.withColumn("_i", render(F.col("page_text"), scale))
+    return drawn.withColumn("image", png_of("_i.height", "_i.width", "_i.channels", "_i.data")).drop("_i")
+
+
+DEFAULT_PATHS = ("data/*.pdf",)
+
+
+def read_files(spark: SparkSession, paths: list[str] | None = None) -> tuple[DataFrame | None, list[str]]:
+    """(files as binary rows, paths that match no file): missing files are reported and skipped; no paths mean the default ones."""
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
     conf = spark.sparkContext._jsc.hadoopConfiguration()
-    there = [p for p in paths if hadoop.Path(p).getFileSystem(conf).exists(hadoop.Path(p))]
+
+    def matches(p: str) -> bool:
+        found = hadoop.Path(p).getFileSystem(conf).globStatus(hadoop.Path(p))
+        return found is not None and len(found) > 0
+
+    paths = list(paths or DEFAULT_PATHS)
+    there = [p for p in paths if matches(p)]
     found = spark.read.format("binaryFile").load(there) if there else None
     return found, [p for p in paths if p not in there]
+
+
+def skip_report(missing: list[str]) -> str:
+    """A line for each path that was skipped."""
+    return "\n".join(f"SKIP {p}: no such file" for p in missing)
