@@ -281,13 +281,13 @@ def test_f1_scores_and_marks(spark):
     assert got == {1: 3, 2: 1, 3: 5}
 
 
-def test_postings_and_other_embedders(spark):
+def test_kept_terms_and_other_embedders(spark):
     from tidepool.plans import modes
 
     corpus = spark.createDataFrame([("d1", "same words here"), ("d2", "other words, other words"), ("e", None), ("f", "")], "id string, text string")
     q = spark.createDataFrame([(1, "words other"), (2, "")], "qid long, query string")
     a = [(r.qid, r["rank"], r.id, r.score) for r in search.text_topk(corpus, q).orderBy("rank").collect()]
-    b = [(r.qid, r["rank"], r.id, r.score) for r in search.postings_topk(search.with_postings(corpus), q).orderBy("rank").collect()]
+    b = [(r.qid, r["rank"], r.id, r.score) for r in search.terms_topk(search.with_terms(corpus), q).orderBy("rank").collect()]
     assert a == b and [x[2] for x in a] == ["d2", "d1"]
     length = lambda t: F.array(F.length(F.coalesce(t, F.lit(""))).cast("double"), F.lit(1.0))
     got = modes.TextRetriever(corpus, embed=length).search(q.where("qid = 2"), 1).first()

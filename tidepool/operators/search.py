@@ -5,8 +5,7 @@ product scores a batch and only the best k rows of a partition leave it. So neit
 what is broadcast is bounded, and work grows with queries times rows, as exact search must. The blocks
 are read when the search is set up, since their number shapes the plan.
 
-Term vectors that an index holds are searched by an equi-join on the terms instead (`postings_topk`), so only
-rows that share a term with a query are touched. All order by (score at six places, then id).
+Term vectors that an index holds (`with_terms`) are searched as they are. All order by (score at six places, then id).
 """
 
 from __future__ import annotations
@@ -21,7 +20,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidepool.functions.text import buckets_of, tokens
+from tidepool.functions.text import tokens
 from tidepool.functions.vector import norm
 from tidepool.schema import K_RETRIEVER, TF_BUCKETS
 
@@ -116,23 +115,28 @@ def others_topk(corpus: DataFrame, queries: DataFrame, k: int = K_RETRIEVER, blo
     return ranked(hits, k)
 
 
-class _Terms:
-    """Sparse term counts of token lists: each distinct token is hashed once."""
+class _Hashes(dict):
+    """The hash of each token that a process has met lately."""
 
-    def __init__(self, column: pa.Array, width: int) -> None:
-        flat = column.flatten().dictionary_encode()
-        place = np.fromiter((int(hashlib.md5(t.encode()).hexdigest()[:8], 16) % width for t in flat.dictionary.to_pylist()), np.int64)
-        sizes = np.asarray(column.value_lengths().fill_null(0))
-        row = np.repeat(np.arange(len(column)), sizes)
-        terms = place[np.asarray(flat.indices)] if len(place) else np.empty(0, np.int64)
-        key, self.count = np.unique(row * width + terms, return_counts=True)
-        self.row, self.term = key // width, key % width
-        self.norm = np.sqrt(np.bincount(self.row, self.count * self.count.astype(float), len(column)))
+    def __missing__(self, token: str) -> int:
+        if len(self) >= 500_000:
+            self.clear()
+        self[token] = found = int.from_bytes(hashlib.md5(token.encode()).digest()[:4], "big")
+        return found
 
-    def dense(self, width: int) -> np.ndarray:
-        m = np.zeros((len(self.norm), width))
-        m[self.row, self.term] = self.count
-        return m
+
+_HASHES = _Hashes()
+
+
+def _term_counts(column: pa.Array, width: int) -> np.ndarray:
+    """Counts of hashed terms, a row for each list of tokens; each distinct token is hashed once."""
+    flat = column.flatten().dictionary_encode()
+    place = np.fromiter(map(_HASHES.__getitem__, flat.dictionary.to_pylist()), np.int64, len(flat.dictionary)) % width
+    sizes = np.asarray(column.value_lengths().fill_null(0))
+    key = np.repeat(np.arange(len(column)) * width, sizes)
+    if len(key):
+        key += place[np.asarray(flat.indices)]
+    return np.bincount(key, minlength=len(column) * width).reshape(len(column), width).astype(np.float64)
 
 
 def hashed_terms(text: Column) -> Column:
@@ -149,40 +153,47 @@ def text_topk(corpus: DataFrame, queries: DataFrame, k: int = K_RETRIEVER, width
     if dict(index.dtypes)["_t"] != "array<string>":
         return cosine_topk(index.withColumnRenamed("_t", "vector"), asked.withColumnRenamed("_t", "vector"), k, block)
 
-    def prepare(rows):
-        return _unit(_Terms(pa.array([r["_t"] or [] for r in rows], pa.list_(pa.string())), width).dense(width)).T
+    prepare = lambda rows: _unit(_term_counts(pa.array([r["_t"] or [] for r in rows], pa.list_(pa.string())), width)).T
+    return ranked(_scored(index, asked, k, ["_t"], prepare, lambda b, q: _positive(_unit(_term_counts(b.column("_t"), width)) @ np.nan_to_num(q)), block), k)
+
+
+def _positive(got: np.ndarray) -> np.ndarray:
+    return np.where(got > 0, got, -np.inf)
+
+
+def with_terms(points: DataFrame, width: int = TF_BUCKETS) -> DataFrame:
+    """points (id, text, ...) with terms, the places and counts of their term vector as an index keeps them; each row's come from its own text."""
+
+    def run(batches):
+        for b in batches:
+            for a in range(0, len(b), _ROWS):
+                part = b.slice(a, _ROWS)
+                m = _term_counts(part.column("_t"), width)
+                row, place = np.nonzero(m)
+                cuts = np.searchsorted(row, np.arange(len(part) + 1)).astype(np.int32)
+                terms, tf = (pa.ListArray.from_arrays(cuts, pa.array(x.astype(np.int32))) for x in (place, m[row, place]))
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], terms, tf], names=[*part.schema.names[:-1], "terms", "tf"])
+
+    schema = T.StructType([*points.schema.fields, T.StructField("terms", T.ArrayType(T.IntegerType())), T.StructField("tf", T.ArrayType(T.IntegerType()))])
+    return points.withColumn("_t", tokens(F.col("text"))).mapInArrow(run, schema)
+
+
+def terms_topk(index: DataFrame, queries: DataFrame, k: int = K_RETRIEVER, width: int = TF_BUCKETS, block: int = BLOCK) -> DataFrame:
+    """text_topk over an index of with_terms(): nothing is tokenised or hashed again but the queries.
+
+    A product with the queries' matrix, not a join on terms: of 1,024 places nearly every row shares one with nearly
+    every query, so a join makes as many rows as there are pairs and shuffles them.
+    """
 
     def score(b, q):
-        terms = _Terms(b.column("_t"), width)
-        got = np.zeros((len(b), q.shape[1]))
-        step = max(1, 4_000_000 // max(1, q.shape[1]))
-        for a in range(0, len(terms.row), step):  # products of a bounded number of terms at a time
-            row = terms.row[a : a + step]
-            first = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]]))
-            got[row[first]] += np.add.reduceat(np.nan_to_num(q[terms.term[a : a + step]]) * terms.count[a : a + step, None], first, axis=0)
-        with np.errstate(invalid="ignore", divide="ignore"):
-            got = got / terms.norm[:, None]
-        return np.where(got > 0, got, -np.inf)
-
-    return ranked(_scored(index, asked, k, ["_t"], prepare, score, block), k)
-
-
-def with_postings(points: DataFrame, width: int = TF_BUCKETS) -> DataFrame:
-    """points (id, text, ...) with terms (term, tf) and the norm of their term vector, as an index keeps them."""
-    places = points.select("id", F.explode(buckets_of(F.col("text"), width)).alias("term"))
-    counted = places.groupBy("id", "term").agg(F.count("*").alias("tf"))
-    terms = counted.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("term", "tf"))).alias("terms"), F.sqrt(F.sum(F.col("tf") * F.col("tf")).cast("double")).alias("norm"))
-    return points.join(terms, "id", "left")
-
-
-def postings_topk(index: DataFrame, queries: DataFrame, k: int = K_RETRIEVER, width: int = TF_BUCKETS) -> DataFrame:
-    """text_topk over an index of with_postings(): queries meet rows by an equi-join on the terms, scores add up before the shuffle."""
-    asked = queries.select("qid", F.explode(buckets_of(F.col("query"), width)).alias("term")).groupBy("qid", "term").agg(F.count("*").alias("q_tf"))
-    norms = asked.groupBy("qid").agg(F.sqrt(F.sum(F.col("q_tf") * F.col("q_tf")).cast("double")).alias("q_norm"))
-    rows = index.select("id", "norm", F.inline("terms"))
-    dots = rows.join(asked, "term").groupBy("qid", "id").agg(F.sum(F.col("tf") * F.col("q_tf")).alias("dot"), F.first("norm").alias("norm"))
-    scored = dots.join(norms, "qid").select("qid", "id", F.round(F.col("dot") / (F.col("q_norm") * F.col("norm")), 6).alias("score"))
-    return ranked(scored, k).join(index.drop("terms", "norm"), "id")
+        sizes = np.asarray(b.column("terms").value_lengths().fill_null(0))
+        m = np.zeros((len(b), width))
+        m[np.repeat(np.arange(len(b)), sizes), np.asarray(b.column("terms").flatten())] = np.asarray(b.column("tf").flatten())
+        return _positive(_unit(m) @ np.nan_to_num(q))
+
+    asked = queries.select("qid", tokens(F.col("query")).alias("_t"))
+    prepare = lambda rows: _unit(_term_counts(pa.array([r["_t"] or [] for r in rows], pa.list_(pa.string())), width)).T
+    return ranked(_scored(index, asked, k, ["terms", "tf"], prepare, score, block), k)
 
 
 def maxsim_topk(pages: DataFrame, tokens: DataFrame, k: int = K_RETRIEVER, block: int = 256) -> DataFrame:

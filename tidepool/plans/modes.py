@@ -37,7 +37,7 @@ class IndexRetriever:
     index: Collection
 
     def search(self, queries: DataFrame, k: int) -> DataFrame:
-        return search.postings_topk(self.index.scan(), queries, k)
+        return search.terms_topk(self.index.scan(), queries, k)
 
 
 @dataclass

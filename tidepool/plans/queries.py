@@ -464,7 +464,7 @@ def cluster_topk(spark, d):
 
 def collection_search(spark, d):
     """Blocks written to a collection with their terms once, half of them twice; questions search what it holds."""
-    points_ = search.with_postings(_points(spark, d))
+    points_ = search.with_terms(_points(spark, d))
     c = _collection(spark, points_)
     c.upsert(points_.where(F.col("block_index") % 2 == 0))
     return modes.IndexRetriever(c).search(_questions(spark, d), 5).select(*_HITS)

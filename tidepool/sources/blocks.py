@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -80,11 +82,20 @@ def lookup_pages(documents: DataFrame, wanted: DataFrame) -> DataFrame:
 def plain_raster(text: Column, scale: float = 1.5) -> Column:
     """A stand-in for a renderer: (height, width, channels, data), a grey page where each character but white space is a dark dot of `scale` pixels."""
     dot = max(1, round(scale))
-    lines = F.split(F.coalesce(text, F.lit("")), "\n")
-    width = F.greatest(F.lit(1), F.array_max(F.transform(lines, F.char_length)))
-    row = lambda line, w: F.array_join(F.transform(F.split(F.rpad(line, w, " "), ""), lambda c: F.when(F.trim(c) == "", "FF" * dot).otherwise("40" * dot)), "")
-    drawn = F.transform(lines, lambda line: F.repeat(F.when(line == "", F.repeat(F.lit("FF"), width * dot)).otherwise(row(line, width)), dot))
-    return F.struct((F.size(lines) * dot).alias("height"), (width * dot).alias("width"), F.lit(1).alias("channels"), F.unhex(F.array_join(drawn, "")).alias("data"))
+
+    @F.pandas_udf("height int, width int, channels int, data binary")
+    def drawn(texts: pd.Series) -> pd.DataFrame:
+        rows = []
+        for t in texts:
+            lines = ("" if t is None else t).split("\n")
+            a = np.full((len(lines), max(1, *map(len, lines))), 0xFF, np.uint8)
+            for i, line in enumerate(lines):
+                a[i, : len(line)] = [0xFF if c == " " else 0x40 for c in line]
+            a = a.repeat(dot, axis=0).repeat(dot, axis=1)
+            rows.append((a.shape[0], a.shape[1], 1, a.tobytes()))
+        return pd.DataFrame(rows, columns=["height", "width", "channels", "data"])
+
+    return drawn(text)
 
 
 def page_images(pages: DataFrame, scale: float = 1.5, render=plain_raster) -> DataFrame:
