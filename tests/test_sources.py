@@ -24,6 +24,12 @@ def test_missing_files_are_told_and_skipped(spark, tmp_path):
     assert blocks.read_files(spark, [str(tmp_path / "b.bin")])[0] is None
 
 
+def test_tables_become_markdown(spark):
+    docs = spark.createDataFrame([(1, "a | b\n1|2|3\ntext\n| x | y |\n| only |\n| x | y |\nend", "s"), (2, None, "s"), (3, "none", "s")], "doc_id long, text string, source string")
+    got = [(r.first_line, r.n_rows, r.markdown) for r in blocks.table_markdown(docs).orderBy("first_line").collect()]
+    assert got == [(0, 2, "| a | b |\n| --- | --- |\n| 1 | 2 |"), (3, 3, "| x | y |\n| --- | --- |\n| only |  |\n| x | y |")]
+
+
 def test_html(spark):
     html = "<h1>A heading here</h1><script>var p='<p>not this one at all</p>'</script><p class='x'>Some <b>bold</b> words</p><!-- <li>nor this one here</li> --><li>short</li>"
     got = blocks.html_blocks(spark.createDataFrame([(1, "u", html), (2, "u", None)], "page_id long, url string, html string"))

@@ -206,6 +206,12 @@ SELECT round((SELECT avg(d) FROM p), 6) AS mean, round(quantile_cont(m, 0.025),
 SELECT qid, 'text_only' AS mode, 'standin:extractive' AS model, 'baseline' AS retriever_variant, stop_reason, coalesce(n, 0)::int AS n_hits, coalesce(p, '') AS hit_pages, coalesce(s, '') AS hit_scores FROM answers LEFT JOIN h USING (qid)""",
     "found_by_both": f"WITH {_POINTS}, {_QUESTIONS}, {_CAPTIONS}, {_search('points', 'questions', 8, 'h1')}, {_search('capped', 'questions', 8, 'h2')} SELECT qid, source, page FROM h1 INTERSECT SELECT qid, source, page FROM h2",
     "snippets": f"WITH {_POINTS}, {_QUESTIONS}, {_search('points', 'questions', 3, 'hits')} SELECT qid, rank, replace(substr(text, 1, 150), chr(10), ' / ') AS snippet FROM hits",
+    "stream_upkeep": f"WITH {_POINTS} SELECT id, source, md5(text) AS text_md5 FROM points",
+    "table_markdown": f"""WITH {_RAW}, b AS (SELECT source, pos, line, pos - row_number() OVER (PARTITION BY source ORDER BY pos) AS run FROM raw_blocks_l WHERE contains(line, '|')),
+c AS (SELECT source, run, pos, list_transform(string_split(regexp_replace({_strip("line")}, '^\\||\\|$', '', 'g'), '|'), lambda x: {_strip("x")}) AS c FROM b),
+w AS (SELECT *, len(first(c) OVER (PARTITION BY source, run ORDER BY pos)) AS w, row_number() OVER (PARTITION BY source, run ORDER BY pos) AS n FROM c),
+r AS (SELECT source, run, pos, n, w, '| ' || array_to_string(list_concat(c, list_transform(range(w), lambda i: ''))[1:w], ' | ') || ' |' AS line FROM w)
+SELECT source, min(pos)::int AS first_line, count(*)::int AS n_rows, md5(string_agg(CASE WHEN n = 1 THEN line || chr(10) || '| ' || array_to_string(list_transform(range(w), lambda i: '---'), ' | ') || ' |' ELSE line END, chr(10) ORDER BY pos)) AS markdown_md5 FROM r GROUP BY source, run""",
     "collection_search": f"{_TEXT5} SELECT qid, rank, id, source, page, block_type, score FROM hits",
     "caption_collection": f"WITH {_CAPTIONS} SELECT id, source, page, text AS caption, true AS same FROM capped",
     "vision_collection": f"WITH {_QUESTIONS}, {_VISION}, {_vhits(5)} SELECT qid, rank, id, score FROM vhits",

@@ -15,7 +15,7 @@ from tidepool.operators import evaluate, fuse, generate, index, rerank, rewrite,
 from tidepool.plans import modes
 from tidepool.schema import CANDIDATE_POOL
 from tidepool.sources import blocks, storage, vectors
-from tidepool.streaming.index_upkeep import points
+from tidepool.streaming.index_upkeep import maintain, points
 
 GLOSSARY = (("the", "der"), ("of", "von"), ("and", "und"), ("in", "en"), ("la", "the"), ("de", "of"))
 
@@ -25,7 +25,7 @@ def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
 
 
 def _docs(spark, d):
-    return _t(spark, d, "documents")
+    return storage.spread(_t(spark, d, "documents"))
 
 
 def _questions(spark, d):
@@ -124,6 +124,10 @@ def page_lookup(spark, d):
     return blocks.lookup_pages(docs, wanted).select("source", "page", F.md5("page_text").alias("page_md5"))
 
 
+def table_markdown(spark, d):
+    return blocks.table_markdown(_docs(spark, d)).select("source", "first_line", "n_rows", F.md5("markdown").alias("markdown_md5"))
+
+
 def html_blocks(spark, d):
     return blocks.html_blocks(_t(spark, d, "pages")).select("page_id", "source", "block_index", "text")
 
@@ -480,6 +484,16 @@ def collection_upsert(spark, d):
     return c.scan().select("id", F.md5("text").alias("text_md5"))
 
 
+def stream_upkeep(spark, d):
+    """Documents as a stream, each micro-batch upserted into a collection, twice over: the second run changes nothing."""
+    docs = _t(spark, d, "documents")
+    c = index.Collection(spark, storage.shared_path(spark, "upkeep"), points(docs).schema)
+    for _ in range(2):
+        stream = spark.readStream.schema(docs.schema).parquet(f"{d}/documents.parque[t]")  # a pattern may match a file as well as a folder
+        maintain(stream, c, storage.shared_path(spark, "progress")).awaitTermination()
+    return c.scan().select("id", "source", F.md5("text").alias("text_md5"))
+
+
 def caption_collection(spark, d):
     """The caption index: captions written once, their points scanned."""
     c = _collection(spark, _caption_points(spark, d))
@@ -573,6 +587,6 @@ QUERIES = {
         hallucination_rate, bootstrap_ci, usage_cost, storage_bytes, metric_breakdown, repeat_average, label_precision, trace_rows,
         found_by_both, snippets, page_hosts, cluster_topk, collection_search, collection_upsert, caption_collection, vision_collection,
         cosine_collection, hybrid_graph_answers, rrf_payload, page_images, vision_requests, generated_answers, short_completions, judge_marks,
-        variant_written, mode_breakdown,
+        variant_written, mode_breakdown, stream_upkeep, table_markdown,
     )
 }

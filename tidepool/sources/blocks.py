@@ -43,6 +43,27 @@ def extract_blocks(documents: DataFrame, min_len: int = MIN_TEXT_LEN) -> DataFra
     return raw_blocks(documents).where(F.char_length("text") >= min_len).select("doc_id", "source", "page", "block_type", "block_index", "text")
 
 
+def table_markdown(documents: DataFrame) -> DataFrame:
+    """Each run of lines with a bar as one Markdown table: source, first_line, n_rows and markdown, whose first row is the header.
+
+    Cells are what bars part, stripped, the empty ones at both ends left out; rows are made as wide as the header.
+    """
+    split = F.split(F.coalesce("text", F.lit("")), "\n")
+    lines = documents.select(document_source().alias("source"), F.transform(split, lambda x, i: F.struct(i.alias("i"), x.alias("x"))).alias("l"))
+    bars = F.filter("l", lambda x: F.contains(x["x"], F.lit("|")))
+    # A run is what keeps the same distance between a line's number and its place among the lines with bars.
+    rows = lines.select("source", F.posexplode(bars).alias("p", "b")).select("source", (F.col("b.i") - F.col("p")).alias("run"), F.col("b.i").alias("i"), F.col("b.x").alias("x"))
+    inner = F.regexp_replace(strip(F.col("x")), r"^\||\|$", "")
+    cells = F.transform(F.split(inner, r"\|"), lambda c: strip(c))
+    tables = rows.select("source", "run", F.struct("i", cells.alias("c")).alias("row")).groupBy("source", "run").agg(F.array_sort(F.collect_list("row")).alias("rows"))
+    width = F.size(F.element_at("rows", 1)["c"])
+    line = lambda c: F.concat(F.lit("| "), F.array_join(c, " | "), F.lit(" |"))
+    wide = lambda c: F.slice(F.concat(c, F.array_repeat(F.lit(""), width)), F.lit(1), width)
+    body = F.transform("rows", lambda r: line(wide(r["c"])))
+    every = F.concat(F.slice(body, 1, 1), F.array(line(F.array_repeat(F.lit("---"), width))), F.slice(body, F.lit(2), F.size(body)))
+    return tables.select("source", F.element_at("rows", 1)["i"].alias("first_line"), F.size("rows").alias("n_rows"), F.array_join(every, "\n").alias("markdown"))
+
+
 def html_blocks(pages: DataFrame, min_len: int = MIN_TEXT_LEN) -> DataFrame:
     """Headings, paragraphs and list items of web pages, scripts, styles, comments and tags removed."""
     clean = F.regexp_replace(F.coalesce("html", F.lit("")), _DROPPED, "")
