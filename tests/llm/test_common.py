@@ -80,3 +80,12 @@ def test_numbers_are_written_unless_rows_come_straight_from_files(spark, small):
     for df in (small.repartition(3), small.withColumn("r", F.rand()), small.groupBy("lang").count()):
         kept = C.numbered(df, "t")
         assert kept.inputFiles() and C.shared_dir(spark).rpartition("/")[2] in kept.inputFiles()[0]
+
+
+def test_tables_of_earlier_stages_can_be_dropped(spark):
+    first = C.tables_written()
+    a, b = (C.materialise(spark.range(3), "t") for _ in "ab")
+    C.drop_since(first, b)
+    assert b.count() == 3 and C.tables_written() == first + 1
+    with pytest.raises(Exception, match="(?i)not exist|found"):
+        a.count()

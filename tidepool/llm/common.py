@@ -61,6 +61,22 @@ def drop(df: DataFrame) -> None:
             return
 
 
+def tables_written() -> int:
+    """How many tables of materialise() there are, to drop later ones by."""
+    return len(_written)
+
+
+def drop_since(first: int, kept: DataFrame) -> None:
+    """Delete the tables written since there were `first`, but the one that kept reads; no other plan may need them."""
+    files = kept.inputFiles()[:1]
+    if not files:
+        return
+    for spark, path in _written[first:]:
+        if path.rpartition("/")[2] not in files[0]:
+            _delete(spark, path)
+    _written[first:] = [w for w in _written[first:] if w[1].rpartition("/")[2] in files[0]]
+
+
 def drop_all() -> None:
     """Delete all tables of materialise(); results that read them must be written by then. Runs when Python ends."""
     while _written:
@@ -71,7 +87,10 @@ def drop_all() -> None:
 
 
 def bounded_batches(spark: SparkSession, rows: int = 1_000, size: int = 8 << 20) -> None:
-    """Have Spark hand documents to Python in batches of bounded rows and bytes, smaller if the session says so."""
+    """Have Spark hand documents to Python in batches of bounded rows and bytes, smaller if the session says so.
+
+    The session keeps the setting, since plans run later than they are made.
+    """
     for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", rows), ("spark.sql.execution.arrow.maxBytesPerBatch", size)):
         told = spark.conf.get(key, None)
         if told is not None and (told.isdigit() and not 0 < int(told) <= most or not told.isdigit()):

@@ -22,7 +22,8 @@ they link out of the tree, so a group of m near copies yields m - 1 links and no
 
 Defined cases: null or empty text has fingerprint zero and links like any other; a null doc_id is
 never the smallest unless all of its component are null; equal rows each get a row; long texts are
-hashed in pieces. Empty tables give empty results. near_dedup() keeps every other column.
+hashed in pieces; near_duplicates() leaves other columns than doc_id and text out. near_dedup() keeps all
+columns, whatever their names; texts without a word are copies of each other. Empty tables give empty results.
 """
 
 from __future__ import annotations
