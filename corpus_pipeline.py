@@ -1,4 +1,18 @@
-"""A corpus through five operators: language, near copies, benchmark passages, personal data, packing."""
+"""A corpus through five operators: language, near copies, benchmark passages, personal data, packing.
+
+Defined cases, stage by stage:
+
+* language ID: null, empty and letterless texts are rejected; equal documents are judged alike, whatever their ids.
+* SimHash near-dedup: equal and near-equal texts keep the smallest doc_id, a null one last, of rows that tie the first;
+  links chain, so a document may go though it is less alike to the one that stays than to one in between.
+* benchmark decontamination: null texts stay null; an item's repeated id stands for all its texts; an empty benchmark
+  changes nothing.
+* PII: null and empty texts stay as they are; equal values get equal pseudonyms in all documents.
+* best-fit packing: a null text is empty and yields the end id alone; only longer documents than a sequence are cut.
+
+Long texts are worked on whole. All stages but the last return the columns of documents, also ones named like an
+operator's own; empty tables give empty results.
+"""
 
 from __future__ import annotations
 
@@ -7,7 +21,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tidepool.llm import decontaminate, language, packing, pseudonyms, simhash
-from tidepool.llm.common import materialise
+from tidepool.llm.common import drop_since, materialise, tables_written
 
 #: Documents that fit no learnt language better than this are rejected; texts in one score from 0.38 up.
 MIN_LANGUAGE_SCORE = 0.2
@@ -51,10 +65,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents, each written and read again for the next."""
+    """All stages over documents, each written and read again for the next; what only earlier stages read is deleted on the way."""
+    first = tables_written()
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for i, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if i < len(STAGES) - 1:
             docs = materialise(docs, name.replace(" ", "-"))
+            drop_since(first, docs)
     return docs
