@@ -238,7 +238,7 @@ def scan(text: str | None) -> list[tuple[str, int, int]]:
     if b"x" * 24 in raw.translate(_HEX_MAP):
         found += [("hex", *m.span()) for m in _HEX.finditer(text)]
     runs = raw.translate(_BASE64_MAP)
-    if b"x" * 12 + b"." in runs:
+    if b"x" * 12 + b".x" in runs:  # a header, and a payload that isn't empty
         found += [("jwt", *s) for s in _tokens(text)]
     blocks = list(_blocks(text)) if b"-----BEGIN" in raw else []
     keys = set(blocks)
