@@ -32,12 +32,12 @@ class TextRetriever:
 
 @dataclass
 class IndexRetriever:
-    """The points of a collection that keeps their terms; nothing is embedded anew."""
+    """Points that keep their terms, as a collection or a table; nothing is embedded anew."""
 
-    index: Collection
+    index: Collection | DataFrame
 
     def search(self, queries: DataFrame, k: int) -> DataFrame:
-        return search.terms_topk(self.index.scan(), queries, k)
+        return search.terms_topk(self.index.scan() if isinstance(self.index, Collection) else self.index, queries, k)
 
 
 @dataclass

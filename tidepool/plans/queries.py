@@ -40,6 +40,11 @@ def _retriever(spark, d):
     return modes.TextRetriever(_points(spark, d))
 
 
+def _indexed(spark, d):
+    """The retriever of plans that search more than once: blocks are cut and hashed once and written."""
+    return modes.IndexRetriever(storage.written(search.with_terms(_points(spark, d)), "index"))
+
+
 def _vision(spark, d):
     """Multi-vector pages keyed like the first page of a document, and the questions' token vectors."""
     e = _t(spark, d, "embeddings")
@@ -285,7 +290,7 @@ def keyword_hit(spark, d):
 def _variant_results(spark, d):
     """(qid, mode, hit) of text variants: the keywords of a question in the texts of its hits."""
     q = _questions(spark, d)
-    cases, r = _keywords(q), _retriever(spark, d)
+    cases, r = _keywords(q), _indexed(spark, d)
     out = None
     for name, one in (("baseline", modes.RewritingRetriever(r, "baseline")), ("qt", modes.RewritingRetriever(r, "qt", glossary=_glossary(spark))), ("rerank", modes.RerankedRetriever(r))):
         got = evaluate.keyword_hits(one.search(q, 3), cases).withColumn("mode", F.lit(name))
@@ -303,8 +308,9 @@ MODES = ("text_only", "vision_only", "caption", "hybrid", "hybrid_graph")
 
 def _mode_answers(spark, d):
     """For each mode what answers a table of questions."""
-    pages = blocks.iter_pages(_docs(spark, d))
-    text_, vision = _retriever(spark, d), _vision(spark, d)
+    pages = storage.written(blocks.iter_pages(_docs(spark, d)), "pages")
+    text_, vision = _indexed(spark, d), _vision(spark, d)
+    vision = modes.VisionRetriever(storage.written(vision.pages, "vision"), vision.tokens)
     return {
         "text_only": lambda q: modes.text_only(q, text_)["answers"],
         "vision_only": lambda q: modes.vision_only(q, vision, pages)["answers"],
@@ -340,7 +346,7 @@ def rerank_recovers(spark, d):
 
 def hyde_recovers(spark, d):
     """User turns whose keywords only the drafted passage's hits hold."""
-    turns, r = _user_turns(spark, d), _retriever(spark, d)
+    turns, r = _user_turns(spark, d), _indexed(spark, d)
     q = turns.select("qid", "query")
     cases = _keywords(q)
     plain = evaluate.keyword_hits(modes.RewritingRetriever(r, "baseline").search(q, 3), cases)
