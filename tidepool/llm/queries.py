@@ -74,7 +74,31 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", common.held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
-QUERIES = {f.__name__: f for f in (op1_pseudonyms, op2_decontamination, op3_neighbours, op4_language, op5_packing, op6_hilbert, op7_secrets, op8_simhash, op9_substrings, op10_quality)}
+def op11_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidepool.llm import cuckoo
+
+    return cuckoo.classes(_table(spark, sf_dir, "documents"), ["doc_id"])
+
+
+def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidepool.llm import alignment
+
+    return alignment.align(_table(spark, sf_dir, "documents"), ["doc_id"])
+
+
+def op13_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidepool.llm import manifest
+
+    return manifest.manifest(_table(spark, sf_dir, "documents"), manifest.tampered())
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_pseudonyms, op2_decontamination, op3_neighbours, op4_language, op5_packing, op6_hilbert, op7_secrets, op8_simhash,
+        op9_substrings, op10_quality, op11_exact_dedup, op12_alignment, op13_manifest,
+    )
+}
 _DARK = "list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda w: w <> '')"
 _LOW = "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
 
@@ -94,4 +118,6 @@ words AS (SELECT r, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS j FROM do
 marked AS (SELECT words.r, j, word, coalesce(max(i) OVER (PARTITION BY words.r ORDER BY j) > j - 35, false) AS gone FROM words LEFT JOIN hits ON words.r = hits.r AND words.j = hits.i),
 kept AS (SELECT r, count(*) FILTER (gone) AS n_removed, string_agg(word, ' ' ORDER BY j) FILTER (NOT gone) AS t FROM marked GROUP BY r)
 SELECT doc_id, len(w)::bigint AS n_words, coalesce(n_removed, 0)::bigint AS n_removed, sha256(coalesce(t, '')) AS kept_sha256 FROM docs LEFT JOIN kept USING (r)""",
+    "op11_exact_dedup": """SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size, row_number() OVER (PARTITION BY coalesce(text, '') ORDER BY doc_id DESC NULLS LAST) = 1 AS kept, sha256(coalesce(text, '')) AS text_sha256
+FROM documents WINDOW same AS (PARTITION BY coalesce(text, ''))""",
 }
