@@ -80,12 +80,17 @@ def test_cuts_against_sorted_rows(spark):
 
 
 def test_every_slot_follows_from_curve_text_and_id(spark):
-    """Slots of a real table against rows sorted by cell; within it rows of one text are neighbours, ordered by doc_id."""
+    """Slots of a real table against rows sorted by cell, one for each text; within it rows of one text are neighbours, ordered by doc_id."""
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     rows = {r.doc_id: r for r in docs.collect()}
     size = {i: len(r.text.encode()) + 1 for i, r in rows.items()}
     axes = [{i: r.lang for i, r in rows.items()}, {i: r.source for i, r in rows.items()}, size]
     at = [plain_cuts(a.values()) for a in axes]
+    least = {}  # the least language and source of each text stand for all of its rows
+    for r in rows.values():
+        least[r.text] = min(least.get(r.text, (r.lang, r.source)), (r.lang, r.source))
+    for j in (0, 1):
+        axes[j] = {i: least[r.text][j] for i, r in rows.items()}
     points = {i: tuple(sum(c <= a[i] for c in cut) for a, cut in zip(axes, at, strict=True)) for i in rows}
     cells = spark.createDataFrame([(i, *p) for i, p in points.items()], "doc_id long, x int, y int, z int")
     curve = {r.doc_id: r.h for r in cells.select("doc_id", H.curve_index([F.col("x"), F.col("y"), F.col("z")], 4).alias("h")).collect()}
@@ -122,3 +127,18 @@ def test_files_are_pruned_on_every_axis(spark, tmp_path):
             hits.append(sum(f[f"lo_{c}"] <= v <= f[f"hi_{c}"] for f in files for v in values) / len(files) / len(values))
         share[name] = hits
     assert all(a < 0.8 * b for a, b in zip(share["curve"], share["plain"], strict=True)) and sum(share["curve"]) < 0.5 * sum(share["plain"]), share
+
+
+def test_groups_of_equal_texts_lie_in_one_shard(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", "text", "lang", "source", "n_chars")
+    placed = H.shard_documents(docs).join(docs.select("doc_id", F.md5("text").alias("t")), "doc_id")
+    groups = placed.groupBy("t").agg(F.count("*").alias("n"), F.countDistinct("shard").alias("shards")).where("n > 1").collect()
+    assert len(groups) > 500
+    # only the seven cuts between shards part a group
+    assert sum(g.shards > 1 for g in groups) <= 7 and max(g.shards for g in groups) <= 2
+
+
+def test_parts_follow_the_rows(spark, monkeypatch):
+    monkeypatch.setattr(H, "MOST_ROWS", 50)
+    df = spark.range(3_000, numPartitions=4).select("id", (F.col("id") % 3).alias("cell"), (F.col("id") % 7).alias("t"))
+    check(H.shard(df, F.col("cell"), [F.col("t"), F.col("id")], most_parts=2).collect(), 3_000)

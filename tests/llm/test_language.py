@@ -1,4 +1,6 @@
 import numpy as np
+import pytest
+from pyspark.sql import functions
 
 from tidepool.llm import common, language as L
 
@@ -109,3 +111,27 @@ def test_equal_distances_go_to_the_first_language_by_name():
     near = {"b": [code("a"), code("b")], "a": [code("b"), code("c")]}
     model = L.Profiles(near, size=2)
     assert model.predict("b")[0] == plain_prediction("b", {n: {chr(g): i for i, g in enumerate(v)} for n, v in near.items()}, 2)[0]
+
+
+def test_every_language_is_learnt(spark):
+    """Three hundred invented languages of their own alphabets, none left out."""
+    rows = []
+    for i in range(300):
+        letters = [chr(0x4E00 + 12 * i + j) for j in range(12)]
+        for k in range(2):
+            rows.append((1_000 * k + i, "".join(letters[(7 * n + k * n * n) % 12] + (" " if n % 4 == 3 else "") for n in range(80)), f"l{i:03d}"))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    known = docs.where(~common.held_out())
+    want = {r.lang for r in known.collect()}
+    assert len(want) > 256
+    model = L.learn(docs)
+    assert set(model.languages) == want
+    got = L.predict(docs, model).where(functions.col("lang").isin(sorted(want))).collect()
+    assert all(r.lang_pred == r.lang for r in got)
+
+
+def test_too_many_languages_to_send_are_an_error(spark, monkeypatch):
+    monkeypatch.setattr(L, "MOST_NUMBERS", 600)
+    docs = spark.createDataFrame([(i, "some words", f"l{i}") for i in range(20)], "doc_id long, text string, lang string")
+    with pytest.raises(ValueError, match="values of lang"):
+        L.learn(docs)

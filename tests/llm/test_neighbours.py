@@ -93,3 +93,33 @@ def test_copies_ties_and_useless_vectors(spark):
 def test_empty(spark):
     none = spark.createDataFrame([], "vec_id long, embedding array<float>")
     assert N.search(none, F.col("vec_id") % 50 == 0).count() == 0
+
+
+def test_hashing_leaves_out_what_lies_elsewhere(spark):
+    """Tight clusters: nine tenths are found by looking at a small share of the vectors, and no query looks at every one."""
+    rng = np.random.default_rng(5)
+    centres = rng.normal(size=(60, 64))
+    v = np.repeat(centres, 50, axis=0) + 0.25 * rng.normal(size=(3_000, 64))
+    rows = [(i, x.tolist()) for i, x in zip(rng.permutation(len(v)).tolist(), v, strict=True)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    assert recall(by_query(N.search(df, F.col("vec_id") % 50 == 0)), exact(rows)) >= 0.9
+    looked = N.candidates(df, F.col("vec_id") % 50 == 0).collect()
+    share = sum(r.n for r in looked) / len(looked) / len(rows)
+    print(f"tight clusters: share looked at {share:.3f}")
+    assert not any(r.whole for r in looked) and share < 0.35
+
+
+def test_share_on_vectors_without_structure(spark):
+    """sf0.1's nearest cosines are about 0.45: hashing leaves out less there, but no query goes to all vectors by rule."""
+    e = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
+    looked = N.candidates(e, F.col("vec_id") % 50 == 0).collect()
+    share = sum(r.n for r in looked) / len(looked) / e.count()
+    print(f"sf0.1: share looked at {share:.3f}")
+    assert len(looked) == 40 and not any(r.whole for r in looked) and share < 0.95
+
+
+def test_an_id_that_repeats_is_looked_at_once_for_each_vector(spark):
+    rng = np.random.default_rng(2)
+    rows = [(i, rng.normal(size=8).tolist()) for i in range(200)] + [(7, rng.normal(size=8).tolist()) for _ in range(300)] + [(209, [1.0] * 8)] * 20 + [(211, [1.0] * 8), (213, [1.0] * 8), (211, [2.0] * 8)]
+    got = by_query(N.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") == 211))
+    assert got[211][:2] == [209, 213] and len(got[211]) == len(set(got[211])) == 5

@@ -281,3 +281,20 @@ def test_what_follows_a_value_does_not_hide_it(spark, value, kind):
         assert r[f"n_{kind}"] == 1 and value not in r.text, r.text
         assert r.n_date == tails[r.doc_id].count("-01-")
         assert r.text == plain(f"pay {value}{tails[r.doc_id]}")
+
+
+def test_addresses_of_very_many_labels_stay_and_end_nothing(spark):
+    """No address is longer than 320 characters; looking for it must not recurse by label."""
+    long = "x@" + "a." * 100_000 + "com"
+    mix = f"{long} and bob@example.org, tel. 555-123-4567"
+    got = spark.createDataFrame([(long,), (mix,)], "text string")
+    a, b = (r.text for r in P.pseudonymise(got, "key", counts=False).collect())
+    assert a == long and b.startswith(long) and "bob@" not in b
+
+
+@pytest.mark.parametrize("unit", ["+1 ", "(555) ", "1.", "12-", "12/", "AB12 ", "1234 ", "a.b@", "@", "a@b.", "+12)(3 "])
+def test_long_runs_of_what_patterns_begin_with(spark, unit):
+    text = unit * 60_000
+    assert P.pseudonymise(spark.createDataFrame([(text,)], "text string"), "key", counts=False).count() == 1
+    got = P.pseudonymise(spark.createDataFrame([(text + "x",)], "text string"), "key", counts=False).first().text
+    assert len(got) == len(text) + 1

@@ -2,6 +2,9 @@ import base64
 import hashlib
 import json
 import re
+import time
+
+import pytest
 
 from tidepool.llm import secrets as S
 
@@ -128,3 +131,10 @@ def test_tokens_with_white_space_and_neighbours_are_found():
         assert S.scan(f"mailservername.{token}.more") == [("jwt", 15, 15 + len(token))]
     token = f"{part(chr(123) + chr(34) + 'alg' + chr(34) + ':' + chr(34) + 'x' + chr(34) + '}')}.{part('{}')}."
     assert S.scan("id_" + token) == [("jwt", 3, 3 + len(token))]
+
+
+@pytest.mark.parametrize("text", ["A" * 4_000_000 + " internationalization.com", "a." * 1_000_000 + "b", "eyJ" * 300_000 + " internationalization.com.org", "MIQAQAAAAgEA" * 80_000, "b3BlbnNzaC1rZXktdjEA" * 20_000])
+def test_long_runs_take_seconds(text):
+    began = time.monotonic()
+    S.scan(text)
+    assert time.monotonic() - began < 20

@@ -7,14 +7,14 @@ them, whatever the number of distinct values.
 
 The global rank that cuts equal runs needs no global sort. Keys are written once with the partition they
 come from; cells are counted (their number is bounded by the grid) and parted by a hash of the group
-columns into at most as many parts again; a group that alone is larger than such a part is a part of its
+columns into at most as many parts again (more where parts would hold over MOST_ROWS); a group that alone is larger than such a part is a part of its
 own, parted once more by a hash of order and partition, so not even rows equal in every column meet in
 one task. Counts are summed up along the curve, and each row adds its place within its part. Rows of one
 group and cell are neighbours. Law: `rows`, shard sizes differ by one at most.
 
 Defined cases: null text has 0 bytes (size 1, CRC 0); null metadata come before all others on their axis;
-equal rows get slots of their own; documents of one text and equal metadata lie together (a cut between
-two shards may part them). Empty tables give empty results. shard() keeps every other column; shard and
+equal rows get slots of their own; documents of one text lie together whatever their metadata, in the cell of the least
+language and source among them (a cut between two shards may part them). Empty tables give empty results. shard() keeps every other column; shard and
 slot of the input are replaced. A long text counts by its size and CRC alone.
 """
 
@@ -26,7 +26,8 @@ from pyspark.sql import functions as F
 
 from tidepool.llm.common import materialise
 
-BITS, SHARDS, MOST_PARTS = 4, 8, 4_096
+BITS, SHARDS, MOST_PARTS, ORIGINS = 4, 8, 4_096, 4_096
+MOST_ROWS = 1_000_000  # of a part, however many parts that makes
 
 
 def _tables(n: int) -> tuple[list[int], list[int]]:
@@ -115,13 +116,13 @@ def shard(df: DataFrame, cell: Column, order: list[Column], shards: int = SHARDS
     staged = df.select(F.struct(*own).alias("row"), cell.alias("cell"), F.xxhash64(*order[:group]).alias("tie"), F.struct(*(o.alias(f"o{i}") for i, o in enumerate(order))).alias("order"), F.spark_partition_id().alias("origin"))
     staged = materialise(staged, "placed")
     total = F.sum("n").over(W.partitionBy())
-    some = F.greatest(total, F.lit(most_parts * 100)) / most_parts  # rows that a part may hold
+    some = lambda whole: F.least(F.greatest(whole, F.lit(most_parts * 100)) / most_parts, F.lit(float(MOST_ROWS)))  # noqa: E731  rows that a part may hold
     # One row for each cell of the grid at most, and of parts and large groups most_parts more each: small whatever the corpus.
     groups = staged.groupBy("cell", "tie").agg(F.count("*").alias("n"))
-    cells = groups.groupBy("cell").agg(F.sum("n").alias("n")).select("cell", F.ceil(F.col("n") / some).alias("parts"), total.alias("whole"))
+    cells = groups.groupBy("cell").agg(F.sum("n").alias("n")).select("cell", F.ceil(F.col("n") / some(total)).alias("parts"), total.alias("whole"))
     cells = materialise(cells, "cells")
-    large = groups.join(F.broadcast(cells), "cell").where(F.col("n") * most_parts > F.greatest(F.col("whole"), F.lit(most_parts * 100)))
-    large = materialise(large.select("cell", "tie", F.ceil(F.col("n") * most_parts / F.greatest("whole", F.lit(most_parts * 100))).alias("own_parts")), "large-groups")
+    large = groups.join(F.broadcast(cells), "cell").where(F.col("n") > some(F.col("whole")))
+    large = materialise(large.select("cell", "tie", F.ceil(F.col("n") / some(F.col("whole"))).alias("own_parts")), "large-groups")
     parted = staged.join(F.broadcast(cells.select("cell", "parts")), "cell").join(F.broadcast(large), ["cell", "tie"], "left")
     alone = F.col("own_parts").isNotNull()
     sub = F.when(alone, F.pmod(F.xxhash64("order", "origin"), F.col("own_parts"))).otherwise(F.lit(0))
@@ -139,6 +140,18 @@ def shard(df: DataFrame, cell: Column, order: list[Column], shards: int = SHARDS
     return ranked.select("row.*", "shard", (F.col("at") - start).cast("long").alias("slot"))
 
 
+def _one_cell(slim: DataFrame) -> DataFrame:
+    """slim with the least language and source of each text in place of its rows' own.
+
+    Rows of one text are told apart by where they were read from, so the rows of a hot text never meet by it alone.
+    """
+    same = ["size", "text_crc32", "text_hash"]
+    parts = slim.groupBy(*same, "origin").agg(F.min(F.struct("lang", "source")).alias("least"))
+    least = parts.groupBy(*same).agg(F.min("least").alias("least"))
+    told = parts.drop("least").join(least, same)
+    return slim.drop("lang", "source").join(told, [*same, "origin"]).select("doc_id", "least.lang", "least.source", *same)
+
+
 def write_shards(sharded: DataFrame, path: str, files: int) -> None:
     """A folder for each shard; about `files` files in all, each a run of neighbouring slots."""
     runs = sharded.repartitionByRange(files, "shard", "slot").sortWithinPartitions("shard", "slot")
@@ -148,9 +161,12 @@ def write_shards(sharded: DataFrame, path: str, files: int) -> None:
 def shard_documents(docs: DataFrame, shards: int = SHARDS, bits: int = BITS) -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot and grown_shard (null under this law) of each document."""
     text = F.coalesce("text", F.lit(""))
-    slim = docs.select("doc_id", "lang", "source", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text).alias("text_crc32"))
+    origin = F.pmod(F.spark_partition_id(), F.lit(ORIGINS))
+    slim = docs.select("doc_id", "lang", "source", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text).alias("text_crc32"), F.xxhash64(text).alias("text_hash"), origin.alias("origin"))
     slim = materialise(slim, "sizes")  # the texts are read once
-    grid = documents_grid(slim, bits)
+    cut = cuts(slim, ["lang", "source", "size"], bits)
+    slim = _one_cell(slim)
+    grid = [coordinate(c, at) for c, at in zip(("lang", "source", "size"), cut, strict=True)]
     named = slim.select("*", *(d.cast("int").alias(f"_x{i}") for i, d in enumerate(grid)))
     cell = curve_index([F.col(f"_x{i}") for i in range(len(grid))], bits)
     done = shard(named, cell, [F.col("text_crc32"), F.col("size"), F.col("doc_id")], shards)

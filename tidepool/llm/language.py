@@ -5,9 +5,10 @@ the out-of-place distance sums, over the text's `size` first, how far each stand
 the language's list (`size`, where it isn't in it). The nearest language wins, and the score is one
 minus the distance's share of the largest possible.
 
-Profiles are learnt from a sample bounded by `per_language` documents (expected number) of each of
-the `most_languages` commonest values of lang, picked by a hash of doc_id among the documents that are
-not held out; every document is predicted from its whole text and nothing else.
+Profiles are learnt from a sample bounded by `per_language` documents (expected number) of each
+value of lang, picked by a hash of doc_id among the documents that are not held out; every document is
+predicted from its whole text and nothing else. All values of lang are learnt; their profiles, `size` numbers
+each, are sent to every task, and more than MOST_NUMBERS of these are an error instead.
 
 Defined cases: null text or text without a letter is `und` with score 0, as is everything if nothing
 could be learnt; null lang is not learnt from; equal distances go to the first language by name;
@@ -28,7 +29,8 @@ from pyspark.sql import functions as F
 
 from tidepool.llm.common import bounded_batches, held_out, plus, sampled, shielded, strings
 
-SIZE, PER_LANGUAGE, MOST_LANGUAGES = 300, 1_000, 256
+SIZE, PER_LANGUAGE = 300, 1_000
+MOST_NUMBERS = 20_000_000  # of all profiles: some 65,000 languages
 UNKNOWN = "und"
 _PIECE = 1 << 20
 _BAR = np.uint64(1)  # parts words; no letter has this code point
@@ -75,25 +77,29 @@ def ranked(names: np.ndarray, counts: np.ndarray, size: int = SIZE) -> np.ndarra
 
 
 class Profiles:
-    """The ranks of all languages' n-grams in one table."""
+    """Every n-gram of a profile with the languages that have it and its rank there."""
 
     def __init__(self, lists: dict[str, list[int]], size: int = SIZE) -> None:
         self.languages, self.size = sorted(lists), size
-        self.names = np.unique(np.array([g for v in lists.values() for g in v], np.int64).view(np.uint64))
-        self.ranks = np.full((len(self.names) + 1, len(lists)), -1, np.int64)
-        for j, lang in enumerate(self.languages):
-            own = np.array(lists[lang], np.int64).view(np.uint64)
-            self.ranks[np.searchsorted(self.names, own), j] = np.arange(len(own))
+        own = [np.array(lists[lang], np.int64).view(np.uint64) for lang in self.languages]
+        every = np.concatenate([*own, np.empty(0, np.uint64)])
+        language, rank = (np.concatenate([*x, np.empty(0, np.int64)]).astype(np.int32) for x in ([np.full(len(v), j) for j, v in enumerate(own)], [np.arange(len(v)) for v in own]))
+        order = np.argsort(every, kind="stable")
+        self.names, first = np.unique(every[order], return_index=True)
+        self.language, self.rank, self.cuts = language[order], rank[order], np.append(first, len(every))
 
     def predict(self, text: str | None) -> tuple[str, float]:
         top = ranked(*grams(text), self.size)
         if not len(top) or not len(self.names):
             return UNKNOWN, 0.0
         at = np.minimum(np.searchsorted(self.names, top), len(self.names) - 1)
-        there = self.ranks[np.where(self.names[at] == top, at, len(self.names))]
-        out = np.where(there < 0, self.size, np.abs(there - np.arange(len(top))[:, None])).sum(axis=0)
-        best = int(np.argmin(out))
-        return self.languages[best], 1.0 - float(out[best]) / (len(top) * self.size)
+        place = np.flatnonzero(self.names[at] == top)
+        starts, n = self.cuts[at[place]], self.cuts[at[place] + 1] - self.cuts[at[place]]
+        entry = np.repeat(starts - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+        # What a language's list has is nearer than `size` by so much.
+        gain = np.bincount(self.language[entry], self.size - np.abs(self.rank[entry] - np.repeat(place, n)), len(self.languages))
+        best = int(np.argmax(gain))
+        return self.languages[best], float(gain[best]) / (len(top) * self.size)
 
 
 def _count(batches):
@@ -118,11 +124,13 @@ def sample_of(sizes: dict[str, int], per_language: int) -> Column:
     return chosen
 
 
-def learn(docs: DataFrame, size: int = SIZE, per_language: int = PER_LANGUAGE, most_languages: int = MOST_LANGUAGES) -> Profiles:
-    """Profiles of the commonest values of lang; what comes to the driver is `size` n-grams for each of them."""
+def learn(docs: DataFrame, size: int = SIZE, per_language: int = PER_LANGUAGE) -> Profiles:
+    """Profiles of all values of lang; what comes to the driver is `size` n-grams for each of them."""
     bounded_batches(docs.sparkSession)
     known = docs.select("doc_id", "lang", "text").where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out())
-    sizes = {r[0]: r[1] for r in known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(most_languages).collect()}
+    sizes = {r[0]: r[1] for r in known.groupBy("lang").count().limit(MOST_NUMBERS // size + 1).collect()}
+    if len(sizes) * size > MOST_NUMBERS:
+        raise ValueError(f"more than {MOST_NUMBERS // size} values of lang: their profiles would be too large to send")
     sample = known.where(sample_of(sizes, per_language)) if sizes else known.limit(0)
     counts = sample.select("lang", "text").mapInArrow(_count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     first = counts.withColumn("r", F.row_number().over(W.partitionBy("lang").orderBy(F.desc("n"), "gram"))).where(F.col("r") <= size)

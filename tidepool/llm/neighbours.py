@@ -1,18 +1,18 @@
 """Approximate nearest neighbours by cross-polytope hashing, candidates reranked exactly.
 
 Each table rotates unit vectors by rounds of random signs and a fast Hadamard transform and assigns
-them to the nearest signed axis; `hashes` such axes together are a bucket. There are as many hashes as
-leave about `fill` vectors to a bucket, for each dimension by the number of its vectors.
+them to the nearest signed axis; `hashes` such axes (one or two) together are a bucket, as many as
+leave at least `fill` vectors to a bucket, for each dimension by the number of its vectors.
 
 Probes follow the data, by one rule at every size. Each query first looks where its `first` nearest axes
 of each table say. The cosine of its k-th best hit then tells how likely a vector that near is to lie
 elsewhere: vectors drawn at that cosine are hashed, and the query goes on to so many more axes that all
-tables together miss at most `miss` of them. Where that costs about as much as looking at every vector,
-or fewer than k have been found, it looks at every vector. So close neighbours cost few probes, spread-out
-ones many, and nothing is left out where hashing can't tell.
+tables together miss at most `miss` of them. Only a query that has found fewer than k by then looks at every
+vector. So close neighbours cost few probes, spread-out ones many: candidates() gives what each query looks at.
 
-Queries and vectors meet by a shuffle on (table, bucket); buckets of many vectors are parted, and so are
-the queries of a bucket of many queries, so no task holds a hot bucket. What a part finds for a query is
+Hashes are worked out once and written. Probes are rows of (bucket, query); they meet vectors by a shuffle on (table, bucket);
+buckets of many vectors are parted, and so are the queries of a bucket of many queries, so no task holds a hot bucket, and
+a query's vector joins it once for each part, not for each probe. What a part finds for a query is
 cut to its best k + 1 there, ties to the smaller id: rows grow with queries times probes, not with pairs.
 Scores are cosines of the original vectors in double precision.
 
@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 
 from tidepool.llm.common import bounded_batches, materialise, partitions
 
-TABLES, FIRST, MISS, FILL, CHUNK, SEED = 8, 2, 0.04, 1_000, 2_000, 20
+TABLES, FIRST, MISS, FILL, CHUNK, SEED = 8, 2, 0.06, 1_000, 2_000, 20
 DRAWN = 256  # vectors drawn for each query to see where its neighbours may lie
 WHOLE = -1  # the table whose one bucket holds every vector
 _ROWS = 4_096
@@ -124,13 +124,14 @@ def _groups(b: pa.RecordBatch, rows: int):
             yield d, h, same.slice(a, rows)
 
 
-_DEALT = ["dim", "tab", "bucket", "id", "vector"]
+_DEALT = ["dim", "tab", "bucket", "id"]
+_DEALT_SCHEMA = "dim int, tab int, bucket long, id long"
 
 
 def _places(b: pa.RecordBatch, row: np.ndarray, tab: np.ndarray, bucket: np.ndarray):
-    for a in range(0, len(row), _ROWS):
-        at = pa.array(row[a : a + _ROWS])
-        yield pa.RecordBatch.from_arrays([b.column("dim").take(at), pa.array(tab[a : a + _ROWS].astype(np.int32)), pa.array(bucket[a : a + _ROWS].astype(np.int64)), b.column("id").take(at), b.column("vector").take(at)], names=_DEALT)
+    for a in range(0, len(row), 1 << 16):
+        at = pa.array(row[a : a + (1 << 16)])
+        yield pa.RecordBatch.from_arrays([b.column("dim").take(at), pa.array(tab[a : a + (1 << 16)].astype(np.int32)), pa.array(bucket[a : a + (1 << 16)].astype(np.int64)), b.column("id").take(at)], names=_DEALT)
 
 
 def _deal(tables: int, seed: int):
@@ -159,18 +160,13 @@ def _ask(tables: int, first: int, miss: float, seed: int):
                 least = min(first, size)
                 wide = np.full(len(unit), least)
                 if told:
-                    cosine, n = np.asarray(same.column("cosine")), np.asarray(same.column("n"))
-                    ranks = [[np.argsort(a, axis=1) for a in row] for row in axes]
+                    cosine = np.asarray(same.column("cosine"))
                     some = np.flatnonzero(~np.isnan(cosine))
-                    pick = lambda rows: [[a[some] for a in row] for row in rows]
-                    wide[:] = size
                     if len(some):
-                        wide[some] = np.maximum(least, width_for(unit[some], np.clip(cosine[some], -1.0, 1.0), pick(ranks), pick(turned), miss, seed))
-                    cost = tables * wide.astype(float) ** h * (n / float(size) ** h + 1)
-                    whole = np.isnan(cosine) | (cost > 0.75 * n)
-                    at = np.flatnonzero(whole)
-                    yield from _places(same, at, np.full(len(at), WHOLE), np.zeros(len(at)))
-                    wide[whole] = 0
+                        ranks = [[np.argsort(a, axis=1)[some] for a in row] for row in axes]
+                        wide[some] = np.maximum(least, width_for(unit[some], np.clip(cosine[some], -1.0, 1.0), ranks, [[y[some] for y in row] for row in turned], miss, seed))
+                    every = np.flatnonzero(np.isnan(cosine))  # fewer than k found
+                    yield from _places(same, every, np.full(len(every), WHOLE), np.zeros(len(every)))
                 for i in range(len(unit)):
                     if told and wide[i] <= least:
                         continue
@@ -242,23 +238,19 @@ def usable(column: str) -> Column:
     return F.expr(f"size({column}) > 0 and forall({column}, x -> x is not null and not isnan(x) and abs(x) < double('Infinity')) and exists({column}, x -> x <> 0)")
 
 
-def _found(index: DataFrame, asks: DataFrame, k: int, tables: int, chunk: int, seed: int, every: bool) -> DataFrame:
+def _found(index: DataFrame, dealt: DataFrame, classes: DataFrame, asks: DataFrame, k: int, chunk: int) -> DataFrame:
     """(q, vec_id, score): the best k + 1 of each part that a query looks into."""
     spark, bucket = index.sparkSession, ["dim", "tab", "bucket"]
-    schema = "dim int, tab int, bucket long, id long, vector " + dict(index.dtypes)["vector"]
-    dealt = index.mapInArrow(_deal(tables, seed), schema)
-    if every:
-        dealt = dealt.unionByName(index.select("dim", F.lit(WHOLE).alias("tab"), F.lit(0).cast("long").alias("bucket"), "id", "vector"))
     # Vectors and queries of each bucket that both have: into how many parts of about `chunk` vectors (less, if long ones) and shares of queries they go.
     parts = F.ceil(F.greatest(F.col("vectors") / chunk, F.col("vectors") * F.col("dim") / (1_024 * chunk))).cast("int")
     sizes = dealt.groupBy(*bucket).agg(F.count("*").alias("vectors")).join(asks.groupBy(*bucket).agg(F.count("*").alias("queries")), bucket)
     sizes = materialise(sizes.select(*bucket, parts.alias("parts"), F.ceil(F.col("queries") / (2 * chunk)).cast("int").alias("shares")), "buckets")
     from_hash = lambda n: F.pmod(F.xxhash64("id"), n).cast("int")
     each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    index_parts = dealt.join(sizes, bucket).select(*bucket, from_hash("parts").alias("part"), each("shares").alias("share"), F.lit(0).alias("kind"), "id", "vector")
-    query_parts = asks.join(sizes, bucket).select(*bucket, each("parts").alias("part"), from_hash("shares").alias("share"), F.lit(1).alias("kind"), "id", "vector")
+    index_parts = dealt.join(sizes, bucket).select(*bucket, from_hash("parts").alias("part"), each("shares").alias("share"), F.lit(0).alias("kind"), "id").join(index.select("id", "own", "vector"), "id")
+    query_parts = asks.join(sizes, bucket).select(*bucket, each("parts").alias("part"), from_hash("shares").alias("share"), F.lit(1).alias("kind"), "id").join(classes.select("id", "own", "vector"), "id")
     key = [*bucket, "part", "share"]
-    met = index_parts.unionByName(query_parts).repartition(partitions(spark), *key).sortWithinPartitions(*key, "kind")
+    met = index_parts.unionByName(query_parts).drop("id").withColumnRenamed("own", "id").repartition(partitions(spark), *key).sortWithinPartitions(*key, "kind")
     found = met.mapInArrow(_meet(k), "q long, vec_id long, score double").groupBy("q", "vec_id").agg(F.max("score").alias("score"))
     return _best(found, k)
 
@@ -269,29 +261,59 @@ def _best(found: DataFrame, k: int) -> DataFrame:
     return found.withColumn("r", F.row_number().over(order)).where(F.col("r") <= k + 1)
 
 
-def search(vectors: DataFrame, is_query: Column, k: int = 5, tables: int = TABLES, first: int = FIRST, miss: float = MISS, fill: int = FILL, chunk: int = CHUNK, seed: int = SEED) -> DataFrame:
-    """query_id, rank, vec_id and score of the k nearest found of each row of vectors (vec_id, embedding) that is_query."""
-    bounded_batches(vectors.sparkSession)
+def _prepared(vectors: DataFrame, is_query: Column, k: int, tables: int, fill: int, seed: int) -> tuple[DataFrame, ...]:
+    """(queries, one query of each vector, vectors that are indexed, their buckets)."""
     usable_ = vectors.select(F.col("vec_id").cast("long").alias("id"), F.col("embedding").alias("vector"), F.coalesce(is_query, F.lit(False)).alias("asks")).where(F.col("id").isNotNull() & usable("vector"))
     usable_ = usable_.withColumn("dim", F.size("vector"))
     one = F.row_number().over(W.partitionBy("vector").orderBy("id"))
-    index = usable_.select("id", "vector", "dim").withColumn("r", one).where(F.col("r") <= k + 1).drop("r")
+    index = usable_.select("id", "vector", "dim").distinct().withColumn("r", one).where(F.col("r") <= k + 1).drop("r")
+    number = F.monotonically_increasing_id()  # ids may repeat: a row is known by its number
     # A row for each dimension that occurs: few, whatever the corpus; Spark sees their size and broadcasts them.
     axes = 2 * F.pow(F.lit(2.0), F.ceil(F.log2(F.col("dim").cast("double"))))
-    hashes = F.greatest(F.lit(1), F.least(F.lit(3), F.floor(F.log(F.greatest(F.lit(1.0), F.col("n") / fill)) / F.log(axes)))).cast("int")
+    hashes = F.greatest(F.lit(1), F.least(F.lit(2), F.floor(F.log(F.greatest(F.lit(1.0), F.col("n") / fill)) / F.log(axes)))).cast("int")
+    index = materialise(index.select(number.alias("id"), F.col("id").alias("own"), "vector", "dim"), "vectors")
     dims = materialise(index.groupBy("dim").agg(F.count("*").alias("n")).select("dim", "n", hashes.alias("hashes")), "dimensions")
-    index = index.join(dims, "dim")
     asked = usable_.where("asks").select("id", "vector", "dim")
-    classes = materialise(asked.groupBy("vector", "dim").agg(F.min("id").alias("id")).join(dims, "dim"), "queries")
-    schema = "dim int, tab int, bucket long, id long, vector " + dict(usable_.dtypes)["vector"]
-    asks = classes.mapInArrow(_ask(tables, first, miss, seed), schema)
-    near = materialise(_found(index, asks, k, tables, chunk, seed, False), "nearest")
+    classes = materialise(asked.groupBy("vector", "dim").agg(F.min("id").alias("own")).join(dims, "dim").withColumn("id", number), "queries")
+    dealt = materialise(index.join(dims, "dim").mapInArrow(_deal(tables, seed), _DEALT_SCHEMA), "dealt")
+    return asked, classes, index, dealt
+
+
+def _probed(prepared: tuple[DataFrame, ...], k: int, tables: int, first: int, miss: float, chunk: int, seed: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(first probes, what they find, further probes)."""
+    _, classes, index, dealt = prepared
+    asks = materialise(classes.mapInArrow(_ask(tables, first, miss, seed), _DEALT_SCHEMA), "first-probes")
+    near = materialise(_found(index, dealt, classes, asks, k, chunk), "nearest")
     told = near.groupBy("q").agg(F.max(F.when(F.col("r") == k + 1, F.col("score"))).alias("cosine"))
-    open_ = classes.join(told, F.col("q") == F.col("id"), "left").drop("q").withColumn("cosine", F.coalesce("cosine", F.lit(float("nan"))))
-    asks = materialise(open_.mapInArrow(_ask(tables, first, miss, seed), schema), "probes")
-    every = not asks.where(F.col("tab") == WHOLE).isEmpty()
-    more = _found(index, asks, k, tables, chunk, seed, every)
+    open_ = classes.join(told, F.col("q") == F.col("own"), "left").drop("q").withColumn("cosine", F.coalesce("cosine", F.lit(float("nan"))))
+    return asks, near, materialise(open_.mapInArrow(_ask(tables, first, miss, seed), _DEALT_SCHEMA), "probes")
+
+
+def _every(dealt: DataFrame, asks: DataFrame) -> DataFrame:
+    """dealt with the bucket that holds every vector, where a query looks into it."""
+    if asks.where(F.col("tab") == WHOLE).isEmpty():
+        return dealt
+    return dealt.unionByName(dealt.where("tab = 0").select("dim", F.lit(WHOLE).alias("tab"), F.lit(0).cast("long").alias("bucket"), "id"))
+
+
+def candidates(vectors: DataFrame, is_query: Column, k: int = 5, tables: int = TABLES, first: int = FIRST, miss: float = MISS, fill: int = FILL, chunk: int = CHUNK, seed: int = SEED) -> DataFrame:
+    """(q, n, whole): how many different vectors each query looks at, and whether it looks at every one. As many rows as probes meet: for measuring, not for search."""
+    bounded_batches(vectors.sparkSession)
+    prepared = _prepared(vectors, is_query, k, tables, fill, seed)
+    asks, _, more = _probed(prepared, k, tables, first, miss, chunk, seed)
+    both = asks.unionByName(more).withColumnRenamed("id", "q")
+    met = both.join(_every(prepared[3], more), ["dim", "tab", "bucket"])
+    return met.groupBy("q").agg(F.countDistinct("id").alias("n"), F.max(F.col("tab") == WHOLE).alias("whole"))
+
+
+def search(vectors: DataFrame, is_query: Column, k: int = 5, tables: int = TABLES, first: int = FIRST, miss: float = MISS, fill: int = FILL, chunk: int = CHUNK, seed: int = SEED) -> DataFrame:
+    """query_id, rank, vec_id and score of the k nearest found of each row of vectors (vec_id, embedding) that is_query."""
+    bounded_batches(vectors.sparkSession)
+    prepared = asked, classes, index, dealt = _prepared(vectors, is_query, k, tables, fill, seed)
+    _, near, asks = _probed(prepared, k, tables, first, miss, chunk, seed)
+    more = _found(index, _every(dealt, asks), classes, asks, k, chunk)
     found = _best(near.drop("r").unionByName(more.drop("r")).groupBy("q", "vec_id").agg(F.max("score").alias("score")), k).drop("r")
-    pairs = asked.select(F.col("id").alias("query_id"), "vector").join(classes.select("vector", F.col("id").alias("q")), "vector").join(found, "q").where("query_id <> vec_id")
+    pairs = asked.select(F.col("id").alias("query_id"), "vector").join(classes.select("vector", F.col("own").alias("q")), "vector").join(found, "q").where("query_id <> vec_id")
+    pairs = pairs.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return pairs.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

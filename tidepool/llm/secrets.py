@@ -17,7 +17,7 @@ patterns see at all, so what is reported doesn't depend on them.
 
 Defined cases: null text is empty and holds nothing; spans are code points, end exclusive; equal rows
 each get a row; a span may be of several kinds; long texts are scanned whole, in time that grows with
-their length; input columns named like a result (n_<kind>, base_sha256, spans) give way to it. Empty
+their length, as a key in base64 is no longer than 128 KiB; input columns named like a result (n_<kind>, base_sha256, spans) give way to it. Empty
 tables give empty results.
 """
 
@@ -41,7 +41,7 @@ _ORDER = {k: i for i, k in enumerate(KINDS)}
 _ASSIGN = re.compile(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII)
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{24,}")
-_DOTTED = re.compile(r"[A-Za-z0-9_-]+(?:\.[A-Za-z0-9_-]*){2,}")
+_DOTTED = re.compile(r"(?<![A-Za-z0-9_-])[A-Za-z0-9_-]++(?:\.[A-Za-z0-9_-]*+){2,}")  # from where a run begins, so that each is looked at once
 _BREAK = re.compile(r"(?:\\{1,2}r)?\\{1,2}n[ \t]*|\r?\n[ \t]*")
 _STREAM = re.compile(r"[A-Za-z0-9+/_-]{16,}(?:(?:(?:\\{1,2}r)?\\{1,2}n[ \t]*|\r?\n[ \t]*)[A-Za-z0-9+/_-]+)*")
 _OPENINGS = re.compile("M[A-P]|b3BlbnNzaC1rZXktdjEA")  # a DER sequence, OpenSSH's magic
@@ -49,6 +49,7 @@ _LONG_HEX = re.compile(r"[0-9a-fA-F]{64,}")
 _BEGIN = re.compile(r"-----BEGIN ([A-Z0-9 ]{1,40})-----")
 _ESCAPED = re.compile(r"\\{1,2}[nrt]")
 _HEADER = re.compile(r"[A-Za-z-]+: ")
+_MOST_KEY = 1 << 17  # bytes; the numbers of a key four times as long as any in use take less
 _WORDS = (b"password", b"passwd", b"secret", b"token", b"apikey", b"api_key")
 _HEX_MAP = bytes(120 if chr(c) in "0123456789abcdef" else 32 for c in range(256))
 _BASE64_MAP = bytes(120 if c < 128 and (chr(c).isalnum() or chr(c) in "+/_-") else 46 if c == 46 else 32 for c in range(256))
@@ -106,6 +107,8 @@ def _ssh_end(data: bytes) -> int:
         if at + 4 > len(data):
             return -1
         n = int.from_bytes(data[at : at + 4], "big")
+        if n > _MOST_KEY:
+            return 0
         if fields == 3:  # the number of keys: as many public ones, then the private part
             if not 1 <= n <= 16:
                 return 0
@@ -161,10 +164,10 @@ def _tokens(text: str) -> Iterator[tuple[int, int]]:
 def _key_end(stream: str, a: int) -> int:
     """Where a private key in base64 that begins at a place of a stream ends; 0 if there is none."""
     if stream[a] == "b":
-        for most in (1 << 12, 1 << 16, len(stream)):
+        for most in (1 << 12, 2 * _MOST_KEY):
             part = stream[a : a + most]
             n = _ssh_end(_decode64(part[: len(part) - (len(part) % 4 == 1)]))
-            if n >= 0 or a + most >= len(stream):
+            if n >= 0:
                 break
     else:
         head = _decode64(stream[a : a + 16])
@@ -175,7 +178,7 @@ def _key_end(stream: str, a: int) -> int:
             return 0
         n = 2 + k + (int.from_bytes(head[2 : 2 + k], "big") if k else head[1])
     chars = -(-n * 4 // 3)
-    if n <= 0 or a + chars > len(stream):
+    if not 0 < n <= _MOST_KEY or a + chars > len(stream):
         return 0
     data = _decode64(stream[a : a + chars])[:n]
     return a + chars if is_der_key(data) or is_ssh_key(data) else 0
