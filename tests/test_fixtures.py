@@ -325,3 +325,28 @@ def test_evaluation_questions_are_read(spark, tmp_path):
 def test_half_even(spark):
     row = spark.range(1).select(*(text.half_even(F.lit(v), 2) for v in (0.125, 0.375, 2.675, 1234.565))).first()
     assert list(row) == [round(v, 2) for v in (0.125, 0.375, 2.675, 1234.565)]
+
+
+def test_gold_by_keys_of_any_length(spark):
+    """Questions of no, one, two and more words against a plain search in all texts; no nested loop in the plan."""
+    texts = ["the quick brown fox jumps over", "quick", "a b", "xquick brownish", "the quick  brown", "", None, "fox", "ünï cödé words here now", "brown fox"]
+    asked = ["quick brown fox", "quick", "quick brown", "k b", "", " ", "ox", "o", "the quick brown fox jumps", "ï cödé w", "missing words here", "fox jumps over the", None]
+    d = spark.createDataFrame([(f"s{i}", t) for i, t in enumerate(texts)], "source string, text string")
+    q = spark.createDataFrame(list(enumerate(asked)), "qid long, query string")
+    want = {(i, f"s{j}") for i, a in enumerate(asked) for j, t in enumerate(texts) if a is not None and t is not None and a in t}
+    found = evaluate.gold_sources(d, q)
+    assert {(r.qid, r.source) for r in found.collect()} == want
+    assert "NestedLoop" not in found._jdf.queryExecution().executedPlan().toString()
+    assert evaluate.gold_sources(d, q.limit(0)).count() == 0
+
+
+def test_strip_of_long_inner_runs_takes_a_moment(spark):
+    import time
+
+    from tidepool.functions.text import strip
+
+    df = spark.createDataFrame([("a" + " " * 1_000_000 + "b",), (" \t" * 500_000 + "x",), ("x" + " \x1c" * 500_000,)], "text string").select(strip(F.col("text")).alias("t"))
+    df.limit(0).count()
+    began = time.monotonic()
+    assert [len(r.t) for r in df.collect()] == [1_000_002, 1, 1]
+    assert time.monotonic() - began < 20

@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 from tidepool.schema import TF_BUCKETS
 
-_EDGES = r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$"
+#: The white space at the end begins where no white space is before it, so that inner runs are passed over once.
+_EDGES = r"(?U)^[\s\x1c-\x1f]++|(?<![\s\x1c-\x1f])[\s\x1c-\x1f]++$"
 
 
 def strip(text: Column) -> Column:

@@ -93,24 +93,34 @@ def timed(name: str, run: Callable[[], DataFrame], write: Callable[[DataFrame],
     return spark.createDataFrame([(name, rows, seconds, seconds / max(1, n))], "name string, rows long, seconds double, per_item double")
 
 
+def _keys(kind: int) -> Column:
+    """Structs (_kind, _k) of all a text (text, _w) holds of one kind: runs of `kind` words, or if negative of so many characters; of kind 0 one for each text."""
+    n, size, run = abs(kind), "size(_w)" if kind > 0 else "length(text)", "slice(_w" if kind > 0 else "substr(text"
+    last = f"{size} - {n - 1}" if n else "1"
+    hashes = f"if({size} < {n}, array(), array_distinct(transform(sequence(1, {last}), i -> xxhash64({run}, i, {n})))))"
+    return F.expr(f"transform({hashes}, k -> named_struct('_kind', {kind}, '_k', k))")
+
+
 def gold_sources(documents: DataFrame, questions: DataFrame, words: int = 3) -> DataFrame:
-    """(qid, source) of documents (source, text) that hold a question's text (qid, query).
+    """(qid, source) of documents (source, text; a source is one document) that hold a question's text (qid, query).
 
     A text that holds a question holds all of its words but the first and the last as words of its own, so documents
-    meet questions by an equi-join on the first few of these, and only what meets is compared. Questions
-    of too few words are looked for one by one.
+    meet questions by an equi-join on the first few of these; questions of two words or fewer meet them by their first
+    characters. Documents are exploded to the kinds of keys that occur, without their texts; these are joined to what has met.
     """
     asked = questions.where(F.col("query").isNotNull()).select("qid", "query", F.split("query", " ").alias("_w"))
-    enough = F.size("_w") >= words + 2
-    keys = asked.where(enough).select("qid", "query", F.xxhash64(F.slice("_w", 2, words)).alias("_k"))
-    split = documents.where(F.col("text").isNotNull()).withColumn("_w", F.split("text", " "))
-    runs = F.expr(f"if(size(_w) < {words}, array(), array_distinct(transform(sequence(1, size(_w) - {words - 1}), i -> xxhash64(slice(_w, i, {words})))))")
-    met = split.select("source", "text", F.explode(runs).alias("_k")).join(keys, "_k")
-    found = met.where(F.contains("text", F.col("query"))).select("qid", "source")
-    short = asked.where(~enough).select("qid", "query")
-    if not short.isEmpty():
-        found = found.unionByName(documents.join(short, F.contains("text", F.col("query"))).select("qid", "source"))
-    return found.distinct()
+    inner = F.least(F.size("_w") - 2, F.lit(words))
+    kind = F.when(inner > 0, inner).otherwise(-F.least(F.char_length("query"), F.lit(3)))
+    key = F.when(inner > 0, F.xxhash64(F.slice("_w", F.lit(2), inner))).otherwise(F.xxhash64(F.substring("query", F.lit(1), -kind)))
+    asked = asked.select("qid", "query", kind.alias("_kind"), key.alias("_k"))
+    texts = documents.where(F.col("text").isNotNull()).select("source", "text", F.split("text", " ").alias("_w"))
+    kinds = sorted(r[0] for r in asked.select("_kind").distinct().collect())  # seven at most
+    if not kinds:
+        return documents.select("source").limit(0).crossJoin(questions.select("qid").limit(0)).select("qid", "source")
+    held = F.concat(*(_keys(n) for n in kinds))
+    met = texts.select("source", F.inline(held)).join(asked.select("qid", "_kind", "_k"), ["_kind", "_k"]).select("qid", "source").distinct()
+    found = met.join(asked.select("qid", "query"), "qid").join(documents.select("source", "text"), "source")
+    return found.where(F.contains("text", F.col("query"))).select("qid", "source").distinct()
 
 
 def _first_ranks(hits: DataFrame, page: list[str]) -> DataFrame:

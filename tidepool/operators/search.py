@@ -1,9 +1,9 @@
 """Exact top-k search of a table of queries: cosine, term-vector cosine and MaxSim; an approximate one by clusters.
 
-Queries go out in blocks of at most `block` rows, each broadcast to the corpus' partitions, where one
-product scores a batch and only the best k rows of a partition leave it. So neither side is shuffled,
-what is broadcast is bounded, and work grows with queries times rows, as exact search must. The blocks
-are read when the search is set up, since their number shapes the plan.
+Rows and queries meet by one shuffle, whatever the number of either: ids and vectors are dealt to parts, queries to
+shares of about `block`, and each pair of a part and a share is a cell, in which the queries come first and the rows
+stream by. One product scores a batch and only the best k rows of each query leave a cell; the other columns
+of the rows are joined to these. So no query passes the driver but as a count, and work grows with queries times rows, as exact search must.
 
 Term vectors that an index holds (`with_terms`) are searched as they are. All order by (score at six places, then id).
 """
@@ -11,7 +11,7 @@ Term vectors that an index holds (`with_terms`) are searched as they are. All or
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -34,17 +34,6 @@ def ranked(hits: DataFrame, k: int, by: str = "score", tie: str = "id", group: s
     return hits.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def blocks_of(queries: DataFrame, block: int = BLOCK) -> Iterator[list]:
-    """The rows of queries in lists of about `block`."""
-    first = queries.limit(block + 1).collect()
-    if len(first) <= block:
-        yield first
-        return
-    n = -(-queries.count() // block)
-    for i in range(n):
-        yield queries.where(F.pmod(F.xxhash64("qid"), F.lit(n)) == i).collect()
-
-
 def _cut(parts: list[pa.RecordBatch], k: int) -> list[pa.RecordBatch]:
     """The best k rows of each query (_q) by score at six places, then id."""
     table = pa.Table.from_batches(parts).combine_chunks()
@@ -57,40 +46,62 @@ def _cut(parts: list[pa.RecordBatch], k: int) -> list[pa.RecordBatch]:
     return table.take(pa.array(order[place < k])).to_batches()
 
 
-def _scored(corpus: DataFrame, queries: DataFrame, k: int, drop: list[str], prepare: Callable, score: Callable, block: int) -> DataFrame:
-    """Hits of all blocks of queries: qid, score and corpus' columns but those to drop."""
-    spark = corpus.sparkSession
-    kept = [c for c in corpus.columns if c not in drop]
-    schema = T.StructType([queries.schema["qid"], T.StructField("score", T.DoubleType()), *(corpus.schema[c] for c in kept)])
-    out = None
-    for rows in blocks_of(queries, block):
-        sent = spark.sparkContext.broadcast(([r["qid"] for r in rows], prepare(rows) if rows else None))
-
-        def run(batches, sent=sent):
-            qids, model = sent.value
-            if not qids:
-                return
-            held: list[pa.RecordBatch] = []
-            for b in batches:
-                for a in range(0, len(b), _ROWS):
-                    part = b.slice(a, _ROWS)
-                    got = score(part, model)
-                    rounded = np.round(got, 6)
-                    good = np.isfinite(got)
-                    if len(part) > k:  # ties with the k-th are cut further down
-                        good &= rounded >= np.partition(np.where(good, rounded, -np.inf), len(part) - k, axis=0)[len(part) - k]
+def _scored(corpus: DataFrame, queries: DataFrame, k: int, own: list[str], prepare: Callable, score: Callable, block: int, payload: DataFrame | None = None) -> DataFrame:
+    """The k best rows of each query: qid, score, rank and corpus' columns but own, which both sides have and are compared by.
+
+    payload: where the other columns are joined from, if not from corpus; ids are unique in it.
+    """
+    n = int(corpus.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    shares = max(1, -(-queries.count() // block))
+    parts = max(1, 4 * n // shares)
+    types = {c: dict(corpus.dtypes)[c] for c in ("id", *own)} | {"qid": dict(queries.dtypes)["qid"]}
+    null = lambda c: F.lit(None).cast(types[c]).alias(c)
+    each = lambda m: F.explode(F.sequence(F.lit(0), F.lit(m - 1)))
+    dealt = lambda c, m: F.pmod(F.xxhash64(c), F.lit(m)).cast("int")
+    rows = corpus.select(dealt("id", parts).alias("_p"), each(shares).alias("_s") if shares > 1 else F.lit(0).alias("_s"), F.lit(1).alias("_kind"), "id", null("qid"), *own)
+    asks = queries.select(each(parts).alias("_p"), dealt("qid", shares).alias("_s"), F.lit(0).alias("_kind"), null("id"), "qid", *(F.col(c).cast(types[c]).alias(c) for c in own))
+    met = rows.unionByName(asks).repartition(n, "_p", "_s").sortWithinPartitions("_p", "_s", "_kind")
+
+    def run(batches):
+        last, asked, qids, model, held = None, [], None, None, []
+
+        def told():
+            for b in _cut(held, k) if held else ():
+                yield pa.RecordBatch.from_arrays([qids.take(b.column("_q")), b.column("id"), b.column("score")], names=["qid", "id", "score"])
+
+        for b in batches:
+            keys = np.stack([np.asarray(b.column(c)) for c in ("_p", "_s", "_kind")], axis=1)
+            cuts = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1).tolist(), len(keys)] if len(keys) else [0]
+            for lo, hi in zip(cuts, cuts[1:], strict=False):
+                if last != (cell := tuple(keys[lo, :2].tolist())):
+                    yield from told()
+                    last, asked, qids, model, held = cell, [], None, None, []
+                part = b.slice(lo, hi - lo)
+                if not keys[lo, 2]:
+                    asked.append(part)
+                    continue
+                if not asked and qids is None:
+                    continue
+                if qids is None:
+                    every = pa.Table.from_batches(asked).combine_chunks()
+                    qids, model, asked = every["qid"].combine_chunks(), prepare(*(every[c].combine_chunks() for c in own)), []
+                for a in range(0, len(part), _ROWS):
+                    some = part.slice(a, _ROWS)
+                    got = score(model, *(some.column(c) for c in own))
+                    rounded, good = np.round(got, 6), np.isfinite(got)
+                    if len(some) > k:  # ties with the k-th are cut further down
+                        good &= rounded >= np.partition(np.where(good, rounded, -np.inf), len(some) - k, axis=0)[len(some) - k]
                     row, which = np.nonzero(good)
-                    taken = pa.RecordBatch.from_arrays([part.column(c) for c in kept], names=kept).take(pa.array(row))
-                    held.append(pa.RecordBatch.from_arrays([pa.array(which), pa.array(got[row, which]), *taken.columns], names=["_q", "score", *kept]))
+                    held.append(pa.RecordBatch.from_arrays([pa.array(which), some.column("id").take(pa.array(row)), pa.array(got[row, which])], names=["_q", "id", "score"]))
                 if len(held) > 8:
                     held = _cut(held, k)
-            for b in _cut(held, k) if held else ():
-                qid = pa.array(qids).take(b.column("_q"))
-                yield pa.RecordBatch.from_arrays([qid, *b.columns[1:]], names=["qid", *b.schema.names[1:]])
+        yield from told()
 
-        hits = corpus.mapInArrow(run, schema)
-        out = hits if out is None else out.unionByName(hits)
-    return out.withColumn("score", F.round("score", 6))
+    schema = T.StructType([queries.schema["qid"], corpus.schema["id"], T.StructField("score", T.DoubleType())])
+    best = ranked(met.mapInArrow(run, schema).withColumn("score", F.round("score", 6)), k)
+    source = corpus if payload is None else payload
+    others = [c for c in source.columns if c not in (*own, "id")]
+    return best.join(source.select("id", *others), "id").select("qid", "score", "id", *others, "rank") if others else best
 
 
 def _dense(column: pa.Array) -> np.ndarray:
@@ -105,8 +116,7 @@ def _unit(m: np.ndarray) -> np.ndarray:
 
 def cosine_topk(corpus: DataFrame, queries: DataFrame, k: int = K_RETRIEVER, block: int = BLOCK) -> DataFrame:
     """The k rows of corpus (id, vector, ...) nearest to each of queries (qid, vector)."""
-    hits = _scored(corpus, queries, k, ["vector"], lambda rows: _unit(np.array([r["vector"] for r in rows], np.float64)), lambda b, q: _unit(_dense(b.column("vector"))) @ q.T, block)
-    return ranked(hits, k)
+    return _scored(corpus, queries, k, ["vector"], lambda v: _unit(_dense(v)).T, lambda q, v: _unit(_dense(v)) @ q, block)
 
 
 def others_topk(corpus: DataFrame, queries: DataFrame, k: int = K_RETRIEVER, block: int = BLOCK, search: Callable | None = None) -> DataFrame:
@@ -152,9 +162,8 @@ def text_topk(corpus: DataFrame, queries: DataFrame, k: int = K_RETRIEVER, width
     index, asked = corpus.withColumn("_t", embed(F.col("text"))), queries.select("qid", embed(F.col("query")).alias("_t"))
     if dict(index.dtypes)["_t"] != "array<string>":
         return cosine_topk(index.withColumnRenamed("_t", "vector"), asked.withColumnRenamed("_t", "vector"), k, block)
-
-    prepare = lambda rows: _unit(_term_counts(pa.array([r["_t"] or [] for r in rows], pa.list_(pa.string())), width)).T
-    return ranked(_scored(index, asked, k, ["_t"], prepare, lambda b, q: _positive(_unit(_term_counts(b.column("_t"), width)) @ np.nan_to_num(q)), block), k)
+    prepare = lambda t: np.nan_to_num(_unit(_term_counts(t, width)).T)
+    return _scored(index, asked, k, ["_t"], prepare, lambda q, t: _positive(_unit(_term_counts(t, width)) @ q), block, corpus)
 
 
 def _positive(got: np.ndarray) -> np.ndarray:
@@ -185,36 +194,32 @@ def terms_topk(index: DataFrame, queries: DataFrame, k: int = K_RETRIEVER, width
     every query, so a join makes as many rows as there are pairs and shuffles them.
     """
 
-    def score(b, q):
-        sizes = np.asarray(b.column("terms").value_lengths().fill_null(0))
-        m = np.zeros((len(b), width))
-        m[np.repeat(np.arange(len(b)), sizes), np.asarray(b.column("terms").flatten())] = np.asarray(b.column("tf").flatten())
-        return _positive(_unit(m) @ np.nan_to_num(q))
+    def dense(terms, tf):
+        sizes = np.asarray(terms.value_lengths().fill_null(0))
+        m = np.zeros((len(terms), width))
+        m[np.repeat(np.arange(len(terms)), sizes), np.asarray(terms.flatten())] = np.asarray(tf.flatten())
+        return _unit(m)
 
-    asked = queries.select("qid", tokens(F.col("query")).alias("_t"))
-    prepare = lambda rows: _unit(_term_counts(pa.array([r["_t"] or [] for r in rows], pa.list_(pa.string())), width)).T
-    return ranked(_scored(index, asked, k, ["terms", "tf"], prepare, score, block), k)
+    asked = with_terms(queries.select("qid", F.col("query").alias("text")), width).select("qid", "terms", "tf")
+    return _scored(index, asked, k, ["terms", "tf"], lambda terms, tf: np.nan_to_num(dense(terms, tf).T), lambda q, terms, tf: _positive(dense(terms, tf) @ q), block)
 
 
-def maxsim_topk(pages: DataFrame, tokens: DataFrame, k: int = K_RETRIEVER, block: int = 256) -> DataFrame:
+def maxsim_topk(pages: DataFrame, tokens: DataFrame, k: int = K_RETRIEVER, block: int = 512) -> DataFrame:
     """The k rows of pages (id, vectors, ...) by late interaction with queries (qid, vectors).
 
     Each query vector counts with its best cosine among the page's vectors; the sum is the score.
     """
 
-    def prepare(rows):
-        q = [_unit(np.array(r["vectors"], np.float64)) for r in rows]
-        return np.concatenate(q) if q else np.empty((0, 0)), np.cumsum([0, *map(len, q)])[:-1]
-
-    def score(b, model):
-        q, starts = model
-        vectors = b.column("vectors")
+    def flat(vectors):
         sizes = np.asarray(vectors.value_lengths())
-        flat = _unit(_dense(vectors.flatten()))
-        best = np.maximum.reduceat(flat @ q.T, np.cumsum(sizes) - sizes, axis=0)
-        return np.add.reduceat(best, starts, axis=1)
+        return _unit(_dense(vectors.flatten())), np.cumsum(sizes) - sizes
+
+    def score(model, vectors):
+        (q, starts), (rows, first) = model, flat(vectors)
+        return np.add.reduceat(np.maximum.reduceat(rows @ q.T, first, axis=0), starts, axis=1)
 
-    return ranked(_scored(pages.where(F.size("vectors") > 0), tokens.where(F.size("vectors") > 0).select("qid", "vectors"), k, ["vectors"], prepare, score, block), k)
+    some = F.size("vectors") > 0
+    return _scored(pages.where(some), tokens.where(some).select("qid", "vectors"), k, ["vectors"], flat, score, block)
 
 
 def centres_of(corpus: DataFrame, clusters: int, most: int = 20_000, rounds: int = 10, seed: int = 7) -> np.ndarray:

@@ -219,7 +219,7 @@ SELECT source, min(pos)::int AS first_line, count(*)::int AS n_rows, md5(string_
     "rrf_payload": f"""WITH {_FUSED}, first AS (SELECT qid, source, page, h.id, h.block_type, md5(h.text) AS text_md5, NULL::int AS n_patches, first_ord FROM fused f JOIN hits h USING (qid, source, page) WHERE h.rank = f.first_ord UNION ALL SELECT qid, source, page, v.id, NULL, NULL, v.n_patches, first_ord FROM fused f JOIN vhits v USING (qid, source, page) WHERE v.rank + 1000000 = f.first_ord)
 SELECT qid, source, page, id, block_type, text_md5, n_patches FROM first""",
     "page_images": f"WITH {_PAGES} SELECT source, page, 2 * greatest(1, list_max(list_transform(string_split(page_text, chr(10)), lambda l: length(l))))::int AS width, 2 * len(string_split(page_text, chr(10)))::int AS height FROM pages_",
-    "vision_requests": "SELECT page_id % 7 AS qid, count(*)::int AS n_images, CASE WHEN count(*) > 1 THEN 'image,image' ELSE 'image,text' END AS first, least(count(*), 3)::int AS marked, 'Question: ' || min(url) AS question, 'ephemeral' AS system_mark FROM pages GROUP BY ALL",
+    "vision_requests": "SELECT page_id // 3 AS qid, count(*)::int AS n_images, CASE WHEN count(*) > 1 THEN 'image,image' ELSE 'image,text' END AS first, least(count(*), 3)::int AS marked, 'Question: ' || min(url) AS question, 'ephemeral' AS system_mark FROM pages GROUP BY ALL",
     "generated_answers": f"WITH {_QUESTIONS} SELECT qid, 'Question: ' || coalesce(query, '') AS answer, 'end_turn' AS stop_reason, (1 + len({_tokens('query')}))::bigint AS input_tokens, 1::bigint AS cache_creation_input_tokens, 0::bigint AS cache_read_input_tokens FROM questions",
     "short_completions": f"WITH {_TURNS} SELECT qid, array_to_string(string_split(trim(passage), ' ')[1:8], ' ') AS completion, array_to_string(string_split(trim(passage), ' ')[1:256], ' ') AS whole FROM turns WHERE passage IS NOT NULL",
     "judge_marks": f"WITH {_TURNS} SELECT qid, (1 + floor(4 * {_coverage('passage', 'query').replace('round(', '(').replace(', 6)', ')')} + 0.5))::int AS mark FROM turns WHERE passage IS NOT NULL",

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from tidepool.functions import ids, text, vector
 from tidepool.operators import evaluate, fuse, generate, index, rerank, rewrite, route, search, trace
 from tidepool.plans import modes
-from tidepool.schema import CANDIDATE_POOL
+from tidepool.schema import CANDIDATE_POOL, K_VISION_MODE
 from tidepool.sources import blocks, storage, vectors
 from tidepool.streaming.index_upkeep import maintain, points
 
@@ -25,7 +25,7 @@ def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
 
 
 def _docs(spark, d):
-    return storage.spread(_t(spark, d, "documents"))
+    return _t(spark, d, "documents")
 
 
 def _questions(spark, d):
@@ -539,9 +539,10 @@ def page_images(spark, d):
 
 
 def vision_requests(spark, d):
-    """Requests about the web pages' contents as images: how many come first, what is marked for caching, and the question."""
-    p = _t(spark, d, "pages").select((F.col("page_id") % 7).alias("qid"), F.row_number().over(W.partitionBy(F.col("page_id") % 7).orderBy("page_id")).alias("rank"), F.concat("url", F.lit(".gif")).alias("path"), F.encode("html", "UTF-8").alias("content"))
-    q = _t(spark, d, "pages").groupBy((F.col("page_id") % 7).alias("qid")).agg(F.min("url").alias("query"))
+    """Requests about the web pages' contents as images, three to a question: how many come first, what is marked for caching, and the question."""
+    own = _t(spark, d, "pages").where("page_id is not null").withColumn("qid", F.floor(F.col("page_id") / K_VISION_MODE))
+    p = own.select("qid", (F.pmod("page_id", F.lit(K_VISION_MODE)) + 1).cast("int").alias("rank"), F.concat("url", F.lit(".gif")).alias("path"), F.encode("html", "UTF-8").alias("content"))
+    q = own.groupBy("qid").agg(F.min("url").alias("query"))
     got = generate.vision_requests(q, generate.image_messages(p))
     get = lambda path: F.get_json_object("body", path)
     kinds = F.from_json(get("$.messages[0].content"), "array<struct<type: string, source: struct<media_type: string>, text: string, cache_control: struct<type: string>>>")

@@ -36,14 +36,6 @@ def written(df: DataFrame, name: str = "table") -> DataFrame:
     return df.sparkSession.read.schema(schema).parquet(path)
 
 
-def spread(df: DataFrame, most: int = 1 << 30) -> DataFrame:
-    """A small table that its files would leave to a few tasks, dealt out to all cores; larger ones stay as they are read."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) > most or df.rdd.getNumPartitions() >= cores:
-        return df
-    return df.repartition(cores)
-
-
 def drop_all() -> None:
     while _written:
         spark, path = _written.pop()
