@@ -148,6 +148,7 @@ SELECT id, md5(text) AS text_md5 FROM b UNION ALL SELECT id, md5(text) FROM a WH
     "l2_normalize": f"SELECT vec_id, unnest(range(len(embedding)))::int AS pos, round(unnest(embedding)::double / n, 6) AS x FROM (SELECT vec_id, embedding, sqrt({_DOTS.format(a='embedding', b='embedding')}) AS n FROM embeddings)",
     "cosine_topk": f"{_NEAREST} SELECT qid, rank, id, score FROM nearest",
     "maxsim_topk": f"WITH {_VISION}, {_vhits(5, False)} SELECT qid, rank, id, source, page, n_patches, score FROM vhits",
+    "maxsim_pruned": f"WITH {_VISION}, {_vhits(5, False)} SELECT qid, rank, id, source, page, n_patches, score FROM vhits",
     "patch_stats": f"WITH {_PATCHES} SELECT source, 'vision' AS collection, count(*) AS pages, sum(n)::bigint AS total_patches FROM (SELECT {_SOURCE} AS source, n FROM documents JOIN (SELECT doc_id, count(*) AS n FROM patches GROUP BY doc_id) USING (doc_id)) GROUP BY source",
     "fp16_roundtrip": "SELECT vec_id, unnest(range(len(embedding)))::int AS pos, floor(unnest(embedding)::double * 64) / 64 AS x FROM embeddings",
     "text_topk": f"{_TEXT5} SELECT qid, rank, id, source, page, block_type, score FROM hits",

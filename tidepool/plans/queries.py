@@ -11,7 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidepool.functions import ids, text, vector
-from tidepool.operators import evaluate, fuse, generate, index, rerank, rewrite, route, search, trace
+from tidepool.operators import evaluate, fuse, generate, index, ivfpq, patches, rerank, rewrite, route, search, trace
 from tidepool.plans import modes
 from tidepool.schema import CANDIDATE_POOL, K_VISION_MODE
 from tidepool.sources import blocks, storage, vectors
@@ -169,6 +169,12 @@ def maxsim_topk(spark, d):
     return search.maxsim_topk(v.pages, v.tokens).select("qid", "rank", "id", "source", "page", "n_patches", "score")
 
 
+def maxsim_pruned(spark, d):
+    """maxsim_topk through an inverted index of patches: pages whose bound can't win aren't scored."""
+    v = _vision(spark, d)
+    return patches.PatchIndex(v.pages, storage.written).search(v.tokens).select("qid", "rank", "id", "source", "page", "n_patches", "score")
+
+
 def patch_stats(spark, d):
     return index.patch_stats(_vision(spark, d).pages)
 
@@ -472,6 +478,14 @@ def cluster_topk(spark, d):
     return search.others_topk(corpus.select("id", "vector"), queries.select("qid", "vector"), 10, search=search.cluster_topk).select("qid", "rank", "id", "score")
 
 
+def ivfpq_topk(spark, d):
+    """A kept index of lists and codes over all vectors; every 20th is looked for, its own row is no hit."""
+    corpus, queries = _vectors(spark, d)
+    kept = ivfpq.IvfPq(spark, storage.shared_path(spark, "ivfpq")).build(corpus.select("id", "vector"))
+    hits = kept.search(queries.select("qid", "vector"), 11).where("id <> qid").drop("rank")
+    return search.ranked(hits, 10).select("qid", "rank", "id", "score")
+
+
 def collection_search(spark, d):
     """Blocks written to a collection with their terms once, half of them twice; questions search what it holds."""
     points_ = search.with_terms(_points(spark, d))
@@ -594,6 +608,6 @@ QUERIES = {
         hallucination_rate, bootstrap_ci, usage_cost, storage_bytes, metric_breakdown, repeat_average, label_precision, trace_rows,
         found_by_both, snippets, page_hosts, cluster_topk, collection_search, collection_upsert, caption_collection, vision_collection,
         cosine_collection, hybrid_graph_answers, rrf_payload, page_images, vision_requests, generated_answers, short_completions, judge_marks,
-        variant_written, mode_breakdown, stream_upkeep, table_markdown,
+        variant_written, mode_breakdown, stream_upkeep, table_markdown, ivfpq_topk, maxsim_pruned,
     )
 }
