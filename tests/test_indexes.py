@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tidepool.operators import ivfpq, patches, search
+from tidepool.operators import ivfpq, patches, postings, search
 from tidepool.plans import queries
 from tidepool.sources import storage
 
@@ -114,3 +114,65 @@ def test_pruned_late_interaction_of_few_and_odd_pages(spark):
     assert _scores(index.search(asked, 5)) == [(1, 1, 1, 1.0), (1, 2, 2, 1.0), (1, 3, 6, -1.0)]
     none = patches.PatchIndex(spark.createDataFrame([], f"id long, {kind}"), storage.written)
     assert none.search(asked, 5).count() == 0
+
+
+def _brute_bm25(rows, asked, k):
+    import math
+    import re
+    from collections import Counter
+
+    words = {i: [w for w in re.split(r"[\W_]+", (t or "").lower()) if w] for i, t in rows}
+    mean = sum(map(len, words.values())) / max(1, len(words))
+    df = Counter(w for ws in words.values() for w in set(ws))
+    out = []
+    for q, text in asked:
+        scores = []
+        for i, ws in words.items():
+            s = 0.0
+            for w, times in Counter(x for x in re.split(r"[\W_]+", (text or "").lower()) if x).items():
+                tf = ws.count(w)
+                if tf:
+                    s += times * math.log(1 + (len(words) - df[w] + 0.5) / (df[w] + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len(ws) / mean))
+            if s:
+                scores.append((-round(s, 6), i))
+        out += [(q, n, i, -s) for n, (s, i) in enumerate(sorted(scores)[:k], 1)]
+    return out
+
+
+def _texts(n=4_000):
+    rng = np.random.default_rng(8)
+    common = ["the", "of", "and", "in", "to"]
+    rows = []
+    for i in range(n):
+        size = int(rng.integers(1, 30))
+        rows.append((i, " ".join(common[int(rng.zipf(1.6)) % 5] if rng.random() < 0.6 else f"w{int(rng.zipf(1.3)) % 3000}" for _ in range(size))))
+    return rows
+
+
+def test_postings_search_against_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(postings, "HOT", 300)  # hot terms are parted
+    monkeypatch.setattr(postings, "BLOCK", 16)
+    monkeypatch.setattr(postings, "RARE", 50)
+    rows = _texts() + [(10_000, None), (10_001, ""), (10_002, "?!"), (10_003, "the"), (10_004, "the")]
+    asked = [(1, "the w17"), (2, "w2999 w2998 and of"), (3, "the the of"), (4, "unknown"), (5, None), (6, ""), (7, "W1 w2 w3 w4 w5 in"), (8, "w40 W40 w41")]
+    index = postings.PostingsIndex(spark, storage.shared_path(spark, "postings")).build(spark.createDataFrame(rows, "id long, text string"))
+    assert index._table("postings").agg(F.max("part")).first()[0] > 0
+    for k in (1, 5, 40):
+        got = [(r.qid, r["rank"], r.id, r.score) for r in index.search(spark.createDataFrame(asked, "qid long, query string"), k).orderBy("qid", "rank").collect()]
+        assert got == _brute_bm25(rows, asked, k)
+
+
+def test_rare_terms_read_few_postings(spark):
+    rows = _texts(20_000)
+    index = postings.PostingsIndex(spark, storage.shared_path(spark, "postings")).build(spark.createDataFrame(rows, "id long, text string"))
+    asked = spark.createDataFrame([(i, f"the w{1500 + i} of w{1600 + i}") for i in range(20)], "qid long, query string")
+    told = index.reads(asked, 5).collect()
+    share = sum(r.n_read for r in told) / sum(r.n_all for r in told)
+    print(f"share of postings read for rare terms {share:.4f}")
+    assert len(told) == 20 and share < 0.1
+    assert index.search(asked, 5).groupBy("qid").count().count() == 20
+
+
+def test_an_empty_postings_index(spark):
+    index = postings.PostingsIndex(spark, storage.shared_path(spark, "postings")).build(spark.createDataFrame([], "id long, text string"))
+    assert index.search(spark.createDataFrame([(1, "a")], "qid long, query string"), 5).count() == 0

@@ -152,6 +152,10 @@ SELECT id, md5(text) AS text_md5 FROM b UNION ALL SELECT id, md5(text) FROM a WH
     "patch_stats": f"WITH {_PATCHES} SELECT source, 'vision' AS collection, count(*) AS pages, sum(n)::bigint AS total_patches FROM (SELECT {_SOURCE} AS source, n FROM documents JOIN (SELECT doc_id, count(*) AS n FROM patches GROUP BY doc_id) USING (doc_id)) GROUP BY source",
     "fp16_roundtrip": "SELECT vec_id, unnest(range(len(embedding)))::int AS pos, floor(unnest(embedding)::double * 64) / 64 AS x FROM embeddings",
     "text_topk": f"{_TEXT5} SELECT qid, rank, id, source, page, block_type, score FROM hits",
+    "postings_topk": f"""WITH {_POINTS}, {_QUESTIONS}, tf AS (SELECT id, term, count(*) AS tf FROM (SELECT id, unnest({_tokens('text')}) AS term FROM points) GROUP BY ALL), sizes AS (SELECT id, len({_tokens('text')}) AS l FROM points),
+stats AS (SELECT count(*) AS n, avg(l) AS a FROM sizes), df AS (SELECT term, count(*) AS df FROM tf GROUP BY term), asked AS (SELECT qid, term, count(*) AS times FROM (SELECT qid, unnest({_tokens('query')}) AS term FROM questions) GROUP BY ALL),
+scored AS (SELECT qid, id, round(sum(times * ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * l / a))), 6) AS score FROM asked JOIN tf USING (term) JOIN df USING (term) JOIN sizes USING (id), stats GROUP BY ALL)
+SELECT qid, (row_number() OVER (PARTITION BY qid ORDER BY score DESC, id))::int AS rank, id, score FROM scored QUALIFY rank <= 5""",
     "variant_baseline": f"WITH {_POINTS}, {_QUESTIONS}, {_search('points', 'questions', 3, 'hits')} SELECT qid, rank, id, score, 'baseline' AS variant, query AS rewritten_query FROM hits JOIN questions USING (qid)",
     "variant_qt": f"WITH {_POINTS}, {_QUESTIONS}, {_GLOSSED}, {_search('points', 'translated', 3, 'hits')} SELECT qid, rank, id, score, 'qt' AS variant, query AS rewritten_query FROM hits JOIN translated USING (qid)",
     "variant_hyde": f"WITH {_POINTS}, {_TURNS}, drafted AS (SELECT qid, coalesce(passage, query) AS query FROM turns), {_search('points', 'drafted', 3, 'hits')} SELECT qid, rank, id, score, 'hyde' AS variant, query AS rewritten_query FROM hits JOIN drafted USING (qid)",

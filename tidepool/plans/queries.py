@@ -11,7 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidepool.functions import ids, text, vector
-from tidepool.operators import evaluate, fuse, generate, index, ivfpq, patches, rerank, rewrite, route, search, trace
+from tidepool.operators import evaluate, fuse, generate, index, ivfpq, patches, postings, rerank, rewrite, route, search, trace
 from tidepool.plans import modes
 from tidepool.schema import CANDIDATE_POOL, K_VISION_MODE
 from tidepool.sources import blocks, storage, vectors
@@ -190,6 +190,12 @@ def text_topk(spark, d):
     return _retriever(spark, d).search(_questions(spark, d), 5).select(*_HITS)
 
 
+def postings_topk(spark, d):
+    """Questions against blocks by an inverted index of their terms."""
+    kept = postings.PostingsIndex(spark, storage.shared_path(spark, "postings")).build(_points(spark, d))
+    return kept.search(_questions(spark, d), 5)
+
+
 def variant_baseline(spark, d):
     return modes.RewritingRetriever(_retriever(spark, d), "baseline").search(_questions(spark, d), 3).select("qid", "rank", "id", "score", "variant", "rewritten_query")
 
@@ -608,6 +614,6 @@ QUERIES = {
         hallucination_rate, bootstrap_ci, usage_cost, storage_bytes, metric_breakdown, repeat_average, label_precision, trace_rows,
         found_by_both, snippets, page_hosts, cluster_topk, collection_search, collection_upsert, caption_collection, vision_collection,
         cosine_collection, hybrid_graph_answers, rrf_payload, page_images, vision_requests, generated_answers, short_completions, judge_marks,
-        variant_written, mode_breakdown, stream_upkeep, table_markdown, ivfpq_topk, maxsim_pruned,
+        variant_written, mode_breakdown, stream_upkeep, table_markdown, ivfpq_topk, maxsim_pruned, postings_topk,
     )
 }
