@@ -45,12 +45,39 @@ _NEW = 4_096  # chunks that are tokenised at a time
 _RUN = 1 << 20  # characters of texts that are looked up at a time
 #: White space, and what some call so; the sign that stands for a space in pieces.
 _W = r"\s\x1c-\x1f\u180e\u200b\ufeff\u2581"
+_PLAIN = re.compile(rf"[ \n][^{_W}]+")
+_LEAD = " a"  # before a stream of chunks, as the first may begin with a line feed
 _CHUNK = re.compile(rf"[ \n][^{_W}]++(?=[ \n][^{_W}]|\Z)|.+?(?<=[^{_W}])(?=[ \n][^{_W}])|.+", re.DOTALL)
 #: What a byte-level vocabulary writes for each byte: printable ones stand for themselves, the others follow from U+0100 on.
 _PRINTED = {*range(33, 127), *range(161, 173), *range(174, 256)}
 _BYTES = {chr(b): b for b in _PRINTED} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in _PRINTED)}
 
 
+def _spelled(entry: str) -> bytes:
+    """The bytes of a byte-level entry; none if it is no such entry."""
+    return bytes(_BYTES[c] for c in entry) if all(c in _BYTES for c in entry) else b""
+
+
+def _ranked(tokenizer, entries: dict[str, int]):
+    """A function from a text to the ids of a byte-level BPE whose entries are numbered in the order of their merges: the same ids, a few times as fast.
+
+    None for any other tokenizer.
+    """
+    import json
+
+    import public_tokenizers
+    import tiktoken
+
+    told = json.loads(tokenizer.to_str())
+    merges = [m if isinstance(m, str) else "".join(m) for m in told["model"].get("merges", [])]
+    kind = told["pre_tokenizer"] or {}
+    plain = told["normalizer"] is None and kind.get("type") == "ByteLevel" and kind.get("use_regex", True) and not kind.get("add_prefix_space")
+    if not plain or any(entries.get(m.replace(" ", "")) != 256 + i for i, m in enumerate(merges)):
+        return None
+    ranks = {_spelled(e): i for e, i in entries.items() if _spelled(e) and i < 256 + len(merges)}
+    return tiktoken.Encoding("ranked", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+
+
 class Tokenizers:
     """Both tokenizers and the bytes of their tokens."""
 
@@ -63,9 +90,10 @@ class Tokenizers:
         self.a.encode_special_tokens = True
         self.b = sentencepiece.SentencePieceProcessor(model_file=b_path)
         entries = self.a.get_vocab()
+        self._a_ids = _ranked(self.a, entries)
         self.a_bytes = [b""] * (max(entries.values()) + 1)
         for entry, i in entries.items():
-            self.a_bytes[i] = bytes(_BYTES[c] for c in entry) if all(c in _BYTES for c in entry) else entry.encode()
+            self.a_bytes[i] = _spelled(entry) or entry.encode()
         pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
         self.b_bytes = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)]
         self.space = self.b.piece_to_id("▁")
@@ -75,11 +103,13 @@ class Tokenizers:
 
     def chunks(self, text: str) -> Iterator[str]:
         """The chunks of a space and a text."""
-        return (m[0] for m in _CHUNK.finditer(" " + text)) if self.cuttable else iter([" " + text])
+        if not self.cuttable:
+            return iter([" " + text])
+        return iter(_CHUNK.findall(" " + text)) if len(text) <= _RUN else (m[0] for m in _CHUNK.finditer(" " + text))
 
     def encode(self, chunks: list[str]) -> tuple[list[list[int]], list[list[int]]]:
         """Ids of A and of B of chunks, which begin with the space that B adds, or with a line feed."""
-        a = [e.ids for e in self.a.encode_batch_fast(chunks, add_special_tokens=False)]
+        a = list(map(self._a_ids, chunks)) if self._a_ids else [e.ids for e in self.a.encode_batch_fast(chunks, add_special_tokens=False)]
         b = self.b.encode([c[1:] if c[0] == " " else c for c in chunks], num_threads=1)
         for i, c in enumerate(chunks):
             if c[0] != " ":
@@ -116,9 +146,10 @@ def links_of(cuts: np.ndarray, a_ends: np.ndarray, b_ends: np.ndarray, a_group:
 class Aligner:
     """The alignment of each chunk met so far: counts, links and the groups as text."""
 
-    def __init__(self, tokenizers: Tokenizers) -> None:
-        self.t, self.width = tokenizers, len(tokenizers.b_bytes)
+    def __init__(self, tokenizers: Tokenizers, spelling: bool = True) -> None:
+        self.t, self.width, self.spelling = tokenizers, len(tokenizers.b_bytes), spelling
         self.a_size, self.b_size = (np.array(list(map(len, x)), np.int64) for x in (tokenizers.a_bytes, tokenizers.b_bytes))
+        self.told = [f"{i}{mark}" for n, marks in ((len(self.a_size), ",|"), (len(self.b_size), ",;")) for mark in marks for i in range(n)]
         self.clear()
 
     def clear(self) -> None:
@@ -129,18 +160,14 @@ class Aligner:
         self._told: np.ndarray | None = None
 
     def ids(self, chunks: list[str]) -> np.ndarray:
-        get = self.index.get
-        at = [get(c, -1) for c in chunks]
-        if -1 in at:
-            new = list(dict.fromkeys(c for c, i in zip(chunks, at, strict=True) if i < 0))
-            for a in range(0, len(new), _NEW):
-                self._learn(new[a : a + _NEW])
-            at = [i if i >= 0 else self.index[c] for c, i in zip(chunks, at, strict=True)]
-        return np.array(at, np.int64)
+        new = [c for c in dict.fromkeys(chunks) if c not in self.index]
+        for a in range(0, len(new), _NEW):
+            self._learn(new[a : a + _NEW])
+        return np.fromiter(map(self.index.__getitem__, chunks), np.int64, len(chunks))
 
     def numbers(self) -> np.ndarray:
         """A row of counts for each chunk."""
-        if self._told is None or len(self._told) < len(self.texts):
+        if self._told is None or len(self._told) < len(self.index):
             self._told = np.concatenate(self.counts) if self.counts else np.zeros((0, 5), np.int64)
             self.counts = [self._told]
         return self._told
@@ -153,14 +180,41 @@ class Aligner:
         return (self.links[0] if self.links else np.zeros(0, np.int64)), np.concatenate([[0], np.cumsum(n)])
 
     def _learn(self, chunks: list[str]) -> None:
+        plain = [c for c in chunks if _PLAIN.fullmatch(c)] if self.t.cuttable else []
+        if plain and not self._learn_stream(plain):
+            plain = []
+        others = [c for c in chunks if c not in self.index] if len(plain) < len(chunks) else []
+        if not others:
+            return
         t = self.t
-        a, b = t.encode(chunks)
-        spelled = [c.encode() for c in chunks]
-        bad = np.array([b"".join(map(t.a_bytes.__getitem__, x)) != s or b"".join(map(t.b_bytes.__getitem__, y)) != s for x, y, s in zip(a, b, spelled, strict=True)])
-        a = [[] if no else x for x, no in zip(a, bad, strict=True)]
-        b = [[] if no else x for x, no in zip(b, bad, strict=True)]
-        n_a, n_b = (np.array(list(map(len, x)), np.int64) for x in (a, b))
-        flat_a, flat_b = (np.fromiter((i for x in side for i in x), np.int64, int(n.sum())) for side, n in ((a, n_a), (b, n_b)))
+        a, b = t.encode(others)
+        flat_a, flat_b, n_a, n_b = _flat(a, b)
+        bad = np.array([b"".join(map(t.a_bytes.__getitem__, x)) != c.encode() or b"".join(map(t.b_bytes.__getitem__, y)) != c.encode() for x, y, c in zip(a, b, others, strict=True)])
+        if bad.any():
+            flat_a, flat_b, n_a, n_b = _flat(*([[] if no else x for x, no in zip(side, bad, strict=True)] for side in (a, b)))
+        self._keep(others, flat_a, flat_b, n_a, n_b, bad)
+
+    def _learn_stream(self, chunks: list[str]) -> bool:
+        """Chunks without inner white space as one text, which is cut at every one of them; False if it isn't spelt back."""
+        t, stream = self.t, _LEAD + "".join(chunks)
+        raw = stream.encode()
+        (a,), (b,) = t.encode([stream])
+        if b"".join(map(t.a_bytes.__getitem__, a)) != raw or b"".join(map(t.b_bytes.__getitem__, b)) != raw:
+            return False
+        sizes = np.fromiter(map(len, chunks) if len(raw) == len(stream) else (len(c.encode()) for c in chunks), np.int64, len(chunks))
+        edges = len(_LEAD) + np.concatenate([[0], np.cumsum(sizes)])
+        sides = []
+        for ids, size in ((np.array(a, np.int64), self.a_size), (np.array(b, np.int64), self.b_size)):
+            ends = np.cumsum(size[ids])
+            at = np.searchsorted(ends, edges)
+            if not np.array_equal(ends[at], edges):
+                return False
+            sides.append((ids[at[0] + 1 :], np.diff(at)))
+        (flat_a, n_a), (flat_b, n_b) = sides
+        self._keep(chunks, flat_a, flat_b, n_a, n_b, np.zeros(len(chunks), bool))
+        return True
+
+    def _keep(self, chunks: list[str], flat_a: np.ndarray, flat_b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray, bad: np.ndarray) -> None:
         # The chunks as one stream of bytes: a chunk's end is a cut of both.
         a_ends, b_ends = np.cumsum(self.a_size[flat_a]), np.cumsum(self.b_size[flat_b])
         cuts, a_group, b_group = cuts_of(a_ends, b_ends)
@@ -172,32 +226,38 @@ class Aligner:
         n_groups = np.bincount(own_group, minlength=len(chunks))
         self.links.append(flat_a[a_link] * self.width + flat_b[b_link])
         self.counts.append(np.stack([n_a, n_b, n_groups, n_links, bad], axis=1).astype(np.int64))
-        self.texts += self._told_groups(flat_a, flat_b, a_group, b_group, len(cuts), n_groups)
-        for c in chunks:
-            self.index[c] = len(self.index)
+        if self.spelling:
+            self.texts += self._told_groups(flat_a, flat_b, a_group, b_group, len(cuts), n_groups)
+        self.index.update(zip(chunks, range(len(self.index), len(self.index) + len(chunks)), strict=True))
 
-    @staticmethod
-    def _told_groups(flat_a: np.ndarray, flat_b: np.ndarray, a_group: np.ndarray, b_group: np.ndarray, n: int, n_groups: np.ndarray) -> list[bytes]:
+    def _told_groups(self, flat_a: np.ndarray, flat_b: np.ndarray, a_group: np.ndarray, b_group: np.ndarray, n: int, n_groups: np.ndarray) -> list[bytes]:
         """Each chunk's groups as text: A ids | B ids, groups joined by semicolons."""
-        sides = []
-        for flat, group in ((flat_a, a_group), (flat_b, b_group)):
-            edges = np.searchsorted(group, np.arange(n + 1)).tolist()
-            told = list(map(str, flat.tolist()))
-            sides.append([",".join(told[x:y]) for x, y in zip(edges, edges[1:], strict=False)])
-        groups = [f"{x}|{y}" for x, y in zip(*sides, strict=True)]
-        ends = np.cumsum(n_groups).tolist()
-        return [";".join(groups[y - k : y]).encode() for y, k in zip(ends, n_groups.tolist(), strict=True)]
+        n_a, n_b = np.bincount(a_group, minlength=n), np.bincount(b_group, minlength=n)
+        before_a, before_b = np.cumsum(n_a), np.cumsum(n_b) - n_b
+        told = np.empty(len(flat_a) + len(flat_b), np.int64)  # the string of each token in order: its id and what follows it
+        last_a, last_b = (np.append(g[1:] != g[:-1], True)[: len(g)] for g in (a_group, b_group))
+        told[np.arange(len(flat_a)) + before_b[a_group]] = flat_a + last_a * len(self.a_size)
+        told[np.arange(len(flat_b)) + before_a[b_group]] = 2 * len(self.a_size) + flat_b + last_b * len(self.b_size)
+        pieces = list(map(self.told.__getitem__, told.tolist()))
+        ends = np.concatenate([[0], np.cumsum(n_a + n_b)])[np.concatenate([[0], np.cumsum(n_groups)])].tolist()
+        return ["".join(pieces[x:y])[:-1].encode() for x, y in zip(ends, ends[1:], strict=False)]
+
 
+def _flat(a: list[list[int]], b: list[list[int]]) -> tuple[np.ndarray, ...]:
+    """(A ids, B ids, how many of A, how many of B each list has)."""
+    n = [np.fromiter(map(len, x), np.int64, len(x)) for x in (a, b)]
+    return *(np.fromiter(chain.from_iterable(x), np.int64, int(k.sum())) for x, k in zip((a, b), n, strict=True)), *n
 
-_loaded: dict[tuple[str, str], Aligner] = {}
 
+_loaded: dict[tuple[str, str, bool], Aligner] = {}
 
-def aligner(a_path: str, b_path: str) -> Aligner:
-    """This process' aligner of two vocabularies; what it has learnt serves later tasks too."""
-    if (a_path, b_path) not in _loaded:
+
+def aligner(a_path: str, b_path: str, spelling: bool = True) -> Aligner:
+    """This process' aligner of two vocabularies, with or without the groups as text; what it has learnt serves later tasks too."""
+    if (a_path, b_path, spelling) not in _loaded:
         _loaded.clear()
-        _loaded[a_path, b_path] = Aligner(Tokenizers(a_path, b_path))
-    return _loaded[a_path, b_path]
+        _loaded[a_path, b_path, spelling] = Aligner(Tokenizers(a_path, b_path), spelling)
+    return _loaded[a_path, b_path, spelling]
 
 
 def _texts(own: Aligner, column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -245,7 +305,7 @@ def _counted(paths: tuple[str, str]):
     """(pair, salt, n): the links of a task's texts."""
 
     def run(batches):
-        own = aligner(*paths)
+        own = aligner(*paths, spelling=False)
         uses = np.zeros(0, np.int64)
         salt = TaskContext.get().partitionId() % SALTS
 
@@ -261,10 +321,10 @@ def _counted(paths: tuple[str, str]):
 
         for b in batches:
             for at, _ in _texts(own, b.column("text")):
-                more = np.bincount(at, minlength=len(own.texts))
+                more = np.bincount(at, minlength=len(own.index))
                 more[: len(uses)] += uses
                 uses = more
-                if len(own.texts) > _CACHED:
+                if len(own.index) > _CACHED:
                     yield from told()
                     own.clear()
                     uses = np.zeros(0, np.int64)
@@ -312,7 +372,7 @@ def _row_pairs(paths: tuple[str, str]):
     """(_row, pair, times): the links of each text."""
 
     def run(batches):
-        own = aligner(*paths)
+        own = aligner(*paths, spelling=False)
         for b in batches:
             rows, done = np.asarray(b.column("_row")), 0
             for at, starts in _texts(own, b.column("text")):
@@ -323,7 +383,7 @@ def _row_pairs(paths: tuple[str, str]):
                     pair, times = np.unique(codes[place], return_counts=True)
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(pair), rows[done])), pa.array(pair), pa.array(times.astype(np.int64))], names=["_row", "pair", "times"])
                     done += 1
-                if len(own.texts) > _CACHED:
+                if len(own.index) > _CACHED:
                     own.clear()
 
     return run
