@@ -14,7 +14,7 @@ from tidepool.functions import ids, text, vector
 from tidepool.operators import evaluate, fuse, generate, index, ivfpq, patches, postings, rerank, rewrite, route, search, trace
 from tidepool.plans import modes
 from tidepool.schema import CANDIDATE_POOL, K_VISION_MODE
-from tidepool.sources import blocks, storage, vectors
+from tidepool.sources import blocks, files, storage, vectors
 from tidepool.streaming.index_upkeep import maintain, points
 
 GLOSSARY = (("the", "der"), ("of", "von"), ("and", "und"), ("in", "en"), ("la", "the"), ("de", "of"))
@@ -129,6 +129,27 @@ def page_lookup(spark, d):
     return blocks.lookup_pages(docs, wanted).select("source", "page", F.md5("page_text").alias("page_md5"))
 
 
+def _files(spark, d):
+    """The documents as text files, one each."""
+    root = storage.shared_path(spark, "files")
+    files.write_documents(_docs(spark, d), root).agg(F.sum("files")).collect()
+    return root
+
+
+def file_pages(spark, d):
+    """Pages of documents that were written as files, read by a data source of their own."""
+    return files.read_pages(spark, [_files(spark, d)]).where("error is null").select("source", "page", F.md5("page_text").alias("page_md5"))
+
+
+def file_collection(spark, d):
+    """Files indexed: read, cut into blocks and upserted into a collection; a path that isn't there is reported and skipped."""
+    root = _files(spark, d)
+    c = index.Collection(spark, storage.shared_path(spark, "from-files"), points(_docs(spark, d)).schema)
+    skipped = files.index_files(spark, [root, f"{root}-none"], c, points)
+    told = skipped.select(F.lit("").alias("id"), F.lit("skipped").alias("source"), F.md5("error").alias("text_md5"))
+    return c.scan().select("id", "source", F.md5("text").alias("text_md5")).unionByName(told)
+
+
 def table_markdown(spark, d):
     return blocks.table_markdown(_docs(spark, d)).select("source", "first_line", "n_rows", F.md5("markdown").alias("markdown_md5"))
 
@@ -614,6 +635,6 @@ QUERIES = {
         hallucination_rate, bootstrap_ci, usage_cost, storage_bytes, metric_breakdown, repeat_average, label_precision, trace_rows,
         found_by_both, snippets, page_hosts, cluster_topk, collection_search, collection_upsert, caption_collection, vision_collection,
         cosine_collection, hybrid_graph_answers, rrf_payload, page_images, vision_requests, generated_answers, short_completions, judge_marks,
-        variant_written, mode_breakdown, stream_upkeep, table_markdown, ivfpq_topk, maxsim_pruned, postings_topk,
+        variant_written, mode_breakdown, stream_upkeep, table_markdown, ivfpq_topk, maxsim_pruned, postings_topk, file_pages, file_collection,
     )
 }
