@@ -1,35 +1,44 @@
 """Exact term search over an inverted index: postings in impact order, block maxima, a max-score cut.
 
 A text's score is BM25: each of a question's terms gives its count, times how rare the term is, times the posting's impact, which
-follows from the term's count and the text's length alone. Building writes three tables:
-
-* forward: each text's terms and impacts;
-* postings: blocks of at most BLOCK postings of one term, highest impacts first, with the block's highest. A term in
-  more than HOT texts is parted by a hash of id, each part in impact order of its own, so no task holds a hot term;
-* terms: in how many texts a term is, and its highest impact.
-
-Searching: a question's rare terms and one best block of the others give some texts part of their score; the k-th of these sums is a
-floor that the k-th best text reaches. Terms whose highest scores together stay below it can't make a hit by
+follows from the term's count and the text's length alone. An index is built in one pass and without a shuffle: each task gathers texts
+of SEGMENT tokens to a segment and writes its postings by term, in blocks of at most BLOCK, highest impacts first, with
+the block's highest. A posting is a place in its segment and an impact; a segment's ids are a row of their own. Terms are in order within a segment, so
+row groups are skipped by term; a term that a third of all texts have is blocks of many segments, never one list.
+A second table has each term's number of texts and its highest impact.
+
+Searching: a question's rare terms and one best block of the others give some texts part of their score; the best of these are
+scored exactly, and the k-th of their scores is a floor that the k-th best text reaches. Terms whose highest scores together stay below it can't make a hit by
 themselves, so only blocks of the others are read, and of these only the blocks that can reach the floor with all else at its highest.
-What may reach it is scored exactly from the forward table. All steps are joins and aggregates; a question's own rows are its terms.
+What may reach it is scored exactly by its text. All steps are joins and aggregates; a question's own rows are its terms.
 
 Defined cases: null and empty texts and questions, and questions of unknown terms, have no hits; equal scores (at six places) go to the smaller id; a term that a
-question repeats counts as often. Ids are unique.
+question repeats counts as often. Ids are unique. A text of more tokens than a segment is a segment of its own.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidepool.functions.text import tokens
 from tidepool.operators.search import ranked
 from tidepool.schema import K_RETRIEVER
 
-BLOCK, HOT, RARE, MOST_TERMS, MOST_HOT = 128, 4_096, 1_000, 10_000, 1_000_000
+BLOCK, SEGMENT, RARE, FIRST_FOR_EACH, MOST_TERMS = 128, 2_000_000, 1_000, 8, 10_000
 K1, B = 1.2, 0.75
-_SLACK = 2e-6  # scores are told apart at six places
+_SLACK = 1e-5  # scores are told apart at six places, impacts of postings are of single precision
+_POSTINGS = "segment long, term string, block int, top float, n int, places array<int>, impacts array<float>, ids array<string>"
+
+
+def impact(tf, length, mean):
+    """What a term gives that is in a text of some length so many times, of numbers or columns."""
+    return tf * (K1 + 1) / (tf + K1 * (1 - B + B * length / mean))
 
 
 def rarity(texts: Column, n: Column) -> Column:
@@ -37,89 +46,174 @@ def rarity(texts: Column, n: Column) -> Column:
     return F.log(1 + (texts - n + 0.5) / (n + 0.5))
 
 
+class _Segment:
+    """Texts gathered until there are enough, then written as postings."""
+
+    def __init__(self, mean: float, block: int) -> None:
+        self.mean, self.block, self.codes = mean, block, {}
+        self.clear()
+
+    def clear(self) -> None:
+        self.codes.clear()
+        self.ids: list[pa.Array] = []
+        self.parts: list[tuple[np.ndarray, np.ndarray]] = []  # (codes of tokens, tokens of each text)
+        self.size = 0
+
+    def add(self, ids: pa.Array, words: pa.Array) -> None:
+        flat = words.flatten().dictionary_encode()
+        own = np.fromiter((self.codes.setdefault(t, len(self.codes)) for t in flat.dictionary.to_pylist()), np.int64, len(flat.dictionary))
+        self.parts.append((own[np.asarray(flat.indices)] if len(flat) else np.zeros(0, np.int64), np.asarray(words.value_lengths().fill_null(0)).astype(np.int64)))
+        self.ids.append(ids.cast(pa.string()))
+        self.size += len(flat)
+
+    def rows(self, number: int):
+        """Batches of blocks, by term, then impact; the ids come last."""
+        if not self.ids:
+            return
+        every = pa.concat_arrays(self.ids)
+        lens = np.concatenate([p[1] for p in self.parts])
+        text = np.repeat(np.arange(len(lens)), lens)
+        terms = np.array(list(self.codes) or [""], object)
+        rank = np.empty(len(terms), np.int64)
+        rank[np.argsort(terms)] = np.arange(len(terms))
+        key, tf = np.unique(rank[np.concatenate([p[0] for p in self.parts])] * len(lens) + text, return_counts=True)
+        term, text = key // len(lens), key % len(lens)
+        value = impact(tf, lens[text], self.mean)
+        order = np.lexsort((text, -value, term))
+        term, text, value = term[order], text[order], value[order].astype(np.float32)
+        first = np.flatnonzero(np.append(True, term[1:] != term[:-1])) if len(term) else np.zeros(0, np.int64)
+        within = np.arange(len(term)) - np.repeat(first, np.diff(np.append(first, len(term))))
+        start = np.flatnonzero(within % self.block == 0)
+        ends = np.append(start[1:], len(term))
+        names = np.sort(terms)
+        for a in range(0, len(start), 4_096):
+            s, e = start[a : a + 4_096], ends[a : a + 4_096]
+            cuts = pa.array(np.append(s, e[-1]) - s[0], pa.int32())
+            lists = [pa.ListArray.from_arrays(cuts, pa.array(x[s[0] : e[-1]], kind)) for x, kind in ((text, pa.int32()), (value, pa.float32()))]
+            columns = [pa.array(np.full(len(s), number)), pa.array(names[term[s]].tolist(), pa.string()), pa.array((within[s] // self.block).astype(np.int32)), pa.array(value[s]), pa.array((e - s).astype(np.int32)), *lists, pa.nulls(len(s), pa.list_(pa.string()))]
+            yield pa.RecordBatch.from_arrays(columns, names=_COLUMNS)
+        kinds = [pa.string(), pa.int32(), pa.float32(), pa.int32(), pa.list_(pa.int32()), pa.list_(pa.float32())]
+        yield pa.RecordBatch.from_arrays([pa.array([number]), *(pa.nulls(1, k) for k in kinds), pa.ListArray.from_arrays(pa.array([0, len(every)], pa.int32()), every)], names=_COLUMNS)
+
+
+_COLUMNS = [c.split()[0] for c in _POSTINGS.split(", ")]
+
+
 class PostingsIndex:
-    """An index at a path; open one that is there, or build() it from points (id, text)."""
+    """An index at a path of points (id, text), which it scores exactly; open one that is there, or build() it."""
 
-    def __init__(self, spark: SparkSession, path: str) -> None:
-        self.spark, self.path = spark, path.rstrip("/")
+    def __init__(self, spark: SparkSession, path: str, points: DataFrame) -> None:
+        self.spark, self.path, self.points = spark, path.rstrip("/"), points.select("id", "text")
 
     def _table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.path}/{name}")
 
-    def build(self, points: DataFrame) -> PostingsIndex:
-        n = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
-        split = points.select("id", tokens(F.col("text")).alias("t")).select("id", "t", F.size("t").alias("len"))
-        split.agg(F.count("*").alias("texts"), F.coalesce(F.avg("len"), F.lit(0.0)).alias("mean")).write.parquet(f"{self.path}/stats")
-        # Dealt out by id once: counts of terms and a text's list of them need no more shuffles.
-        counted = split.where("len > 0").repartition(n, "id").select("id", "len", F.explode("t").alias("term")).groupBy("id", "len", "term").agg(F.count("*").alias("tf"))
-        mean = self._table("stats").first()["mean"]
-        impact = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.lit(mean or 1.0)))
-        listed = counted.withColumn("impact", impact).groupBy("id").agg(F.collect_list(F.struct("term", "impact")).alias("own"))  # as long as the text
-        listed.select("id", F.col("own.term").alias("terms"), F.col("own.impact").alias("impacts")).write.parquet(f"{self.path}/forward")
-        each = self._table("forward").select("id", F.inline(F.arrays_zip("terms", "impacts"))).select("id", F.col("terms").alias("term"), F.col("impacts").alias("impact"))
-        hot = each.groupBy("term").agg(F.count("*").alias("texts")).where(F.col("texts") > HOT)
-        hot = hot.select("term", F.ceil(F.col("texts") / HOT).cast("int").alias("parts"))
-        few = hot.limit(MOST_HOT + 1).count() <= MOST_HOT
-        dealt = each.join(F.broadcast(hot) if few else hot, "term", "left").withColumn("part", F.when(F.col("parts").isNull(), 0).otherwise(F.pmod(F.xxhash64("id"), "parts")).cast("int"))
-        place = F.row_number().over(W.partitionBy("term", "part").orderBy(F.desc("impact"), "id"))
-        blocks = dealt.withColumn("block", F.floor((place - 1) / BLOCK).cast("int")).groupBy("term", "part", "block")
-        blocks = blocks.agg(F.max("impact").alias("top"), F.count("*").alias("n"), F.collect_list(F.struct("id", "impact")).alias("held"))
-        blocks.repartitionByRange(n, "term").sortWithinPartitions("term", "part", "block").write.parquet(f"{self.path}/postings")
-        self._table("postings").groupBy("term").agg(F.sum("n").alias("texts"), F.max("top").alias("most")).write.parquet(f"{self.path}/terms")
+    def build(self, segment: int = SEGMENT, block: int = BLOCK) -> PostingsIndex:
+        split = self.points.select("id", tokens(F.col("text")).alias("t"))
+        split.agg(F.count("*").alias("texts"), F.coalesce(F.avg(F.size("t")), F.lit(0.0)).alias("mean")).write.parquet(f"{self.path}/stats")
+        mean = self._table("stats").first()["mean"] or 1.0
+
+        def run(batches):
+            own, number = _Segment(mean, block), TaskContext.get().partitionId() << 32
+            for b in batches:
+                for a in range(0, len(b), 512):
+                    part = b.slice(a, 512)
+                    own.add(part.column("id"), part.column("t"))
+                    if own.size >= segment:
+                        yield from own.rows(number)
+                        own.clear()
+                        number += 1
+            yield from own.rows(number)
+
+        written = split.where(F.size("t") > 0).mapInArrow(run, _POSTINGS).write
+        written.option("compression", "zstd").option("parquet.block.size", 8 << 20).parquet(f"{self.path}/postings")
+        terms = self._table("postings").where("term is not null").groupBy("term").agg(F.sum("n").alias("texts"), F.max("top").alias("most"), F.min("segment").alias("first"))
+        terms.write.option("compression", "zstd").parquet(f"{self.path}/terms")
         return self
 
     def _asked(self, questions: DataFrame) -> DataFrame:
-        """(qid, term, weight, texts, most): a question's terms, what they count, and their highest scores."""
+        """(qid, term, weight, texts, most, first): a question's terms, what they count, their highest scores and first segment."""
         stats = self._table("stats")  # one row
         words = questions.select("qid", F.explode(tokens(F.col("query"))).alias("term")).groupBy("qid", "term").agg(F.count("*").alias("times"))
         known = words.join(self._table("terms"), "term").join(F.broadcast(stats.select(F.col("texts").alias("all"))), F.lit(True))
         weight = F.col("times") * rarity(F.col("all"), F.col("texts"))
-        return known.select("qid", "term", weight.alias("weight"), "texts", (weight * F.col("most")).alias("most"))
+        return known.select("qid", "term", weight.alias("weight"), "texts", (weight * F.col("most")).alias("most"), "first")
 
     def _postings(self, asked: DataFrame) -> DataFrame:
         """The postings of the terms that are asked for; few enough of them are a filter that skips row groups."""
         terms = [r[0] for r in asked.select("term").distinct().limit(MOST_TERMS + 1).collect()]
-        found = self._table("postings")
+        found = self._table("postings").where("term is not null").drop("ids")
         return found.where(F.col("term").isin(terms)) if len(terms) <= MOST_TERMS else found
 
     def plan(self, questions: DataFrame, k: int, write) -> tuple[DataFrame, DataFrame, DataFrame]:
         """(terms of questions with floors, blocks read first, blocks read then), the blocks with qid and weight."""
         asked = write(self._asked(questions), "asked")
-        postings = self._postings(asked).select("term", "part", "block", "top", "n", "held")
+        postings = self._postings(asked)
         upto = F.sum("texts").over(W.partitionBy("qid").orderBy("texts", "term"))
-        first = asked.withColumn("upto", upto).join(postings, "term").where((F.col("upto") <= RARE) | (F.col("part") == 0) & (F.col("block") == 0))
-        first = first.select("qid", "term", "part", "block", "weight", "n", "held")
-        sums = first.select("qid", "weight", F.inline("held")).groupBy("qid", "id").agg(F.sum(F.col("weight") * F.col("impact")).alias("score"))
-        floor = ranked(sums, k).where(F.col("rank") == k).select("qid", F.col("score").alias("floor"))
+        first = asked.withColumn("upto", upto).join(postings, "term").where((F.col("upto") <= RARE) | (F.col("segment") == F.col("first")) & (F.col("block") == 0))
+        first = first.select("qid", "term", "segment", "block", "weight", "n", "places", "impacts")
+        sums = first.select("qid", "segment", "weight", F.inline(F.arrays_zip("places", "impacts"))).groupBy("qid", "segment", "places").agg(F.sum(F.col("weight") * F.col("impacts")).alias("score"))
+        promising = ranked(sums.withColumn("id", F.struct("segment", "places")), FIRST_FOR_EACH * k).select("qid", "segment", "places")
+        scored = self._exact(self._named(promising), asked)
+        floor = ranked(scored, k).where(F.col("rank") == k).select("qid", F.col("score").alias("floor"))
         below = F.sum("most").over(W.partitionBy("qid").orderBy("most", "term"))  # of a term and all that give less
         told = asked.join(floor, "qid", "left").withColumn("floor", F.coalesce("floor", F.lit(0.0)) - _SLACK)
         told = told.withColumn("essential", below >= F.col("floor")).withColumn("all", F.sum("most").over(W.partitionBy("qid")))
         told = write(told, "floors")
         can = F.col("weight") * F.col("top") + F.col("all") - F.col("most") >= F.col("floor")
         second = told.where("essential").join(postings, "term").where(can)
-        return told, first, second.select("qid", "term", "part", "block", "weight", "most", "all", "floor", "n", "held")
+        return told, first, second.select("qid", "term", "segment", "block", "weight", "most", "all", "floor", "n", "places", "impacts")
 
     def search(self, questions: DataFrame, k: int = K_RETRIEVER, write=None) -> DataFrame:
         """qid, rank, id and score of the k best texts of each of questions (qid, query)."""
         from tidepool.sources.storage import written
 
-        told, _, blocks = self.plan(questions, k, write or written)
-        read = blocks.select("qid", "weight", "most", "all", "floor", F.inline("held"))
+        write = write or written
+        told, _, blocks = self.plan(questions, k, write)
+        read = blocks.select("qid", "segment", "weight", "most", "all", "floor", F.inline(F.arrays_zip("places", "impacts")))
         # The most a text can reach: what was read of it, and the highest of every other term.
-        bound = F.sum(F.col("weight") * F.col("impact") - F.col("most")) + F.first("all")
-        open_ = read.groupBy("qid", "id").agg(bound.alias("bound"), F.first("floor").alias("floor")).where("bound >= floor").select("qid", "id")
-        terms = told.groupBy("qid").agg(F.collect_list(F.struct("term", "weight")).alias("asked"))  # a question's terms
-        both = open_.join(self._table("forward"), "id").join(terms, "qid")
-        own = F.map_from_arrays("terms", "impacts")
-        score = F.aggregate("asked", F.lit(0.0), lambda s, t: s + t["weight"] * F.coalesce(F.try_element_at(F.col("own"), t["term"]), F.lit(0.0)))
-        scored = both.withColumn("own", own).select("qid", "id", F.round(score, 6).alias("score"))
-        return ranked(scored, k).select("qid", "rank", "id", "score")
+        bound = F.sum(F.col("weight") * F.col("impacts") - F.col("most")) + F.first("all")
+        open_ = read.groupBy("qid", "segment", "places").agg(bound.alias("bound"), F.first("floor").alias("floor")).where("bound >= floor").select("qid", "segment", "places")
+        return ranked(self._exact(write(self._named(open_), "candidates"), told), k).select("qid", "rank", "id", "score")
+
+    def _named(self, places: DataFrame) -> DataFrame:
+        """(qid, id) of (qid, segment, places)."""
+        ids = self._table("postings").where("ids is not null").select("segment", F.posexplode("ids").alias("places", "id"))
+        return places.join(ids, ["segment", "places"]).select("qid", F.col("id").alias("_id"))
+
+    def _exact(self, found: DataFrame, asked: DataFrame) -> DataFrame:
+        """(qid, id, score) of found (qid, _id), by the texts and all terms of the questions (qid, term, weight)."""
+        listed = F.array_sort(F.collect_list(F.struct("term", "weight")))
+        terms = asked.groupBy("qid").agg(listed.alias("asked")).select("qid", F.col("asked.term").alias("terms"), F.col("asked.weight").alias("weights"))  # a question's terms
+        both = found.join(self.points, F.col("_id") == F.col("id").cast("string")).select("qid", "id", tokens(F.col("text")).alias("own")).join(terms, "qid")
+        mean = self._table("stats").first()["mean"] or 1.0
+
+        def run(batches):
+            for b in batches:
+                for a in range(0, len(b), 1_024):
+                    part = b.slice(a, 1_024)
+                    own, terms = part.column("own"), part.column("terms")
+                    sizes, wanted = (np.asarray(x.value_lengths()).astype(np.int64) for x in (own, terms))
+                    both = pa.concat_arrays([own.flatten(), terms.flatten()]).dictionary_encode()
+                    code = np.asarray(both.indices).astype(np.int64)
+                    words = max(1, len(both.dictionary))
+                    n = int(sizes.sum())
+                    held, tf = np.unique(np.repeat(np.arange(len(part)), sizes) * words + code[:n], return_counts=True)
+                    row = np.repeat(np.arange(len(part)), wanted)
+                    key = row * words + code[n:]
+                    at = np.minimum(np.searchsorted(held, key), max(0, len(held) - 1))
+                    there = held[at] == key if len(held) else np.zeros(len(key), bool)
+                    value = np.asarray(part.column("weights").flatten())[there] * impact(tf[at[there]], sizes[row[there]], mean)
+                    yield pa.RecordBatch.from_arrays([part.column("qid"), part.column("id"), pa.array(np.round(np.bincount(row[there], value, len(part)), 6))], names=["qid", "id", "score"])
+
+        schema = T.StructType([both.schema["qid"], both.schema["id"], T.StructField("score", T.DoubleType())])
+        return both.mapInArrow(run, schema)
 
     def reads(self, questions: DataFrame, k: int = K_RETRIEVER, write=None) -> DataFrame:
         """qid, n_read and n_all: how many of its terms' postings a question's search reads, and how many these have."""
         from tidepool.sources.storage import written
 
         told, first, second = self.plan(questions, k, write or written)
-        names = ["qid", "term", "part", "block", "n"]
+        names = ["qid", "term", "segment", "block", "n"]
         read = first.select(*names).unionByName(second.select(*names)).distinct().groupBy("qid").agg(F.sum("n").alias("n_read"))
         return told.groupBy("qid").agg(F.sum("texts").alias("n_all")).join(read, "qid")

@@ -154,6 +154,9 @@ SELECT id, md5(text) AS text_md5 FROM b UNION ALL SELECT id, md5(text) FROM a WH
     "text_topk": f"{_TEXT5} SELECT qid, rank, id, source, page, block_type, score FROM hits",
     "file_pages": f"WITH {_PAGES} SELECT source, page, md5(page_text) AS page_md5 FROM pages_",
     "file_collection": f"WITH {_POINTS} SELECT id, source, md5(text) AS text_md5 FROM points UNION ALL SELECT '', 'skipped', md5('no such file')",
+    "stream_state": f"""WITH latest AS (SELECT doc_id, source, CASE WHEN doc_id % 3 = 0 THEN replace(text, 'e', 'E') WHEN doc_id % 2 = 0 THEN array_to_string(string_split(coalesce(text, ''), chr(10))[1 : greatest(1, len(string_split(coalesce(text, ''), chr(10))) // 2)], chr(10)) ELSE text END AS text FROM documents),
+{_raw("latest", "raw_latest")}, kept AS (SELECT * FROM raw_latest WHERE length(text) >= {MIN_TEXT_LEN})
+SELECT {_uuid5(TEXT_NAMESPACE, _NAME)} AS id, source, md5(text) AS text_md5 FROM kept""",
     "postings_topk": f"""WITH {_POINTS}, {_QUESTIONS}, tf AS (SELECT id, term, count(*) AS tf FROM (SELECT id, unnest({_tokens('text')}) AS term FROM points) GROUP BY ALL), sizes AS (SELECT id, len({_tokens('text')}) AS l FROM points),
 stats AS (SELECT count(*) AS n, avg(l) AS a FROM sizes), df AS (SELECT term, count(*) AS df FROM tf GROUP BY term), asked AS (SELECT qid, term, count(*) AS times FROM (SELECT qid, unnest({_tokens('query')}) AS term FROM questions) GROUP BY ALL),
 scored AS (SELECT qid, id, round(sum(times * ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * l / a))), 6) AS score FROM asked JOIN tf USING (term) JOIN df USING (term) JOIN sizes USING (id), stats GROUP BY ALL)

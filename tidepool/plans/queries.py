@@ -15,6 +15,7 @@ from tidepool.operators import evaluate, fuse, generate, index, ivfpq, patches,
 from tidepool.plans import modes
 from tidepool.schema import CANDIDATE_POOL, K_VISION_MODE
 from tidepool.sources import blocks, files, storage, vectors
+from tidepool.streaming import versions
 from tidepool.streaming.index_upkeep import maintain, points
 
 GLOSSARY = (("the", "der"), ("of", "von"), ("and", "und"), ("in", "en"), ("la", "the"), ("de", "of"))
@@ -213,7 +214,7 @@ def text_topk(spark, d):
 
 def postings_topk(spark, d):
     """Questions against blocks by an inverted index of their terms."""
-    kept = postings.PostingsIndex(spark, storage.shared_path(spark, "postings")).build(_points(spark, d))
+    kept = postings.PostingsIndex(spark, storage.shared_path(spark, "postings"), _points(spark, d)).build()
     return kept.search(_questions(spark, d), 5)
 
 
@@ -541,6 +542,26 @@ def stream_upkeep(spark, d):
     return c.scan().select("id", "source", F.md5("text").alias("text_md5"))
 
 
+def _versions(docs):
+    """Versions of the documents, in the order in which they arrive: second ones before first ones, and some twice; a second one has lost half of its lines, a third one is spelt otherwise."""
+    first = docs.withColumn("version", F.lit(1).cast("long"))
+    lines = F.split(F.coalesce("text", F.lit("")), "\n")
+    second = docs.where("doc_id % 2 = 0").withColumn("text", F.array_join(F.slice(lines, F.lit(1), F.greatest(F.lit(1), F.floor(F.size(lines) / 2).cast("int"))), "\n")).withColumn("version", F.lit(2).cast("long"))
+    third = docs.where("doc_id % 3 = 0").withColumn("text", F.replace("text", F.lit("e"), F.lit("E"))).withColumn("version", F.lit(3).cast("long"))
+    return [second, first.unionByName(third), first.where("doc_id % 2 = 1").unionByName(second).unionByName(third)]
+
+
+def stream_state(spark, d):
+    """Versions of documents as a stream that brings them out of order; what the index holds after all changes."""
+    docs = _t(spark, d, "documents").select("doc_id", "text", "source")
+    arriving, changes = storage.shared_path(spark, "arriving"), storage.shared_path(spark, "changes")
+    for batch in _versions(docs):
+        batch.withColumn("at", F.expr("timestamp_seconds(86400 * version)")).write.mode("append").parquet(arriving)
+    stream = spark.readStream.schema(spark.read.parquet(arriving).schema).option("maxFilesPerTrigger", max(1, len(spark.read.parquet(arriving).inputFiles()) // 3)).parquet(arriving)
+    versions.follow(stream, changes, storage.shared_path(spark, "progress")).awaitTermination()
+    return versions.state_of(spark.read.parquet(changes)).select("id", "source", F.md5("text").alias("text_md5"))
+
+
 def caption_collection(spark, d):
     """The caption index: captions written once, their points scanned."""
     c = _collection(spark, _caption_points(spark, d))
@@ -635,6 +656,6 @@ QUERIES = {
         hallucination_rate, bootstrap_ci, usage_cost, storage_bytes, metric_breakdown, repeat_average, label_precision, trace_rows,
         found_by_both, snippets, page_hosts, cluster_topk, collection_search, collection_upsert, caption_collection, vision_collection,
         cosine_collection, hybrid_graph_answers, rrf_payload, page_images, vision_requests, generated_answers, short_completions, judge_marks,
-        variant_written, mode_breakdown, stream_upkeep, table_markdown, ivfpq_topk, maxsim_pruned, postings_topk, file_pages, file_collection,
+        variant_written, mode_breakdown, stream_upkeep, table_markdown, ivfpq_topk, maxsim_pruned, postings_topk, file_pages, file_collection, stream_state,
     )
 }

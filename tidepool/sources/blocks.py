@@ -26,16 +26,22 @@ def _of_type(lines: Column, kind: str, table: bool, lines_per_page: int) -> Colu
     return F.transform(own, lambda x, i: F.struct((F.floor(x["pos"] / lines_per_page) + 1).cast("int").alias("page"), F.lit(kind).alias("block_type"), i.alias("block_index"), x["raw"].alias("raw")))
 
 
+def block_lists(documents: DataFrame, lines_per_page: int = LINES_PER_PAGE, keep: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, source, the columns to keep, and blocks: each document's lines as a list of structs (page, block_type, block_index, raw), text ones first."""
+    split = F.split(F.coalesce("text", F.lit("")), "\n")
+    lines = documents.select("doc_id", document_source().alias("source"), *keep, F.transform(split, lambda x, i: F.struct(i.alias("pos"), x.alias("raw"))).alias("lines"))
+    every = F.concat(_of_type(F.col("lines"), "text", False, lines_per_page), _of_type(F.col("lines"), "table", True, lines_per_page))
+    return lines.select("doc_id", "source", *keep, every.alias("blocks"))
+
+
 def raw_blocks(documents: DataFrame, lines_per_page: int = LINES_PER_PAGE) -> DataFrame:
     """Every line of every document as a block: a table row block if it has a bar, else text.
 
     Indices count all blocks of a document, for each type on its own, before any filter; they come
     from the document's own row, so numbering needs no shuffle.
     """
-    split = F.split(F.coalesce("text", F.lit("")), "\n")
-    lines = documents.select("doc_id", document_source().alias("source"), F.transform(split, lambda x, i: F.struct(i.alias("pos"), x.alias("raw"))).alias("lines"))
-    every = F.concat(_of_type(F.col("lines"), "text", False, lines_per_page), _of_type(F.col("lines"), "table", True, lines_per_page))
-    return lines.select("doc_id", "source", F.inline(every)).select("doc_id", "source", "page", "block_type", "block_index", strip(F.col("raw")).alias("text"))
+    listed = block_lists(documents, lines_per_page)
+    return listed.select("doc_id", "source", F.inline("blocks")).select("doc_id", "source", "page", "block_type", "block_index", strip(F.col("raw")).alias("text"))
 
 
 def extract_blocks(documents: DataFrame, min_len: int = MIN_TEXT_LEN) -> DataFrame:
