@@ -350,3 +350,11 @@ def test_strip_of_long_inner_runs_takes_a_moment(spark):
     began = time.monotonic()
     assert [len(r.t) for r in df.collect()] == [1_000_002, 1, 1]
     assert time.monotonic() - began < 20
+
+
+def test_reranking_sees_so_many_tokens_of_a_pair(spark):
+    rows = [(1, "late word", " ".join(["x"] * 509) + " late word"), (2, "late word", " ".join(["x"] * 508) + " late word"), (3, " ".join(["a"] * 600), "a"), (4, "late", "late")]
+    from tidepool.operators.rerank import term_coverage
+
+    df = spark.createDataFrame(rows, "qid long, q string, t string").select("qid", term_coverage(F.col("q"), F.col("t")).alias("c"))
+    assert {r.qid: r.c for r in df.collect()} == {1: 0.5, 2: 1.0, 3: 0.0, 4: 1.0}

@@ -41,10 +41,14 @@ def contains_any(text: Column, words: Iterable[str] | Column) -> Column:
     return functools.reduce(lambda a, b: a | b, (F.contains(F.lower(text), F.lit(w.lower())) for w in words))
 
 
-def coverage(query: Column, text: Column) -> Column:
-    """The share of the query's distinct tokens that the text has."""
-    own = F.array_distinct(tokens(query))
-    return F.when(F.size(own) == 0, 0.0).otherwise(F.size(F.array_intersect(own, tokens(text))) / F.size(own))
+def coverage(query: Column, text: Column, most: int | None = None) -> Column:
+    """The share of the query's distinct tokens that the text has; of at most so many tokens of both together, the query's first."""
+    asked, there = tokens(query), tokens(text)
+    if most is not None:
+        asked = F.slice(asked, 1, most)
+        there = F.slice(there, F.lit(1), F.lit(most) - F.size(asked))
+    own = F.array_distinct(asked)
+    return F.when(F.size(own) == 0, 0.0).otherwise(F.size(F.array_intersect(own, there)) / F.size(own))
 
 
 def one_line(text: Column, most: int) -> Column:

@@ -41,16 +41,17 @@ def pass_matrix(results: DataFrame, modes: list[str]) -> DataFrame:
 def isolated(cases: DataFrame, mode: str, run: Callable[[], DataFrame], write: Callable[[DataFrame], DataFrame], by_query: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """(qid, mode, hit, error) of a mode for every case; an error fails the cases that it hits and nothing else.
 
-    run() gives (qid, hit) of all cases, written and read again by write. Where that raises, by_query runs
-    each case alone, if it is given; else all cases of the mode fail with the message.
+    run() gives (qid, hit) of all cases, and error where a plug-in failed for one (guard.guarded), written and read again by
+    write. Where the whole of it raises, by_query runs each case alone, if it is given; else all cases of the mode fail with the message.
     """
 
     def failed(some: DataFrame, error: Exception) -> DataFrame:
         return some.select("qid", F.lit(mode).alias("mode"), F.lit(False).alias("hit"), F.lit(f"{type(error).__name__}: {str(error)[:200]}").alias("error"))
 
     def told(some: DataFrame, got: DataFrame) -> DataFrame:
-        joined = some.select("qid").join(got.select("qid", "hit"), "qid", "left")
-        return joined.select("qid", F.lit(mode).alias("mode"), F.coalesce("hit", F.lit(False)).alias("hit"), F.lit(None).cast("string").alias("error"))
+        own = F.col("error") if "error" in got.columns else F.lit(None).cast("string")
+        joined = some.select("qid").join(got.select("qid", "hit", own.alias("error")), "qid", "left")
+        return joined.select("qid", F.lit(mode).alias("mode"), F.coalesce("hit", F.lit(False)).alias("hit"), "error")
 
     try:
         return told(cases, write(run()))
@@ -218,6 +219,25 @@ def bootstrap(paired: DataFrame, rounds: int = 1_000, seed: str = "bootstrap") -
     return mean.join(edges, F.lit(True)).select(*(F.round(c, 6).alias(c) for c in ("mean", "low", "high")))
 
 
+#: For each round a question counts so many times as there are of these at or below 32 bits of a digest: Poisson with mean 1.
+_POISSON = [1580030168, 3160060337, 3950075421, 4213413783, 4279248373, 4292415291, 4294609777, 4294923276, 4294962463, 4294966817, 4294967252]
+
+
+def bootstrap_poisson(paired: DataFrame, rounds: int = 1_000, seed: str = "poisson") -> DataFrame:
+    """bootstrap() in one pass: each question counts in each round as often as a digest of (seed, question, round) says, by a Poisson law of mean 1.
+
+    Questions aren't numbered, drawn or shuffled: each gives its weights where it is, and rounds' sums are partial aggregates. A round
+    that nothing counts in has no mean.
+    """
+    each = paired.select(F.col("qid").cast("string").alias("qid"), (F.col("a") - F.col("b")).alias("d")).withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(rounds - 1))))
+    bits = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(seed), "qid", F.col("b").cast("string"))), 1, 8), 16, 10).cast("long")
+    times = sum((F.when(bits >= t, 1).otherwise(0) for t in _POISSON), F.lit(0))
+    sums = each.select("b", "d", times.alias("w")).where("w > 0").groupBy("b").agg(F.sum(F.col("w") * F.col("d")).alias("s"), F.sum("w").alias("n"))
+    edges = sums.select((F.col("s") / F.col("n")).alias("m")).agg(F.expr("percentile(m, 0.025)").alias("low"), F.expr("percentile(m, 0.975)").alias("high"))
+    mean = paired.agg(F.avg(F.col("a") - F.col("b")).alias("mean"))
+    return mean.join(edges, F.lit(True)).select(*(F.round(c, 6).alias(c) for c in ("mean", "low", "high")))
+
+
 def dollars(input_tokens: Column, output_tokens: Column) -> Column:
     return (input_tokens * DOLLARS_PER_MILLION_IN + output_tokens * DOLLARS_PER_MILLION_OUT) / 1_000_000
 

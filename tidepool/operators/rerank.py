@@ -9,13 +9,14 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidepool.functions.text import coverage
+from tidepool.schema import MAX_PAIR_TOKENS
 
 Scorer = Callable[[Column, Column], Column]
 
 
 def term_coverage(query: Column, text: Column) -> Column:
-    """A stand-in for a cross-encoder: the share of query terms in the text."""
-    return F.round(coverage(query, text), 6)
+    """A stand-in for a cross-encoder: the share of query terms in the text, of as many tokens of both as the encoder takes."""
+    return F.round(coverage(query, text, MAX_PAIR_TOKENS), 6)
 
 
 def rerank(hits: DataFrame, queries: DataFrame, top_k: int | None = None, scorer: Scorer = term_coverage) -> DataFrame:

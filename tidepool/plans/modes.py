@@ -50,10 +50,13 @@ class RewritingRetriever:
     drafts: DataFrame | None = None
     writer: Callable[[Column], Column] | None = None
     max_tokens: int | None = None
+    phrases: DataFrame | None = None
 
     def search(self, queries: DataFrame, k: int) -> DataFrame:
         if self.glossary is not None:
             new = rewrite.translate(queries, self.glossary)
+        elif self.phrases is not None:
+            new = rewrite.translate_phrases(queries, self.phrases)
         elif self.drafts is not None:
             new = rewrite.hypothetical(queries, self.drafts)
         elif self.writer is not None:

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from tidepool.plans.queries import GLOSSARY
-from tidepool.schema import CAPTION_NAMESPACE, CHART_KEYWORDS, LINES_PER_PAGE, MIN_TEXT_LEN, PROSE_KEYWORDS, REFUSAL_ENGLISH, REFUSAL_KOREAN, REFUSAL_SIGNS, TABLE_KEYWORDS, TEXT_NAMESPACE, TF_BUCKETS, VISION_NAMESPACE
+from tidepool.operators.evaluate import _POISSON
+from tidepool.operators.rewrite import UNITS
+from tidepool.plans.queries import GLOSSARY, PHRASES
+from tidepool.schema import CAPTION_NAMESPACE, CHART_KEYWORDS, LINES_PER_PAGE, MAX_PAIR_TOKENS, MIN_TEXT_LEN, PROSE_KEYWORDS, REFUSAL_ENGLISH, REFUSAL_KOREAN, REFUSAL_SIGNS, TABLE_KEYWORDS, TEXT_NAMESPACE, TF_BUCKETS, VISION_NAMESPACE
 
 _WHITE = r"\t\n\x0b\f\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
 _SOURCE = "concat_ws('/', coalesce(source, ''), doc_id::varchar)"
@@ -26,9 +28,11 @@ def _buckets(x: str) -> str:
     return f"list_transform({_tokens(x)}, lambda t: ('0x' || substr(md5(t), 1, 8))::bigint % {TF_BUCKETS})"
 
 
-def _coverage(q: str, t: str) -> str:
-    own = f"list_distinct({_tokens(q)})"
-    return f"CASE WHEN len({own}) = 0 THEN 0.0 ELSE round(len(list_intersect({own}, {_tokens(t)})) / len({own}), 6) END"
+def _coverage(q: str, t: str, most: int | None = None) -> str:
+    asked = _tokens(q) if most is None else f"({_tokens(q)})[1:{most}]"
+    there = _tokens(t) if most is None else f"({_tokens(t)})[1:{most} - len({asked})]"
+    own = f"list_distinct({asked})"
+    return f"CASE WHEN len({own}) = 0 THEN 0.0 ELSE round(len(list_intersect({own}, {there})) / len({own}), 6) END"
 
 
 def _any(text: str, words) -> str:
@@ -116,7 +120,7 @@ def _khit(hits: str) -> str:
     return f"SELECT k.qid, coalesce(len(list_filter(kws, lambda w: contains(a, w))) > 0, false) AS hit FROM keywords k LEFT JOIN (SELECT qid, lower(string_agg(text, ' ' ORDER BY rank)) AS a FROM {hits} GROUP BY qid) USING (qid)"
 
 
-_POOL = f"{_search('points', 'questions', 20, 'pool')}, reranked AS (SELECT *, (row_number() OVER (PARTITION BY qid ORDER BY rerank_score DESC, prior_rank))::int AS rank FROM (SELECT p.qid, p.id, p.text, p.score, p.rank AS prior_rank, {_coverage('q.query', 'p.text')} AS rerank_score FROM pool p JOIN questions q USING (qid)) QUALIFY rank <= 3)"
+_POOL = f"{_search('points', 'questions', 20, 'pool')}, reranked AS (SELECT *, (row_number() OVER (PARTITION BY qid ORDER BY rerank_score DESC, prior_rank))::int AS rank FROM (SELECT p.qid, p.id, p.text, p.score, p.rank AS prior_rank, {_coverage('q.query', 'p.text', MAX_PAIR_TOKENS)} AS rerank_score FROM pool p JOIN questions q USING (qid)) QUALIFY rank <= 3)"
 _RESULTS = f"""{_POINTS}, {_QUESTIONS}, {_KEYWORDS}, {_GLOSSED}, {_search("points", "questions", 3, "h1")}, {_search("points", "translated", 3, "h2")}, {_POOL},
 results AS (SELECT *, 'baseline' AS mode FROM ({_khit("h1")}) UNION ALL SELECT *, 'qt' FROM ({_khit("h2")}) UNION ALL SELECT *, 'rerank' FROM ({_khit("reranked")}))"""
 _VARIANTS = "SELECT qid, coalesce(bool_or(hit) FILTER (mode = 'baseline'), false) AS baseline, coalesce(bool_or(hit) FILTER (mode = 'qt'), false) AS qt, coalesce(bool_or(hit) FILTER (mode = 'rerank'), false) AS rerank FROM results GROUP BY qid"
@@ -157,6 +161,17 @@ SELECT id, md5(text) AS text_md5 FROM b UNION ALL SELECT id, md5(text) FROM a WH
     "stream_state": f"""WITH latest AS (SELECT doc_id, source, CASE WHEN doc_id % 3 = 0 THEN replace(text, 'e', 'E') WHEN doc_id % 2 = 0 THEN array_to_string(string_split(coalesce(text, ''), chr(10))[1 : greatest(1, len(string_split(coalesce(text, ''), chr(10))) // 2)], chr(10)) ELSE text END AS text FROM documents),
 {_raw("latest", "raw_latest")}, kept AS (SELECT * FROM raw_latest WHERE length(text) >= {MIN_TEXT_LEN})
 SELECT {_uuid5(TEXT_NAMESPACE, _NAME)} AS id, source, md5(text) AS text_md5 FROM kept""",
+    "bucketed_lookup": f"WITH {_PAGES} SELECT source, page, md5(page_text) AS page_md5 FROM pages_ WHERE source IN (SELECT {_SOURCE} FROM documents WHERE doc_id % 20 = 0)",
+    "udtf_blocks": f"WITH {_BLOCKS} SELECT source, page, block_type, block_index, text FROM blocks",
+    "variant_phrases": f"""WITH RECURSIVE {_POINTS}, {_QUESTIONS}, phrases AS (SELECT string_split(p, ' ') AS p, t FROM (VALUES {", ".join(f"('{a}', '{b}')" for a, b in PHRASES)}) v(p, t)),
+words AS (SELECT qid, string_split(coalesce(query, ''), ' ') AS w FROM questions), marked AS (SELECT qid, w, list_transform(w, lambda x: lower(x)) AS l, list_transform(range(1, len(w) + 1), lambda i: regexp_matches(w[i], '[0-9]') OR (i > 1 AND regexp_matches(w[i - 1], '[0-9]') AND list_contains([{", ".join(f"'{u}'" for u in sorted(UNITS))}], lower(w[i])))) AS k FROM words),
+walk AS (SELECT qid, 1 AS i, []::varchar[] AS o FROM marked UNION ALL
+SELECT qid, i + coalesce(n, 1), list_append(o, coalesce(t, w[i])) FROM (SELECT walk.qid, walk.i, walk.o, w, (SELECT max(len(p)) FROM phrases WHERE l[walk.i : walk.i + len(p) - 1] = p AND NOT list_contains(k[walk.i : walk.i + len(p) - 1], true)) AS n, l FROM walk JOIN marked USING (qid) WHERE walk.i <= len(w)) s LEFT JOIN phrases ON len(p) = n AND l[i : i + n - 1] = p),
+translated AS (SELECT qid, array_to_string(o, ' ') AS query FROM walk JOIN marked USING (qid) WHERE i > len(w)), {_search('points', 'translated', 3, 'hits')} SELECT qid, rank, id, score, 'phrases' AS variant, query AS rewritten_query FROM hits JOIN translated USING (qid)""",
+    "bootstrap_poisson": f"""WITH {_RESULTS}, m AS ({_VARIANTS}), p AS (SELECT qid, rerank::int::double - baseline::int::double AS d FROM m),
+sums AS (SELECT b, sum(w * d) / sum(w) AS m FROM (SELECT b, d, len(list_filter({_POISSON}, lambda t: t <= ('0x' || substr(md5('poisson:' || qid || ':' || b), 1, 8))::bigint)) AS w FROM p, range(1000) r(b)) WHERE w > 0 GROUP BY b)
+SELECT round((SELECT avg(d) FROM p), 6) AS mean, round(quantile_cont(m, 0.025), 6) AS low, round(quantile_cont(m, 0.975), 6) AS high FROM sums""",
+    "observed_costs": f"WITH {_CAPTIONS} SELECT count(*) AS captions, sum(len({_tokens('page_text')}))::bigint AS input_tokens, sum(len({_tokens('caption')}))::bigint AS output_tokens, round((sum(len({_tokens('page_text')})) * 1.0 + sum(len({_tokens('caption')})) * 5.0)::double / 1000000, 9) AS dollars FROM captions",
     "postings_topk": f"""WITH {_POINTS}, {_QUESTIONS}, tf AS (SELECT id, term, count(*) AS tf FROM (SELECT id, unnest({_tokens('text')}) AS term FROM points) GROUP BY ALL), sizes AS (SELECT id, len({_tokens('text')}) AS l FROM points),
 stats AS (SELECT count(*) AS n, avg(l) AS a FROM sizes), df AS (SELECT term, count(*) AS df FROM tf GROUP BY term), asked AS (SELECT qid, term, count(*) AS times FROM (SELECT qid, unnest({_tokens('query')}) AS term FROM questions) GROUP BY ALL),
 scored AS (SELECT qid, id, round(sum(times * ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * l / a))), 6) AS score FROM asked JOIN tf USING (term) JOIN df USING (term) JOIN sizes USING (id), stats GROUP BY ALL)

@@ -6,18 +6,21 @@ documents that hold an item's text are its gold. Runs of 20 vectors are a page's
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidepool.functions import ids, text, vector
-from tidepool.operators import evaluate, fuse, generate, index, ivfpq, patches, postings, rerank, rewrite, route, search, trace
+from tidepool.operators import evaluate, fuse, generate, guard, index, ivfpq, observe, patches, postings, rerank, rewrite, route, search, trace
 from tidepool.plans import modes
 from tidepool.schema import CANDIDATE_POOL, K_VISION_MODE
-from tidepool.sources import blocks, files, storage, vectors
+from tidepool.sources import blocks, files, lookup, storage, udtf, vectors
 from tidepool.streaming import versions
 from tidepool.streaming.index_upkeep import maintain, points
 
+PHRASES = (("in the", "in dem"), ("of the", "von dem"), ("the", "der"), ("of", "von"), ("de la", "of the"), ("et la", "and the"), ("de la et", "of the and"), ("und die", "and the"))
 GLOSSARY = (("the", "der"), ("of", "von"), ("and", "und"), ("in", "en"), ("la", "the"), ("de", "of"))
 
 
@@ -227,6 +230,12 @@ def variant_qt(spark, d):
     return r.search(_questions(spark, d), 3).select("qid", "rank", "id", "score", "variant", "rewritten_query")
 
 
+def variant_phrases(spark, d):
+    """Questions with phrases of a glossary replaced, the longest first, numbers and their units left alone."""
+    r = modes.RewritingRetriever(_retriever(spark, d), "phrases", phrases=spark.createDataFrame(list(PHRASES), "term string, target string"))
+    return r.search(_questions(spark, d), 3).select("qid", "rank", "id", "score", "variant", "rewritten_query")
+
+
 def variant_hyde(spark, d):
     turns = _user_turns(spark, d)
     r = modes.RewritingRetriever(_retriever(spark, d), "hyde", drafts=turns)
@@ -354,19 +363,29 @@ def _mode_answers(spark, d):
     }
 
 
-def mode_matrix(spark, d):
-    """Questions by mode: whether the answer names a keyword; a mode that raises fails and the others go on."""
+def mode_matrix(spark, d, answerer=None):
+    """Questions by mode: whether the answer names a keyword; a mode that raises fails and the others go on.
+
+    answerer: what makes an answer of a row (qid, answer) as a dict; where it raises, that cell fails alone.
+    """
+    return evaluate.pass_matrix(mode_results(spark, d, answerer), list(MODES))
+
+
+def mode_results(spark, d, answerer=None):
+    """(qid, mode, hit, error) of all modes."""
     q = _questions(spark, d)
     cases = _keywords(q)
     results = None
     for name, answers in _mode_answers(spark, d).items():
 
         def hits(answers=answers):
-            return answers(q).join(cases, "qid").select("qid", evaluate.answer_hit(F.col("answer"), F.col("keywords")).alias("hit"))
+            told = answers(q).select("qid", "answer")
+            told = told.withColumn("error", F.lit(None).cast("string")) if answerer is None else guard.guarded(told, answerer, "told string").select("qid", F.col("told").alias("answer"), "error")
+            return told.join(cases, "qid").select("qid", evaluate.answer_hit(F.col("answer"), F.col("keywords")).alias("hit"), "error")
 
         got = evaluate.isolated(cases, name, hits, storage.written)
         results = got if results is None else results.unionByName(got)
-    return evaluate.pass_matrix(results, list(MODES))
+    return results
 
 
 def pass_count(spark, d):
@@ -451,6 +470,36 @@ def bootstrap_ci(spark, d):
     return evaluate.bootstrap(m.select("qid", F.col("rerank").alias("a"), F.col("baseline").alias("b")))
 
 
+def bootstrap_poisson(spark, d):
+    m = _variant_results(spark, d).groupBy("qid").pivot("mode", ["baseline", "rerank"]).agg(F.max(F.col("hit").cast("double")))
+    return evaluate.bootstrap_poisson(m.select("qid", F.col("rerank").alias("a"), F.col("baseline").alias("b")))
+
+
+def observed_costs(spark, d):
+    """What captioning cost, as told by the job that wrote the captions."""
+    tokens_ = {c: F.coalesce(F.sum(c), F.lit(0)) for c in ("input_tokens", "output_tokens")}
+    _, told = observe.observed(_captions(spark, d), tokens_, storage.written, "captions")
+    row = spark.createDataFrame([(told["rows"], told["input_tokens"], told["output_tokens"])], "captions long, input_tokens long, output_tokens long")
+    return row.select("*", F.round(evaluate.dollars(F.col("input_tokens"), F.col("output_tokens")), 9).alias("dollars"))
+
+
+def udtf_blocks(spark, d):
+    """min_len_filter as a table function of SQL over the pages."""
+    udtf.register(spark)
+    blocks.iter_pages(_docs(spark, d)).createOrReplaceTempView("tidepool_pages")
+    return spark.sql("SELECT * FROM tidepool_blocks(TABLE(tidepool_pages))")
+
+
+def bucketed_lookup(spark, d):
+    """page_lookup's pages from a bucketed table, which isn't moved."""
+    docs = _docs(spark, d)
+    name = f"tidepool_pages_{uuid.uuid4().hex}"
+    kept = lookup.bucketed(blocks.iter_pages(docs).select("source", "page", "page_text"), "source", storage.shared_path(spark, "bucketed"), name)
+    asked = blocks.page_count(docs.where("doc_id % 20 = 0"))
+    wanted = asked.select("source", F.explode(F.sequence(F.lit(0), F.col("n_pages") + 1)).alias("page"))
+    return lookup.looked_up(kept, wanted, "source", ("page",)).select("source", "page", F.md5("page_text").alias("page_md5"))
+
+
 def usage_cost(spark, d):
     return _captions(spark, d).groupBy("source").agg(F.sum("input_tokens").alias("i"), F.sum("output_tokens").alias("o")).select("source", F.round(evaluate.dollars(F.col("i"), F.col("o")), 9).alias("dollars"))
 
@@ -657,5 +706,6 @@ QUERIES = {
         found_by_both, snippets, page_hosts, cluster_topk, collection_search, collection_upsert, caption_collection, vision_collection,
         cosine_collection, hybrid_graph_answers, rrf_payload, page_images, vision_requests, generated_answers, short_completions, judge_marks,
         variant_written, mode_breakdown, stream_upkeep, table_markdown, ivfpq_topk, maxsim_pruned, postings_topk, file_pages, file_collection, stream_state,
+        variant_phrases, bootstrap_poisson, observed_costs, udtf_blocks, bucketed_lookup,
     )
 }

@@ -13,6 +13,7 @@ K_VISION_MODE = 3
 K_HYBRID_MODE = 3
 CANDIDATE_POOL = 20
 PER_RETRIEVER = 8
+MAX_PAIR_TOKENS = 512
 EMBED_BATCH = 8
 MAX_CACHED_IMAGES = 3
 TEXT_NAMESPACE = "0f4cf7cb-9e3e-4cfa-a5d1-d9b64a4f2fe1"
