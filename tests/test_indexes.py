@@ -46,7 +46,7 @@ def test_kept_index_prunes_lists_on_clusters(spark):
     scores = {(r.qid, r.id): r.score for r in search.cosine_topk(points, asked, 5).collect()}
     assert all(abs(r.score - scores[r.qid, r.id]) < 1e-6 for r in found.collect() if (r.qid, r.id) in scores)
     floors = asked.withColumn("floor", F.lit(0.9))
-    more = again._probes(floors, 40).groupBy("qid").count().collect()
+    more = again._probes(floors, 80, 1 << 30).groupBy("qid").count().collect()
     assert sum(r["count"] for r in more) < 0.2 * len(again.model.sizes) * asked.count()
     # a filter on a list opens its files only
     plan = again.points().where("list = 3")._jdf.queryExecution().executedPlan().toString()

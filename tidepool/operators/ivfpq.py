@@ -7,9 +7,10 @@ files of the lists it probes, and of these only the codes' column; vectors are r
 and sizes of lists, codebooks) is one small file beside it; it grows with the square root of the rows and is broadcast behind a check of its size.
 
 Searching: a query's distance tables give the inner product with every code by `parts` lookups. It looks first into its nearest lists,
-as many as hold twice the rows that are reranked. The score of the last of these is the floor for the rest: of the other
-lists it goes into those that can hold better ones, by their centre's angle and the angle within which SPREAD of their rows lie. The best `keep`
-rows by code are reranked by the cosine of whole vectors. On clustered vectors most lists are left out;
+as many as hold twice the rows that are reranked, then in rounds into so many more that the rows grow STEP-fold. The score of the last row
+that would be reranked is the floor of the next round: of its lists those are left out that can't hold better ones, by their centre's angle and
+the angle within which SPREAD of their rows lie, and rows below it are passed over, so what leaves the lists grows with the logarithm of the
+rows. The best `keep` rows by code are reranked by the cosine of whole vectors. On clustered vectors most lists are left out;
 on vectors without structure codes of all lists are looked at, and vectors of few.
 
 Lists of many rows are parted by a hash of id and each part gives its best `keep` rows, so a hot list is no single task's, nor do its
@@ -30,7 +31,7 @@ from tidepool.functions.vector import norm
 from tidepool.operators.search import _cut, _dense, _unit, ranked
 from tidepool.schema import K_RETRIEVER
 
-SAMPLE, PARTS, KEEP_FOR_EACH, SPREAD, CHUNK, SEED = 20_000, 16, 8, 0.98, 4_096, 11
+SAMPLE, PARTS, KEEP_FOR_EACH, STEP, SPREAD, CHUNK, SEED = 20_000, 16, 8, 8, 0.98, 4_096, 11
 MOST_MODEL = 512 << 20  # bytes that may be broadcast: some four million lists of 16 components
 
 
@@ -176,9 +177,9 @@ class IvfPq:
         out.write(bytearray(model.to_bytes()))
         out.close()
 
-    def _probes(self, queries: DataFrame, keep: int) -> DataFrame:
-        """queries (qid, vector[, floor]) with the lists each looks into: the nearest ones, or if a floor is told the others that may reach it."""
-        sent, told = self.spark.sparkContext.broadcast(self._checked(self.model)), "floor" in queries.columns
+    def _probes(self, queries: DataFrame, begin: int, end: float) -> DataFrame:
+        """queries (qid, vector, floor) with the lists each looks into: of its nearest ones those that hold the rows from begin to end and may reach the floor."""
+        sent = self.spark.sparkContext.broadcast(self._checked(self.model))
 
         def run(batches):
             m = sent.value
@@ -189,15 +190,12 @@ class IvfPq:
                     near = np.where(with_rows, np.clip(_unit(_dense(part.column("vector"))) @ m.centres.T, -1.0, 1.0), -2.0)
                     order = np.argsort(-near, axis=1, kind="stable")
                     held = np.cumsum(m.sizes[order], axis=1)
-                    first = (held - m.sizes[order] < 2 * keep) & (np.take_along_axis(near, order, 1) > -2.0)
-                    chosen = first
-                    if told:
-                        best = np.cos(np.maximum(0.0, np.arccos(np.maximum(near, -1.0)) - m.spreads))
-                        floor = np.asarray(part.column("floor"))[:, None]
-                        chosen = ~first & np.take_along_axis((best >= floor) & with_rows, order, 1)
-                    q, at = np.nonzero(chosen)
+                    before = held - m.sizes[order]
+                    best = np.cos(np.maximum(0.0, np.arccos(np.maximum(near, -1.0)) - m.spreads))
+                    floor = np.asarray(part.column("floor"))[:, None]
+                    q, at = np.nonzero((before >= begin) & (before < end) & np.take_along_axis((best >= floor) & with_rows, order, 1))
                     take = pa.array(q)
-                    yield pa.RecordBatch.from_arrays([part.column("qid").take(take), pa.array(order[q, at].astype(np.int32)), part.column("vector").take(take), part.column("floor").take(take) if told else pa.array(np.full(len(q), -2.0))], names=["qid", "list", "vector", "floor"])
+                    yield pa.RecordBatch.from_arrays([part.column("qid").take(take), pa.array(order[q, at].astype(np.int32)), part.column("vector").take(take), part.column("floor").take(take)], names=["qid", "list", "vector", "floor"])
 
         return queries.mapInArrow(run, T.StructType([queries.schema["qid"], T.StructField("list", T.IntegerType()), queries.schema["vector"], T.StructField("floor", T.DoubleType())]))
 
@@ -254,11 +252,15 @@ class IvfPq:
         """(qid, id, list): the rows whose vectors are read for each query. write: keeps an intermediate table."""
         keep = KEEP_FOR_EACH * k
         asked = self._usable(queries.select("qid", "vector"), self.model.dim)
-        near = write(self._by_code(self._probes(asked, keep), keep).select("qid", "id", "list", "score", "rank"), "near")
-        floors = near.groupBy("qid").agg(F.max(F.when(F.col("rank") == keep, F.col("score"))).alias("floor"))
-        open_ = asked.join(floors, "qid", "left").withColumn("floor", F.coalesce("floor", F.lit(-2.0)))
-        more = self._by_code(write(self._probes(open_, keep), "probes"), keep)
-        return ranked(near.drop("rank").unionByName(more.drop("rank")), keep).select("qid", "id", "list")
+        rows, begin, end, found = int(self.model.sizes.sum()), 0, 2 * keep, None
+        open_ = asked.withColumn("floor", F.lit(-2.0))
+        while begin < max(1, rows):
+            more = self._by_code(write(self._probes(open_, begin, end), "probes"), keep).select("qid", "id", "list", "score")
+            found = write(ranked(more if found is None else found.select(*more.columns).unionByName(more), keep), "near")
+            floors = found.groupBy("qid").agg(F.max(F.when(F.col("rank") == keep, F.col("score"))).alias("floor"))
+            open_ = asked.join(floors, "qid", "left").withColumn("floor", F.coalesce("floor", F.lit(-2.0)))
+            begin, end = end, STEP * end
+        return found.select("qid", "id", "list")
 
     def search(self, queries: DataFrame, k: int = K_RETRIEVER, write=None) -> DataFrame:
         """qid, rank, id and score of about the k nearest rows of each of queries (qid, vector); scores are exact."""
