@@ -25,6 +25,7 @@ from tidepool.functions.vector import norm
 from tidepool.schema import K_RETRIEVER, TF_BUCKETS
 
 BLOCK = 2_048
+PART = 256 << 10  # bytes of a table that are worth a part
 _ROWS = 2_048
 
 
@@ -53,7 +54,8 @@ def _scored(corpus: DataFrame, queries: DataFrame, k: int, own: list[str], prepa
     """
     n = int(corpus.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     shares = max(1, -(-queries.count() // block))
-    parts = max(1, 4 * n // shares)
+    size = int(str(corpus._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    parts = max(1, min(4 * n // shares, -(-size // PART)))  # each part gives k rows of each query, so a small table is few
     types = {c: dict(corpus.dtypes)[c] for c in ("id", *own)} | {"qid": dict(queries.dtypes)["qid"]}
     null = lambda c: F.lit(None).cast(types[c]).alias(c)
     each = lambda m: F.explode(F.sequence(F.lit(0), F.lit(m - 1)))
