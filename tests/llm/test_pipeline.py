@@ -75,7 +75,7 @@ def test_stages_return_the_columns_of_documents(spark, odd_docs, no_docs, tmp_pa
 
 def test_every_operator_has_a_query():
     names = entry.queries()
-    assert {int(re.match(r"op(\d+)_", n)[1]) for n in names if n.startswith("op")} == set(range(1, 11))
+    assert {int(re.match(r"op(\d+)_", n)[1]) for n in names if n.startswith("op")} == set(range(1, 14))
     assert "pipeline" in names and set(queries.ORACLE_SQL) <= set(queries.QUERIES)
 
 
