@@ -66,3 +66,17 @@ def test_rows_in_another_order_each_time_are_written_first(spark, small):
     mixed = small.repartition(3).orderBy("n_chars").limit(200)
     rows = mixed.collect()
     assert S.dedup(mixed).count() == len(rows) == 200
+
+
+def test_a_window_in_all_documents_is_counted_by_partial_aggregates(spark, tmp_path):
+    """One passage in 3,000 documents, alone in its slice in 40 of them: no task holds its places."""
+    passage = " ".join(f"licence{i}" for i in range(40))
+    texts = [f"{i} {passage} {i + 1} {'own' * (i % 3)}{i}" for i in range(3000)] + [f"{'x' * 600_000}{i} {passage}" for i in range(40)]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(7).write.parquet(str(tmp_path / "d"))
+    docs = spark.read.parquet(str(tmp_path / "d"))
+    rows = docs.collect()
+    want = sorted((str(r.doc_id), *p) for r, p in zip(rows, plain([r.text for r in rows]), strict=True))
+    assert told(S.dedup(docs)) == want and {w[2] for w in want} == {40}
+    _, spans = S.repeats(docs)
+    plan = spans._jdf.queryExecution().toString()
+    assert "LeftSemi" in plan and "windows-again" in plan

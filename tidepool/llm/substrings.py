@@ -6,8 +6,8 @@ Seeds that occur once in the corpus are done with. Around each of the others the
 both ways, a word at a time, to all windows that chose it: windows are equal where hashes of all their
 words agree, so thousands of copies extend together and no pair of them is formed. The repeats found
 are merged into maximal runs of words. Seeds with more than `hot` occurrences have their windows dealt
-out one by one instead of by seed, and windows that one task meets twice are settled there, so a
-passage that a third of the documents share does not meet in one task.
+out one by one and only counted, by partial aggregates, and what occurs twice is joined back; windows that
+one task meets twice are settled there. So a passage that a third of the documents share does not meet in one task.
 
 Words are hashed twice, independently: seeds by one, windows by the other, both 64 bits wide and mixed at
 every level, so no arrangement of words makes two windows meet. Two different windows pass for equal only
@@ -28,9 +28,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidepool.llm.common import IS_DARK, bounded_batches, materialise, mix, numbered, partitions, plus, runs_hash, slices, slide, strings, word_spans, words_hash
+from tidepool.llm.common import IS_DARK, bounded_batches, materialise, numbered, partitions, plus, runs_hash, slices, slide, strings, word_spans, words_hash
 
 LENGTH, SEED, HOT = 35, 12, 1_000
+COLD, SETTLED, DEALT = 0, 1, 2
 
 
 def seeds(words: np.ndarray, row: np.ndarray, length: int, seed: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -70,7 +71,7 @@ def _emit_seeds(length: int, seed: int):
 
 
 def _emit_windows(length: int, seed: int):
-    """Rows (key, _row, first, windows, settled): settled windows repeat for sure and only tell others so."""
+    """Rows (key, _row, first, n, windows, kind): SETTLED windows repeat for sure, a row of _row -1 tells other tasks so; DEALT ones, of hot seeds, come one by one."""
 
     def run(batches):
         for b in batches:
@@ -102,26 +103,21 @@ def _emit_windows(length: int, seed: int):
                 # Settled windows: one row for each distinct one goes on to tell other tasks.
                 lead = np.zeros(len(at), bool)
                 lead[np.unique(full, return_index=True)[1]] = True
-                for kind, pick in ((True, twice), (False, ~twice)):
-                    p = np.flatnonzero(pick)
-                    if not len(p):
-                        continue
-                    if kind:
-                        yield _rows(np.zeros(len(p), np.int64), ids[a + row[at[p]]], at[p] - first[p], None, True, at[p], row[at[p]])
-                        p = p[lead[p]]
-                        yield _rows(_key(least[at[p]], full[p], is_hot[at[p]]), np.full(len(p), -1, np.int64), at[p] - first[p], full[p], False, at[p], np.where(is_hot[at[p]], np.arange(len(p)), row[at[p]]))
-                    else:
-                        alone = np.where(is_hot[at[p]], np.arange(len(p)), -1 - row[at[p]])
-                        yield _rows(_key(least[at[p]], full[p], is_hot[at[p]]), ids[a + row[at[p]]], at[p] - first[p], full[p], False, at[p], alone)
+                p = np.flatnonzero(twice)
+                if len(p):
+                    yield _rows(np.zeros(len(p), np.int64), ids[a + row[at[p]]], at[p] - first[p], None, SETTLED, at[p], row[at[p]])
+                for told, pick in ((False, ~twice), (True, twice & lead)):
+                    for kind, some in ((COLD, pick & ~is_hot[at]), (DEALT, pick & is_hot[at])):
+                        p = np.flatnonzero(some)
+                        if len(p):
+                            owner = np.full(len(p), -1, np.int64) if told else ids[a + row[at[p]]]
+                            group = row[at[p]] if kind == COLD else np.arange(len(p))
+                            yield _rows(least[at[p]].view(np.int64), owner, at[p] - first[p], full[p], kind, at[p], group)
 
     return run
 
 
-def _key(least: np.ndarray, full: np.ndarray, is_hot: np.ndarray) -> np.ndarray:
-    return np.where(is_hot, mix(least ^ full), least).view(np.int64)
-
-
-def _rows(key, ids, first, full, settled: bool, at, group) -> pa.RecordBatch:
+def _rows(key, ids, first, full, kind: int, at, group) -> pa.RecordBatch:
     """A row for each run of neighbouring windows with one key (and one group)."""
     new = np.ones(len(at), bool)
     new[1:] = (np.diff(at) != 1) | (np.diff(key) != 0) | (np.diff(group) != 0)
@@ -129,7 +125,7 @@ def _rows(key, ids, first, full, settled: bool, at, group) -> pa.RecordBatch:
     bounds = np.append(start, len(at)).astype(np.int32)
     n = np.diff(bounds)
     windows = pa.ListArray.from_arrays(bounds, pa.array(full.view(np.int64))) if full is not None else pa.ListArray.from_arrays(np.zeros(len(start) + 1, np.int32), pa.array([], pa.int64()))
-    return pa.RecordBatch.from_arrays([pa.array(key[start]), pa.array(ids[start]), pa.array(first[start].astype(np.int32)), pa.array(n, pa.int32()), windows, pa.array(np.full(len(start), settled))], names=["key", "_row", "first", "n", "windows", "settled"])
+    return pa.RecordBatch.from_arrays([pa.array(key[start]), pa.array(ids[start]), pa.array(first[start].astype(np.int32)), pa.array(n, pa.int32()), windows, pa.array(np.full(len(start), kind, np.int32))], names=["key", "_row", "first", "n", "windows", "kind"])
 
 
 def _meet(batches):
@@ -197,11 +193,15 @@ def repeats(docs: DataFrame, length: int = LENGTH, seed: int = SEED, hot: int =
     wanted = found.join(again, "seed").groupBy("_row").agg(F.collect_set("seed").alias("seeds"), F.collect_set(F.when(F.col("times") > hot, F.col("seed"))).alias("hot"))
     wanted = materialise(wanted, "repeated-seeds")
     some = slim.join(wanted, "_row")
-    windows = some.mapInArrow(_emit_windows(length, seed), "key long, _row long, first int, n int, windows array<long>, settled boolean")
+    windows = some.mapInArrow(_emit_windows(length, seed), "key long, _row long, first int, n int, windows array<long>, kind int")
     windows = materialise(windows, "windows")
-    open_ = windows.where("not settled").select("key", "_row", "first", "windows").repartition(partitions(spark), "key").sortWithinPartitions("key")
+    open_ = windows.where(F.col("kind") == COLD).select("key", "_row", "first", "windows").repartition(partitions(spark), "key").sortWithinPartitions("key")
     met = open_.mapInArrow(_meet, "_row long, first int, n int")
-    all_ = met.unionByName(windows.where("settled").select("_row", "first", "n"))
+    dealt = windows.where(F.col("kind") == DEALT).select("key", F.element_at("windows", 1).alias("window"), "_row", "first")
+    twice = dealt.groupBy("key", "window").agg(F.sum(F.when(F.col("_row") < 0, 2).otherwise(1)).alias("times")).where("times > 1").select("key", "window")
+    twice = materialise(twice, "windows-again")  # a table, so that the join below can split a window of very many places
+    again = dealt.where("_row >= 0").join(twice, ["key", "window"], "left_semi").select("_row", "first", F.lit(1).alias("n"))
+    all_ = met.unionByName(again).unionByName(windows.where(F.col("kind") == SETTLED).select("_row", "first", "n"))
     return base, all_.groupBy("_row").agg(F.collect_list(F.struct("first", "n")).alias("runs"))
 
 
