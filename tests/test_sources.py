@@ -10,8 +10,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidepool.functions import vector
-from tidepool.operators import generate, trace
+from tidepool.operators import evaluate, generate, trace
 from tidepool.operators.index import Collection
+from tidepool.plans import modes
 from tidepool.sources import blocks, embedding_service, vectors
 from tidepool.sources.embedding_server import EmbeddingServer, hashed_vectors
 from tidepool.streaming import index_upkeep
@@ -164,3 +165,39 @@ def test_a_collection_keeps_its_settings(spark, tmp_path):
     Collection(spark, str(tmp_path / "c"), schema, "v", 2).ensure()
     with pytest.raises(ValueError, match="max_sim"):
         Collection(spark, str(tmp_path / "c"), schema, "v", 2, comparator="max_sim").ensure()
+
+
+def test_a_mode_traces_what_it_rests_on_by_one_search(spark, tmp_path):
+    points = spark.createDataFrame([("a", "s1", 1, "text", "growth of revenue"), ("b", "s2", 3, "text", "nothing alike")], "id string, source string, page int, block_type string, text string")
+    q = spark.createDataFrame([(1, "revenue growth"), (2, ""), (3, None)], "qid long, query string")
+    runs = []
+
+    def write(df):
+        runs.append(df)
+        df.write.parquet(str(tmp_path / f"hits{len(runs)}"))
+        return spark.read.parquet(str(tmp_path / f"hits{len(runs)}"))
+
+    stages = modes.text_only(q, modes.WrittenRetriever(modes.TextRetriever(points), write), 1)
+    assert trace.recorded(stages, "text_only", str(tmp_path / "t"), variant="baseline") and len(runs) == 1
+    captions = modes.caption_only(q, points.drop("block_type"), 1, write)
+    assert trace.recorded(captions, "caption", str(tmp_path / "t")) and len(runs) == 2
+    got = {(r.qid, r.mode): (r.n_hits, r.hit_pages, r.retriever_variant) for r in spark.read.parquet(str(tmp_path / "t")).collect()}
+    assert got == {(i, m): (*((1, "s1 p1") if i == 1 else (0, "")), v) for i in (1, 2, 3) for m, v in (("text_only", "baseline"), ("caption", None))}
+    assert not trace.recorded(stages, "text_only", "nosuchscheme://x/y")
+
+
+def test_records_by_language_with_several_gold_pages(spark):
+    schema = "id string, q_ko string, q_en string, gold_pages array<struct<source: string, page: int>>, block_type string, type string"
+    rows = [("r1", "k", "e", [("s", 1), ("s", 2), ("s", 1)], "text", "number"), ("r2", None, "e", [("s", 9)], "table", None), ("r3", "k", None, None, "text", "x"), ("r4", "k", "e", [], None, "x"), (None, "k", "e", [("s", 1)], "text", "x")]
+    records = spark.createDataFrame(rows, schema)
+    hits = spark.createDataFrame([("r1:ko", "s", 2, 1), ("r1:ko", "s", 2, 2), ("r1:ko", "s", 1, 7), ("r1:en", "s", 7, 1), ("r9:en", "s", 1, 1)], "qid string, source string, page int, rank int")
+    assert {r.qid for r in evaluate.record_questions(records).collect()} == {"r1:ko", "r1:en", "r2:en", "r3:ko", "r4:ko", "r4:en"}
+    got = {r.qid: (r.language, r.type, r.n_gold, r.recall_1, r.recall_5, r.ndcg_1) for r in evaluate.record_metrics(hits, records, (1, 5), 1).collect()}
+    assert got == {"r1:ko": ("ko", "number", 2, 0.5, 1.0, 1.0), "r1:en": ("en", "number", 2, 0.0, 0.0, 0.0), "r2:en": ("en", None, 1, 0.0, 0.0, 0.0)}
+    assert evaluate.record_metrics(hits.limit(0), records.limit(0)).count() == 0
+
+
+def test_gold_pages(spark):
+    pages = spark.createDataFrame([("s", 1, 'a "b" c d e'), ("s", 2, "x a b c d e y"), (None, 1, "z a b c d e f"), ("t", 1, None)], "source string, page int, page_text string")
+    q = spark.createDataFrame([(1, "a b c d e"), (2, "none of it")], "qid long, query string")
+    assert {tuple(r) for r in evaluate.gold_pages(pages, q).collect()} == {(1, "s", 2), (1, None, 1)}

@@ -150,6 +150,35 @@ def ndcg_at_k(hits: DataFrame, gold: DataFrame, k: int = 5, page: tuple[str, ...
     return got.select("qid", F.round(F.col("dcg") / ideal, 6).alias("ndcg"))
 
 
+def gold_pages(pages: DataFrame, questions: DataFrame) -> DataFrame:
+    """(qid, source, page) of pages (source, page, page_text) that hold a question's text, as gold_sources tells of documents."""
+    keyed = pages.select(F.to_json(F.struct("source", "page")).alias("source"), F.col("page_text").alias("text"))
+    return gold_sources(keyed, questions).select("qid", F.inline(F.array(F.from_json("source", "source string, page int"))))
+
+
+def record_questions(records: DataFrame) -> DataFrame:
+    """(qid, id, language, query, type, block_type): a row for each language in which an evaluation record asks; qid is id:language."""
+    asked = F.inline(F.array(*(F.struct(F.lit(x).alias("language"), F.col(f"q_{x}").alias("query")) for x in ("ko", "en"))))
+    each = records.where("id is not null").select("id", "type", "block_type", asked).where("query is not null")
+    return each.select(F.concat_ws(":", "id", "language").alias("qid"), "id", "language", "query", "type", "block_type")
+
+
+def record_metrics(hits: DataFrame, records: DataFrame, ks: tuple[int, ...] = (5, 10), ndcg: int = 5) -> DataFrame:
+    """(qid, id, language, type, block_type, n_gold, recall_k of each of ks, ndcg_k) of the hits (qid, source, page, rank) of record_questions(records).
+
+    Pages count by their best hit, as in recall_at_k and ndcg_at_k, all metrics in one pass over the hits. Records without gold
+    pages, null or empty, have no row; a gold page that a record lists twice counts once; a question without hits has zeros.
+    """
+    asked = record_questions(records).drop("query")
+    gold = records.where("id is not null").select("id", F.inline("gold_pages")).distinct()
+    found = asked.join(gold, "id").join(_first_ranks(hits, ["source", "page"]), ["qid", "source", "page"], "left")
+    gain = F.when(F.col("rank") <= ndcg, 1 / F.log2(F.col("rank") + 1.0)).otherwise(0.0)
+    counts = found.groupBy("qid", "id", "language", "type", "block_type").agg(F.count(F.lit(1)).alias("n_gold"), *(F.count_if(F.col("rank") <= k).alias(f"recall_{k}") for k in ks), F.sum(gain).alias("dcg"))
+    ideal = F.aggregate(F.sequence(F.lit(1), F.least("n_gold", F.lit(ndcg)).cast("int")), F.lit(0.0), lambda s, i: s + 1 / F.log2(i + 1.0))
+    recalls = (F.round(F.col(f"recall_{k}") / F.col("n_gold"), 6).alias(f"recall_{k}") for k in ks)
+    return counts.select("qid", "id", "language", "type", "block_type", "n_gold", *recalls, F.round(F.col("dcg") / ideal, 6).alias(f"ndcg_{ndcg}"))
+
+
 def normalised_answer(text: Column) -> Column:
     """Lower case, single spaces, no separators within numbers."""
     plain = F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"([0-9]),([0-9])", "$1$2")

@@ -17,6 +17,11 @@ def traces(answers: DataFrame, hits: DataFrame, mode: str, model: str = "standin
     return joined.select("qid", F.lit(mode).alias("mode"), F.lit(model).alias("model"), F.lit(variant).cast("string").alias("retriever_variant"), "query", "answer", "stop_reason", "input_tokens", "output_tokens", F.coalesce(F.size("h"), F.lit(0)).alias("n_hits"), F.coalesce(F.array_join(shown, ";"), F.lit("")).alias("hit_pages"), F.coalesce(F.transform("h", lambda x: half_even(x["score"], 4)), F.array().cast("array<double>")).alias("hit_scores"))
 
 
+def recorded(stages: dict[str, DataFrame], mode: str, path: str, **told) -> bool:
+    """The trace of a mode's answers, appended to the table at path: whether it was written. stages: answers, and hits or what was rendered."""
+    return append(traces(stages["answers"], stages["hits"] if "hits" in stages else stages["render"], mode, **told), path)
+
+
 def append(rows: DataFrame, path: str) -> bool:
     """Best effort, as tracing must not fail an answer: whether it was written."""
     try:

@@ -90,6 +90,17 @@ class VisionRetriever:
         return search.maxsim_topk(self.pages, self.tokens.join(queries.select("qid"), "qid", "left_semi"), k)
 
 
+@dataclass
+class WrittenRetriever:
+    """Writes its hits, so that the answer, the context and the trace of a question rest on one search."""
+
+    inner: Retriever
+    write: Callable[[DataFrame], DataFrame]
+
+    def search(self, queries: DataFrame, k: int) -> DataFrame:
+        return self.write(self.inner.search(queries, k))
+
+
 def hydrate(hits: DataFrame, pages: DataFrame) -> DataFrame:
     """Hits with their page's text, joined after the rank filter; what has no page keeps a null."""
     return hits.join(pages.select("source", "page", "page_text"), ["source", "page"], "left")
@@ -104,9 +115,10 @@ def text_only(queries: DataFrame, retriever: Retriever, k: int = K_TEXT_MODE) ->
     return {"hits": hits, "context": generate.passages(hits), "answers": _answers(queries, hits, "text_only")}
 
 
-def caption_only(queries: DataFrame, captions: DataFrame, k: int = K_CAPTION_MODE) -> dict[str, DataFrame]:
-    """captions: id, source, page, text."""
+def caption_only(queries: DataFrame, captions: DataFrame, k: int = K_CAPTION_MODE, write: Callable[[DataFrame], DataFrame] | None = None) -> dict[str, DataFrame]:
+    """captions: id, source, page, text; write, if given, writes the hits before they are used."""
     hits = search.text_topk(captions.withColumn("block_type", F.lit("caption")), queries, k)
+    hits = hits if write is None else write(hits)
     return {"hits": hits, "context": generate.passages(hits), "answers": _answers(queries, hits, "caption")}
 
 

@@ -130,6 +130,10 @@ _VECTORS = "corpus AS (SELECT vec_id AS id, embedding AS v, label FROM embedding
 _NEAREST = f"WITH {_VECTORS}, nearest AS (SELECT *, (row_number() OVER (PARTITION BY qid ORDER BY score DESC, id))::int AS rank FROM (SELECT qid, id, label, q_label, round({_cosine('q', 'v')}, 6) AS score FROM asked, corpus WHERE qid <> id) QUALIFY rank <= 10)"
 _EM = "trim(regexp_replace(regexp_replace(lower(coalesce({x}, '')), '([0-9]),([0-9])', '\\1\\2', 'g'), '\\s+', ' ', 'g'))"
 _ELEMENT = "(?is)<(?:h1|p|li)(?:\\s[^>]*)?>(.*?)</(?:h1|p|li)>"
+_MODES = f"""{_FUSED}, {_TOP3}, {_PAGES}, {_search("points", "questions", 5, "h5")}, {_vhits(3).replace("vhits", "v3", 1)}, {_KEYWORDS},
+captions AS (SELECT source, page, array_to_string(string_split({_CAPTION}, ' ')[1:512], ' ') AS caption FROM pages_), capped AS (SELECT {_uuid5(CAPTION_NAMESPACE, "concat_ws(':', source, 'caption', 'page', page::varchar)")} AS id, source, page, caption AS text FROM captions WHERE length(caption) > 0),
+{_search("capped", "questions", 5, "c5")}, vtop AS (SELECT qid, rank, coalesce(page_text, '') AS text FROM v3 LEFT JOIN pages_ USING (source, page)), htop AS (SELECT qid, rank, coalesce(page_text, '') AS text FROM top3 LEFT JOIN pages_ USING (source, page)),
+{_answers("h5", "a_text")}, {_answers("vtop", "a_vision")}, {_answers("c5", "a_caption")}, {_answers("htop", "a_hybrid")}"""
 _TEXT5 = f"WITH {_POINTS}, {_QUESTIONS}, {_search('points', 'questions', 5, 'hits')}"
 
 ORACLE_SQL = {
@@ -198,10 +202,7 @@ SELECT qid, (row_number() OVER (PARTITION BY qid ORDER BY score DESC, id))::int
     "image_base64": "SELECT page_id AS qid, CASE page_id % 4 WHEN 0 THEN 'image/jpeg' WHEN 1 THEN 'image/webp' ELSE 'image/png' END AS media_type, md5(base64(encode(html))) AS data_md5, true AS cached FROM pages",
     "keyword_hit": f"WITH {_POINTS}, {_QUESTIONS}, {_KEYWORDS}, {_search('points', 'questions', 3, 'h1')} {_khit('h1')}",
     "variant_matrix": f"WITH {_RESULTS} {_VARIANTS}",
-    "mode_matrix": f"""WITH {_FUSED}, {_TOP3}, {_PAGES}, {_search("points", "questions", 5, "h5")}, {_vhits(3).replace("vhits", "v3", 1)}, {_KEYWORDS},
-captions AS (SELECT source, page, array_to_string(string_split({_CAPTION}, ' ')[1:512], ' ') AS caption FROM pages_), capped AS (SELECT {_uuid5(CAPTION_NAMESPACE, "concat_ws(':', source, 'caption', 'page', page::varchar)")} AS id, source, page, caption AS text FROM captions WHERE length(caption) > 0),
-{_search("capped", "questions", 5, "c5")}, vtop AS (SELECT qid, rank, coalesce(page_text, '') AS text FROM v3 LEFT JOIN pages_ USING (source, page)), htop AS (SELECT qid, rank, coalesce(page_text, '') AS text FROM top3 LEFT JOIN pages_ USING (source, page)),
-{_answers("h5", "a_text")}, {_answers("vtop", "a_vision")}, {_answers("c5", "a_caption")}, {_answers("htop", "a_hybrid")},
+    "mode_matrix": f"""WITH {_MODES},
 hit AS (SELECT qid, mode, len(list_filter(kws, lambda w: contains(lower(answer), w))) > 0 AS hit FROM (SELECT qid, 'text' AS mode, answer FROM a_text UNION ALL SELECT qid, 'vision', answer FROM a_vision UNION ALL SELECT qid, 'caption', answer FROM a_caption UNION ALL SELECT qid, 'hybrid', answer FROM a_hybrid) JOIN keywords USING (qid))
 SELECT qid, bool_or(hit) FILTER (mode = 'text') AS text_only, bool_or(hit) FILTER (mode = 'vision') AS vision_only, bool_or(hit) FILTER (mode = 'caption') AS caption, bool_or(hit) FILTER (mode = 'hybrid') AS hybrid, bool_or(hit) FILTER (mode = 'hybrid') AS hybrid_graph FROM hit GROUP BY qid""",
     "pass_count": f"WITH {_RESULTS} SELECT mode, count(*) AS n, count(*) FILTER (hit) AS passed FROM results GROUP BY mode",
@@ -229,6 +230,14 @@ SELECT round((SELECT avg(d) FROM p), 6) AS mean, round(quantile_cont(m, 0.025),
     "label_precision": f"{_NEAREST} SELECT qid, round(avg((label = q_label)::int::double), 6) AS precision FROM nearest GROUP BY qid",
     "trace_rows": f"""WITH {_POINTS}, {_QUESTIONS}, {_search("points", "questions", 3, "hits")}, {_answers("hits")}, h AS (SELECT qid, count(*)::int AS n, string_agg(source || ' p' || page, ';' ORDER BY rank) AS p, string_agg(printf('%.4f', score), ';' ORDER BY rank) AS s FROM hits GROUP BY qid)
 SELECT qid, 'text_only' AS mode, 'standin:extractive' AS model, 'baseline' AS retriever_variant, stop_reason, coalesce(n, 0)::int AS n_hits, coalesce(p, '') AS hit_pages, coalesce(s, '') AS hit_scores FROM answers LEFT JOIN h USING (qid)""",
+    "mode_traces": f"""WITH {_MODES},
+listed AS (SELECT qid, mode, count(*)::int AS n, string_agg(source || ' p' || page, ';' ORDER BY rank) AS p, string_agg(printf('%.4f', score), ';' ORDER BY rank) AS s FROM (SELECT qid, 'text_only' AS mode, rank, source, page, score FROM h5 UNION ALL SELECT qid, 'vision_only' AS mode, rank, source, page, score FROM v3 UNION ALL SELECT qid, 'caption' AS mode, rank, source, page, score FROM c5 UNION ALL SELECT qid, 'hybrid' AS mode, rank, source, page, score FROM top3 UNION ALL SELECT qid, 'hybrid_graph' AS mode, rank, source, page, score FROM top3) GROUP BY qid, mode)
+SELECT qid, mode, 'standin:extractive' AS model, stop_reason, input_tokens, coalesce(n, 0)::int AS n_hits, coalesce(p, '') AS hit_pages, coalesce(s, '') AS hit_scores FROM (SELECT qid, 'text_only' AS mode, stop_reason, input_tokens FROM a_text UNION ALL SELECT qid, 'vision_only' AS mode, stop_reason, input_tokens FROM a_vision UNION ALL SELECT qid, 'caption' AS mode, stop_reason, input_tokens FROM a_caption UNION ALL SELECT qid, 'hybrid' AS mode, stop_reason, input_tokens FROM a_hybrid UNION ALL SELECT qid, 'hybrid_graph' AS mode, stop_reason, input_tokens FROM a_hybrid) LEFT JOIN listed USING (qid, mode)""",
+    "record_breakdown": f"""WITH {_POINTS}, {_QUESTIONS}, {_GLOSSED}, {_PAGES}, asked AS (SELECT qid || ':en' AS qid, qid AS item, 'en' AS language, query FROM questions UNION ALL SELECT qid || ':ko', qid, 'ko', query FROM translated),
+{_search("points", "asked", 20, "hits")}, firsts AS (SELECT qid, source, page, row_number() OVER (PARTITION BY qid ORDER BY r) AS rank FROM (SELECT qid, source, page, min(rank) AS r FROM hits GROUP BY ALL)),
+gold AS (SELECT DISTINCT qid AS item, source, page FROM pages_ JOIN questions ON contains(page_text, query)), kinds AS (SELECT qid AS item, CASE WHEN length(query) > 200 THEN 'long' ELSE 'short' END AS type FROM questions),
+each AS (SELECT a.qid, language, type, count(*) AS n_gold, count(*) FILTER (rank <= 5) AS f5, count(*) FILTER (rank <= 10) AS f10, coalesce(sum(1 / log2(rank + 1)) FILTER (rank <= 5), 0) AS dcg FROM asked a JOIN kinds USING (item) JOIN gold g USING (item) LEFT JOIN firsts f ON f.qid = a.qid AND f.source = g.source AND f.page = g.page GROUP BY ALL)
+SELECT language, type, count(*) AS n, sum(n_gold)::bigint AS n_gold, round(avg(round(f5 / n_gold, 6)), 6) AS recall_5, round(avg(round(f10 / n_gold, 6)), 6) AS recall_10, round(avg(round(dcg / list_sum(list_transform(range(1, least(n_gold, 5) + 1), lambda i: 1 / log2(i + 1))), 6)), 6) AS ndcg_5 FROM each GROUP BY CUBE (language, type)""",
     "found_by_both": f"WITH {_POINTS}, {_QUESTIONS}, {_CAPTIONS}, {_search('points', 'questions', 8, 'h1')}, {_search('capped', 'questions', 8, 'h2')} SELECT qid, source, page FROM h1 INTERSECT SELECT qid, source, page FROM h2",
     "snippets": f"WITH {_POINTS}, {_QUESTIONS}, {_search('points', 'questions', 3, 'hits')} SELECT qid, rank, replace(substr(text, 1, 150), chr(10), ' / ') AS snippet FROM hits",
     "stream_upkeep": f"WITH {_POINTS} SELECT id, source, md5(text) AS text_md5 FROM points",

@@ -349,17 +349,19 @@ def variant_matrix(spark, d):
 MODES = ("text_only", "vision_only", "caption", "hybrid", "hybrid_graph")
 
 
-def _mode_answers(spark, d):
-    """For each mode what answers a table of questions."""
+def _mode_stages(spark, d, written_hits=False):
+    """For each mode what answers a table of questions, with its stages; with written_hits these are written before use."""
+    write = storage.written if written_hits else None
     pages = storage.written(blocks.iter_pages(_docs(spark, d)), "pages")
     text_, vision = _indexed(spark, d), _vision(spark, d)
     vision = modes.VisionRetriever(storage.written(vision.pages, "vision"), vision.tokens)
+    text_once, vision_once = (r if write is None else modes.WrittenRetriever(r, write) for r in (text_, vision))
     return {
-        "text_only": lambda q: modes.text_only(q, text_)["answers"],
-        "vision_only": lambda q: modes.vision_only(q, vision, pages)["answers"],
-        "caption": lambda q: modes.caption_only(q, _caption_points(spark, d))["answers"],
-        "hybrid": lambda q: modes.hybrid(q, text_, vision, pages)["answers"],
-        "hybrid_graph": lambda q: modes.hybrid_graph(q, text_, vision, pages, storage.written)["answers"],
+        "text_only": lambda q: modes.text_only(q, text_once),
+        "vision_only": lambda q: modes.vision_only(q, vision_once, pages),
+        "caption": lambda q: modes.caption_only(q, _caption_points(spark, d), write=write),
+        "hybrid": lambda q: modes.hybrid(q, text_once, vision_once, pages),
+        "hybrid_graph": lambda q: modes.hybrid_graph(q, text_, vision, pages, storage.written),
     }
 
 
@@ -376,10 +378,10 @@ def mode_results(spark, d, answerer=None):
     q = _questions(spark, d)
     cases = _keywords(q)
     results = None
-    for name, answers in _mode_answers(spark, d).items():
+    for name, stages in _mode_stages(spark, d).items():
 
-        def hits(answers=answers):
-            told = answers(q).select("qid", "answer")
+        def hits(stages=stages):
+            told = stages(q)["answers"].select("qid", "answer")
             told = told.withColumn("error", F.lit(None).cast("string")) if answerer is None else guard.guarded(told, answerer, "told string").select("qid", F.col("told").alias("answer"), "error")
             return told.join(cases, "qid").select("qid", evaluate.answer_hit(F.col("answer"), F.col("keywords")).alias("hit"), "error")
 
@@ -533,6 +535,35 @@ def trace_rows(spark, d):
     return t.select("qid", "mode", "model", "retriever_variant", "stop_reason", "n_hits", "hit_pages", F.array_join(F.transform("hit_scores", lambda x: F.format_number(x, 4)), ";").alias("hit_scores"))
 
 
+def mode_traces(spark, d):
+    """Every mode answers all questions and appends its trace to one table, which is read again."""
+    q, path = _questions(spark, d), storage.shared_path(spark, "traces")
+    for name, stages in _mode_stages(spark, d, written_hits=True).items():
+        if not trace.recorded(stages(q), name, path):
+            raise RuntimeError(f"no trace of {name}")
+    t = spark.read.parquet(path)
+    return t.select("qid", "mode", "model", "stop_reason", "input_tokens", "n_hits", "hit_pages", F.array_join(F.transform("hit_scores", lambda x: F.format_number(x, 4)), ";").alias("hit_scores"))
+
+
+def _records(spark, d):
+    """Evaluation records as lines of JSON: items asked as they are and through the glossary, with the pages that hold them as gold."""
+    q = _questions(spark, d)
+    gold = evaluate.gold_pages(blocks.iter_pages(_docs(spark, d)), q).groupBy("qid").agg(F.collect_list(F.struct("source", "page")).alias("gold_pages"))
+    kind = F.when(F.char_length("query") > 200, "long").otherwise("short")
+    records = rewrite.translate(q, _glossary(spark)).join(gold, "qid", "left")
+    path = storage.shared_path(spark, "records")
+    records.select(F.col("qid").cast("string").alias("id"), F.col("rewritten_query").alias("q_ko"), F.col("query").alias("q_en"), "gold_pages", F.lit("text").alias("block_type"), kind.alias("type")).write.json(path)
+    return evaluate.read_questions(spark, path)
+
+
+def record_breakdown(spark, d):
+    """Recall and NDCG over evaluation records by language and type; null stands for all."""
+    records = _records(spark, d)
+    hits = _retriever(spark, d).search(evaluate.record_questions(records).select("qid", "query"), 20)
+    got = evaluate.record_metrics(hits, records)
+    return got.cube("language", "type").agg(F.count("*").alias("n"), F.sum("n_gold").alias("n_gold"), *(F.round(F.avg(m), 6).alias(m) for m in ("recall_5", "recall_10", "ndcg_5")))
+
+
 def found_by_both(spark, d):
     """Pages that the text and the caption retriever both find."""
     q = _questions(spark, d)
@@ -706,6 +737,6 @@ QUERIES = {
         found_by_both, snippets, page_hosts, cluster_topk, collection_search, collection_upsert, caption_collection, vision_collection,
         cosine_collection, hybrid_graph_answers, rrf_payload, page_images, vision_requests, generated_answers, short_completions, judge_marks,
         variant_written, mode_breakdown, stream_upkeep, table_markdown, ivfpq_topk, maxsim_pruned, postings_topk, file_pages, file_collection, stream_state,
-        variant_phrases, bootstrap_poisson, observed_costs, udtf_blocks, bucketed_lookup,
+        variant_phrases, bootstrap_poisson, observed_costs, udtf_blocks, bucketed_lookup, mode_traces, record_breakdown,
     )
 }
