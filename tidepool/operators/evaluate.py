@@ -166,7 +166,7 @@ def record_questions(records: DataFrame) -> DataFrame:
 def record_metrics(hits: DataFrame, records: DataFrame, ks: tuple[int, ...] = (5, 10), ndcg: int = 5) -> DataFrame:
     """(qid, id, language, type, block_type, n_gold, recall_k of each of ks, ndcg_k) of the hits (qid, source, page, rank) of record_questions(records).
 
-    Pages count by their best hit, as in recall_at_k and ndcg_at_k, all metrics in one pass over the hits. Records without gold
+    Pages count by their best hit, as in recall_at_k and ndcg_at_k, all metrics in one pass over the hits and not rounded, so that means of them are rounded once. Records without gold
     pages, null or empty, have no row; a gold page that a record lists twice counts once; a question without hits has zeros.
     """
     asked = record_questions(records).drop("query")
@@ -175,8 +175,8 @@ def record_metrics(hits: DataFrame, records: DataFrame, ks: tuple[int, ...] = (5
     gain = F.when(F.col("rank") <= ndcg, 1 / F.log2(F.col("rank") + 1.0)).otherwise(0.0)
     counts = found.groupBy("qid", "id", "language", "type", "block_type").agg(F.count(F.lit(1)).alias("n_gold"), *(F.count_if(F.col("rank") <= k).alias(f"recall_{k}") for k in ks), F.sum(gain).alias("dcg"))
     ideal = F.aggregate(F.sequence(F.lit(1), F.least("n_gold", F.lit(ndcg)).cast("int")), F.lit(0.0), lambda s, i: s + 1 / F.log2(i + 1.0))
-    recalls = (F.round(F.col(f"recall_{k}") / F.col("n_gold"), 6).alias(f"recall_{k}") for k in ks)
-    return counts.select("qid", "id", "language", "type", "block_type", "n_gold", *recalls, F.round(F.col("dcg") / ideal, 6).alias(f"ndcg_{ndcg}"))
+    recalls = ((F.col(f"recall_{k}") / F.col("n_gold")).alias(f"recall_{k}") for k in ks)
+    return counts.select("qid", "id", "language", "type", "block_type", "n_gold", *recalls, (F.col("dcg") / ideal).alias(f"ndcg_{ndcg}"))
 
 
 def normalised_answer(text: Column) -> Column:

@@ -237,7 +237,7 @@ SELECT qid, mode, 'standin:extractive' AS model, stop_reason, input_tokens, coal
 {_search("points", "asked", 20, "hits")}, firsts AS (SELECT qid, source, page, row_number() OVER (PARTITION BY qid ORDER BY r) AS rank FROM (SELECT qid, source, page, min(rank) AS r FROM hits GROUP BY ALL)),
 gold AS (SELECT DISTINCT qid AS item, source, page FROM pages_ JOIN questions ON contains(page_text, query)), kinds AS (SELECT qid AS item, CASE WHEN length(query) > 200 THEN 'long' ELSE 'short' END AS type FROM questions),
 each AS (SELECT a.qid, language, type, count(*) AS n_gold, count(*) FILTER (rank <= 5) AS f5, count(*) FILTER (rank <= 10) AS f10, coalesce(sum(1 / log2(rank + 1)) FILTER (rank <= 5), 0) AS dcg FROM asked a JOIN kinds USING (item) JOIN gold g USING (item) LEFT JOIN firsts f ON f.qid = a.qid AND f.source = g.source AND f.page = g.page GROUP BY ALL)
-SELECT language, type, count(*) AS n, sum(n_gold)::bigint AS n_gold, round(avg(round(f5 / n_gold, 6)), 6) AS recall_5, round(avg(round(f10 / n_gold, 6)), 6) AS recall_10, round(avg(round(dcg / list_sum(list_transform(range(1, least(n_gold, 5) + 1), lambda i: 1 / log2(i + 1))), 6)), 6) AS ndcg_5 FROM each GROUP BY CUBE (language, type)""",
+SELECT language, type, count(*) AS n, sum(n_gold)::bigint AS n_gold, round(avg(f5 / n_gold), 6) AS recall_5, round(avg(f10 / n_gold), 6) AS recall_10, round(avg(dcg / list_sum(list_transform(range(1, least(n_gold, 5) + 1), lambda i: 1 / log2(i + 1)))), 6) AS ndcg_5 FROM each GROUP BY CUBE (language, type)""",
     "found_by_both": f"WITH {_POINTS}, {_QUESTIONS}, {_CAPTIONS}, {_search('points', 'questions', 8, 'h1')}, {_search('capped', 'questions', 8, 'h2')} SELECT qid, source, page FROM h1 INTERSECT SELECT qid, source, page FROM h2",
     "snippets": f"WITH {_POINTS}, {_QUESTIONS}, {_search('points', 'questions', 3, 'hits')} SELECT qid, rank, replace(substr(text, 1, 150), chr(10), ' / ') AS snippet FROM hits",
     "stream_upkeep": f"WITH {_POINTS} SELECT id, source, md5(text) AS text_md5 FROM points",
