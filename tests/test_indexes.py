@@ -171,6 +171,26 @@ def test_rare_terms_read_few_postings(spark):
     assert index.search(asked, 5).groupBy("qid").count().count() == 20
 
 
+def test_questions_of_frequent_terms_score_few_texts(spark):
+    rows = _texts(4_000)
+    index = postings.PostingsIndex(spark, storage.shared_path(spark, "postings"), spark.createDataFrame(rows, "id long, text string").repartition(3)).build(segment=20_000)
+    asked = [(i, f"the of and in w{i} w{i + 1} w{i + 2}") for i in range(12)]
+    seen = {}
+
+    def write(df, name):
+        seen[name] = storage.written(df, name)
+        return seen[name]
+
+    got = [(r.qid, r["rank"], r.id, r.score) for r in index.search(spark.createDataFrame(asked, "qid long, query string"), 5, write).orderBy("qid", "rank").collect()]
+    assert got == _brute_bm25(rows, asked, 5)
+    segments = index._table("postings").select("segment").distinct().count()
+    n = seen["candidates"].count()
+    print(f"candidates {n} of {len(rows)} texts in {segments} segments")
+    assert n <= 2 * 5 * 12 * segments
+    plan = index._open(seen["floors"], 5)._jdf.queryExecution().optimizedPlan().toString()
+    assert "inline" not in plan and "generate" not in plan.lower()  # no row for each posting
+
+
 def test_an_empty_postings_index(spark):
     index = postings.PostingsIndex(spark, storage.shared_path(spark, "postings"), spark.createDataFrame([], "id long, text string")).build()
     assert index.search(spark.createDataFrame([(1, "a")], "qid long, query string"), 5).count() == 0
