@@ -28,3 +28,25 @@ def test_shared_hits_are_those_of_each_search(spark):
         shared.search(a, 7)
     with pytest.raises(Exception, match="wasn't searched"):
         shared.search(a.withColumn("query", F.lit("other")), 2).collect()
+
+
+def test_modes_search_texts_and_patches_once(spark, monkeypatch):
+    seen, real = [], search._scored
+    monkeypatch.setattr(search, "_scored", lambda *a, **b: seen.append(tuple(a[3])) or real(*a, **b))
+    assert queries.mode_traces(spark, "/root/testdata/sf0.001").groupBy("mode").count().count() == 5
+    assert sorted(seen) == [("_t",), ("_t",), ("vectors",)]  # blocks, captions, patches
+
+
+def test_pages_that_no_hit_names_do_not_move(spark):
+    docs = spark.createDataFrame([(i, "\n".join(f"line {j} of {i}" for j in range(45)), "s") for i in range(6)], "doc_id long, text string, source string")
+    hits = spark.createDataFrame([(1, 1, "s/2", 3), (1, 2, "s/4", 1), (2, 1, "s/2", 9), (2, 2, None, None)], "qid long, rank int, source string, page int")
+    seen = []
+
+    def write(df):
+        seen.append(df._jdf.queryExecution().optimizedPlan().toString())
+        return storage.written(df)
+
+    pages = queries.blocks.iter_pages(docs)
+    plain = lambda df: sorted(map(str, df.select("qid", "rank", "source", "page", "page_text").collect()))
+    assert plain(modes.hydrate(hits, pages, write)) == plain(modes.hydrate(hits, pages))
+    assert "LeftSemi" in seen[-1]  # the other pages stay where they are
