@@ -50,3 +50,17 @@ def test_pages_that_no_hit_names_do_not_move(spark):
     plain = lambda df: sorted(map(str, df.select("qid", "rank", "source", "page", "page_text").collect()))
     assert plain(modes.hydrate(hits, pages, write)) == plain(modes.hydrate(hits, pages))
     assert "LeftSemi" in seen[-1]  # the other pages stay where they are
+
+
+def test_points_of_unique_sources_are_not_told_apart_again(spark, tmp_path, monkeypatch):
+    seen, real = [], queries.index.last_of_each
+    monkeypatch.setattr(queries.index, "last_of_each", lambda *a, **b: seen.append(a[1]) or real(*a, **b))
+    spark.createDataFrame([(1, "growth of revenue in spring")], "item_id long, text string").write.parquet(str(tmp_path / "one/benchmark.parquet"))
+    spark.createDataFrame([(1, "growth of revenue in spring")], "item_id long, text string").write.parquet(str(tmp_path / "two/benchmark.parquet"))
+    rows = [(1, "growth of revenue in spring\nnothing else is written here", "s"), (2, "growth of revenue in autumn", "s")]
+    save = lambda rows, name: spark.createDataFrame(rows, "doc_id long, text string, source string").write.parquet(str(tmp_path / name / "documents.parquet"))
+    save(rows, "one")
+    assert [r.source for r in queries.collection_search(spark, str(tmp_path / "one")).orderBy("rank").collect()] == ["s/1", "s/2"] and seen == ["_v"]  # the scan's alone
+    save([*rows, (2, "growth of revenue in summer", "s")], "two")
+    got = queries.collection_search(spark, str(tmp_path / "two")).orderBy("rank").collect()
+    assert len(got) == len({r.id for r in got}) == 2 and seen == ["_v", None, None, "_v"]
